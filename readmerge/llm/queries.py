@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, shard, urlfilter
 
 QUERIES = {
+    "op1_shard": shard.op1_shard,
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op9_url_filter": urlfilter.op9_url_filter,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_url_filter": urlfilter.ORACLE,
+}

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, quality, shard, urlfilter
+from . import decontaminate, licenses, packing, quality, shard, urlfilter
 
 QUERIES = {
     "op1_shard": shard.op1_shard,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_licenses": licenses.op3_licenses,
     "op5_quality": quality.op5_quality,
+    "op7_packing": packing.op7_packing,
     "op9_url_filter": urlfilter.op9_url_filter,
 }
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, media, packing, quality, shard, urlfilter
+from . import decontaminate, licenses, media, packing, quality, shard, urlfilter, warc
 
 QUERIES = {
     "op1_shard": shard.op1_shard,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_packing": packing.op7_packing,
     "op8_media": media.op8_media,
     "op9_url_filter": urlfilter.op9_url_filter,
+    "op10_warc": warc.op10_warc,
 }
 
 ORACLES: dict[str, str] = {

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, media, packing, quality, shard, urlfilter, warc
+from . import decontaminate, licenses, media, packing, quality, shard, suffix, urlfilter, warc
 
 QUERIES = {
     "op1_shard": shard.op1_shard,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_licenses": licenses.op3_licenses,
+    "op4_suffix": suffix.op4_suffix,
     "op5_quality": quality.op5_quality,
     "op7_packing": packing.op7_packing,
     "op8_media": media.op8_media,

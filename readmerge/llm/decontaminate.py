@@ -189,6 +189,12 @@ def digest_columns(found: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
+def keep_clean(docs: DataFrame, items: DataFrame, *, text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that share no window with any item, with all their columns."""
+    rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
+    return decontaminate(rows, items, key="row", **options).where(F.size("runs") == 0).select("row.*")
+
+
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     return digest_columns(decontaminate(docs, items))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, media, packing, quality, shard, suffix, urlfilter, warc
+from . import decontaminate, jaccard, licenses, media, packing, quality, shard, suffix, urlfilter, warc
 
 QUERIES = {
     "op1_shard": shard.op1_shard,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_licenses": licenses.op3_licenses,
     "op4_suffix": suffix.op4_suffix,
     "op5_quality": quality.op5_quality,
+    "op6_jaccard": jaccard.op6_jaccard,
     "op7_packing": packing.op7_packing,
     "op8_media": media.op8_media,
     "op9_url_filter": urlfilter.op9_url_filter,

@@ -246,7 +246,10 @@ def _rows(parts: list[list[np.ndarray]], sources: list[int], bucket: int, *flags
 
 
 def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", span: int = SPAN, group_bytes: int = cl.GROUP_BYTES) -> DataFrame:
-    """One row for each distinct text: digest, key (the least), n_removed, n_spans, kept_sha256, and kept (bytes; null where nothing goes)."""
+    """One row for each distinct text: digest, key (the least), n_removed, n_spans, kept_sha256, kept (bytes) and kept_text.
+
+    The last two are null where nothing goes.
+    """
     src = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     n = cl.group_count(docs, group_bytes)
     texts = cl.deal(src, n)
@@ -306,17 +309,17 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
             lost = int(removed[i + 1] - removed[i])
             body = kept[left_at[i] : left_at[i + 1]].tobytes() if lost else None
             digest = t.digest[i].tobytes().hex()
-            rows.append((digest, int(t.key[i]), lost, int(spans[i + 1] - spans[i]), hashlib.sha256(body).hexdigest() if lost else digest, body))
+            rows.append((digest, int(t.key[i]), lost, int(spans[i + 1] - spans[i]), hashlib.sha256(body).hexdigest() if lost else digest, body, body.decode(errors="ignore") if lost else None))
         return _result(rows)
 
     matches = texts.groupBy("group").applyInArrow(send, cl.BLOCK).groupBy("group").applyInArrow(match, cl.BLOCK)
     decided = texts.groupBy("group").cogroup(matches.groupBy("group")).applyInArrow(strings, cl.BLOCK).groupBy("group").applyInArrow(decide, cl.BLOCK)
     both = matches.union(decided.select("group", (F.lit(-1) - F.col("source")).cast("int").alias("source"), "data"))
-    return texts.groupBy("group").cogroup(both.groupBy("group")).applyInArrow(finish, "digest string, key long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return texts.groupBy("group").cogroup(both.groupBy("group")).applyInArrow(finish, "digest string, key long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string")
 
 
 def _result(rows: list[tuple]) -> pa.Table:
-    kinds = [("digest", pa.string()), ("key", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())]
+    kinds = [("digest", pa.string()), ("key", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("kept_text", pa.string())]
     cols = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
     return pa.table([pa.array(list(c), k) for c, (_, k) in zip(cols, kinds, strict=True)], names=[k for k, _ in kinds])
 
@@ -333,6 +336,20 @@ def repeats_by_row(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     )
 
 
+def cut_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n_chars: str | None = None, span: int = SPAN) -> DataFrame:
+    """The rows of ``docs`` with repeats taken out of ``text`` (and ``n_chars`` counted anew).
+
+    Where a cut splits a character, its remaining bytes go too.  Texts that lose nothing stay as they are.
+    """
+    found = remove_repeats(docs, key=key, text=text, span=span).select("digest", F.col("key").alias("least"), "kept_text")
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(key).cast("long"), F.lit(cl.NO_KEY)).alias("k"), cl.digest_of(F.col(text)).alias("d"), F.col(text).alias("t"))
+    j = rows.join(found, F.col("d") == F.col("digest"), "left")
+    again = (F.col("k") > F.col("least")) & (F.octet_length("t") >= span)
+    new = F.when(again, "").otherwise(F.coalesce("kept_text", "t"))
+    cols = [new.alias(c) if c == text else F.length(new).cast(docs.schema[c].dataType).alias(c) if c == n_chars else F.col("row")[c].alias(c) for c in docs.columns]
+    return j.select(*cols)
+
+
 def op4_suffix(spark, sf_dir: str) -> DataFrame:
     return repeats_by_row(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

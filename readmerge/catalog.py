@@ -1,6 +1,452 @@
-"""Registered queries of the read-merging engine and their SQL."""
+"""Registered queries over read pairs derived from the given tables, and DuckDB SQL that computes the same rows.
+
+SQL follows the pair view of ``plans.sim`` (reads of 64 bases, Ns in forward reads only).  Floating results are emitted as
+``floor(x * 10000 + 0.5)``.
+"""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from .functions import kmers, nt, phred, seqid, tables
+from .operators import clip, diff, filters, kernel, stats
+from .operators.algorithms import REGISTRY, algorithm
+from .operators.assemble import _bytes, assemble
+from .operators.clip import by_length, read_arrays
+from .operators.config import AssemblerConfig
+from .plans import sim
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+LENGTH = sim.LENGTH
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query and its SQL."""
+
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return put
+
+
+def _fixed(c):
+    return F.floor(c * 10000 + 0.5).cast("long")
+
+
+# --- SQL of the reference results ----------------------------------------------------------------------------------
+
+_USED_F, _USED_R = (40, 30, 20, 2), (40, 35, 10, 2)
+
+
+def _values(match: np.ndarray, mismatch: np.ndarray) -> str:
+    return ", ".join(f"({a}, {b}, {float(match[a, b])!r}::DOUBLE, {float(mismatch[a, b])!r}::DOUBLE)" for a in _USED_F for b in _USED_R)
+
+
+_SCORES = ", ".join(f"({q}, {float(phred.QUAL_SCORE[q])!r}::DOUBLE)" for q in sorted({*_USED_F, *_USED_R}))
+_NN = repr(phred.QUAL_NN)
+
+_KMERS = """
+fk AS (SELECT ordinal, p, substr(f_seq, cast(p - 6 as bigint), 8) AS km FROM pairs, range(8, 64) t(p) WHERE instr(substr(f_seq, cast(p - 7 as bigint), 9), 'N') = 0),
+fk2 AS (SELECT ordinal, p, km FROM (SELECT *, row_number() OVER (PARTITION BY ordinal, km ORDER BY p) AS rn FROM fk) WHERE rn <= 2),
+rk AS (SELECT ordinal, j, substr(rc_seq, cast(j - 6 as bigint), 8) AS km FROM pairs, range(8, 64) t(j)),
+hits AS (SELECT DISTINCT fk2.ordinal, 64 + j - p AS ov FROM fk2 JOIN rk ON fk2.ordinal = rk.ordinal AND fk2.km = rk.km WHERE 64 + j - p BETWEEN 2 AND 64),
+cand AS (SELECT ordinal, ov FROM hits UNION ALL SELECT p.ordinal, r.ov FROM pairs p, range(2, 65) r(ov) WHERE p.ordinal NOT IN (SELECT ordinal FROM hits))
+"""
+_EVERY = "cand AS (SELECT p.ordinal, r.ov FROM pairs p, range(2, 65) r(ov))"
+
+
+def _score_sql(name: str) -> str:
+    """The score of a candidate from m, x, u (matches, mismatches, unknown), for models that count."""
+    if name in ("simple_bayesian", "uparse"):
+        m, x = REGISTRY[name].rates()
+        return f"({_NN} * (128 - 2 * ov + u) + m * ({m!r}) + x * ({x!r}))"
+    return {
+        "ea_util": "ln((cast(x + u as double) * (x + u) + 1) / ov)",
+        "flash": "CASE WHEN m = 0 THEN 0.0 ELSE cast('-infinity' as double) END",
+        "stitch": "CASE WHEN m > x THEN ln(cast(m - x as double) / 128) WHEN m < x THEN ln(18446744073709551616.0::DOUBLE / 128) ELSE cast('-infinity' as double) END",
+    }[name]
+
+
+def _best_sql(name: str = "simple_bayesian", cand: str = _KMERS, tag: str = "") -> str:
+    """CTEs up to best (ordinal, ov, score, m, x, u, examined); no row where nothing wins."""
+    c = cand.replace("cand AS", f"cand{tag} AS").strip()
+    return f"""{c},
+counted{tag} AS (SELECT c.ordinal, cast(c.ov as bigint) AS ov, length(right(f_seq, c.ov)) - length(replace(right(f_seq, c.ov), 'N', '')) AS u,
+  hamming(right(f_seq, c.ov), left(rc_seq, c.ov)) AS ham FROM cand{tag} c JOIN pairs p ON c.ordinal = p.ordinal),
+mxu{tag} AS (SELECT ordinal, ov, u, ov - ham AS m, ham - u AS x, count(*) OVER (PARTITION BY ordinal) AS examined FROM counted{tag}),
+scored{tag} AS (SELECT *, {_score_sql(name)} AS score FROM mxu{tag}),
+best{tag} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ordinal ORDER BY score DESC, ov) AS rn FROM scored{tag} WHERE score > {_NN} * 128) WHERE rn = 1)"""
+
+
+_MERGE = f"""
+fr AS (SELECT b.ordinal, b.ov, p.f_seq, p.rc_seq, p.f_qual, reverse(p.r_qual) AS c_qual, p.template, length(rtrim(p.f_qual, '#')) AS f_clear, length(rtrim(p.r_qual, '#')) AS r_clear,
+  b.examined, b.score, b.x FROM best b JOIN pairs p ON b.ordinal = p.ordinal),
+mt(a, b, v, w) AS (VALUES {_values(tables.MATCH_BAYES, tables.MISMATCH_BAYES)}),
+qs(q, v) AS (VALUES {_SCORES}),
+bases AS (SELECT ordinal, ov, i, examined, score, x, template,
+  CASE WHEN i <= 64 THEN substr(f_seq, i, 1) END AS fb, CASE WHEN i <= 64 THEN ascii(substr(f_qual, i, 1)) - 33 END AS fq, CASE WHEN i <= 64 THEN i > f_clear END AS fd,
+  CASE WHEN i > 64 - ov THEN substr(rc_seq, i - 64 + ov, 1) END AS rb, CASE WHEN i > 64 - ov THEN ascii(substr(c_qual, i - 64 + ov, 1)) - 33 END AS rq,
+  CASE WHEN i > 64 - ov THEN (64 - (i - 64 + ov)) >= r_clear END AS rd
+  FROM (SELECT fr.*, unnest(range(1, 129 - ov)) AS i FROM fr)),
+fused AS (SELECT bases.ordinal, ov, i, examined, score, x, template,
+  CASE WHEN rb IS NULL THEN fb WHEN fb IS NULL THEN rb WHEN fb = 'N' OR fb = rb THEN rb WHEN fq < rq THEN rb ELSE fb END AS base,
+  CASE WHEN rb IS NULL THEN q1.v WHEN fb IS NULL THEN q2.v WHEN fd AND rd THEN {_NN} WHEN fd THEN q2.v WHEN rd THEN q1.v WHEN fb = 'N' OR fb = rb THEN mt.v ELSE mt.w END AS p
+  FROM bases LEFT JOIN qs q1 ON q1.q = fq LEFT JOIN qs q2 ON q2.q = rq LEFT JOIN mt ON mt.a = fq AND mt.b = rq),
+merged AS (SELECT ordinal, ov, any_value(examined) AS examined, any_value(score) AS score, any_value(x) AS x, any_value(template) AS template, string_agg(base, '' ORDER BY i) AS sequence,
+  sum(p) / (128 - ov + 1) AS quality, sum(CASE WHEN base NOT IN ('A', 'C', 'G', 'T') THEN 1 ELSE 0 END) AS degenerates, min(p) AS least FROM fused GROUP BY ordinal, ov),
+ok AS (SELECT * FROM merged WHERE quality >= ln(0.6))
+"""
+
+
+def _full(select: str, keys: str = sim.KEYS) -> str:
+    return f"{sim.pairs_sql(keys)}, {_best_sql()}, {_MERGE} {select}"
+
+
+def _pairs_only(select: str) -> str:
+    return f"{sim.pairs_sql()} {select}"
+
+
+# --- assembly ------------------------------------------------------------------------------------------------------
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    return sim.read_pairs(spark, d)
+
+
+def _assembled(spark: SparkSession, d: str, cfg: AssemblerConfig | None = None, **more) -> DataFrame:
+    return assemble(_pairs(spark, d), cfg, with_logp=more.pop("with_logp", False), **more)
+
+
+@query("assemble_simple_bayesian", _full("SELECT ordinal, ov AS overlap, sequence FROM ok"))
+def _(spark, d):
+    return _assembled(spark, d).where("status = 'OK'").select("ordinal", F.col("overlap").cast("long").alias("overlap"), "sequence")
+
+
+@query("merged_quality", _full("SELECT ordinal, cast(floor(exp(quality) * 10000 + 0.5) as bigint) AS quality FROM ok"))
+def _(spark, d):
+    return _assembled(spark, d).where("status = 'OK'").select("ordinal", _fixed(F.exp("quality")).alias("quality"))
+
+
+@query("merged_counts", _full("SELECT ordinal, cast(x as bigint) AS mismatches, cast(degenerates as bigint) AS degenerates, cast(length(sequence) as bigint) AS len, cast(examined as bigint) AS examined FROM ok"))
+def _(spark, d):
+    ok = _assembled(spark, d).where("status = 'OK'")
+    return ok.select("ordinal", *[F.col(a).cast("long").alias(b) for a, b in (("overlap_mismatches", "mismatches"), ("degenerates", "degenerates"), ("sequence_length", "len"), ("overlaps_examined", "examined"))])
+
+
+@query("lineitem_assembly_summary", _full("SELECT ov AS overlap, cast(count(*) as bigint) AS n, cast(sum(length(sequence)) as bigint) AS bases FROM ok GROUP BY ov", "SELECT DISTINCT l_orderkey * 10 + l_linenumber AS k FROM lineitem"))
+def _(spark, d):
+    pairs = sim.read_pairs(spark, d, "SELECT DISTINCT l_orderkey * 10 + l_linenumber AS k FROM lineitem", "lineitem")
+    ok = assemble(pairs, with_logp=False).where("status = 'OK'")
+    return ok.groupBy(F.col("overlap").cast("long").alias("overlap")).agg(F.count("*").alias("n"), F.sum(F.col("sequence_length").cast("long")).alias("bases"))
+
+
+@query("kmer_candidates", f"{sim.pairs_sql()}, {_KMERS} SELECT ordinal, cast(count(*) as bigint) AS examined, count(*) = 63 AS slow FROM cand GROUP BY ordinal")
+def _(spark, d):
+    return _assembled(spark, d).select("ordinal", F.col("overlaps_examined").cast("long").alias("examined"), "slow")
+
+
+def _best_query(name: str):
+    sql = f"{sim.pairs_sql()}, {_best_sql(name, _EVERY)} SELECT ordinal, ov AS overlap, cast(floor(score * 10000 + 0.5) as bigint) AS score FROM best"
+
+    @query(f"best_overlap_{name}", sql)
+    def _(spark, d):
+        cfg = AssemblerConfig(algorithm=algorithm(name), exhaustive=True, threshold=1e-9)
+        out = _assembled(spark, d, cfg).where("overlap is not null")
+        return out.select("ordinal", F.col("overlap").cast("long").alias("overlap"), _fixed(F.col("overlap_score")).alias("score"))
+
+
+for _name in ("simple_bayesian", "uparse", "ea_util", "flash", "stitch"):
+    _best_query(_name)
+
+
+def overlap_scores(pairs: DataFrame, name: str) -> DataFrame:
+    """ordinal and the model's score of each pair at its column ``true_overlap``."""
+    model = algorithm(name)
+
+    def run(batches):
+        for b in batches:
+            cols = [_bytes(b.column(c)) for c in ("f_seq", "f_qual", "r_seq", "r_qual")]
+            out = np.zeros(len(b))
+            lens = [(len(x), len(y), o) for x, y, o in zip(cols[0], cols[2], b.column("true_overlap").to_pylist(), strict=True)]
+            for (_, _, o), at in by_length(lens):
+                f, fq = read_arrays([cols[0][i] for i in at], [cols[1][i] for i in at], False, 33)
+                r, rq = read_arrays([cols[2][i] for i in at], [cols[3][i] for i in at], True, 33)
+                out[at] = model.score(kernel.paired(kernel.Reads(f, fq, r, rq), o))
+            yield pa.RecordBatch.from_arrays([b.column("ordinal"), pa.array(out)], ["ordinal", "score"])
+
+    return pairs.select("ordinal", "f_seq", "f_qual", "r_seq", "r_qual", "true_overlap").mapInArrow(run, "ordinal long, score double")
+
+
+def _position_sum(values: str, matched: str) -> str:
+    return f"""{sim.pairs_sql()}, mt(a, b, v, w) AS (VALUES {values}),
+places AS (SELECT ordinal, i, substr(f_seq, 64 - true_overlap + i, 1) AS fb, substr(rc_seq, i, 1) AS rb, ascii(substr(f_qual, 64 - true_overlap + i, 1)) - 33 AS fq, ascii(substr(reverse(r_qual), i, 1)) - 33 AS rq,
+  ascii(substr(f_qual, 65 - i, 1)) - 33 AS alias_q FROM (SELECT *, unnest(range(1, true_overlap + 1)) AS i FROM pairs))
+SELECT ordinal, cast(floor(sum({matched}) * 10000 + 0.5) as bigint) AS score FROM places LEFT JOIN mt ON mt.a = fq AND mt.b = """
+
+
+_PEAR_PAIRS = ", ".join(f"({a}, {b}, {float(tables.MATCH_PEAR[a, b])!r}::DOUBLE, {float(tables.MISMATCH_PEAR[a, b])!r}::DOUBLE)" for a in _USED_F for b in _USED_F)
+_POSITION_SQL = {
+    "pear": _position_sum(_PEAR_PAIRS, "CASE WHEN fb = 'N' THEN -ln(0.25) WHEN fb = rb THEN v ELSE w END") + "alias_q GROUP BY ordinal",
+    "rdp_mle": _position_sum(_values(tables.MATCH_BAYES, tables.MISMATCH_RDP), f"CASE WHEN fb = 'N' OR fb = rb THEN v ELSE w END - ({_NN})") + "rq GROUP BY ordinal",
+}
+
+
+def _score_query(name: str):
+    sql = _POSITION_SQL.get(name)
+    if sql is None:
+        one = "cand AS (SELECT ordinal, true_overlap AS ov FROM pairs)"
+        sql = f"{sim.pairs_sql()}, {_best_sql(name, one)} SELECT ordinal, CASE WHEN score = cast('-infinity' as double) THEN NULL ELSE cast(floor(score * 10000 + 0.5) as bigint) END AS score FROM scored"
+
+    @query(f"overlap_score_{name}", sql)
+    def _(spark, d):
+        s = overlap_scores(_pairs(spark, d), name)
+        return s.select("ordinal", F.when(F.col("score") > float("-inf"), _fixed(F.col("score"))).alias("score"))
+
+
+for _name in REGISTRY:
+    _score_query(_name)
+
+
+# --- clipping ------------------------------------------------------------------------------------------------------
+
+
+@query("primer_trim_fixed", _full("SELECT ordinal, substr(sequence, 6, length(sequence) - 12) AS sequence FROM merged"))
+def _(spark, d):
+    out = _assembled(spark, d, AssemblerConfig(forward_trim=5, reverse_trim=7, threshold=1e-9))
+    return out.where("status = 'OK'").select("ordinal", "sequence")
+
+
+_PRIMER = "ACGTNC"
+_PRIMER_SQL = f"""{sim.pairs_sql()}, qs(q, v, w) AS (VALUES {", ".join(f"({q}, {float(phred.QUAL_SCORE[q])!r}::DOUBLE, {float(phred.QUAL_SCORE_ERR[q])!r}::DOUBLE)" for q in _USED_F)}),
+places AS (SELECT ordinal, s, x, substr(f_seq, s + x, 1) AS b, ascii(substr(f_qual, s + x, 1)) - 33 AS q FROM (SELECT *, unnest(range(0, 58)) AS s FROM pairs), range(1, 7) t(x) WHERE x <> 5),
+win AS (SELECT ordinal, s, exp(sum(CASE WHEN b = 'N' OR b = substr('{_PRIMER}', x, 1) THEN v ELSE w END) / (s + 7)) - (s + 6) * 0.001 AS v FROM places JOIN qs USING (q) GROUP BY ordinal, s),
+top AS (SELECT ordinal, max(v) AS v FROM win GROUP BY ordinal)
+SELECT w.ordinal, cast(min(CASE WHEN w.v > exp(6 * ln(0.6)) THEN w.s + 7 ELSE 0 END) as bigint) AS place FROM win w JOIN top USING (ordinal) WHERE abs(w.v - top.v) < 1e-12 GROUP BY w.ordinal"""
+
+
+@query("primer_offset", _PRIMER_SQL)
+def _(spark, d):
+    out = clip.with_primer_offset(_pairs(spark, d), "place", "f_seq", "f_qual", _PRIMER, threshold=0.6, penalty=0.001)
+    return out.select("ordinal", "place")
+
+
+@query("primers_before")
+def _(spark, d):
+    return _assembled(spark, d, AssemblerConfig(forward_primer="ACGT", reverse_primer="ACG", threshold=0.5)).select("ordinal", "status", "forward_offset", "reverse_offset", "sequence")
+
+
+@query("primers_after")
+def _(spark, d):
+    return _assembled(spark, d, AssemblerConfig(forward_primer="ACGT", primers_after=True, threshold=0.3)).select("ordinal", "status", "forward_offset", "reverse_offset", "sequence")
+
+
+@query("overhang_trim")
+def _(spark, d):
+    return clip.trim_overhangs(_pairs(spark, d), forward="ACGT", skip=True).select("ordinal", F.length("f_seq").alias("left"))
+
+
+# --- filters -------------------------------------------------------------------------------------------------------
+
+
+def _filter_query(name: str, spec: str, keep: str, before: bool = False, **more):
+    stage = f"SELECT o.ordinal, CASE WHEN {keep} THEN 'OK' ELSE 'MODULE' END AS status FROM ok o JOIN pairs p ON o.ordinal = p.ordinal"
+    if before:
+        stage = f"SELECT p.ordinal, CASE WHEN NOT ({keep}) THEN 'MODULE' WHEN o.ordinal IS NOT NULL THEN 'OK' END AS status FROM pairs p LEFT JOIN ok o ON o.ordinal = p.ordinal"
+
+    @query(f"filter_{name}", _full(f"SELECT * FROM ({stage}) WHERE status IS NOT NULL"))
+    def _(spark, d):
+        out = _assembled(spark, d, AssemblerConfig(modules=(filters.load(spec),)), with_logp=name == "min_phred", **more)
+        return out.where("status in ('OK', 'MODULE')").select("ordinal", "status")
+
+
+_filter_query("short", "short:96", "length(sequence) >= 96")
+_filter_query("long", "long:100", "length(sequence) <= 100")
+_filter_query("degenerate", "degenerate", "degenerates = 0")
+_filter_query("empty", "empty", "length(sequence) > 0")
+_filter_query("mismatches", "completely_miss_the_point:0", "x = 0")
+_filter_query("min_phred", "min_phred:2", f"least >= {float(phred.QUAL_SCORE[2])!r}")
+_filter_query("min_overlapbits", "min_overlapbits:-150", "score >= -150 * ln(2)")
+_filter_query("overlap_stat", "overlap_stat", "true")
+_filter_query("validtag", "validtag:AC:GT:TT", "substr(p.template, 1, 2) IN ('AC', 'GT', 'TT')", before=True)
+
+
+def _marked(name: str, sign: str):
+    """after and before a pair of the table; its header is read from the table."""
+    sql = _full(f"SELECT * FROM (SELECT p.ordinal, CASE WHEN NOT (p.ordinal {sign} (SELECT min(ordinal) FROM pairs WHERE ordinal % 1000 = 0)) THEN 'MODULE' WHEN o.ordinal IS NOT NULL THEN 'OK' END AS status FROM pairs p LEFT JOIN ok o ON o.ordinal = p.ordinal) WHERE status IS NOT NULL")
+
+    @query(f"filter_{name}", sql)
+    def _(spark, d):
+        pairs = _pairs(spark, d)
+        head = pairs.where("ordinal % 1000 = 0").agg(F.min_by(F.struct("id"), "ordinal").alias("m")).first()["m"]["id"]  # one row
+        header = f"{head['instrument']}:{head['run']}:{head['flowcell']}:{head['lane']}:{head['tile']}:{head['x']}:{head['y']} 1:N:0:{head['tag']}"
+        out = assemble(pairs, AssemblerConfig(modules=(filters.load(f"{name}:{header}"),)), with_logp=False)
+        return out.where("status in ('OK', 'MODULE')").select("ordinal", "status")
+
+
+_marked("after", ">=")
+_marked("before", "<")
+
+
+@query("filter_idset", _full("SELECT * FROM (SELECT p.ordinal, CASE WHEN p.ordinal NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 25) THEN 'MODULE' WHEN o.ordinal IS NOT NULL THEN 'OK' END AS status FROM pairs p LEFT JOIN ok o ON o.ordinal = p.ordinal) WHERE status IS NOT NULL"))
+def _(spark, d):
+    pairs = _pairs(spark, d)
+    wanted = spark.read.parquet(f"{d}/lineitem.parquet").where("l_quantity >= 25").select(F.col("l_orderkey").alias("ordinal")).distinct()
+    ids = pairs.join(wanted, "ordinal", "left_semi").select("id")
+    out = assemble(pairs, AssemblerConfig(modules=(filters.id_set(ids),)), with_logp=False)
+    return out.where("status in ('OK', 'MODULE')").select("ordinal", "status")
+
+
+@query("filter_other_primer")
+def _(spark, d):
+    return _assembled(spark, d, AssemblerConfig(modules=(filters.load("other_primer:f:ACGTAC"),))).select("ordinal", "status")
+
+
+@query("filter_pear_test")
+def _(spark, d):
+    return _assembled(spark, d, AssemblerConfig(modules=(filters.load("pear_test:cutoff=0.05"),)), keep_reads=True).select("ordinal", "status")
+
+
+# --- statistics and comparison -------------------------------------------------------------------------------------
+
+_STATUS_SQL = """, st AS (SELECT p.ordinal, CASE WHEN m.ordinal IS NULL THEN 'NOALGN' WHEN m.quality < ln(0.6) THEN 'LOWQ' WHEN length(sequence) < 100 THEN 'MODULE' ELSE 'OK' END AS status, e.n AS examined
+  FROM pairs p LEFT JOIN merged m ON m.ordinal = p.ordinal JOIN (SELECT ordinal, count(*) AS n FROM cand GROUP BY ordinal) e ON e.ordinal = p.ordinal)"""
+
+
+def _stat_sql() -> str:
+    codes = " UNION ALL ".join(f"SELECT '{s}' AS code, cast(count(*) as bigint) AS value FROM st WHERE status = '{s}'" for s in ("OK", "BADR", "NOFP", "NORP", "NOALGN", "LOWQ", "MODULE"))
+    return f"{sim.pairs_sql()}, {_best_sql()}, {_MERGE}{_STATUS_SQL} SELECT 'READS' AS code, cast(count(*) as bigint) AS value FROM st UNION ALL SELECT 'SLOW' AS code, cast(count(*) as bigint) AS value FROM st WHERE examined = 63 UNION ALL {codes}"
+
+
+def _counted(spark, d) -> DataFrame:
+    return _assembled(spark, d, AssemblerConfig(modules=(filters.load("short:100"),)))
+
+
+@query("stat_counts", _stat_sql())
+def _(spark, d):
+    return stats.stat_counts(_counted(spark, d))
+
+
+@query("reject_counts", f"{sim.pairs_sql()}, {_best_sql()}, {_MERGE}{_STATUS_SQL} SELECT 'SHORT' AS module, cast(count(*) as bigint) AS rejected FROM st WHERE status = 'MODULE' HAVING count(*) > 0")
+def _(spark, d):
+    return stats.reject_counts(_counted(spark, d))
+
+
+@query("overlap_histogram", _full("SELECT cast(v as bigint) AS overlap, cast(coalesce(n, 0) as bigint) AS n FROM range(0, 65) t(v) LEFT JOIN (SELECT ov, count(*) AS n FROM ok GROUP BY ov) ON ov = v WHERE v <= (SELECT max(ov) FROM ok)"))
+def _(spark, d):
+    return stats.overlap_histogram(_assembled(spark, d)).select(F.col("overlap").cast("long").alias("overlap"), "n")
+
+
+@query("examined_histogram", _full("SELECT cast(v as bigint) AS examined, cast(coalesce(n, 0) as bigint) AS n FROM range(1, 64) t(v) LEFT JOIN (SELECT examined, count(*) AS n FROM ok GROUP BY examined) e ON e.examined = v WHERE v <= (SELECT max(examined) FROM ok)"))
+def _(spark, d):
+    return stats.examined_histogram(_assembled(spark, d)).select(F.col("examined").cast("long").alias("examined"), "n")
+
+
+@query("phred_offset_warning", _pairs_only("SELECT cast(min(least(CASE WHEN f_qual LIKE '%#%' THEN 35 WHEN f_qual LIKE '%5%' THEN 53 ELSE 73 END, CASE WHEN r_qual LIKE '%#%' THEN 35 WHEN r_qual LIKE '%+%' THEN 43 ELSE 73 END)) as bigint) AS least, false AS suspicious FROM pairs"))
+def _(spark, d):
+    return stats.phred_offset_warning(_pairs(spark, d)).select(F.col("least").cast("long").alias("least"), "suspicious")
+
+
+
+@query("diff_min_overlap")
+def _(spark, d):
+    pairs = _pairs(spark, d)
+    return diff.diff(pairs, AssemblerConfig(), AssemblerConfig(min_overlap=30))
+
+
+@query("diff_trim_summary", _full("SELECT cast((SELECT count(*) FROM pairs) as bigint) AS total, cast(0 as bigint) AS better, cast(0 as bigint) AS worse, cast((SELECT count(*) FROM merged) as bigint) AS changed, cast(0 as bigint) AS gained, cast(0 as bigint) AS lost, cast((SELECT count(*) FROM pairs) - (SELECT count(*) FROM merged) as bigint) AS equal"))
+def _(spark, d):
+    pairs = _pairs(spark, d)
+    one = AssemblerConfig(threshold=1e-9)
+    return diff.diff_summary(diff.diff(pairs, one, replace(one, forward_trim=3)))
+
+
+@query("diff_module_summary", _full("SELECT cast((SELECT count(*) FROM pairs) as bigint) AS total, cast(0 as bigint) AS better, cast(0 as bigint) AS worse, cast(0 as bigint) AS changed, cast(0 as bigint) AS gained, cast(count(*) FILTER (WHERE length(sequence) > 100) as bigint) AS lost, cast((SELECT count(*) FROM pairs) - count(*) FILTER (WHERE length(sequence) > 100) as bigint) AS equal FROM ok"))
+def _(spark, d):
+    return diff.diff_summary(diff.diff(_pairs(spark, d), AssemblerConfig(), AssemblerConfig(modules=(filters.load("long:100"),))))
+
+
+# --- scalar functions ----------------------------------------------------------------------------------------------
+
+_ALPHABET = "ACGTUMRWSYKVHDBNXacgtun.-4EZ"
+_MASKS = {"A": 1, "C": 2, "G": 4, "T": 8, "U": 8, "M": 3, "R": 5, "W": 9, "S": 6, "Y": 10, "K": 12, "V": 7, "H": 11, "D": 13, "B": 14, "N": 15, "X": 15, ".": 15, "-": 3, "4": 8}
+
+
+def _orders(spark, d):
+    return spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("k"))
+
+
+@query("nt_encode", f"SELECT o_orderkey AS k, cast(CASE {' '.join(f"WHEN c = '{c}' THEN {v}" for c, v in _MASKS.items())} ELSE 0 END as bigint) AS mask FROM (SELECT o_orderkey, upper(substr('{_ALPHABET}', cast(1 + o_orderkey % {len(_ALPHABET)} as bigint), 1)) AS c FROM orders)")
+def _(spark, d):
+    c = F.substr(F.lit(_ALPHABET), (F.col("k") % len(_ALPHABET) + 1).cast("int"), F.lit(1))
+    return _orders(spark, d).select("k", nt.from_ascii(c).cast("long").alias("mask"))
+
+
+@query("nt_complement", "SELECT o_orderkey AS k, cast(((m & 1) << 3) | ((m & 8) >> 3) | ((m & 2) << 1) | ((m & 4) >> 1) as bigint) AS paper, cast(CASE WHEN m IN (7, 11) THEN 7 ELSE ((m & 1) << 3) | ((m & 8) >> 3) | ((m & 2) << 1) | ((m & 4) >> 1) END as bigint) AS reference, bit_count(m) <> 1 AS degenerate, substr('NACMGRSVTWYHKDBN', m + 1, 1) AS letter FROM (SELECT o_orderkey, cast(o_orderkey % 16 as int) AS m FROM orders)")
+def _(spark, d):
+    m = (F.col("k") % 16).cast("int")
+    return _orders(spark, d).select("k", nt.complement(m, "paper").cast("long").alias("paper"), nt.complement(m).cast("long").alias("reference"), nt.is_degenerate(m).alias("degenerate"), nt.to_ascii(m).alias("letter"))
+
+
+@query("reverse_complement", _pairs_only("SELECT ordinal, rc_seq AS seq FROM pairs"))
+def _(spark, d):
+    return _pairs(spark, d).select("ordinal", nt.reverse_complement(F.col("r_seq")).alias("seq"))
+
+
+@query("phred_decode", f"SELECT o_orderkey AS k, cast(CASE WHEN v > 46 THEN 13 ELSE v END as bigint) AS q FROM (SELECT o_orderkey, o_orderkey % 94 AS v FROM orders)")
+def _(spark, d):
+    return _orders(spark, d).select("k", phred.index_of(F.chr(F.col("k") % 94 + 33)).cast("long").alias("q"))
+
+
+@query("phred_logprob", "SELECT o_orderkey AS k, cast(floor((CASE WHEN q = 0 THEN -2.0 ELSE ln(1 - power(10.0, -q / 10.0)) END) * 1000 + 0.5) as bigint) AS p FROM (SELECT o_orderkey, cast(least(o_orderkey % 60, 46) as double) AS q FROM orders)")
+def _(spark, d):
+    return _orders(spark, d).select("k", F.floor(phred.log_probability(F.col("k") % 60) * 1000 + 0.5).cast("long").alias("p"))
+
+
+_STEPS_SQL = " ".join(f"WHEN p < {float(phred.QUAL_SCORE[i])!r} THEN {i - 1 if (i - 1) % 3 == 0 else i} WHEN p = {float(phred.QUAL_SCORE[i])!r} THEN {i}" for i in range(1, 46))
+
+
+@query("phred_requantise", f"SELECT o_orderkey AS k, cast(CASE WHEN p <= -2 THEN 1 {_STEPS_SQL} ELSE 45 END as bigint) AS q FROM (SELECT o_orderkey, -cast(o_orderkey % 2500 as double) / 1000.0 AS p FROM orders)")
+def _(spark, d):
+    return _orders(spark, d).select("k", phred.requantise(-(F.col("k") % 2500).cast("double") / 1000.0).cast("long").alias("q"))
+
+
+@query("kmers8", f"{sim.pairs_sql()}, {_KMERS} SELECT p.ordinal, cast(count(fk.p) as bigint) AS n, min(fk.km) AS least, cast(coalesce(sum(fk.p), 0) as bigint) AS places FROM pairs p LEFT JOIN fk ON fk.ordinal = p.ordinal GROUP BY p.ordinal")
+def _(spark, d):
+    k = _pairs(spark, d).select("ordinal", kmers.kmers(F.col("f_seq")).alias("k"))
+    return k.select("ordinal", F.size("k").cast("long").alias("n"), F.array_min(F.transform("k", lambda x: x["kmer"])).alias("least"), F.aggregate("k", F.lit(0).cast("long"), lambda a, x: a + x["posn"]).alias("places"))
+
+
+@query("bcliff_mask", _pairs_only("SELECT ordinal, cast(length(rtrim(f_qual, '#')) as bigint) AS f_clear, cast(length(rtrim(r_qual, '#')) as bigint) AS r_clear FROM pairs"))
+def _(spark, d):
+    return _pairs(spark, d).select("ordinal", *[F.length(F.rtrim(F.col(f"{s}_qual"), F.lit("#"))).cast("long").alias(f"{s}_clear") for s in "fr"])
+
+
+_HEADERS = {
+    "17": ("concat('M', cast(user_id as varchar(20)), ':', cast(event_id % 9 as varchar(20)), ':FC1:', cast(event_id % 8 as varchar(20)), ':1101:', cast(event_id as varchar(20)), ':', cast(user_id as varchar(20)), ' ', cast(1 + event_id % 2 as varchar(20)), ':N:0:', upper(event_type))",
+           "concat('M', cast(user_id as varchar(20)), ':', cast(event_id % 9 as varchar(20)), ':FC1:', cast(event_id % 8 as varchar(20)), ':1101:', cast(event_id as varchar(20)), ':', cast(user_id as varchar(20)), ':', upper(event_type))", "1 + event_id % 2"),
+    "14": ("concat('H', cast(user_id as varchar(20)), ':', cast(event_id % 8 as varchar(20)), ':12:', cast(event_id as varchar(20)), ':7#', upper(event_type), '/2')",
+           "concat('H', cast(user_id as varchar(20)), ':::', cast(event_id % 8 as varchar(20)), ':12:', cast(event_id as varchar(20)), ':7:', upper(event_type))", "2"),
+    "converted": ("concat('S', cast(user_id as varchar(20)), ':18:FC2:', cast(event_id % 8 as varchar(20)), ':12:', cast(event_id as varchar(20)), ':7#', upper(event_type), '/1')",
+                  "concat('S', cast(user_id as varchar(20)), ':18:FC2:', cast(event_id % 8 as varchar(20)), ':12:', cast(event_id as varchar(20)), ':7:', upper(event_type))", "1"),
+    "sra": ("concat(CASE WHEN event_id % 2 = 0 THEN 'SRR' ELSE 'ERR' END, '00', cast(1 + user_id as varchar(20)), '.', cast(event_id as varchar(20)), ' x')",
+            "concat(CASE WHEN event_id % 2 = 0 THEN 'SRR' ELSE 'ERR' END, cast(1 + user_id as varchar(20)), ':::', cast(event_id as varchar(20)), ':0:0:0:')", "1"),
+}
+
+
+def _header_query(name: str, header: str, text: str, mate: str):
+    @query(f"seqid_parse_{name}", f"SELECT event_id, {text} AS id, cast({mate} as bigint) AS mate FROM events")
+    def _(spark, d):
+        rows = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.expr(header).alias("h")).select("event_id", seqid.parse(F.col("h")).alias("r"))
+        return rows.select("event_id", seqid.to_string(F.col("r.id")).alias("id"), F.col("r.mate").cast("long").alias("mate"))
+
+
+for _name, _parts in _HEADERS.items():
+    _header_query(_name, *_parts)

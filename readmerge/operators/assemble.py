@@ -8,6 +8,7 @@ checks are Columns behind it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -79,7 +80,7 @@ def assemble(pairs: DataFrame, cfg: AssemblerConfig | None = None, *, with_logp:
     passed = ["ordinal", "id", *(["f_seq", "f_qual", "r_seq", "r_qual"] if keep_reads else []), "_reject"]
     df = df.withColumn("_reject", reject).select(*PAIR, "_reject")
     shape = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in passed)
-    out = df.mapInArrow(_kernel(cfg, passed, with_logp), f"{shape}, {RESULT_TYPE}")
+    out = df.mapInArrow(_kernel(replace(cfg, modules=()), passed, with_logp), f"{shape}, {RESULT_TYPE}")
     late: Column = F.when(F.col("status") == "MODULE", F.col("_reject"))
     for m in (m for m in cfg.modules if m.stage == "check"):
         out, keep = m.apply(out)

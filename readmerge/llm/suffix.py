@@ -10,9 +10,11 @@ batch is sorted, merge-scanned against the existing levels (which hold smaller k
 levels of equal size merge.
 
 * A stretch found in a smaller document is removed as a whole.
-* A place whose k bytes other documents have too, but whose stretch is new, is decided string by string: its strings are
-  compared over all documents in a second exchange.  The least document that has a string never has it in a stretch
-  that was found, so it always takes part.
+* A place whose k bytes other documents have too, but whose stretch is new, is looked at more closely.  A string that
+  holds the place either holds (span - k) / 2 more bytes before it or as many behind it; hashes of these two longer pieces
+  are compared over all documents, which clears nearly all places that agree by chance.
+* Strings of the halves that are left are compared one by one in a last exchange.  The least document that has a string
+  never has it in a stretch that was found, so it always takes part.
 * Places whose k bytes stand in one document only need nothing.
 
 Defined cases: null counts as empty; texts shorter than ``span`` lose nothing; equal texts of larger keys are removed
@@ -54,14 +56,14 @@ class Prefix:
 
 @dataclass
 class Stretches:
-    """Stretches of a slice: hash of the place, hash of the stretch, first string, number of strings, text."""
+    """Stretches of a slice: hash of the place, hash of the stretch, first string, number of strings, the place, text."""
 
     h: np.ndarray
     seg: np.ndarray
     first: np.ndarray
     count: np.ndarray
+    place: np.ndarray
     doc: np.ndarray
-    hashes: Prefix | None
 
 
 def stretches(buf: np.ndarray, off: np.ndarray, span: int = SPAN, k: int = K) -> Stretches:
@@ -70,7 +72,7 @@ def stretches(buf: np.ndarray, off: np.ndarray, span: int = SPAN, k: int = K) ->
     at = tx.expand(off[:-1], strings)
     if not len(at):
         z = np.zeros(0, np.int64)
-        return Stretches(np.zeros(0, tx.U64), np.zeros(0, np.uint32), z, z, z, None)
+        return Stretches(np.zeros(0, tx.U64), np.zeros(0, np.uint32), z, z, z, z)
     hashes = Prefix(buf)
     starts = np.arange(len(buf) - k + 1)
     h = hashes.spans(starts, starts + k)
@@ -83,7 +85,7 @@ def stretches(buf: np.ndarray, off: np.ndarray, span: int = SPAN, k: int = K) ->
     count = np.diff(np.append(begin, len(at)))
     first = at[begin]
     seg = (hashes.spans(first, first + count - 1 + span) >> tx.U64(32)).astype(np.uint32)
-    return Stretches(h[place[begin]], seg, first, count, np.searchsorted(off, first, "right") - 1, hashes)
+    return Stretches(h[place[begin]], seg, first, count, place[begin], np.searchsorted(off, first, "right") - 1)
 
 
 def first_of(*columns: np.ndarray) -> np.ndarray:
@@ -106,8 +108,8 @@ class Group:
         parts = []
         for lo, hi in self.slices:
             s = stretches(t.buf[t.off[lo] : t.off[hi]], t.off[lo : hi + 1] - t.off[lo], span)
-            parts.append((s.h, s.seg, t.key[s.doc + lo], s.first + t.off[lo], s.count))
-        self.h, self.seg, self.key, self.first, self.count = (np.concatenate(x) for x in zip(*parts, strict=True))
+            parts.append((s.h, s.seg, t.key[s.doc + lo], s.first + t.off[lo], s.count, s.place + t.off[lo]))
+        self.h, self.seg, self.key, self.first, self.count, self.place = (np.concatenate(x) for x in zip(*parts, strict=True))
         # distinct stretches of the group, each with its least key
         order = np.lexsort((self.key, self.seg, self.h))
         new = first_of(self.h[order], self.seg[order])
@@ -141,45 +143,84 @@ class Group:
         full = self.found_here | hit[self.of]
         return full, any_shared[word][self.of] & ~full if len(word) else full
 
-    def strings(self, which: np.ndarray):
-        """Strings of some stretches: start, hash, further bits, key."""
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of spans of the group's bytes, each inside one text; ``start`` must be sorted."""
         t = self.texts
         out = []
         for lo, hi in self.slices:
-            own = which[(self.first[which] >= t.off[lo]) & (self.first[which] < t.off[hi])]
-            if len(own):
-                hashes = Prefix(t.buf[t.off[lo] : t.off[hi]])
-                at = tx.expand(self.first[own] - t.off[lo], self.count[own])
-                out.append((at + t.off[lo], hashes.spans(at, at + self.span), np.repeat((self.h[own] & tx.U64(0xFFFFFFFF)).astype(np.uint32), self.count[own]), np.repeat(self.key[own], self.count[own])))
-        if not out:
-            return np.zeros(0, np.int64), np.zeros(0, tx.U64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+            a, b = np.searchsorted(start, [t.off[lo], t.off[hi]])
+            if b > a:
+                out.append(Prefix(t.buf[t.off[lo] : t.off[hi]]).spans(start[a:b] - t.off[lo], end[a:b] - t.off[lo]))
+        return np.concatenate(out) if out else np.zeros(0, tx.U64)
 
 
-class Strings:
-    """Strings to decide, the distinct ones with their least key, and what is sent."""
+class Compared:
+    """Hashes to be compared over all documents: the distinct ones of a group, each with its least key.
 
-    def __init__(self, group: Group, which: np.ndarray):
-        self.at, h, more, key = group.strings(which)
+    ``more``: further bits of each hash; ``several``: the group has it under different keys.
+    """
+
+    def __init__(self, h: np.ndarray, more: np.ndarray, key: np.ndarray):
         order = np.lexsort((key, more, h))
         new = first_of(h[order], more[order])
         self.of = np.empty(len(order), np.int64)
         self.of[order] = np.cumsum(new) - 1
         lead = order[new]
         self.h, self.more, self.key = h[lead], more[lead], key[lead]
-        self.found_here = key > self.key[self.of]
+        self.larger = key > self.key[self.of]
+        self.several = np.zeros(len(lead), bool)
+        self.several[self.of[self.larger]] = True
 
     def places(self, buckets: int):
         some = np.lexsort((self.more, self.h, self.key))
         for b, part in cl.parts_of(*cl.by_bucket(self.h[some], buckets)):
             yield b, some[part]
 
-    def take(self, replies: dict[int, bytes], buckets: int) -> np.ndarray:
-        hit = np.zeros(len(self.h), bool)
+    def send(self, me: int, buckets: int) -> pa.Table:
+        return cl.block_table([(b, me, cl.pack(self.h[p], self.more[p], cl.deltas(self.key[p]), np.packbits(self.several[p]))) for b, p in self.places(buckets)])
+
+    def take(self, replies: dict[int, bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each distinct hash: a smaller key has it; any other key has it."""
+        less, other = np.zeros(len(self.h), bool), self.several.copy()
         for b, part in self.places(buckets):
             if b in replies:
-                hit[part] = np.unpackbits(cl.unpack(replies[b])[0], count=len(part)).astype(bool)
-        return self.found_here | hit[self.of]
+                x, y = (np.unpackbits(v, count=len(part)).astype(bool) for v in cl.unpack(replies[b]))
+                less[part], other[part] = x, y | self.several[part]
+        return less, other
+
+
+class Halves(Compared):
+    """The longer pieces before and behind the places of some stretches, and the strings that hold them."""
+
+    def __init__(self, g: Group, which: np.ndarray):
+        half = (g.span - K) // 2
+        left = np.clip(g.place[which] - half - g.first[which] + 1, 0, g.count[which])
+        right = g.count[which] - left
+        a, b = which[left > 0], which[right > 0]
+        self.group, self.stretch = g, np.concatenate([a, b])
+        self.first = np.concatenate([g.first[a], (g.first[which] + left)[right > 0]])
+        self.count = np.concatenate([left[left > 0], right[right > 0]])
+        h = np.concatenate([g.hashes(g.place[a] - half, g.place[a] + K), ~g.hashes(g.place[b], g.place[b] + g.span - half + 1)])
+        super().__init__(h, (g.h[self.stretch] & tx.U64(0xFFFFFFFF)).astype(np.uint32), g.key[self.stretch])
+
+    def strings(self, replies: dict[int, bytes], buckets: int) -> Strings:
+        some = np.flatnonzero(self.take(replies, buckets)[1][self.of])
+        return Strings(self.group, self.stretch[some], self.first[some], self.count[some])
+
+
+class Strings(Compared):
+    """Strings that are decided one by one; ``at``: where each starts."""
+
+    def __init__(self, g: Group, stretch: np.ndarray, first: np.ndarray, count: np.ndarray):
+        order = np.argsort(first)
+        stretch, first, count = stretch[order], first[order], count[order]
+        self.at = tx.expand(first, count)
+        owner = np.repeat(stretch, count)
+        super().__init__(g.hashes(self.at, self.at + g.span), (g.h[owner] & tx.U64(0xFFFFFFFF)).astype(np.uint32), g.key[owner])
+
+    def found(self, replies: dict[int, bytes], buckets: int) -> np.ndarray:
+        """Starts of the strings that a smaller document has."""
+        return self.at[self.larger | self.take(replies, buckets)[0][self.of]]
 
 
 class Level:
@@ -239,6 +280,16 @@ def _gather(table: pa.Table) -> tuple[list[list[np.ndarray]], list[int]]:
     return [cl.unpack(data[i]) for i in order], table.column("source").to_numpy()[order].tolist()
 
 
+#: Answers of the three exchanges are told apart by their source.
+ROUND = 1 << 25
+
+
+def _round(table: pa.Table, k: int) -> dict[int, bytes]:
+    """Answers of one exchange by bucket."""
+    source = table.column("source").to_numpy()
+    return {s - k * ROUND: d for s, d in cl.answers(table.filter(pa.array(source // ROUND == k))).items()}
+
+
 def _rows(parts: list[list[np.ndarray]], sources: list[int], bucket: int, *flags: np.ndarray) -> pa.Table:
     """Flags of entries back to the groups that sent them."""
     bounds = np.cumsum([0, *(len(p[0]) for p in parts)])
@@ -264,32 +315,41 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         h, seg, k = (np.concatenate(x) for x in zip(*((p[0], p[1], cl.undelta(p[2])) for p in parts), strict=True))
         return _rows(parts, sources, table.column("group")[0].as_py(), *scan_levels(h, seg, k))
 
-    def strings(left, right):
+    def compare(k: int):
+        def run(table):
+            parts, sources = _gather(table)
+            h, more, key = (np.concatenate(x) for x in zip(*((p[0], p[1], cl.undelta(p[2])) for p in parts), strict=True))
+            several = np.concatenate([np.unpackbits(p[3], count=len(p[0])) for p in parts]).astype(bool)
+            order = np.lexsort((key, more, h))
+            new = first_of(h[order], more[order])
+            same = np.cumsum(new) - 1
+            less, other = np.zeros(len(h), bool), np.zeros(len(h), bool)
+            less[order] = key[order] > key[order[new]][same]
+            other[order] = np.bincount(same, less[order] | several[order])[same] > 0
+            return _rows(parts, sources, table.column("group")[0].as_py() + k * ROUND, less, other)
+
+        return run
+
+    def state(left, right) -> tuple[Group, np.ndarray, Halves]:
+        g = Group(cl.blocks_of(left), span)
+        full, check = g.take(_round(right, 0), n)
+        return g, full, Halves(g, np.flatnonzero(check))
+
+    def send_halves(left, right):
         if not left.num_rows:
             return cl.block_table([])
-        g = Group(cl.blocks_of(left), span)
-        s = Strings(g, np.flatnonzero(g.take(cl.answers(right), n)[1]))
-        me = left.column("group")[0].as_py()
-        return cl.block_table([(b, me, cl.pack(s.h[p], s.more[p], cl.deltas(s.key[p]))) for b, p in s.places(n)])
+        return state(left, right)[2].send(left.column("group")[0].as_py(), n)
 
-    def decide(table):
-        parts, sources = _gather(table)
-        h, more, k = (np.concatenate(x) for x in zip(*((p[0], p[1], cl.undelta(p[2])) for p in parts), strict=True))
-        order = np.lexsort((k, more, h))
-        new = first_of(h[order], more[order])
-        hit = np.zeros(len(h), bool)
-        hit[order] = k[order] > k[order[new]][np.cumsum(new) - 1]
-        return _rows(parts, sources, table.column("group")[0].as_py(), hit)
+    def send_strings(left, right):
+        if not left.num_rows:
+            return cl.block_table([])
+        return state(left, right)[2].strings(_round(right, 1), n).send(left.column("group")[0].as_py(), n)
 
     def finish(left, right):
         if not left.num_rows:
             return _result([])
-        g = Group(cl.blocks_of(left), span)
-        second = np.array([x < 0 for x in right.column("source").to_pylist()], bool)
-        one, two = (cl.answers(right.filter(pa.array(x))) for x in (~second, second))
-        full, check = g.take(one, n)
-        s = Strings(g, np.flatnonzero(check))
-        at = s.at[s.take({-1 - b: d for b, d in two.items()}, n)]
+        g, full, halves = state(left, right)
+        at = halves.strings(_round(right, 1), n).found(_round(right, 2), n)
         t = g.texts
         cover = np.zeros(len(t.buf) + 1, np.int32)
         np.add.at(cover, g.first[full], 1)
@@ -312,10 +372,15 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
             rows.append((digest, int(t.key[i]), lost, int(spans[i + 1] - spans[i]), hashlib.sha256(body).hexdigest() if lost else digest, body, body.decode(errors="ignore") if lost else None))
         return _result(rows)
 
-    matches = texts.groupBy("group").applyInArrow(send, cl.BLOCK).groupBy("group").applyInArrow(match, cl.BLOCK)
-    decided = texts.groupBy("group").cogroup(matches.groupBy("group")).applyInArrow(strings, cl.BLOCK).groupBy("group").applyInArrow(decide, cl.BLOCK)
-    both = matches.union(decided.select("group", (F.lit(-1) - F.col("source")).cast("int").alias("source"), "data"))
-    return texts.groupBy("group").cogroup(both.groupBy("group")).applyInArrow(finish, "digest string, key long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string")
+    def meet(f, told):
+        return texts.groupBy("group").cogroup(told.groupBy("group")).applyInArrow(f, cl.BLOCK).groupBy("group")
+
+    # answers are small; an exchange of their own lets later rounds read them again instead of making them anew
+    told = texts.groupBy("group").applyInArrow(send, cl.BLOCK).groupBy("group").applyInArrow(match, cl.BLOCK).repartition("group")
+    told = told.union(meet(send_halves, told).applyInArrow(compare(1), cl.BLOCK).repartition("group"))
+    told = told.union(meet(send_strings, told).applyInArrow(compare(2), cl.BLOCK).repartition("group"))
+    shape = "digest string, key long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string"
+    return texts.groupBy("group").cogroup(told.groupBy("group")).applyInArrow(finish, shape)
 
 
 def _result(rows: list[tuple]) -> pa.Table:

@@ -135,13 +135,13 @@ def block_table(rows: list[tuple[int, int, bytes]]) -> pa.Table:
 
 def by_bucket(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The bucket of each hash, and an order by bucket that keeps the given order inside."""
-    at = ((h >> tx.U64(32)) % tx.U64(buckets)).astype(np.int64)
+    at = ((h >> tx.U64(32)) % tx.U64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)  # short numbers sort faster
     return at, np.argsort(at, kind="stable")
 
 
 def parts_of(at: np.ndarray, order: np.ndarray):
     """(bucket, places) for each bucket that occurs."""
-    for part in np.split(order, np.flatnonzero(np.diff(at[order])) + 1) if len(order) else ():
+    for part in np.split(order, np.flatnonzero(at[order][1:] != at[order][:-1]) + 1) if len(order) else ():
         yield int(at[part[0]]), part
 
 

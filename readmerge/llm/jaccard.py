@@ -54,7 +54,7 @@ class Sets:
                 h.append(tx.span_hash(w.hash, w.off[short], w.off[short] + n[short]))
                 doc.append(short)
             h, doc = np.concatenate(h), np.concatenate(doc)
-            order = np.lexsort((h, doc))
+            order = tx.ordered((doc.astype(tx.U64) << tx.U64(40)) | (h >> tx.U64(24)), h)  # a slice has fewer than 2**24 texts
             h, doc = h[order], doc[order]
             new = first_of(doc, h)
             parts.append(h[new])
@@ -81,7 +81,8 @@ class Sets:
         all_h, level = np.concatenate(all_h), np.concatenate(level)
         order = np.argsort(all_h)
         own = level[order][np.searchsorted(all_h[order], self.h)]
-        order = np.lexsort((self.h, own, self.doc))
+        place = (self.doc.astype(tx.U64) << tx.U64(40)) | (own.astype(tx.U64) << tx.U64(32)) | (self.h >> tx.U64(32))
+        order = tx.ordered(place, self.h)  # by text, commonness, hash
         rank = np.arange(len(order)) - self.off[self.doc[order]]
         first = order[rank < (self.n - -(-3 * self.n // 4) + 1)[self.doc[order]]]
         first = first[own[first] > 0]
@@ -131,7 +132,7 @@ def _sorted_entries(table: pa.Table):
     cols = [(p[0], p[1].astype(np.int64), _ids(s, p[2])) for p, s in zip(parts, sources, strict=True)]
     h, n, ids = (np.concatenate(x) for x in zip(*cols, strict=True))
     label = np.concatenate([p[3] for p in parts]) if len(parts[0]) > 3 else ids
-    order = np.lexsort((ids, n, h))
+    order = tx.ordered(h, n, ids)
     return h[order], n[order], ids[order], label[order]
 
 

@@ -49,6 +49,11 @@ class Prefix:
             self.c = np.zeros(len(buf) + 1, tx.U64)
             np.cumsum(tx.BYTE_VALUE[buf] * self.p[: len(buf)], out=self.c[1:])
 
+    def grams(self, k: int) -> np.ndarray:
+        """Hashes of the k bytes from each byte on."""
+        with np.errstate(over="ignore"):
+            return tx.mix((self.c[k:] - self.c[:-k]) * self.inv[: len(self.c) - k] + tx.U64(k))
+
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return tx.mix((self.c[end] - self.c[start]) * self.inv[start] + (end - start).astype(tx.U64))
@@ -67,25 +72,27 @@ class Stretches:
 
 
 def stretches(buf: np.ndarray, off: np.ndarray, span: int = SPAN, k: int = K) -> Stretches:
-    size = np.diff(off)
-    strings = np.maximum(size - span + 1, 0)
-    at = tx.expand(off[:-1], strings)
-    if not len(at):
+    last = np.maximum(off[1:] - span + 1, off[:-1])  # where the strings of each text end
+    if not (last > off[:-1]).any():
         z = np.zeros(0, np.int64)
         return Stretches(np.zeros(0, tx.U64), np.zeros(0, np.uint32), z, z, z, z)
     hashes = Prefix(buf)
-    starts = np.arange(len(buf) - k + 1)
-    h = hashes.spans(starts, starts + k)
+    h = hashes.grams(k)
     mask = tx.U64(0xFFFFFFFF)
-    least = tx.slide((h & ~mask) | starts.astype(tx.U64), span - k + 1, np.minimum)[at]  # the leftmost of equals
-    place = (least & mask).astype(np.int64)
-    new = np.ones(len(at), bool)
-    new[1:] = (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)
-    begin = np.flatnonzero(new)
-    count = np.diff(np.append(begin, len(at)))
-    first = at[begin]
+    least = tx.slide((h & ~mask) | np.arange(len(h), dtype=tx.U64), span - k + 1, np.minimum) & mask  # the leftmost of equals
+    new = np.ones(len(least), bool)
+    new[1:] = least[1:] != least[:-1]
+    some = last > off[:-1]
+    new[off[:-1][some]] = True
+    inside = np.zeros(len(least) + 1, np.int8)
+    inside[off[:-1][some]] += 1
+    inside[last[some]] -= 1
+    first = np.flatnonzero(new & np.cumsum(inside, dtype=np.int8)[:-1].view(bool))
+    doc = np.searchsorted(off, first, "right") - 1
+    count = np.minimum(np.append(first[1:], len(least)), last[doc]) - first
+    place = least[first].astype(np.int64)
     seg = (hashes.spans(first, first + count - 1 + span) >> tx.U64(32)).astype(np.uint32)
-    return Stretches(h[place[begin]], seg, first, count, place[begin], np.searchsorted(off, first, "right") - 1)
+    return Stretches(h[place], seg, first, count, place, doc)
 
 
 def first_of(*columns: np.ndarray) -> np.ndarray:
@@ -111,14 +118,14 @@ class Group:
             parts.append((s.h, s.seg, t.key[s.doc + lo], s.first + t.off[lo], s.count, s.place + t.off[lo]))
         self.h, self.seg, self.key, self.first, self.count, self.place = (np.concatenate(x) for x in zip(*parts, strict=True))
         # distinct stretches of the group, each with its least key
-        order = np.lexsort((self.key, self.seg, self.h))
+        order = tx.ordered(self.h, self.seg, self.key)
         new = first_of(self.h[order], self.seg[order])
         self.of = np.empty(len(order), np.int64)
         self.of[order] = np.cumsum(new) - 1
         lead = order[new]
         self.gh, self.gseg, self.gkey = self.h[lead], self.seg[lead], self.key[lead]
         self.found_here = self.key > self.gkey[self.of]
-        by_key = np.lexsort((self.gseg, self.gkey, self.gh))
+        by_key = tx.ordered(self.gh, self.gkey, self.gseg)
         start = np.maximum.accumulate(np.where(first_of(self.gh[by_key]), np.arange(len(by_key)), 0))
         self.sent = np.zeros(len(by_key), bool)
         self.sent[by_key] = np.arange(len(by_key)) - start < SENT
@@ -126,7 +133,7 @@ class Group:
     def places(self, buckets: int):
         """(bucket, distinct stretches) in the order in which they are sent."""
         some = np.flatnonzero(self.sent)
-        some = some[np.lexsort((self.gseg[some], self.gh[some], self.gkey[some]))]
+        some = some[np.argsort(self.gkey[some], kind="stable")]  # they are in order of hash already
         for b, part in cl.parts_of(*cl.by_bucket(self.gh[some], buckets)):
             yield b, some[part]
 
@@ -161,7 +168,7 @@ class Compared:
     """
 
     def __init__(self, h: np.ndarray, more: np.ndarray, key: np.ndarray):
-        order = np.lexsort((key, more, h))
+        order = tx.ordered(h, more, key)
         new = first_of(h[order], more[order])
         self.of = np.empty(len(order), np.int64)
         self.of[order] = np.cumsum(new) - 1
@@ -172,7 +179,7 @@ class Compared:
         self.several[self.of[self.larger]] = True
 
     def places(self, buckets: int):
-        some = np.lexsort((self.more, self.h, self.key))
+        some = np.argsort(self.key, kind="stable")  # they are in order of hash already
         for b, part in cl.parts_of(*cl.by_bucket(self.h[some], buckets)):
             yield b, some[part]
 
@@ -252,7 +259,7 @@ def scan_levels(h: np.ndarray, seg: np.ndarray, key: np.ndarray, batches: int =
     for ids in np.split(by_key, np.unique(cuts)):
         if not len(ids):
             continue
-        b = ids[np.lexsort((key[ids], seg[ids], h[ids]))]  # the batch's suffix array
+        b = ids[tx.ordered(h[ids], seg[ids], key[ids])]  # the batch's suffix array
         new_h, new = first_of(h[b]), first_of(h[b], seg[b])
         at = np.flatnonzero(new_h)
         low, high = np.minimum.reduceat(key[b], at), np.maximum.reduceat(key[b], at)
@@ -320,7 +327,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
             parts, sources = _gather(table)
             h, more, key = (np.concatenate(x) for x in zip(*((p[0], p[1], cl.undelta(p[2])) for p in parts), strict=True))
             several = np.concatenate([np.unpackbits(p[3], count=len(p[0])) for p in parts]).astype(bool)
-            order = np.lexsort((key, more, h))
+            order = tx.ordered(h, more, key)
             new = first_of(h[order], more[order])
             same = np.cumsum(new) - 1
             less, other = np.zeros(len(h), bool), np.zeros(len(h), bool)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 
-def number_rows(rows: DataFrame, group: str, order: list[str], name: str, per_bucket: int = 5000, most: int = 65_536) -> DataFrame:
+def number_rows(rows: DataFrame, group: str, order: list[str], name: str, per_bucket: int = 500, most: int = 65_536) -> DataFrame:
     """Add ``name``: 0, 1, ... inside each ``group``.  The number of groups must be small (they are counted on the driver).
 
     A group is dealt over hash buckets of about ``per_bucket`` rows (more where all groups would have over ``most``

@@ -17,9 +17,10 @@ from __future__ import annotations
 from bisect import bisect_left
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from . import scratch
+from .numbering import number_rows
 
 DIGITS = 3  # hex digits by which a range is split: 4096 parts
 
@@ -120,27 +121,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int, *, key: str = "doc_id", text:
     shard = sum((F.when(F.col("digest") >= c, 1).otherwise(0) for c in cuts), F.lit(0))
     for i, d in enumerate(alone):
         shard = F.when(F.col("digest") == d, left + i).otherwise(shard)
-    return with_slots(rows.withColumn("shard", shard.cast("int"))).withColumnRenamed("key", key)
-
-
-def with_slots(rows: DataFrame, per_bucket: int = 5000, most: int = 4096) -> DataFrame:
-    """Number the rows of each shard from 0 without gaps: counts of hash buckets, then places inside each bucket.
-
-    A shard has as many buckets as it has ``per_bucket`` rows, ``most`` at most, so a large shard is numbered by many tasks.
-    """
-    from pyspark.sql import Window
-
-    sizes = {r[0]: r[1] for r in rows.groupBy("shard").count().collect()}  # one row for each shard
-    if not sizes:
-        return rows.withColumn("slot", F.lit(0).cast("long"))
-    buckets = {s: min(most, -(-n // per_bucket)) for s, n in sizes.items()}
-    size: Column = F.create_map(*[F.lit(x) for kv in buckets.items() for x in kv])[F.col("shard")]
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("key", "digest"), size.cast("long")))
-    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    first = rows.groupBy("shard", "bucket").count().select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
-    within = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("key", "digest"))
-    placed = rows.withColumn("within", within).join(F.broadcast(first), ["shard", "bucket"])  # at most shards x most rows
-    return placed.withColumn("slot", (F.col("first") + F.col("within") - 1).cast("long")).drop("bucket", "within", "first")
+    return number_rows(rows.withColumn("shard", shard.cast("int")), "shard", ["key", "digest"], "slot").withColumnRenamed("key", key)
 
 
 def op1_shard(spark, sf_dir: str) -> DataFrame:

@@ -224,6 +224,15 @@ def _(spark, d):
     return out.where("status = 'OK'").select("ordinal", "sequence")
 
 
+def _windows_sql(seq: str, qual: str, primer: str, penalty: float) -> str:
+    """CTE win(ordinal, s, v): the value of a primer at each start from 0, the last place left out; lengths are 64."""
+    p = len(primer)
+    scores = ", ".join(f"({q}, {float(phred.QUAL_SCORE[q])!r}::DOUBLE, {float(phred.QUAL_SCORE_ERR[q])!r}::DOUBLE)" for q in _USED_F)
+    return f"""qw(q, v, w) AS (VALUES {scores}),
+spots AS (SELECT ordinal, s, x, substr(sq, s + x, 1) AS b, ascii(substr(ql, s + x, 1)) - 33 AS q FROM (SELECT ordinal, {seq} AS sq, {qual} AS ql, unnest(range(0, {64 - p})) AS s FROM pairs), range(1, {p + 1}) t(x)),
+win AS (SELECT ordinal, s, exp(sum(CASE WHEN b = 'N' OR b = substr('{primer}', x, 1) THEN v ELSE w END) / (s + {p + 1})) - (s + {p}) * {penalty!r} AS v FROM spots JOIN qw USING (q) GROUP BY ordinal, s)"""
+
+
 _PRIMER = "ACGTNC"
 _PRIMER_SQL = f"""{sim.pairs_sql()}, qs(q, v, w) AS (VALUES {", ".join(f"({q}, {float(phred.QUAL_SCORE[q])!r}::DOUBLE, {float(phred.QUAL_SCORE_ERR[q])!r}::DOUBLE)" for q in _USED_F)}),
 places AS (SELECT ordinal, s, x, substr(f_seq, s + x, 1) AS b, ascii(substr(f_qual, s + x, 1)) - 33 AS q FROM (SELECT *, unnest(range(0, 58)) AS s FROM pairs), range(1, 7) t(x) WHERE x <> 5),
@@ -248,9 +257,11 @@ def _(spark, d):
     return _assembled(spark, d, AssemblerConfig(forward_primer="ACGT", primers_after=True, threshold=0.3)).select("ordinal", "status", "forward_offset", "reverse_offset", "sequence")
 
 
-@query("overhang_trim")
+@query("overhang_trim", f"""{sim.pairs_sql()}, {_windows_sql("reverse(f_seq)", "reverse(f_qual)", "TGCA", 0.0)}, top AS (SELECT ordinal, max(v) AS v FROM win GROUP BY ordinal)
+SELECT w.ordinal, cast(min(CASE WHEN w.v > exp(4 * ln(0.6)) THEN 64 - w.s - 4 ELSE 64 END) as bigint) AS bases FROM win w JOIN top USING (ordinal)
+WHERE w.s = (SELECT min(s) FROM win z WHERE z.ordinal = w.ordinal AND z.v > top.v - 1e-12) GROUP BY w.ordinal""")
 def _(spark, d):
-    return clip.trim_overhangs(_pairs(spark, d), forward="ACGT", skip=True).select("ordinal", F.length("f_seq").alias("left"))
+    return clip.trim_overhangs(_pairs(spark, d), forward="ACGT", skip=True).select("ordinal", F.length("f_seq").cast("long").alias("bases"))
 
 
 # --- filters -------------------------------------------------------------------------------------------------------
@@ -304,9 +315,14 @@ def _(spark, d):
     return out.where("status in ('OK', 'MODULE')").select("ordinal", "status")
 
 
-@query("filter_other_primer")
+_OTHER_SQL = f"""{sim.pairs_sql()}, {_best_sql()}, {_MERGE}, {_windows_sql("f_seq", "f_qual", "ACGTAC", 0.01)}, hit AS (SELECT ordinal, max(v) > exp(6 * ln(0.9)) AS hit FROM win GROUP BY ordinal)
+SELECT ordinal, status FROM (SELECT h.ordinal, CASE WHEN h.hit THEN 'MODULE' WHEN o.ordinal IS NOT NULL THEN 'OK' END AS status FROM hit h LEFT JOIN ok o ON o.ordinal = h.ordinal) WHERE status IS NOT NULL"""
+
+
+@query("filter_other_primer", _OTHER_SQL.replace(f"{_MERGE}, ", _MERGE.rstrip() + ", "))
 def _(spark, d):
-    return _assembled(spark, d, AssemblerConfig(modules=(filters.load("other_primer:f:ACGTAC"),))).select("ordinal", "status")
+    out = _assembled(spark, d, AssemblerConfig(modules=(filters.load("other_primer:f:ACGTAC"),)))
+    return out.where("status in ('OK', 'MODULE')").select("ordinal", "status")
 
 
 @query("filter_pear_test")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import seqid
-from ..functions.phred import requantise
+from ..functions.phred import PHRED_MAX, QUAL_SCORE
 from .clip import with_primer_offset
 from .config import Module
 
@@ -84,11 +84,22 @@ def completely_miss_the_point(args: str) -> Module:
     return check("completely_miss_the_point", F.col("overlap_mismatches") <= _int(args, 0))
 
 
+def reaches(p: Column, v: int) -> Column:
+    """Whether the output score of a log-probability is at least v; output scores rise with p from score 1 on."""
+    if v <= 0:
+        return F.lit(True)
+    if v >= PHRED_MAX:
+        return F.lit(False)
+    # the interval below score v has output v as well, unless it begins at a multiple of 3
+    enough = p >= float(QUAL_SCORE[v]) if (v - 1) % 3 == 0 else p > float(QUAL_SCORE[v - 1])
+    return enough | (p <= float(QUAL_SCORE[0])) if v == 1 else enough
+
+
 @filter_module("min_phred", "v")
 def min_phred(args: str) -> Module:
     """Every output score at least v."""
     v = _int(args, 0, 127)
-    return check("min_phred", F.forall("logp", lambda p: requantise(p) >= v))
+    return check("min_phred", F.forall("logp", lambda p: reaches(p, v)))
 
 
 @filter_module("min_overlapbits", "b")
@@ -169,7 +180,12 @@ def other_primer(args: str) -> Module:
 
 
 def pear_p_value(overlap: np.ndarray, mismatches: np.ndarray, shortest: np.ndarray, alpha: float, beta: float) -> np.ndarray:
-    """1 - P**2 of the overlap statistic of each row."""
+    """1 - P**2 of the overlap statistic of each row; equal rows are computed once."""
+    rows, back = np.unique(np.stack([overlap, mismatches, shortest], 1), axis=0, return_inverse=True)
+    return _pear_p_values(*rows.T, alpha, beta)[np.ravel(back)]
+
+
+def _pear_p_values(overlap: np.ndarray, mismatches: np.ndarray, shortest: np.ndarray, alpha: float, beta: float) -> np.ndarray:
     score = alpha * (overlap - mismatches) + beta * mismatches
     out = np.empty(len(score))
     lgamma = np.vectorize(math.lgamma, otypes=[float])

@@ -97,3 +97,12 @@ def test_kmers_skip_the_first_and_those_at_n(spark):
     assert [p for p, _ in got] == np.flatnonzero(ok[0]).tolist() == [8, 9, 19, 20, 21]
     assert got[0][1] == "CGTACGTA"
     assert code[0, 8] == int("".join({"A": "00", "C": "01", "G": "10", "T": "11"}[c] for c in "CGTACGTA"), 2)
+
+
+def test_reaches_equals_requantise(spark):
+    from readmerge.operators.filters import reaches
+
+    p = [-3.0, -2.0, *phred.QUAL_SCORE[1:].tolist(), *np.linspace(-2.2, -1e-6, 300).tolist()]
+    rows = spark.createDataFrame([(x,) for x in p], "p double")
+    for v in (0, 1, 2, 3, 4, 5, 20, 45, 46):
+        assert [r[0] for r in rows.select(reaches(F.col("p"), v)).collect()] == (phred.requantise_array(np.array(p)) >= v).tolist()

@@ -31,8 +31,10 @@ EXTRA = [
     ("mpl", "mozilla public license", ["mozilla public license"], 1.0),
     ("bsd", "bsd license", ["bsd license"], 1.0),
     ("isc", "isc license", ["isc license"], 1.0),
-    ("cc-by", "licensed under cc by", ["cc by"], 1.0),
-    ("cc-by-nc", "licensed under cc by nc", ["cc by nc"], 1.0),
+    ("cc-by", "cc by 4 0", ["cc by 4 0"], 1.0),
+    ("cc-by", "cc by 3 0", ["cc by 3 0"], 1.0),
+    ("cc-by-sa", "cc by sa", ["cc by sa"], 1.0),
+    ("cc-by-nc", "cc by nc", ["cc by nc"], 1.0),
     ("cc", "creative commons attribution", ["creative commons attribution"], 1.0),
     ("public-domain", "released into the public domain", ["public domain"], 0.8),
     ("proprietary", "all rights reserved", ["all rights reserved"], 1.0),

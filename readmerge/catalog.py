@@ -290,13 +290,14 @@ _filter_query("validtag", "validtag:AC:GT:TT", "substr(p.template, 1, 2) IN ('AC
 
 
 def _marked(name: str, sign: str):
-    """after and before a pair of the table; its header is read from the table."""
-    sql = _full(f"SELECT * FROM (SELECT p.ordinal, CASE WHEN NOT (p.ordinal {sign} (SELECT min(ordinal) FROM pairs WHERE ordinal % 1000 = 0)) THEN 'MODULE' WHEN o.ordinal IS NOT NULL THEN 'OK' END AS status FROM pairs p LEFT JOIN ok o ON o.ordinal = p.ordinal) WHERE status IS NOT NULL")
+    """after and before the pair of the dearest order; its header is read from the pairs."""
+    sql = _full(f"SELECT * FROM (SELECT p.ordinal, CASE WHEN NOT (p.ordinal {sign} (SELECT min(o_orderkey) FROM orders WHERE o_totalprice = (SELECT max(o_totalprice) FROM orders))) THEN 'MODULE' WHEN o.ordinal IS NOT NULL THEN 'OK' END AS status FROM pairs p LEFT JOIN ok o ON o.ordinal = p.ordinal) WHERE status IS NOT NULL")
 
     @query(f"filter_{name}", sql)
     def _(spark, d):
         pairs = _pairs(spark, d)
-        head = pairs.where("ordinal % 1000 = 0").agg(F.min_by(F.struct("id"), "ordinal").alias("m")).first()["m"]["id"]  # one row
+        dearest = spark.read.parquet(f"{d}/orders.parquet").agg(F.max(F.struct("o_totalprice", -F.col("o_orderkey"))).alias("m")).select(-F.col("m")["col2"]).first()[0]
+        head = pairs.where(F.col("ordinal") == dearest).select("id").first()["id"]
         header = f"{head['instrument']}:{head['run']}:{head['flowcell']}:{head['lane']}:{head['tile']}:{head['x']}:{head['y']} 1:N:0:{head['tag']}"
         out = assemble(pairs, AssemblerConfig(modules=(filters.load(f"{name}:{header}"),)), with_logp=False)
         return out.where("status in ('OK', 'MODULE')").select("ordinal", "status")

@@ -165,8 +165,8 @@ class Capture:
     def lookup(self, url: str) -> list[tuple[dict[str, str], bytes]]:
         """Records of one URL: directory, block, byte range."""
         want = _clean(surt(url))
-        # the last directory row and block that begin before the key may hold its first line
-        rows = [r for r in self.directory.where(F.col("first") <= want).orderBy(F.desc("first"), F.desc("part"), F.desc("seq")).limit(1).collect()]
+        # the last block that begins before the key may hold its first line; those that begin with it hold more
+        rows = [r for r in self.directory.where(F.col("first") < want).orderBy(F.desc("first"), F.desc("part"), F.desc("seq")).limit(1).collect()]
         lower = rows[0]["keys"][max(0, bisect.bisect_left(rows[0]["keys"], want) - 1)] if rows else ""
         hits = []
         for b in self.blocks.where((F.col("first") >= lower) & (F.col("first") <= want)).select("data").toLocalIterator():
@@ -189,14 +189,20 @@ class Capture:
         return joined.mapInArrow(_parse, "key string, payload_bytes long, payload_digest string, record_type string, refers string")
 
 
-def write_archives(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html", least: int = 0, date: str = "2000-01-01T00:00:00Z") -> Capture:
-    """Write archive segments and their two-level index to the shared folder."""
+def write_archives(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html", least: int = 0, date: str = "2000-01-01T00:00:00Z", broadcast_rows: int = 200_000) -> Capture:
+    """Write archive segments and their two-level index to the shared folder.
+
+    ``broadcast_rows``: the most revisits (about 60 bytes each) that are broadcast.
+    """
     body = F.coalesce(F.col(html), F.lit(""))
     src = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"), F.sha1(body.cast("binary")).alias("sha"), F.octet_length(body).alias("n"))
     slim = src.where(F.col("n") >= least).select("key", "sha")
     firsts = slim.groupBy("sha").agg(F.min("key").alias("first"), F.count("*").alias("many")).where("many > 1")
     revisits = slim.join(firsts.select("sha", "first"), "sha").where(~F.col("key").eqNullSafe(F.col("first"))).groupBy(F.col("key").alias("k"), F.col("sha").alias("s")).agg(F.max("first").alias("refers"))
-    marked = src.join(revisits, F.col("key").eqNullSafe(F.col("k")) & (F.col("sha") == F.col("s")), "left").select("key", "url", "html", "refers")
+    revisits = scratch.materialize(revisits, "revisits")
+    # pages stay where they are while the list of revisits is short; beyond that both sides are shuffled by key
+    side = F.broadcast(revisits) if revisits.count() <= broadcast_rows else revisits.hint("merge")
+    marked = src.join(side, F.col("key").eqNullSafe(F.col("k")) & (F.col("sha") == F.col("s")), "left").select("key", "url", "html", "refers")
     archives = scratch.materialize(marked.mapInArrow(_write(date), "archive string, data binary, entries array<struct<surt:string,offset:long,length:long>>"), "archives")
     entries = archives.select("archive", F.explode("entries").alias("e")).select("e.surt", "archive", "e.offset", "e.length")
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))

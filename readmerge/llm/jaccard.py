@@ -268,7 +268,9 @@ def _links(texts: DataFrame, asked: DataFrame) -> DataFrame:
     pairs = asked.where("source = -1").select("group", "source", "data", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("part"))
     pairs = pairs.select((F.col("group") * FRAGMENTS + F.col("part")).cast("int").alias("group"), "source", "data")
     partial = cut.union(pairs).groupBy("group").applyInArrow(_overlaps, cl.BLOCK)
-    return scratch.materialize(partial.groupBy("group").applyInArrow(_sum, "a long, b long").distinct(), "links")
+    links = scratch.materialize(partial.groupBy("group").applyInArrow(_sum, "a long, b long").distinct(), "links")
+    scratch.drop(asked)
+    return links
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", group_bytes: int = cl.GROUP_BYTES) -> DataFrame:
@@ -335,10 +337,11 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     none = levels.select("group").distinct().select("group", F.lit(-2).alias("source"), F.lit(cl.pack(np.zeros(0, np.int64), np.zeros(0, np.int64))).alias("data"))
     second = grouped.cogroup(levels.union(told).union(none).groupBy("group")).applyInArrow(entries, cl.BLOCK)
     more = _links(texts, second.groupBy("group").applyInArrow(_rest_pairs(n), cl.BLOCK))
-    links = scratch.materialize(links.union(more).distinct(), "all-links")
-    roots = scratch.materialize(components(links), "all-roots")
+    first_links, links = links, scratch.materialize(links.union(more).distinct(), "all-links")
+    first_roots, roots = roots, scratch.materialize(components(links), "all-roots")
     degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("links"))
     every = scratch.materialize(grouped.applyInArrow(describe, "digest string, key long, n_shingles long, id long"), "classes")
+    scratch.drop(texts, levels, first_links, more, first_roots)
     placed = every.join(roots, every["id"] == roots["node"], "left").join(degree, F.col("id") == F.col("a"), "left")
     placed = placed.select("digest", "key", "n_shingles", F.coalesce("root", "id").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     least = placed.groupBy("root").agg(F.min("key").alias("component_id"))

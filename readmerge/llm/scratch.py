@@ -40,14 +40,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
 
 
-def drop(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`materialize` which nothing reads any more."""
-    spark = df.sparkSession
-    for f in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        _delete(spark, f)
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of tables made by :func:`materialize` from which nothing is left to be computed."""
+    for df in tables:
+        _delete(df.sparkSession, df.scratch_path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -303,10 +303,10 @@ def _rows(parts: list[list[np.ndarray]], sources: list[int], bucket: int, *flags
     return cl.block_table([(s, bucket, cl.pack(*(np.packbits(f[a:b]) for f in flags))) for s, a, b in zip(sources, bounds[:-1], bounds[1:], strict=True)])
 
 
-def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", span: int = SPAN, group_bytes: int = cl.GROUP_BYTES) -> DataFrame:
-    """One row for each distinct text: digest, key (the least), n_removed, n_spans, kept_sha256, kept (bytes) and kept_text.
+def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", span: int = SPAN, group_bytes: int = cl.GROUP_BYTES, with_text: bool = True) -> DataFrame:
+    """One row for each distinct text: digest, key (the least), n_removed, n_spans, kept_sha256 and kept_text.
 
-    The last two are null where nothing goes.
+    ``kept_text`` is what is left of the text (bytes of a character that a cut splits go too), null unless asked for.
     """
     src = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     n = cl.group_count(docs, group_bytes)
@@ -374,9 +374,9 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         rows = []
         for i in range(len(t)):
             lost = int(removed[i + 1] - removed[i])
-            body = kept[left_at[i] : left_at[i + 1]].tobytes() if lost else None
+            body = kept[left_at[i] : left_at[i + 1]].tobytes() if lost or with_text else b""
             digest = t.digest[i].tobytes().hex()
-            rows.append((digest, int(t.key[i]), lost, int(spans[i + 1] - spans[i]), hashlib.sha256(body).hexdigest() if lost else digest, body, body.decode(errors="ignore") if lost else None))
+            rows.append((digest, int(t.key[i]), lost, int(spans[i + 1] - spans[i]), hashlib.sha256(body).hexdigest() if lost else digest, body.decode(errors="ignore") if with_text else None))
         return _result(rows)
 
     def meet(f, told):
@@ -386,12 +386,12 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     told = texts.groupBy("group").applyInArrow(send, cl.BLOCK).groupBy("group").applyInArrow(match, cl.BLOCK).repartition("group")
     told = told.union(meet(send_halves, told).applyInArrow(compare(1), cl.BLOCK).repartition("group"))
     told = told.union(meet(send_strings, told).applyInArrow(compare(2), cl.BLOCK).repartition("group"))
-    shape = "digest string, key long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string"
+    shape = "digest string, key long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
     return texts.groupBy("group").cogroup(told.groupBy("group")).applyInArrow(finish, shape)
 
 
 def _result(rows: list[tuple]) -> pa.Table:
-    kinds = [("digest", pa.string()), ("key", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("kept_text", pa.string())]
+    kinds = [("digest", pa.string()), ("key", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())]
     cols = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
     return pa.table([pa.array(list(c), k) for c, (_, k) in zip(cols, kinds, strict=True)], names=[k for k, _ in kinds])
 
@@ -399,7 +399,7 @@ def _result(rows: list[tuple]) -> pa.Table:
 def repeats_by_row(docs: DataFrame, *, key: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
     """key, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     rows = cl.members(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
-    found = remove_repeats(docs, key=key, text=text, span=span).select("digest", F.col("key").alias("least"), "n_removed", "n_spans", "kept_sha256")
+    found = remove_repeats(docs, key=key, text=text, span=span, with_text=False).select("digest", F.col("key").alias("least"), "n_removed", "n_spans", "kept_sha256")
     j = rows.join(found, "digest", "left")
     again = (F.coalesce(F.col("key").cast("long"), F.lit(cl.NO_KEY)) > F.col("least")) & (F.col("n_bytes") >= span)  # an equal text of a smaller key
     return j.select(
@@ -414,10 +414,12 @@ def cut_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n_c
     Where a cut splits a character, its remaining bytes go too.  Texts that lose nothing stay as they are.
     """
     found = remove_repeats(docs, key=key, text=text, span=span).select("digest", F.col("key").alias("least"), "kept_text")
-    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(key).cast("long"), F.lit(cl.NO_KEY)).alias("k"), cl.digest_of(F.col(text)).alias("d"), F.col(text).alias("t"))
+    # texts come with their class; rows bring the other columns only
+    others = F.struct(*[F.col(c) for c in docs.columns if c != text], F.lit(1).alias("_"))
+    rows = docs.select(others.alias("row"), F.coalesce(F.col(key).cast("long"), F.lit(cl.NO_KEY)).alias("k"), cl.digest_of(F.col(text)).alias("d"), F.octet_length(text).alias("size"))
     j = rows.join(found, F.col("d") == F.col("digest"), "left")
-    again = (F.col("k") > F.col("least")) & (F.octet_length("t") >= span)
-    new = F.when(again, "").otherwise(F.coalesce("kept_text", "t"))
+    again = (F.col("k") > F.col("least")) & (F.col("size") >= span)
+    new = F.when(F.col("size").isNull(), None).when(again, "").otherwise(F.col("kept_text"))
     cols = [new.alias(c) if c == text else F.length(new).cast(docs.schema[c].dataType).alias(c) if c == n_chars else F.col("row")[c].alias(c) for c in docs.columns]
     return j.select(*cols)
 

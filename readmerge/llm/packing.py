@@ -26,8 +26,35 @@ from .numbering import number_rows
 REMEMBERED = 1_000_000
 
 
+#: 1: ASCII letters and digits; 2: other ASCII but the apostrophe; 3: all else that is no white space.
+_CLASS = np.full(256, 3, np.uint8)
+_CLASS[33:127] = 2
+_CLASS[[c for c in range(128) if chr(c).isalnum()]] = 1
+_CLASS[39] = 3
+_CLASS[~tx.NONSPACE] = 0
+_SPECIAL = (b"<|startoftext|>", b"<|endoftext|>")
+
+
+def chunks(buf: np.ndarray, off: np.ndarray) -> tx.Words:
+    """Pieces of a slice's texts that a word tokenizer never joins: white-space words, cut between ASCII letters or
+    digits and ASCII punctuation.  There is no cut beside an apostrophe (contractions) or a character beyond ASCII
+    (which may combine with its neighbour), nor where a special token's own text occurs.
+    """
+    data = buf.tobytes()
+    if not len(buf) or any(x in data for x in _SPECIAL):
+        return tx.words(buf, off, tx.NONSPACE)
+    c = _CLASS[buf]
+    step = (c[1:] ^ c[:-1]) == 3  # classes 1 and 2 meet
+    edge = np.zeros(len(c) + 1, bool)
+    edge[off] = True
+    edge[1:-1] |= step | (c[:-1] == 0) | (c[1:] == 0)
+    some = c > 0
+    start, end = np.flatnonzero(some & edge[:-1]), np.flatnonzero(some & edge[1:]) + 1
+    return tx.Words(start, end, tx.span_hash(tx.LOWER_VALUE[buf], start, end), np.searchsorted(start, off))
+
+
 class WordTokens:
-    """Ids of white-space words, remembered by hash.  Exact for tokenizers that never join across white space."""
+    """Ids of pieces, remembered by hash.  Exact for tokenizers that never join across white space."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -41,7 +68,13 @@ class WordTokens:
 
     def lookup(self, buf: np.ndarray, w: tx.Words) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the words of a slice in order, and the number of each word."""
-        h, first, back = np.unique(w.hash, return_index=True, return_inverse=True)
+        order = np.argsort(w.hash)
+        h = w.hash[order]
+        lead = np.ones(len(h), bool)
+        lead[1:] = h[1:] != h[:-1]
+        back = np.empty(len(h), np.int64)
+        back[order] = np.cumsum(lead) - 1
+        h, first = h[lead], order[lead]
         place = np.searchsorted(self.known, h)
         new = np.ones(len(h), bool)
         if len(self.known):
@@ -73,7 +106,7 @@ def _pieces(path: str, capacity: int, end: int):
             buf, off = tx.buffer_of(batch.column("text"))
             for lo, hi in tx.slices(off):
                 own = buf[off[lo] : off[hi]]
-                w = tx.words(own, off[lo : hi + 1] - off[lo], tx.NONSPACE)
+                w = chunks(own, off[lo : hi + 1] - off[lo])
                 ids, n = tokens.lookup(own, w)
                 c = np.concatenate([[0], np.cumsum(n)])
                 size = c[w.off[1:]] - c[w.off[:-1]] + 1

@@ -237,7 +237,7 @@ def _overlaps(table: pa.Table) -> pa.Table:
     _, number = np.unique(h, return_inverse=True)
     member = np.sort(np.repeat(np.arange(len(ids)), count) << 32 | number)  # (set, shingle) of this fragment
     common = np.zeros(len(pair), np.int64)
-    step = 1 + (4_000_000 // max(1, int(count.max(initial=1))))
+    step = 1 + (1_000_000 // max(1, int(count.max(initial=1))))
     for lo in range(0, len(pair), step):  # pairs in parts, so that the looked-up shingles stay few
         p, q = i[lo : lo + step], j[lo : lo + step]
         c = count[q].astype(np.int64)

@@ -9,7 +9,7 @@ ordered by their hashes instead of letter by letter.  Each hash bucket takes doc
 batch is sorted, merge-scanned against the existing levels (which hold smaller keys only), then becomes a level, and
 levels of equal size merge.
 
-* A stretch found in a smaller document is removed as a whole.
+* A stretch found in a smaller document (equal 64-bit hashes of place and of stretch) is removed as a whole.
 * A place whose k bytes other documents have too, but whose stretch is new, is looked at more closely.  A string that
   holds the place either holds (span - k) / 2 more bytes before it or as many behind it; hashes of these two longer pieces
   are compared over all documents, which clears nearly all places that agree by chance.
@@ -75,7 +75,7 @@ def stretches(buf: np.ndarray, off: np.ndarray, span: int = SPAN, k: int = K) ->
     last = np.maximum(off[1:] - span + 1, off[:-1])  # where the strings of each text end
     if not (last > off[:-1]).any():
         z = np.zeros(0, np.int64)
-        return Stretches(np.zeros(0, tx.U64), np.zeros(0, np.uint32), z, z, z, z)
+        return Stretches(np.zeros(0, tx.U64), np.zeros(0, tx.U64), z, z, z, z)
     hashes = Prefix(buf)
     h = hashes.grams(k)
     mask = tx.U64(0xFFFFFFFF)
@@ -91,7 +91,7 @@ def stretches(buf: np.ndarray, off: np.ndarray, span: int = SPAN, k: int = K) ->
     doc = np.searchsorted(off, first, "right") - 1
     count = np.minimum(np.append(first[1:], len(least)), last[doc]) - first
     place = least[first].astype(np.int64)
-    seg = (hashes.spans(first, first + count - 1 + span) >> tx.U64(32)).astype(np.uint32)
+    seg = hashes.spans(first, first + count - 1 + span)
     return Stretches(h[place], seg, first, count, place, doc)
 
 
@@ -236,12 +236,19 @@ class Level:
     def __init__(self, h: np.ndarray, pair: np.ndarray, ids: np.ndarray):
         order = np.argsort(h, kind="stable")
         self.h, self.ids = h[order], ids[order]
-        self.pair = np.sort(pair)
+        order = np.argsort(pair)
+        self.pair, self.pair_h = pair[order], h[order]
         self.parts = h, pair, ids
 
     def __len__(self) -> int:
         return len(self.h)
 
+    def has(self, h: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        at = found(self.pair, pair)
+        hit = at >= 0
+        hit[hit] = self.pair_h[at[hit]] == h[hit]
+        return hit
+
     def merge(self, other: Level) -> Level:
         return Level(*(np.concatenate(x) for x in zip(self.parts, other.parts, strict=True)))
 
@@ -250,7 +257,7 @@ def scan_levels(h: np.ndarray, seg: np.ndarray, key: np.ndarray, batches: int =
     """For each entry: its stretch stands in a smaller document; another document has its k bytes."""
     n = len(h)
     full, shared = np.zeros(n, bool), np.zeros(n, bool)
-    with np.errstate(over="ignore"):
+    with np.errstate(over="ignore"):  # of one place, different stretches have different values
         pair = tx.mix(h * tx.U64(0x9E3779B97F4A7C15) + seg.astype(tx.U64) * tx.U64(0xD6E8FEB86659FD93))
     by_key = np.argsort(key, kind="stable")
     sorted_key = key[by_key]
@@ -271,7 +278,7 @@ def scan_levels(h: np.ndarray, seg: np.ndarray, key: np.ndarray, batches: int =
             left, right = np.searchsorted(level.h, h[b[at]]), np.searchsorted(level.h, h[b[at]], "right")
             several |= right > left
             shared[level.ids[tx.expand(left, right - left)]] = True
-            fresh &= found(level.pair, pair[owner]) < 0
+            fresh &= ~level.has(h[owner], pair[owner])
         shared[b] = several[np.cumsum(new_h) - 1]
         full[b] |= ~fresh[np.cumsum(new) - 1]
         levels.append(Level(h[owner[fresh]], pair[owner[fresh]], owner[fresh]))

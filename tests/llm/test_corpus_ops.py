@@ -52,6 +52,17 @@ def test_repeats_shared_by_many(spark, many_groups):
     same(suffix.repeats_by_row(table(spark, rows)), suffix.brute_force(rows))
 
 
+def test_contexts_of_one_place_whose_hashes_agree_in_32_bits(spark, many_groups):
+    import numpy as np
+
+    a = ("wjpgmkmjawsiziondyjiywmaniopaubmaguygspgzicjbqmmfc", "ydfwhahxcuqvyaaqxyjiywmaniopaubmazxjrehdzpyxxxkknb", "mufoolxutftshswvnyjiywmaniopaubmaxtzcroerpuouniwnb")
+    b = ("uhenejktzjkijgrbsyjiywmaniopaubmapdvdqtzphlfanjmav", "zamqupbzlvjorcmhsyjiywmaniopaubmabhoqchxnvhrqtibky", "qcfwnwhjyqzindpblyjiywmaniopaubmaotcjhjovqzynlzmod")
+    s = suffix.stretches(np.frombuffer("".join(a + b).encode(), np.uint8), np.arange(0, 301, 50))
+    assert len(set(s.h.tolist())) == 1 and len(set(s.seg.tolist())) == 6
+    rows = list(enumerate(a + b))
+    same(suffix.repeats_by_row(table(spark, rows)), suffix.brute_force(rows))
+
+
 def test_levels_find_smaller_keys():
     import numpy as np
 

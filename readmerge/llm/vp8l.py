@@ -8,6 +8,7 @@ four transforms.  Pixels are rows of (alpha, red, green, blue) bytes.
 from __future__ import annotations
 
 import heapq
+import math
 import struct
 
 import numpy as np
@@ -44,40 +45,46 @@ class Bits:
         return v
 
 
+#: The bits of each LOOK-bit number in opposite order.
+REVERSED = np.zeros(1 << LOOK, np.int64)
+for _i in range(LOOK):
+    REVERSED |= (np.arange(1 << LOOK) >> _i & 1) << (LOOK - 1 - _i)
+
+
+def _canonical(lengths) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    a = np.asarray(lengths, np.int64)
+    used = np.flatnonzero(a)
+    used = used[np.argsort(a[used], kind="stable")]
+    step = 1 << (LOOK - a[used])
+    return used, a[used], REVERSED[(np.cumsum(step) - step) & ((1 << LOOK) - 1)]
+
+
 def canonical(lengths) -> list[tuple[int, int, int]]:
     """(symbol, length, code with its first bit lowest) of each symbol that has a length."""
-    out, code, last = [], 0, 0
-    for n, s in sorted((n, s) for s, n in enumerate(lengths) if n):
-        code <<= n - last
-        last = n
-        out.append((s, n, int(f"{code:0{n}b}"[::-1], 2)))
-        code += 1
-    return out
+    return list(zip(*(x.tolist() for x in _canonical(lengths)), strict=True))
 
 
 class Code:
-    """A prefix code; ``table`` has (symbol, length) for the next ``width`` bits."""
+    """A prefix code; ``table`` has symbol and length (its low four bits) for the next ``width`` bits."""
 
     def __init__(self, lengths):
-        used = canonical(lengths)
-        if not used:
+        used, n, _ = _canonical(lengths)
+        if not len(used):
             raise ValueError("a prefix code without symbols")
         if len(used) == 1:  # takes no bits
-            self.width, self.symbols, self.sizes = 0, [used[0][0]], [0]
+            self.mask, self.table = 0, [int(used[0]) << 4]
             return
-        if sum(1 << (15 - n) for _, n, _ in used) != 1 << 15:
+        width = int(n[-1])
+        if int((1 << (width - n)).sum()) != 1 << width:
             raise ValueError("a prefix code that is not complete")
-        self.width = max(n for _, n, _ in used)
-        symbols, sizes = np.zeros(1 << self.width, np.int64), np.zeros(1 << self.width, np.int64)
-        for s, n, c in used:
-            symbols[c :: 1 << n], sizes[c :: 1 << n] = s, n
-        self.symbols, self.sizes = symbols.tolist(), sizes.tolist()
+        self.mask = (1 << width) - 1
+        self.table = np.repeat(used << 4 | n, 1 << (width - n))[REVERSED[np.arange(1 << width) << (LOOK - width)]].tolist()
 
     def read(self, bits: Bits) -> int:
         i = bits.pos >> 3
-        v = int.from_bytes(bits.data[i : i + 4], "little") >> (bits.pos & 7) & ((1 << self.width) - 1)
-        bits.pos += self.sizes[v]
-        return self.symbols[v]
+        e = self.table[int.from_bytes(bits.data[i : i + 4], "little") >> (bits.pos & 7) & self.mask]
+        bits.pos += e & 15
+        return e >> 4
 
 
 #: Code lengths read before: by alphabet and first 64 bits, (bits taken, their value, lengths).
@@ -98,7 +105,9 @@ def read_lengths(bits: Bits, alphabet: int) -> list[int]:
     if (n := bits.pos - begin) <= 4000:
         if len(_read) > 256:
             _read.clear()
-        _read.setdefault(key, []).append((n, ahead & ((1 << n) - 1), lengths))
+        same = _read.setdefault(key, [])
+        same[4:] = []  # pictures' own codes rarely come again
+        same.insert(0, (n, ahead & ((1 << n) - 1), lengths))
     return lengths
 
 
@@ -211,21 +220,39 @@ def _pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     if groups == 1 and not cache_bits and own[0][:256] == own[1] == own[2] == own[3] and not any(own[0][256:]) and sum(map(bool, own[1])) > 1:
         flat = _literals(bits, own[1], 4 * total).reshape(total, 4)  # green, red, blue, alpha
         return flat[:, [3, 1, 0, 2]]
-    codes = [[Code(x) for x in g] for g in lengths]
+    codes = []
+    for g in lengths:  # channels often share a code
+        made = {id(x): Code(x) for x in g}
+        codes.append([made[id(x)] for x in g])
     out: list[int] = []
     cache = [0] * (1 << cache_bits) if cache_bits else []
     shift, noted = 32 - cache_bits, 0
-    while len(out) < total:
-        at = len(out)
-        green, red, blue, alpha, far = codes[which[(at // width >> block) * wide + (at % width >> block)] if which else 0]
-        s = green.read(bits)
+    raw = np.frombuffer(bits.data + bytes(8), np.uint8).astype(np.int32)
+    windows = (raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16).tolist()  # 24 bits from each byte on; an item without copies has 60 at most
+    (green, red, blue, alpha, far), pos, end = codes[0], bits.pos, bits.end
+    (gt, gm), (rt, rm), (bt, bm), (at_, am) = ((c.table, c.mask) for c in (green, red, blue, alpha))
+    while (at := len(out)) < total:
+        if which:
+            green, red, blue, alpha, far = codes[which[(at // width >> block) * wide + (at % width >> block)]]
+            (gt, gm), (rt, rm), (bt, bm), (at_, am) = ((c.table, c.mask) for c in (green, red, blue, alpha))
+        e = gt[windows[pos >> 3] >> (pos & 7) & gm]
+        pos += e & 15
+        s = e >> 4
         if s < 256:
-            r = red.read(bits)
-            b = blue.read(bits)
-            out.append(alpha.read(bits) << 24 | r << 16 | s << 8 | b)
+            e = rt[windows[pos >> 3] >> (pos & 7) & rm]
+            pos += e & 15
+            v = s << 8 | e >> 4 << 16
+            e = bt[windows[pos >> 3] >> (pos & 7) & bm]
+            pos += e & 15
+            v |= e >> 4
+            e = at_[windows[pos >> 3] >> (pos & 7) & am]
+            pos += e & 15
+            out.append(v | e >> 4 << 24)
         elif s < 280:
+            bits.pos = pos
             n = _number(bits, s - 256)
             d = _number(bits, far.read(bits))
+            pos = bits.pos
             if d > len(NEAR):
                 d -= len(NEAR)
             else:
@@ -233,15 +260,15 @@ def _pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
                 d = max(1, x + y * width)
             if d > at or at + n > total:
                 raise ValueError("a copy from outside the picture")
-            for _ in range(n):
-                out.append(out[-d])
+            out += out[at - d : at - d + n] if d >= n else (out[-d:] * (n // d + 1))[:n]
         else:
-            while noted < at:  # entries are made when they are first needed
-                cache[(CACHE_FACTOR * out[noted] & 0xFFFFFFFF) >> shift] = out[noted]
-                noted += 1
+            for v in out[noted:at]:  # entries are made when they are first needed
+                cache[(CACHE_FACTOR * v & 0xFFFFFFFF) >> shift] = v
+            noted = at
             out.append(cache[s - 280])
-        if bits.pos > bits.end:
+        if pos > end:
             raise ValueError("the stream ends too early")
+    bits.pos = pos
     return np.array(out, ">u4").view(np.uint8).reshape(total, 4)
 
 
@@ -412,24 +439,308 @@ class _Table:
 TABLES = [_Table(x) for x in CODES]
 
 
-def encode(samples: np.ndarray, width: int, height: int) -> bytes:
-    """A WebP file of width x height pixels whose samples stand in coding order (green, red, blue, alpha)."""
+MOST = 11  # the longest code of a picture's own codes
+FAR = (1 << 20) - len(NEAR)
+LONGEST = 4096
+
+
+def _lengths(count: np.ndarray) -> list[int]:
+    """Code lengths for a picture's own counts, at most MOST bits (small counts are raised until they fit)."""
+    out, some = [0] * len(count), np.flatnonzero(count)
+    if len(some) < 2:
+        for s in some.tolist():
+            out[s] = 1
+        return out
+    weight, floor = count[some].astype(float), count.sum() / 4096
+    while True:
+        by = np.argsort(weight, kind="stable")
+        leaf, n = weight[by].tolist(), len(some)
+        up, made, a, b = [0] * (2 * n - 1), [], 0, 0
+        for node in range(n, 2 * n - 1):
+            total = 0.0
+            for _ in range(2):
+                if a < n and (b >= len(made) or leaf[a] <= made[b]):
+                    up[a], total, a = node, total + leaf[a], a + 1
+                else:
+                    up[n + b], total, b = node, total + made[b], b + 1
+            made.append(total)
+        depth = [0] * (2 * n - 1)
+        for node in range(2 * n - 3, -1, -1):
+            depth[node] = depth[up[node]] + 1
+        if max(depth) <= MOST:
+            break
+        weight, floor = np.maximum(weight, floor), floor * 2
+    for s, d in zip(some[by].tolist(), depth, strict=False):
+        out[s] = d
+    return out
+
+
+def _runs(lengths: list[int]) -> np.ndarray:
+    """Code lengths as rows of symbol, extra value and extra bits, runs of zeros shortened."""
+    out, zeros = [], 0
+    for n in [*lengths, -1]:
+        if n == 0:
+            zeros += 1
+            continue
+        while zeros > 2:
+            k = min(zeros, 138)
+            out += (18, k - 11, 7) if k > 10 else (17, k - 3, 3)
+            zeros -= k
+        out += (0, 0, 0) * zeros
+        zeros = 0
+        if n > 0:
+            out += (n, 0, 0)
+    return np.array(out, np.int64).reshape(-1, 3)
+
+
+_KINDS = np.array(CODE_LENGTH_ORDER)
+_THREE = np.full(19, 3)
+
+
+def _code(count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Header (values, bits), codes and sizes of a picture's own code for symbols of these counts."""
+    size, code = np.zeros(len(count), np.int64), np.zeros(len(count), np.uint64)
+    some = np.flatnonzero(count)
+    if len(some) < 2 and (not len(some) or some[0] < 256):
+        return *_fields((1, 1), (0, 1), (1, 1), (int(some[0]) if len(some) else 0, 8)), code, size
+    lengths = _lengths(count)
+    if len(some) > 1:
+        used, n, c = _canonical(lengths)
+        size[used], code[used] = n, c
+    runs = _runs(lengths)
+    own = np.array(huffman(np.bincount(runs[:, 0], minlength=19).tolist(), 7))
+    words, bits = np.zeros(19, np.int64), own.copy()
+    if own.any():
+        used, _, c = _canonical(own)
+        words[used] = c
+    else:  # one kind of length only, which takes no bits
+        own[runs[0, 0]] = 1
+    value = words[runs[:, 0]] | runs[:, 1] << bits[runs[:, 0]]
+    head = np.concatenate([[0, 15], own[_KINDS], [0], value]).astype(np.uint64)
+    return head, np.concatenate([[1, 4], _THREE, [1], bits[runs[:, 0]] + runs[:, 2]]), code, size
+
+
+def _symbol(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, extra values and extra bits of lengths or distances."""
+    w = v - 1
+    top = np.maximum(np.frexp(np.maximum(w, 1).astype(float))[1] - 1, 1)
+    extra = np.where(v > 4, top - 1, 0)
+    return np.where(v > 4, 2 * top + (w >> (top - 1) & 1), w), w & ((1 << extra) - 1), extra
+
+
+def _bits_for(count: np.ndarray) -> float:
+    """About the bits of symbols of these counts, with their code."""
+    c = count[count > 0]
+    n = int(c.sum())
+    return n * math.log2(n) - float(c @ np.log2(c)) + 5 * len(c) if n else 0.0
+
+
+_near: dict[int, dict[int, int]] = {}
+
+
+def _distances(d: np.ndarray, width: int) -> np.ndarray:
+    if width not in _near:
+        if len(_near) > 64:
+            _near.clear()
+        _near[width] = {max(1, x + y * width): k + 1 for k, (x, y) in reversed(list(enumerate(NEAR)))}
+    return np.array([_near[width].get(x, x + len(NEAR)) for x in d.tolist()], np.int64)
+
+
+def _copies(v: np.ndarray) -> list[tuple[int, int, int]]:
+    """Copies of three pixels or more as (place, length, distance), each from the last place that has its first two pixels."""
+    n = len(v)
+    if n < 4:
+        return []
+    pair = v[:-1].astype(np.uint64) | v[1:].astype(np.uint64) << np.uint64(32)
+    order = np.argsort(pair, kind="stable")
+    same = np.flatnonzero(pair[order[1:]] == pair[order[:-1]])
+    if not len(same):
+        return []
+    before = dict(zip(order[same + 1].tolist(), order[same].tolist(), strict=True))
+    out, free, x = [], 0, v.tolist()
+    for i in sorted(before):
+        if i < free or i - before[i] > FAR:
+            continue
+        d, end = i - before[i], i + 2
+        most = min(n, i + LONGEST)
+        while end < most and x[end] == x[end - d]:
+            end += 1
+        if end - i > 2:
+            out.append((i, end - i, d))
+            free = end
+    return out
+
+
+def _picture(v: np.ndarray, width: int, main: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(values, bits) of an entropy-coded picture with copies, a colour cache where it pays, and codes of its own."""
+    n = len(v)
+    taken = np.zeros(n, bool)
+    copies = np.array(_copies(v), np.int64).reshape(-1, 3)
+    for a, m, _ in copies.tolist():
+        taken[a + 1 : a + m] = True
+    at = np.flatnonzero(~taken)
+    x = v[at]
+    far = np.zeros(n, bool)
+    far[copies[:, 0]] = True
+    copied = far[at]
+    green, red, blue, alpha = ((x >> np.uint32(k) & np.uint32(255)).astype(np.int64) for k in (8, 16, 0, 24))
+    length, l_value, l_extra = _symbol(copies[:, 1])
+    dist, d_value, d_extra = _symbol(_distances(copies[:, 2], width))
+
+    def counts(cached, slot, bits):
+        first = np.where(cached, 280 + slot, green)
+        first[copied] = 256 + length
+        plain = ~cached & ~copied
+        return first, plain, [np.bincount(first, minlength=280 + (1 << bits if bits else 0)), *(np.bincount(c[plain], minlength=256) for c in (red, blue, alpha)), np.bincount(dist, minlength=40)]
+
+    cache, none = 0, np.zeros(len(at), bool)
+    first, plain, count = counts(none, 0, 0)
+    if n > 8:
+        bits = min(10, max(2, n.bit_length() - 2))
+        slots = v * np.uint32(CACHE_FACTOR) >> np.uint32(32 - bits)
+        order = np.argsort(slots, kind="stable")
+        hit = np.zeros(n, bool)
+        hit[order[1:]] = (v[order[1:]] == v[order[:-1]]) & (slots[order[1:]] == slots[order[:-1]])
+        other = counts(hit[at] & ~copied, slots[at].astype(np.int64), bits)
+        if sum(map(_bits_for, other[2])) < sum(map(_bits_for, count)):
+            cache, (first, plain, count) = bits, other
+    head = [(1, 1), (cache, 4)] if cache else [(0, 1)]
+    if main:
+        head.append((0, 1))
+    joint = count[1] + count[2] + count[3]
+    own = sum(map(_bits_for, count))
+    # one code for three channels that are alike (text) is read once
+    alike = own - sum(map(_bits_for, count[1:4])) + _bits_for(joint) + 10 * np.count_nonzero(joint) <= 1.02 * own
+    codes = [_code(count[0]), *([_code(joint)] * 3 if alike else map(_code, count[1:4])), _code(count[4])]
+    value, size = codes[0][2][first], codes[0][3][first]
+    for (*_, code, bits), symbol in zip(codes[1:4], (red, blue, alpha), strict=True):
+        value[plain] |= code[symbol[plain]] << size[plain].astype(np.uint64)
+        size[plain] += bits[symbol[plain]]
+    for more, bits in ((l_value, l_extra), (codes[4][2][dist], codes[4][3][dist]), (d_value, d_extra)):
+        value[copied] |= more.astype(np.uint64) << size[copied].astype(np.uint64)
+        size[copied] += bits
+    parts = [_fields(*head), *(c[:2] for c in codes), (value, size)]
+    return np.concatenate([v for v, _ in parts]), np.concatenate([n for _, n in parts])
+
+
+def _argb(px: np.ndarray) -> np.ndarray:
+    """Pixels (a, r, g, b) as numbers."""
+    return np.ascontiguousarray(px, np.uint8).view(">u4").ravel().astype(np.uint32)
+
+
+def _fields(*pairs: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([v for v, _ in pairs], np.uint64), np.array([n for _, n in pairs], np.int64)
+
+
+_OWN = np.arange(4, dtype=np.int16) * 256
+
+
+def _channels(px: np.ndarray) -> float:
+    c = np.bincount((px + _OWN).ravel())
+    c = c[c > 0]
+    return 4 * len(px) * math.log2(len(px)) - float(c @ np.log2(c)) + 5 * len(c)
+
+
+def _neighbours(p: np.ndarray, width: int) -> list[np.ndarray]:
+    """Left, top, top right and top left neighbours (of the top row and the left column they are of no use)."""
+    flat = np.concatenate([np.zeros((width + 1, 4), p.dtype), p, np.zeros((1, 4), p.dtype)])
+    n, o = len(p), width + 1
+    return [flat[o - k : o - k + n] for k in (1, width, width - 1, width + 1)]
+
+
+def _predicted(px: np.ndarray, width: int):
+    """(mode, differences from its prediction) for each of MODES."""
+    near = _neighbours(px.astype(np.int16), width)
+    left, top = near[:2]
+    for mode in MODES:
+        guess = _predict(mode, *near).astype(np.uint8)
+        guess[::width] = top[::width]
+        guess[:width] = left[:width]
+        guess[0] = [255, 0, 0, 0]
+        yield mode, px - guess
+
+
+def _crossed(px: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Red and blue less their share of green, and the factors (of green in red, of green in blue)."""
+    out, green, factors = px.copy(), _signed(px[:, 2]), []
+    square = int(green @ green)
+    for c in (1, 3):
+        f = int(np.clip(round(32 * int(green @ _signed(px[:, c])) / square), -128, 127)) if square else 0
+        out[:, c] = (px[:, c] - (f * green >> 5)) & 255
+        factors.append(f & 255)
+    return out, factors
+
+
+MODES = (1, 2, 4, 7, 12)  # left, top, top left, mean, gradient
+
+
+def _ways(px: np.ndarray, width: int, height: int):
+    """Ways to code a picture: lists of (values, bits) before the last closing bit."""
+    v = _argb(px)
+    yield [_picture_of(v, width)]
+    distinct, index = np.unique(v, return_inverse=True)
+    k = len(distinct)
+    if k <= 256 and 2 * k <= len(v):
+        packed = 3 if k <= 2 else 2 if k <= 4 else 1 if k <= 16 else 0
+        per, bits = 1 << packed, 8 >> packed
+        wide = -(-width // per)
+        cells = np.zeros((height, wide * per), np.int64)
+        cells[:, :width] = index.reshape(height, width)
+        cells = (cells.reshape(height, wide, per) << np.arange(per) * bits).sum(2).ravel()
+        table = np.diff(distinct.astype(">u4").view(np.uint8).reshape(-1, 4), axis=0, prepend=np.zeros((1, 4), np.uint8))
+        yield [_fields((1, 1), (3, 2), (k - 1, 8)), _picture(_argb(table), k, False), _picture_of((cells << 8).astype(np.uint32), wide)]
+    # transforms, where the channels alone take fewer bits with them
+    least = _channels(px)
+    block = 9
+    places = (-(-width // 512)) * (-(-height // 512))
+    best = None
+    for mode, r in _predicted(px, width):
+        if (b := _channels(r)) < least:
+            least, best = b, (mode, r)
+    steps = []
+    if best:
+        steps += [_fields((1, 1), (0, 2), (block - 2, 3)), _picture(np.full(places, best[0] << 8, np.uint32), -(-width // 512), False)]
+        px = best[1]
+    crossed, (green_red, green_blue) = _crossed(px)
+    if _channels(crossed) + 60 < least:
+        least, px = _channels(crossed), crossed
+        steps += [_fields((1, 1), (1, 2), (block - 2, 3)), _picture(np.full(places, green_blue << 8 | green_red, np.uint32), -(-width // 512), False)]
+    less = px.copy()
+    less[:, [1, 3]] -= px[:, [2]]
+    if _channels(less) + 3 < least:
+        px = less
+        steps.append(_fields((1, 1), (2, 2)))
+    if steps:
+        yield [*steps, _picture_of(_argb(px), width)]
+
+
+def _picture_of(v: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The main picture after the bit that ends the list of transforms."""
+    value, size = _picture(v, width, True)
+    return np.concatenate([np.zeros(1, np.uint64), value]), np.concatenate([np.ones(1, np.int64), size])
+
+
+def _fixed(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All samples by the best of the fixed codes."""
     count = np.bincount(samples, minlength=256)
     t = min(TABLES, key=lambda t: int(count @ t.size))
-    fields = [(SIGNATURE, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3), *t.head]
-    head = n_head = 0
-    for v, n in fields:
-        head |= v << n_head
-        n_head += n
     size, code = t.size[samples].reshape(-1, 4), t.code[samples].reshape(-1, 4)
     at = np.cumsum(size, 1) - size
     value = (code << at.astype(np.uint64)).sum(1, dtype=np.uint64)  # a pixel has 60 bits at most
-    n = size.sum(1)
-    end = np.cumsum(n) + n_head
+    head = _fields(*t.head)
+    return np.concatenate([head[0], value]), np.concatenate([head[1], size.sum(1)])
+
+
+def encode(samples: np.ndarray, width: int, height: int) -> bytes:
+    """The smallest WebP file found of width x height pixels whose samples stand in coding order (green, red, blue, alpha)."""
+    px = samples.reshape(-1, 4)[:, [3, 1, 0, 2]]
+    ways = [[_fixed(samples)], *_ways(px, width, height)]
+    best = min(ways, key=lambda w: sum(int(n.sum()) for _, n in w))
+    parts = [_fields((SIGNATURE, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3)), *best]
+    value, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    end = np.cumsum(n)
     begin = end - n
     words = np.zeros((int(end[-1]) + 63) // 64 + 1, "<u8")
-    raw = head.to_bytes((n_head + 63) // 64 * 8, "little")
-    words[: len(raw) // 8] = np.frombuffer(raw, "<u8")
     slot, shift = begin >> 6, (begin & 63).astype(np.uint64)
     first = np.flatnonzero(np.diff(slot, prepend=-1))
     words[slot[first]] |= np.bitwise_or.reduceat(value << shift, first)

@@ -409,6 +409,37 @@ def test_palettes(colours):
     assert (vp8l.decode(w.file())[2] == table[index.ravel()]).all()
 
 
+def test_stored_pictures_use_the_format_where_it_shrinks_them(monkeypatch):
+    rng = np.random.default_rng(3)
+    line = bytes(rng.integers(97, 123, 256, dtype=np.uint8))
+    noise = rng.integers(0, 256, (1600, 4), dtype=np.uint8)
+    green = rng.integers(0, 256, (1600, 1))
+    slope = ((np.arange(64)[None] * 3 + np.arange(100)[:, None] * 5) & 255).astype(np.uint8).tobytes()
+    used = []
+    for name in ("_unindex", "_unpredict", "_uncross"):
+        real = getattr(vp8l, name)
+        monkeypatch.setattr(vp8l, name, lambda *a, real=real, name=name: used.append(name) or real(*a))
+
+    def stored(payload, most):
+        file = media.store(payload)
+        assert media.load(file, len(payload))[2] == payload and len(file) < most
+        return file
+
+    stored(line * 20, 500)  # copies
+    stored(noise[rng.integers(0, 40, 1600)].tobytes(), 1700)
+    assert "_unindex" in used
+    stored(slope, 400)
+    assert "_unpredict" in used
+    stored(np.concatenate([green, noise[:, :1], ((green.astype(np.uint8).view(np.int8).astype(int) * 24 >> 5) + rng.integers(0, 4, (1600, 1))) & 255, noise[:, 1:2] & 3], 1).astype(np.uint8).tobytes(), 4700)
+    assert "_uncross" in used
+    stored(noise.tobytes(), 6900)
+
+
+def test_documents_are_smaller_than_by_a_fixed_code(spark, data):
+    for r in media.op8_media(spark, data).collect():
+        assert r.media_bytes < 0.7 * r.payload_bytes + 150
+
+
 def test_broken_files_are_refused():
     good = media.store(bytes(range(64)))
     for bad in (b"", b"RIFF", good[:12], good[:40], good[:-20], good[:20] + b"\0" + good[21:]):

@@ -131,13 +131,15 @@ def _kernel(vocabulary: np.ndarray, plan: list):
                 known = np.flatnonzero(v >= 0)
                 hits, score = [], np.zeros(hi - lo)
                 for k, (t, ids, weight, anchors) in enumerate(plan):
-                    starts = np.concatenate([known[v[known] == ids[a]] - a for a in anchors])
-                    starts, votes = np.unique(starts, return_counts=True)
-                    starts = starts[votes >= max(1, len(anchors) // 2)]
+                    # the document of the anchors that stand there, not of the place of an anchor that may be cut off
+                    wide = len(v) + len(ids)
+                    pairs = np.concatenate([doc[p] * wide + p - a + len(ids) for a in anchors for p in (known[v[known] == ids[a]],)])
+                    pairs, votes = np.unique(pairs, return_counts=True)
+                    own, starts = np.divmod(pairs[votes >= max(1, len(anchors) // 2)], wide)
+                    starts -= len(ids)
                     at = starts[:, None] + np.arange(len(ids))
                     inside = (at >= 0) & (at < len(v))
                     safe = np.where(inside, at, 0)
-                    own = doc[np.clip(starts + anchors[0], 0, max(len(v) - 1, 0))] if len(starts) else starts
                     same = inside & (v[safe] == ids) & (doc[safe] == own[:, None]) if len(starts) else np.zeros((0, len(ids)), bool)
                     coverage = same @ weight
                     np.maximum.at(score, own, coverage)

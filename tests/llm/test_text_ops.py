@@ -226,6 +226,21 @@ def test_packing(spark, data):
     assert packing.pack_documents(table(spark, []), path).count() == 0
 
 
+@pytest.mark.parametrize("front", [False, True])
+def test_cut_license_header_anywhere_in_a_batch(spark, front):
+    texts = []
+    for t in licenses.templates():
+        if not t.base:
+            n = len(t.words)
+            texts += [" ".join(t.words[j:] if front else t.words[: n - j]) for j in range(1, n // 5 + 1)]
+    rows = list(enumerate(texts))
+    rows += [(len(rows), "nothing of the kind here")]
+    seen = lambda r: ([(h.label, h.start, h.base, round(h.coverage, 9)) for h in r.hits], round(r.score, 9))
+    batch = {r.doc_id: seen(r) for r in licenses.scan_licenses(table(spark, rows).coalesce(1)).collect()}
+    apart = {r.doc_id: seen(r) for r in licenses.scan_licenses(table(spark, rows).repartition(1).orderBy(F.desc("doc_id")).coalesce(1)).collect()}
+    assert batch == apart
+
+
 # --- media ----------------------------------------------------------------------------------------------------------
 
 

@@ -63,25 +63,52 @@ def test_runs_stay_in_their_document(spark):
 # --- licences -------------------------------------------------------------------------------------------------------
 
 
+def licence_rows(rows):
+    return sorted([(*r[:-1], round(r[-1], 8)) for r in rows], key=str)
+
+
 def test_licenses_data(spark, data):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
-    same(licenses.op3_licenses(spark, data).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"), licenses.brute_force(docs))
-
-
-def test_licenses_odd(spark):
-    text = "Permission is hereby granted, free of charge, to any person obtaining a copy of that software and associated documentation files"
-    rows = [*ODD, (7, text), (8, "granted free of charge"), (9, "mit license " * 2000)]
-    found = licenses.scan_licenses(table(spark, rows))
-    base = F.filter("hits", lambda h: h["base"])
-    starts = F.transform(base, lambda h: h["start"])
-    got = found.select("doc_id", "n_words", F.size(base).cast("long"), F.array_min(starts), F.array_max(starts), F.array_join(F.array_sort(F.array_distinct(F.transform(base, lambda h: h["label"]))), ","))
-    same(got, licenses.brute_force(rows))
-    by_id = {r["doc_id"]: r for r in found.collect()}
-    assert {h["label"] for h in by_id[7]["hits"]} == {"mit"} and 0.8 <= by_id[7]["score"] < 1
-    assert not by_id[8]["hits"] and by_id[8]["score"] < 0.8
+    assert licence_rows(map(tuple, licenses.op3_licenses(spark, data).collect())) == licence_rows(licenses.brute_force(docs))
+
+
+def licence_texts():
+    """Whole sentences, sentences cut at both ends or changed inside, names, and odd texts."""
+    rows = list(ODD) + [(7, "granted free of charge"), (8, "mit license " * 200), (9, "and use in source and binary forms with or without modification are permitted")]
+    for t in licenses.templates():
+        n = len(t.words)
+        for ws in (t.words, t.words[max(1, n // 8) :], t.words[: n - max(1, n // 8)], t.words[: n // 2], t.words[n // 2 :], [*t.words[: n // 3], "zzz", *t.words[n // 3 + 1 :]], [*t.words[: n // 3], "zzz", *t.words[n // 3 :]]):
+            rows.append((len(rows), " ".join(ws)))
+    return rows
+
+
+def licence_results(found):
+    return {(r["doc_id"], r["n_words"], tuple((h["label"], h["start"], round(h["coverage"], 8)) for h in r["hits"]), round(r["score"], 8)) for r in found.collect()}
+
+
+def test_licenses_cut_and_changed(spark, tmp_path):
+    rows = licence_texts()
+    table(spark, rows, False).write.parquet(str(tmp_path / "documents.parquet"))
+    got = licence_rows(map(tuple, licenses.op3_licenses(spark, str(tmp_path)).collect()))
+    assert got == licence_rows(licenses.brute_force(rows))
+    assert len({r[6] for r in got}) > 12 and any(0.8 <= r[7] < 1 for r in got)
     assert licenses.scan_licenses(table(spark, [])).count() == 0
 
 
+def test_licenses_do_not_depend_on_neighbours(spark):
+    """Results stay the same in any order and for any size of batches."""
+    rows = licence_texts()
+    want = licence_results(licenses.scan_licenses(table(spark, rows).coalesce(1)))
+    random.Random(1).shuffle(rows)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("1", "7"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            assert licence_results(licenses.scan_licenses(table(spark, rows).coalesce(1))) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
 # --- sharding -------------------------------------------------------------------------------------------------------
 
 

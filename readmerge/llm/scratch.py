@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
+_tables: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,6 +46,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+    """Like :func:`materialize`, with rows in buckets of ``column``: a join on it by as many partitions leaves them in place."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    table = f"readmerge_{uuid.uuid4().hex}"
+    df.write.option("path", path).bucketBy(buckets, column).saveAsTable(table, format="parquet")
+    out = spark.table(table)
+    out.scratch_path = path
+    _tables.append((spark, table))
+    return out
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete the files of tables made by :func:`materialize` from which nothing is left to be computed."""
     for df in tables:
@@ -59,6 +72,12 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _cleanup() -> None:
+    for spark, table in _tables:
+        if spark.sparkContext._jsc is not None:
+            try:
+                spark.sql(f"DROP TABLE IF EXISTS {table}")
+            except Exception:  # as below
+                return
     for spark, path in _made:
         if spark.sparkContext._jsc is not None:
             try:

@@ -5,11 +5,17 @@ shared folder, so any Spark store can hold them; :func:`export` writes them out
 with equal payloads the one with the least key is the response and the others revisit it.
 
 The index has a line for each capture under its reversed-host key.  Lines are range-partitioned and sorted, packed into
-compressed blocks, and a sparse directory keeps the first key of each block.  A look-up searches the directory, then the
-block, and reads the byte range of the record.
+compressed blocks, and a sparse directory keeps the beginning of the first key of each block.  A look-up of many URLs
+searches the directory for the blocks that may have a key, meets those blocks and searches each by bisection, and sends the
+byte ranges found to the archives, which stay where they are: their table is bucketed by archive, so only ranges move.
+
+Bounds: the directory has at most ``DIRECTORY`` blocks and one for each partition (blocks grow beyond that) of ``PREFIX``
+characters each; payloads that more than 1 / ``HOT`` of all pages have are at most ``HOT`` and broadcast, so pages of a common
+payload stay in place; no other payload has more rows than that in one task.
 
 Defined cases: a null page is an empty payload; a null URL has an empty index key; rows that share the least key of their
-payload are all responses; payloads below ``least`` bytes are never deduplicated; equal rows each get a record.
+payload are all responses; payloads below ``least`` bytes are never deduplicated; equal rows each get a record; keys of any
+type come back as text and can be cast to their own type.
 """
 
 from __future__ import annotations
@@ -21,6 +27,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -29,8 +36,9 @@ from pyspark.sql import DataFrame, functions as F
 from . import scratch
 
 SEGMENT_BYTES, SEGMENT_RECORDS = 8 << 20, 10_000
-BLOCK_LINES, DIRECTORY_BLOCKS = 3000, 4096
-PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+BLOCK_LINES, DIRECTORY, PREFIX = 3000, 1 << 17, 64
+HOT = 10_000
+REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def surt(url: str | None) -> str:
@@ -59,9 +67,9 @@ def write_record(key, url: str | None, payload: bytes, refers_to, date: str) ->
         f"WARC-Date: {date}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     head += [f"WARC-Target-URI: {_clean(url)}"] if url else []
-    head += [f"X-Page-Key: {_clean(str(key))}"] if key is not None else []
+    head += [f"X-Page-Key: {quote(str(key))}"] if key is not None else []
     if refers_to is not None:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Key: {_clean(str(refers_to))}"]
+        head += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Key: {quote(str(refers_to))}"]
     z = zlib.compressobj(6, zlib.DEFLATED, 31)
     return z.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + z.flush()
 
@@ -104,34 +112,66 @@ def _write(date: str):
     return run
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, made, lines, first = TaskContext.get().partitionId(), 0, [], ""
+def _blocks(most: int):
+    """Index blocks of up to ``most`` lines from sorted lines."""
 
-    def block():
-        packed = zlib.compress("\n".join(lines).encode(), 6)
-        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([made], pa.int32()), pa.array([first]), pa.array([packed], pa.binary())], ["part", "seq", "first", "data"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, made, lines, first = TaskContext.get().partitionId(), 0, [], ""
 
-    for batch in batches:
-        for s, archive, offset, length in zip(*(batch.column(c).to_pylist() for c in ("surt", "archive", "offset", "length")), strict=True):
-            if not lines:
-                first = s
-            lines.append(f"{s}\t{archive}\t{offset}\t{length}")
-            if len(lines) >= BLOCK_LINES:
-                yield block()
-                made, lines = made + 1, []
-    if lines:
-        yield block()
+        def block():
+            packed = zlib.compress("\n".join(lines).encode(), 6)
+            return pa.RecordBatch.from_arrays([pa.array([part << 32 | made], pa.int64()), pa.array([first[:PREFIX]]), pa.array([packed], pa.binary())], ["block", "first", "data"])
+
+        for batch in batches:
+            for s, archive, offset, length in zip(*(batch.column(c).to_pylist() for c in ("surt", "archive", "offset", "length")), strict=True):
+                if not lines:
+                    first = s
+                lines.append(f"{s}\t{archive}\t{offset}\t{length}")
+                if len(lines) >= most:
+                    yield block()
+                    made, lines = made + 1, []
+        if lines:
+            yield block()
+
+    return run
 
 
 def read_block(data: bytes) -> list[list[str]]:
     return [x.split("\t") for x in zlib.decompress(data).decode().split("\n")]
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for data in batch.column("data").to_pylist():
-            rows = read_block(data)
-            yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows]), pa.array([int(r[2]) for r in rows], pa.int64()), pa.array([int(r[3]) for r in rows], pa.int64())], ["archive", "offset", "length"])
+        yield pa.RecordBatch.from_arrays([pa.array([_clean(surt(x)) for x in batch.column(0).to_pylist()], pa.string())], ["surt"])
+
+
+def _route(firsts: list[str], blocks: list[int]):
+    """Each key with the blocks that may have it: from the last that begins below it to the last that does not begin above."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, own = [], []
+            for k in batch.column("surt").to_pylist():
+                head = k[:PREFIX]
+                to = blocks[max(0, bisect.bisect_left(firsts, head) - 1) : bisect.bisect_right(firsts, head)]
+                keys += [k] * len(to)
+                own += to
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(keys, pa.string())], ["block", "surt"])
+
+    return run
+
+
+def _search(keys: pa.Table, block: pa.Table) -> pa.Table:
+    """Byte ranges of the keys that a block has, by bisection."""
+    hits = []
+    lines = read_block(block.column("data")[0].as_py()) if keys.num_rows and block.num_rows else []
+    for k in keys.column("surt").to_pylist():
+        at = bisect.bisect_left(lines, k, key=lambda r: r[0])
+        while at < len(lines) and lines[at][0] == k:
+            hits.append((lines[at][1], int(lines[at][2]), int(lines[at][3])))
+            at += 1
+    cols = list(zip(*hits, strict=True)) or [(), (), ()]
+    return pa.table([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], names=["archive", "offset", "length"])
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +188,8 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         raise ValueError(f"a payload differs from its digest: {head['warc-record-id']}")
                 else:
                     size = int(next(x.partition(b":")[2] for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")))
-                rows.append((head.get("x-page-key"), size, digest, head["warc-type"], head.get("x-refers-to-key")))
+                own, refers = (None if (x := head.get(k)) is None else unquote(x) for k in ("x-page-key", "x-refers-to-key"))
+                rows.append((own, size, digest, head["warc-type"], refers))
             cols = list(zip(*rows, strict=True))
             kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names)
@@ -156,60 +197,64 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Capture:
-    """Archive segments, index blocks, and the directory (rows of up to DIRECTORY_BLOCKS first keys in order)."""
+    """Archive segments (bucketed by archive), index blocks, and the directory (first keys and blocks, in order)."""
 
     archives: DataFrame
     blocks: DataFrame
-    directory: DataFrame
+    directory: tuple[list[str], list[int]]
+
+    def ranges(self, urls: DataFrame) -> DataFrame:
+        """archive, offset, length of every capture of the URLs (the first column), through directory and blocks."""
+        keys = urls.mapInArrow(_keys, "surt string").distinct().mapInArrow(_route(*self.directory), "block long, surt string")
+        return keys.groupBy("block").cogroup(self.blocks.select("block", "data").groupBy("block")).applyInArrow(_search, "archive string, offset long, length long")
+
+    def read(self, urls: DataFrame) -> DataFrame:
+        """Every record of the URLs: key, payload_bytes, payload_digest, record_type, refers."""
+        wanted = self.ranges(urls).groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("wanted"))
+        joined = self.archives.select("archive", "data").join(wanted.hint("shuffle_hash"), "archive").select("data", "wanted")
+        return joined.mapInArrow(_parse, "key string, payload_bytes long, payload_digest string, record_type string, refers string")
 
     def lookup(self, url: str) -> list[tuple[dict[str, str], bytes]]:
-        """Records of one URL: directory, block, byte range."""
-        want = _clean(surt(url))
-        # the last block that begins before the key may hold its first line; those that begin with it hold more
-        rows = [r for r in self.directory.where(F.col("first") < want).orderBy(F.desc("first"), F.desc("part"), F.desc("seq")).limit(1).collect()]
-        lower = rows[0]["keys"][max(0, bisect.bisect_left(rows[0]["keys"], want) - 1)] if rows else ""
-        hits = []
-        for b in self.blocks.where((F.col("first") >= lower) & (F.col("first") <= want)).select("data").toLocalIterator():
-            lines = read_block(b["data"])
-            at = bisect.bisect_left(lines, want, key=lambda r: r[0])
-            while at < len(lines) and lines[at][0] == want:
-                hits.append(lines[at])
-                at += 1
+        """Records of one URL with their payloads."""
+        spark = self.blocks.sparkSession
         out = []
-        for _, archive, offset, length in hits:
+        for archive, offset, length in self.ranges(spark.createDataFrame([(url,)], "url string")).collect():
             part = self.archives.where(F.col("archive") == archive).select(F.substring("data", int(offset) + 1, int(length))).first()[0]
             head, _, payload = read_record(bytes(part))
             out.append((head, payload))
         return out
 
-    def read_all(self) -> DataFrame:
-        """Every record, found through the index and read by its byte range."""
-        wanted = self.blocks.select("data").mapInArrow(_lines, "archive string, offset long, length long").groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("wanted"))
-        joined = self.archives.select("archive", "data").join(wanted, "archive").select("data", "wanted")
-        return joined.mapInArrow(_parse, "key string, payload_bytes long, payload_digest string, record_type string, refers string")
+
+def _with_firsts(src: DataFrame, least: int, hot: int) -> DataFrame:
+    """``src`` (key, url, html, sha, n) with ``refers``: the least key of an equal payload, null for that one itself."""
+    firsts = src.where(F.col("n") >= least).groupBy("sha").agg(F.min("key").alias("first"), F.count("*").alias("many")).where("many > 1")
+    firsts = scratch.materialize(firsts, "firsts")
+    common = firsts.where(F.col("many") > F.lit(src.count() // hot)).select("sha", "first")  # at most ``hot`` payloads
+    rare = firsts.where(F.col("many") <= F.lit(src.count() // hot)).select("sha", "first")
+    there = src.join(F.broadcast(common), "sha")
+    moved = src.join(F.broadcast(common), "sha", "left_anti").join(rare.hint("shuffle_hash"), "sha", "left")
+    refers = F.when((F.col("n") >= least) & ~F.col("key").eqNullSafe(F.col("first")), F.col("first"))
+    return there.select("key", "url", "html", refers.alias("refers")).union(moved.select("key", "url", "html", refers.alias("refers")))
 
 
-def write_archives(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html", least: int = 0, date: str = "2000-01-01T00:00:00Z", broadcast_rows: int = 200_000) -> Capture:
+def write_archives(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html", least: int = 0, date: str = "2000-01-01T00:00:00Z", block_lines: int = BLOCK_LINES, hot: int = HOT) -> Capture:
     """Write archive segments and their two-level index to the shared folder.
 
-    ``broadcast_rows``: the most revisits (about 60 bytes each) that are broadcast.
+    ``block_lines``: lines of an index block, more only where the directory would pass its bound.
     """
+    spark = pages.sparkSession
     body = F.coalesce(F.col(html), F.lit(""))
     src = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"), F.sha1(body.cast("binary")).alias("sha"), F.octet_length(body).alias("n"))
-    slim = src.where(F.col("n") >= least).select("key", "sha")
-    firsts = slim.groupBy("sha").agg(F.min("key").alias("first"), F.count("*").alias("many")).where("many > 1")
-    revisits = slim.join(firsts.select("sha", "first"), "sha").where(~F.col("key").eqNullSafe(F.col("first"))).groupBy(F.col("key").alias("k"), F.col("sha").alias("s")).agg(F.max("first").alias("refers"))
-    revisits = scratch.materialize(revisits, "revisits")
-    # pages stay where they are while the list of revisits is short; beyond that both sides are shuffled by key
-    side = F.broadcast(revisits) if revisits.count() <= broadcast_rows else revisits.hint("merge")
-    marked = src.join(side, F.col("key").eqNullSafe(F.col("k")) & (F.col("sha") == F.col("s")), "left").select("key", "url", "html", "refers")
-    archives = scratch.materialize(marked.mapInArrow(_write(date), "archive string, data binary, entries array<struct<surt:string,offset:long,length:long>>"), "archives")
+    marked = _with_firsts(src, least, hot)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    segments = marked.mapInArrow(_write(date), "archive string, data binary, entries array<struct<surt:string,offset:long,length:long>>")
+    archives = scratch.bucketed(segments, "archives", "archive", parts)
     entries = archives.select("archive", F.explode("entries").alias("e")).select("e.surt", "archive", "e.offset", "e.length")
-    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines = max(block_lines, -(-(archives.agg(F.sum(F.size("entries"))).first()[0] or 0) // DIRECTORY))
     ordered = entries.repartitionByRange(parts, "surt", "archive", "offset").sortWithinPartitions("surt", "archive", "offset")
-    blocks = scratch.materialize(ordered.mapInArrow(_blocks, "part int, seq int, first string, data binary"), "index")
-    rows = blocks.groupBy("part", F.floor(F.col("seq") / DIRECTORY_BLOCKS).alias("seq")).agg(F.min("first").alias("first"), F.sort_array(F.collect_list("first")).alias("keys"))
-    return Capture(archives, blocks, scratch.materialize(rows, "directory"))
+    blocks = scratch.materialize(ordered.mapInArrow(_blocks(lines), "block long, first string, data binary"), "index")
+    rows = sorted((r["first"], r["block"]) for r in blocks.select("first", "block").collect())  # bounded: see DIRECTORY
+    return Capture(archives, blocks, ([f for f, _ in rows], [b for _, b in rows]))
 
 
 def export(capture: Capture, folder: str) -> None:
@@ -229,7 +274,7 @@ def export(capture: Capture, folder: str) -> None:
 def op10_warc(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     kind = pages.schema["page_id"].dataType
-    got = write_archives(pages).read_all()
+    got = write_archives(pages).read(pages.select("url"))
     return got.select(F.col("key").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers").cast(kind).alias("refers_to"))
 
 

@@ -533,13 +533,27 @@ def test_warc(spark, data, tmp_path):
     assert sum(gzip.decompress(f.read_bytes()).count(b"WARC/1.1\r\n") for f in files) == pages.count()
 
 
-@pytest.mark.parametrize("broadcast_rows", [1000, 0])
-def test_warc_odd(spark, broadcast_rows):
-    rows = [(1, "http://a.b/x", "q"), (2, "http://a.b/x", "q"), (2, "http://a.b/x", "q"), (None, None, None), (5, "u\nv://É.x/\r", ""), (6, "http://a.b", None), (7, "http://b.a/x", "é" * 50_000), (1, "http://c.d", "q")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("key", F.lit("k"))
-    capture = warc.write_archives(pages, broadcast_rows=broadcast_rows)
-    got = sorted(((r["key"] and int(r["key"]), r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers"] and int(r["refers"])) for r in capture.read_all().collect()), key=str)
+@pytest.mark.parametrize(("hot", "lines"), [(1, 3000), (1000, 1), (2, 2)])
+def test_warc_odd(spark, hot, lines):
+    rows = [(1, "http://a.b/x", "q"), (2, "http://a.b/x", "q"), (2, "http://a.b/x", "q"), (None, None, None), (5, "u\nv://É.x/\r", ""), (6, "http://a.b", None), (7, "http://b.a/x", "é" * 50_000), (1, "http://c.d", "q"), (8, "http://a.b/" + "y" * 90, "z"), (9, "http://a.b/" + "y" * 91, "z")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("key", F.lit("k")).withColumn("sha", F.lit("s"))
+    capture = warc.write_archives(pages, hot=hot, block_lines=lines)
+    got = sorted(((r["key"] and int(r["key"]), r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers"] and int(r["refers"])) for r in capture.read(pages.select("url")).collect()), key=str)
     assert got == sorted(warc.brute_force([(r[0], r[2]) for r in rows]), key=str)
     assert sorted(h["x-page-key"] for h, _ in capture.lookup("http://a.b/x")) == ["1", "2", "2"]
+    assert [h["x-page-key"] for h, _ in capture.lookup(rows[8][1])] == ["8"]
     assert capture.lookup("http://zz.zz/") == [] and capture.lookup("") is not None
-    assert warc.write_archives(pages.where("false")).read_all().count() == 0
+    none = warc.write_archives(pages.where("false"))
+    assert none.read(pages.select("url")).count() == 0
+
+
+def test_warc_text_keys_come_back(spark):
+    pages = spark.createDataFrame([("a %41 é", "http://x.y/1", "p"), ("b", "http://x.y/2", "p")], "page_id string, url string, html string")
+    got = {(r["key"], r["refers"]) for r in warc.write_archives(pages).read(pages.select("url")).collect()}
+    assert got == {("a %41 é", None), ("b", "a %41 é")}
+
+
+def test_warc_leaves_archives_in_place(spark, data):
+    pages = spark.read.parquet(f"{data}/pages.parquet")
+    plan = warc.write_archives(pages).read(pages.select("url"))._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and "SortMergeJoin" not in plan

@@ -65,26 +65,27 @@ def canonical(lengths) -> list[tuple[int, int, int]]:
 
 
 class Code:
-    """A prefix code; ``table`` has symbol and length (its low four bits) for the next ``width`` bits."""
+    """A prefix code; ``pairs`` has symbol and length for the next bits that ``mask`` takes."""
 
     def __init__(self, lengths):
         used, n, _ = _canonical(lengths)
         if not len(used):
             raise ValueError("a prefix code without symbols")
         if len(used) == 1:  # takes no bits
-            self.mask, self.table = 0, [int(used[0]) << 4]
+            self.mask, self.pairs = 0, [(int(used[0]), 0)]
             return
         width = int(n[-1])
         if int((1 << (width - n)).sum()) != 1 << width:
             raise ValueError("a prefix code that is not complete")
         self.mask = (1 << width) - 1
-        self.table = np.repeat(used << 4 | n, 1 << (width - n))[REVERSED[np.arange(1 << width) << (LOOK - width)]].tolist()
+        each, place = list(zip(used.tolist(), n.tolist(), strict=True)), np.repeat(np.arange(len(used)), 1 << (width - n))
+        self.pairs = [each[i] for i in place[REVERSED[np.arange(1 << width) << (LOOK - width)]].tolist()]
 
     def read(self, bits: Bits) -> int:
         i = bits.pos >> 3
-        e = self.table[int.from_bytes(bits.data[i : i + 4], "little") >> (bits.pos & 7) & self.mask]
-        bits.pos += e & 15
-        return e >> 4
+        symbol, n = self.pairs[int.from_bytes(bits.data[i : i + 4], "little") >> (bits.pos & 7) & self.mask]
+        bits.pos += n
+        return symbol
 
 
 #: Code lengths read before: by alphabet and first 64 bits, (bits taken, their value, lengths).
@@ -144,53 +145,41 @@ def _parse_lengths(bits: Bits, alphabet: int) -> list[int]:
     return lengths
 
 
-_several: dict[bytes, list] = {}
+_codes: dict[bytes, Code] = {}
+_triples: dict[bytes, list[tuple[int, int]]] = {}
 
 
-def several(lengths: list[int]) -> list[tuple[bytes, int, int]]:
-    """For the next LOOK bits (no code is longer): the symbols in them, bits taken, how many; kept by the code's lengths."""
+def _code_of(lengths: list[int]) -> Code:
+    """The code of these lengths; codes that many files share are made once."""
     key = bytes(lengths)
-    if key not in _several:
-        if len(_several) > 16:
-            _several.clear()
-        size = 1 << LOOK
-        symbol, length = np.zeros(size, np.uint8), np.zeros(size, np.int64)
-        for s, n, c in canonical(lengths):
-            symbol[c :: 1 << n], length[c :: 1 << n] = s, n
-        taken, many, alive = length.copy(), np.ones(size, np.int64), np.ones(size, bool)
-        out = [bytes([s]) for s in symbol.tolist()]
-        while alive.any():
-            rest = np.arange(size) >> taken
-            alive &= taken + length[rest] <= LOOK
-            for i in np.flatnonzero(alive).tolist():
-                out[i] += bytes([symbol[rest[i]]])
-            taken, many = np.where(alive, taken + length[rest], taken), many + alive
-        _several[key] = list(zip(out, taken.tolist(), many.tolist(), strict=True))
-    return _several[key]
-
-
-def _literals(bits: Bits, lengths: list[int], n: int) -> np.ndarray:
-    """n symbols of one complete code that stand one after the other."""
-    if sum(1 << (LOOK - x) for x in lengths if x) != 1 << LOOK:
-        raise ValueError("a prefix code that is not complete")
-    table = several(lengths)
-    raw = np.frombuffer(bits.data, np.uint8)[bits.pos >> 3 :].astype(np.int32)
-    windows = (raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16).tolist()
-    pos, got, out, mask = bits.pos & 7, 0, [], (1 << LOOK) - 1
-    base = bits.pos - pos
-    add = out.append
-    try:
-        while got < n:
-            symbols, taken, many = table[windows[pos >> 3] >> (pos & 7) & mask]
-            add(symbols)
-            pos += taken
-            got += many
-    except IndexError:
-        raise ValueError("the stream ends too early") from None
-    if got > n:  # the last look went beyond the picture
-        pos -= sum(lengths[s] for s in out[-1][n - got :])
-    bits.pos = base + pos
-    return np.frombuffer(b"".join(out), np.uint8)[:n]
+    if key not in _codes:
+        if len(_codes) > 256:
+            _codes.clear()
+        _codes[key] = Code(lengths)
+    return _codes[key]
+
+
+def _triple(red: list[int], blue: list[int], alpha: list[int], make: bool) -> list[tuple[int, int]] | None:
+    """For the next LOOK bits: red, blue and alpha of a pixel in place, and the bits taken (0: they need more bits).
+
+    Kept by the lengths of the codes; where there is none yet, one is made only if asked, as it has to pay.
+    """
+    key = bytes(red) + bytes(blue) + bytes(alpha)
+    if key not in _triples:
+        if not make:
+            return None
+        if len(_triples) > 16:
+            _triples.clear()
+        at, taken, value = np.arange(1 << LOOK), np.zeros(1 << LOOK, np.int64), np.zeros(1 << LOOK, np.int64)
+        for lengths, shift in ((red, 16), (blue, 0), (alpha, 24)):
+            c = _code_of(lengths)
+            symbol, n = np.array(c.pairs)[at >> taken & c.mask].T
+            value |= symbol << shift
+            taken += n
+            taken = np.minimum(taken, LOOK + 1)
+            at = np.where(taken > LOOK, 0, at)
+        _triples[key] = list(zip(value.tolist(), np.where(taken > LOOK, 255, taken).tolist(), strict=True))
+    return _triples[key]
 
 
 def _number(bits: Bits, symbol: int) -> int:
@@ -214,60 +203,68 @@ def _pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         which = (meta[:, 1].astype(int) << 8 | meta[:, 2]).tolist()
         groups = max(which) + 1
     sizes = (256 + 24 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
-    lengths = [[read_lengths(bits, n) for n in sizes] for _ in range(groups)]
     total = width * height
-    own = lengths[0]
-    if groups == 1 and not cache_bits and own[0][:256] == own[1] == own[2] == own[3] and not any(own[0][256:]) and sum(map(bool, own[1])) > 1:
-        flat = _literals(bits, own[1], 4 * total).reshape(total, 4)  # green, red, blue, alpha
-        return flat[:, [3, 1, 0, 2]]
     codes = []
-    for g in lengths:  # channels often share a code
-        made = {id(x): Code(x) for x in g}
-        codes.append([made[id(x)] for x in g])
+    for _ in range(groups):
+        g = [read_lengths(bits, n) for n in sizes]
+        codes.append([*map(_code_of, g), _triple(*g[1:4], total >= 2048 * groups)])
     out: list[int] = []
     cache = [0] * (1 << cache_bits) if cache_bits else []
     shift, noted = 32 - cache_bits, 0
-    raw = np.frombuffer(bits.data + bytes(8), np.uint8).astype(np.int32)
-    windows = (raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16).tolist()  # 24 bits from each byte on; an item without copies has 60 at most
-    (green, red, blue, alpha, far), pos, end = codes[0], bits.pos, bits.end
-    (gt, gm), (rt, rm), (bt, bm), (at_, am) = ((c.table, c.mask) for c in (green, red, blue, alpha))
-    while (at := len(out)) < total:
-        if which:
-            green, red, blue, alpha, far = codes[which[(at // width >> block) * wide + (at % width >> block)]]
-            (gt, gm), (rt, rm), (bt, bm), (at_, am) = ((c.table, c.mask) for c in (green, red, blue, alpha))
-        e = gt[windows[pos >> 3] >> (pos & 7) & gm]
-        pos += e & 15
-        s = e >> 4
-        if s < 256:
-            e = rt[windows[pos >> 3] >> (pos & 7) & rm]
-            pos += e & 15
-            v = s << 8 | e >> 4 << 16
-            e = bt[windows[pos >> 3] >> (pos & 7) & bm]
-            pos += e & 15
-            v |= e >> 4
-            e = at_[windows[pos >> 3] >> (pos & 7) & am]
-            pos += e & 15
-            out.append(v | e >> 4 << 24)
-        elif s < 280:
-            bits.pos = pos
-            n = _number(bits, s - 256)
-            d = _number(bits, far.read(bits))
-            pos = bits.pos
-            if d > len(NEAR):
-                d -= len(NEAR)
-            else:
-                x, y = NEAR[d - 1]
-                d = max(1, x + y * width)
-            if d > at or at + n > total:
-                raise ValueError("a copy from outside the picture")
-            out += out[at - d : at - d + n] if d >= n else (out[-d:] * (n // d + 1))[:n]
-        else:
-            for v in out[noted:at]:  # entries are made when they are first needed
-                cache[(CACHE_FACTOR * v & 0xFFFFFFFF) >> shift] = v
-            noted = at
-            out.append(cache[s - 280])
-        if pos > end:
-            raise ValueError("the stream ends too early")
+    raw = np.frombuffer(bits.data + bytes(16), np.uint8)
+    words = np.lib.stride_tricks.as_strided(raw[:8].view("<u8"), (len(raw) - 8,), (1,))
+    windows = (words & np.uint64((1 << 60) - 1)).tolist()  # 53 bits or more from each byte on
+    (green, red, blue, alpha, far, three), pos = codes[0], bits.pos
+    (gt, gm), (rt, rm), (bt, bm), (at_, am) = ((c.pairs, c.mask) for c in (green, red, blue, alpha))
+    look, add = (1 << LOOK) - 1, out.append
+    try:
+        while len(out) < total:
+            for _ in range(total - len(out)):  # as many items at most
+                if which:
+                    x, y = len(out) % width, len(out) // width
+                    green, red, blue, alpha, far, three = codes[which[(y >> block) * wide + (x >> block)]]
+                    (gt, gm), (rt, rm), (bt, bm), (at_, am) = ((c.pairs, c.mask) for c in (green, red, blue, alpha))
+                w = windows[pos >> 3] >> (pos & 7)
+                s, n = gt[w & gm]
+                if s < 256:
+                    if three:
+                        v, taken = three[w >> n & look]
+                        if taken < 255:
+                            pos += n + taken
+                            add(v | s << 8)
+                            continue
+                    w >>= n
+                    r, n_red = rt[w & rm]
+                    w >>= n_red
+                    v, n_blue = bt[w & bm]
+                    pos += n + n_red + n_blue
+                    a, n = at_[windows[pos >> 3] >> (pos & 7) & am]
+                    pos += n
+                    add(v | s << 8 | r << 16 | a << 24)
+                elif s < 280:
+                    bits.pos = pos + n
+                    n = _number(bits, s - 256)
+                    d = _number(bits, far.read(bits))
+                    pos, at = bits.pos, len(out)
+                    if d > len(NEAR):
+                        d -= len(NEAR)
+                    else:
+                        x, y = NEAR[d - 1]
+                        d = max(1, x + y * width)
+                    if d > at or at + n > total:
+                        raise ValueError("a copy from outside the picture")
+                    out += out[at - d : at - d + n] if d >= n else (out[-d:] * (n // d + 1))[:n]
+                    break
+                else:
+                    pos += n
+                    for v in out[noted:]:  # entries are made when they are first needed
+                        cache[(CACHE_FACTOR * v & 0xFFFFFFFF) >> shift] = v
+                    noted = len(out)
+                    add(cache[s - 280])
+    except IndexError:
+        raise ValueError("the stream ends too early") from None
+    if pos > bits.end:
+        raise ValueError("the stream ends too early")
     bits.pos = pos
     return np.array(out, ">u4").view(np.uint8).reshape(total, 4)
 
@@ -398,47 +395,6 @@ def huffman(weights, most: int = 15) -> list[int]:
         w = [x and max(x, floor) + floor for x in w]
 
 
-def _prose(upper: bool) -> list[int]:
-    """A code for prose: weights fall along a fixed order of letters; every byte has a code."""
-    order = "etanoirshdlucmgfypwbvkqxjz"
-    w = np.full(256, 0.02)
-    w[32:127] = 0.3
-    w[128:192], w[192:245] = 1.0, 0.4
-    w[0xC3], w[0] = 12, 2
-    w[[32, 10]], w[[44, 46]] = (150, 8), (9, 12)
-    for i, c in enumerate(order):
-        main, rare = (c.upper(), c) if upper else (c, c.upper())
-        w[ord(main)], w[ord(rare)] = 100 * 0.87**i, 1.0
-    return huffman(w)
-
-
-CODES = [_prose(False), _prose(True), [8] * 256]
-
-
-class _Table:
-    def __init__(self, lengths):
-        self.size, self.code = np.array(lengths, np.int64), np.zeros(256, np.uint64)
-        for s, _, c in canonical(lengths):
-            self.code[s] = c
-        self.head = self._header(lengths)
-
-    @staticmethod
-    def _header(lengths) -> list[tuple[int, int]]:
-        """(value, bits): no transforms, no cache, one group: the code four times, and a distance code of one symbol."""
-        out = [(0, 1), (0, 1), (0, 1)]
-        kinds = sorted(set(lengths) | {0})
-        own = huffman([list(lengths).count(k) + 1 if k in kinds else 0 for k in range(19)], 7)
-        words = {s: (c, n) for s, n, c in canonical(own)}
-        for channel in range(4):
-            out += [(0, 1), (15, 4)] + [(own[s], 3) for s in CODE_LENGTH_ORDER]
-            out += [(1, 1), (3, 3), (254, 8)] if channel == 0 else [(0, 1)]  # green: the first 256 lengths only
-            out += [words[n] for n in lengths]
-        return out + [(1, 1), (0, 1), (0, 1), (0, 1)]
-
-
-TABLES = [_Table(x) for x in CODES]
-
-
 MOST = 11  # the longest code of a picture's own codes
 FAR = (1 << 20) - len(NEAR)
 LONGEST = 4096
@@ -476,23 +432,33 @@ def _lengths(count: np.ndarray) -> list[int]:
 
 
 def _runs(lengths: list[int]) -> np.ndarray:
-    """Code lengths as rows of symbol, extra value and extra bits, runs of zeros shortened."""
-    out, zeros = [], 0
-    for n in [*lengths, -1]:
-        if n == 0:
-            zeros += 1
-            continue
-        while zeros > 2:
-            k = min(zeros, 138)
-            out += (18, k - 11, 7) if k > 10 else (17, k - 3, 3)
-            zeros -= k
-        out += (0, 0, 0) * zeros
-        zeros = 0
-        if n > 0:
+    """Code lengths as rows of symbol, extra value and extra bits, runs shortened."""
+    out, at = [], 0
+    while at < len(lengths):
+        n, end = lengths[at], at + 1
+        while end < len(lengths) and lengths[end] == n:
+            end += 1
+        many = end - at
+        at = end
+        if n:
             out += (n, 0, 0)
+            many -= 1
+        while many > 2:
+            if n:
+                k = min(many, 6)
+                out += (16, k - 3, 2)
+            else:
+                k = min(many, 138)
+                out += (18, k - 11, 7) if k > 10 else (17, k - 3, 3)
+            many -= k
+        out += (n, 0, 0) * many
     return np.array(out, np.int64).reshape(-1, 3)
 
 
+def _fields(*pairs: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([v for v, _ in pairs], np.uint64), np.array([n for _, n in pairs], np.int64)
+
+
 _KINDS = np.array(CODE_LENGTH_ORDER)
 _THREE = np.full(19, 3)
 
@@ -528,11 +494,12 @@ def _symbol(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(v > 4, 2 * top + (w >> (top - 1) & 1), w), w & ((1 << extra) - 1), extra
 
 
-def _bits_for(count: np.ndarray) -> float:
-    """About the bits of symbols of these counts, with their code."""
-    c = count[count > 0]
-    n = int(c.sum())
-    return n * math.log2(n) - float(c @ np.log2(c)) + 5 * len(c) if n else 0.0
+def _bits_for(counts: list[np.ndarray]) -> float:
+    """About the bits of symbols of several codes with these counts, and of the codes."""
+    c = np.concatenate(counts)
+    c = c[c > 0]
+    totals = [n for x in counts if (n := int(x.sum()))]
+    return sum(n * math.log2(n) for n in totals) - float(c @ np.log2(c)) + 5 * len(c)
 
 
 _near: dict[int, dict[int, int]] = {}
@@ -571,8 +538,41 @@ def _copies(v: np.ndarray) -> list[tuple[int, int, int]]:
     return out
 
 
-def _picture(v: np.ndarray, width: int, main: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(values, bits) of an entropy-coded picture with copies, a colour cache where it pays, and codes of its own."""
+CACHE = 7  # bits of the colour cache
+
+
+def _letters(upper: bool, accents: bool = False) -> np.ndarray:
+    """Weights of bytes of prose: they fall along a fixed order of letters; bytes that prose never has have none."""
+    order = "etanoirshdlucmgfypwbvkqxjz"
+    w = np.zeros(256)
+    w[32:127] = 0.3
+    w[128:160], w[160:192], w[192:198] = 0.5, 4.0 if accents else 1.0, 0.5
+    w[0xC3], w[0] = 40 if accents else 6, 2
+    w[[32, 10]], w[[44, 46]] = (150, 8), (9, 12)
+    for i, c in enumerate(order):
+        main, rare = (c.upper(), c) if upper else (c, c.upper())
+        w[ord(main)], w[ord(rare)] = 100 * 0.87**i, 1.0
+    return w
+
+
+class _Shared:
+    """Codes that many files share, so that neither side has to make them anew."""
+
+    def __init__(self, w: np.ndarray):
+        w = w / w.sum()
+        lengths, cached = 0.02 * 0.7 ** np.arange(24), np.full(1 << CACHE, 0.1 / (1 << CACHE))
+        scale = lambda x: np.where(x > 0, np.maximum(1, np.round(1e6 * x)), 0).astype(np.int64)
+        first, rest, far = _code(scale(np.concatenate([w, lengths, cached]))), _code(scale(w)), _code(scale(0.5 + np.arange(40) / 20))
+        self.codes = [first, rest, rest, rest, far]
+        self.bits = sum(int(c[1].sum()) for c in self.codes)
+
+        self.price = np.concatenate([np.where(c[3] > 0, c[3], 1 << 30) for c in self.codes])  # a byte without a code rules the set out
+
+def _picture(v: np.ndarray, width: int, main: bool, shared: bool = False) -> tuple[np.ndarray, np.ndarray] | None:
+    """(values, bits) of an entropy-coded picture with copies and a colour cache where it pays.
+
+    With codes of its own, or by ``shared`` codes, if these suit it (else None).
+    """
     n = len(v)
     taken = np.zeros(n, bool)
     copies = np.array(_copies(v), np.int64).reshape(-1, 3)
@@ -586,32 +586,41 @@ def _picture(v: np.ndarray, width: int, main: bool) -> tuple[np.ndarray, np.ndar
     green, red, blue, alpha = ((x >> np.uint32(k) & np.uint32(255)).astype(np.int64) for k in (8, 16, 0, 24))
     length, l_value, l_extra = _symbol(copies[:, 1])
     dist, d_value, d_extra = _symbol(_distances(copies[:, 2], width))
-
-    def counts(cached, slot, bits):
-        first = np.where(cached, 280 + slot, green)
+    d_count = np.bincount(dist, minlength=40)
+
+    def counts(bits):
+        first, plain = green.copy(), ~copied
+        if bits:
+            slots = v * np.uint32(CACHE_FACTOR) >> np.uint32(32 - bits)
+            order = np.argsort(slots, kind="stable")
+            hit = np.zeros(n, bool)
+            hit[order[1:]] = (v[order[1:]] == v[order[:-1]]) & (slots[order[1:]] == slots[order[:-1]])
+            cached = hit[at] & plain
+            first[cached] = 280 + slots[at[cached]].astype(np.int64)
+            plain &= ~cached
         first[copied] = 256 + length
-        plain = ~cached & ~copied
-        return first, plain, [np.bincount(first, minlength=280 + (1 << bits if bits else 0)), *(np.bincount(c[plain], minlength=256) for c in (red, blue, alpha)), np.bincount(dist, minlength=40)]
-
-    cache, none = 0, np.zeros(len(at), bool)
-    first, plain, count = counts(none, 0, 0)
-    if n > 8:
-        bits = min(10, max(2, n.bit_length() - 2))
-        slots = v * np.uint32(CACHE_FACTOR) >> np.uint32(32 - bits)
-        order = np.argsort(slots, kind="stable")
-        hit = np.zeros(n, bool)
-        hit[order[1:]] = (v[order[1:]] == v[order[:-1]]) & (slots[order[1:]] == slots[order[:-1]])
-        other = counts(hit[at] & ~copied, slots[at].astype(np.int64), bits)
-        if sum(map(_bits_for, other[2])) < sum(map(_bits_for, count)):
-            cache, (first, plain, count) = bits, other
+        each = np.bincount(np.concatenate([red[plain], blue[plain] + 256, alpha[plain] + 512]), minlength=768)
+        return first, plain, [np.bincount(first, minlength=280 + (1 << bits if bits else 0)), *each.reshape(3, 256), d_count]
+
+    cache, codes = 0, None
+    other = counts(CACHE) if n > 8 else None
+    if shared:
+        if other is None:
+            return None
+        own = _bits_for(other[2])
+        price = BITS + PRICES @ np.concatenate(other[2])
+        best = int(np.argmin(price))
+        if price[best] > max(1.1 * own + 300, min(0.68 * 32 * n + 900, 1.4 * own + 1500)):  # codes of its own would save much
+            return None
+        codes, cache, (first, plain, count) = SHARED[best].codes, CACHE, other
+    else:
+        first, plain, count = counts(0)
+        if other and _bits_for(other[2]) < _bits_for(count):
+            cache, (first, plain, count) = CACHE, other
     head = [(1, 1), (cache, 4)] if cache else [(0, 1)]
     if main:
         head.append((0, 1))
-    joint = count[1] + count[2] + count[3]
-    own = sum(map(_bits_for, count))
-    # one code for three channels that are alike (text) is read once
-    alike = own - sum(map(_bits_for, count[1:4])) + _bits_for(joint) + 10 * np.count_nonzero(joint) <= 1.02 * own
-    codes = [_code(count[0]), *([_code(joint)] * 3 if alike else map(_code, count[1:4])), _code(count[4])]
+    codes = codes or [*map(_code, count)]
     value, size = codes[0][2][first], codes[0][3][first]
     for (*_, code, bits), symbol in zip(codes[1:4], (red, blue, alpha), strict=True):
         value[plain] |= code[symbol[plain]] << size[plain].astype(np.uint64)
@@ -623,41 +632,37 @@ def _picture(v: np.ndarray, width: int, main: bool) -> tuple[np.ndarray, np.ndar
     return np.concatenate([v for v, _ in parts]), np.concatenate([n for _, n in parts])
 
 
+SHARED = [_Shared(w) for w in (_letters(False), _letters(False, True), _letters(True))]
+BITS, PRICES = np.array([x.bits for x in SHARED]), np.stack([x.price for x in SHARED])
+
+
 def _argb(px: np.ndarray) -> np.ndarray:
     """Pixels (a, r, g, b) as numbers."""
     return np.ascontiguousarray(px, np.uint8).view(">u4").ravel().astype(np.uint32)
 
 
-def _fields(*pairs: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    return np.array([v for v, _ in pairs], np.uint64), np.array([n for _, n in pairs], np.int64)
-
-
-_OWN = np.arange(4, dtype=np.int16) * 256
-
-
-def _channels(px: np.ndarray) -> float:
-    c = np.bincount((px + _OWN).ravel())
-    c = c[c > 0]
-    return 4 * len(px) * math.log2(len(px)) - float(c @ np.log2(c)) + 5 * len(c)
-
-
-def _neighbours(p: np.ndarray, width: int) -> list[np.ndarray]:
-    """Left, top, top right and top left neighbours (of the top row and the left column they are of no use)."""
-    flat = np.concatenate([np.zeros((width + 1, 4), p.dtype), p, np.zeros((1, 4), p.dtype)])
-    n, o = len(p), width + 1
-    return [flat[o - k : o - k + n] for k in (1, width, width - 1, width + 1)]
-
-
-def _predicted(px: np.ndarray, width: int):
-    """(mode, differences from its prediction) for each of MODES."""
-    near = _neighbours(px.astype(np.int16), width)
-    left, top = near[:2]
-    for mode in MODES:
-        guess = _predict(mode, *near).astype(np.uint8)
-        guess[::width] = top[::width]
-        guess[:width] = left[:width]
-        guess[0] = [255, 0, 0, 0]
-        yield mode, px - guess
+def _channels(variants: np.ndarray) -> np.ndarray:
+    """About the bits of each variant (variant, pixel, channel), by the counts of its channels' values."""
+    m, n, _ = variants.shape
+    count = np.bincount((variants + (np.arange(4 * m, dtype=np.int32) * 256).reshape(m, 1, 4)).ravel(), minlength=1024 * m).reshape(m, 1024)
+    some = count > 0
+    return 4 * n * math.log2(n) - (count * np.log2(np.where(some, count, 1))).sum(1) + 5 * some.sum(1)
+
+
+def _predicted(px: np.ndarray, width: int) -> list[np.ndarray]:
+    """Differences from the prediction of each of MODES."""
+    flat = np.concatenate([np.zeros((width + 1, 4), np.uint8), px])
+    n, o = len(px), width + 1
+    left, top, corner = (flat[o - k : o - k + n] for k in (1, width, width + 1))
+    slope = np.clip(left.astype(np.int16) + top - corner, 0, 255).astype(np.uint8)
+    out = []
+    for guess in (left, top, slope):
+        r = px - guess
+        r[::width] = (px - top)[::width]
+        r[:width] = (px - left)[:width]
+        r[0] = px[0] - np.array([255, 0, 0, 0], np.uint8)
+        out.append(r)
+    return out
 
 
 def _crossed(px: np.ndarray) -> tuple[np.ndarray, list[int]]:
@@ -671,72 +676,63 @@ def _crossed(px: np.ndarray) -> tuple[np.ndarray, list[int]]:
     return out, factors
 
 
-MODES = (1, 2, 4, 7, 12)  # left, top, top left, mean, gradient
+MODES = (1, 2, 12)  # left, top, gradient
+
+
+def _less_green(px: np.ndarray) -> np.ndarray:
+    out = px.copy()
+    out[:, [1, 3]] -= px[:, [2]]
+    return out
 
 
-def _ways(px: np.ndarray, width: int, height: int):
-    """Ways to code a picture: lists of (values, bits) before the last closing bit."""
+def _coded(px: np.ndarray, width: int, height: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(values, bits) of a picture from its transforms on: by shared codes if they suit it, else as its channels' counts favour."""
     v = _argb(px)
-    yield [_picture_of(v, width)]
-    distinct, index = np.unique(v, return_inverse=True)
+    if plain := _picture(v, width, True, True):
+        return [_LAST, plain]
+    crossed, factors = _crossed(px)
+    cost = _channels(np.stack([px, *_predicted(px, width), crossed, _less_green(px)]))
+    cost[4] += 60
+    cost[5] += 3
+    distinct = np.unique(v)
     k = len(distinct)
-    if k <= 256 and 2 * k <= len(v):
-        packed = 3 if k <= 2 else 2 if k <= 4 else 1 if k <= 16 else 0
-        per, bits = 1 << packed, 8 >> packed
-        wide = -(-width // per)
-        cells = np.zeros((height, wide * per), np.int64)
-        cells[:, :width] = index.reshape(height, width)
-        cells = (cells.reshape(height, wide, per) << np.arange(per) * bits).sum(2).ravel()
-        table = np.diff(distinct.astype(">u4").view(np.uint8).reshape(-1, 4), axis=0, prepend=np.zeros((1, 4), np.uint8))
-        yield [_fields((1, 1), (3, 2), (k - 1, 8)), _picture(_argb(table), k, False), _picture_of((cells << 8).astype(np.uint32), wide)]
-    # transforms, where the channels alone take fewer bits with them
-    least = _channels(px)
-    block = 9
+    if 2 * k <= len(v) and k <= 256:
+        index = np.searchsorted(distinct, v)
+        c = np.bincount(index)
+        if len(v) * math.log2(len(v)) - float(c @ np.log2(c)) + 25 * k < cost.min():
+            packed = 3 if k <= 2 else 2 if k <= 4 else 1 if k <= 16 else 0
+            per, bits = 1 << packed, 8 >> packed
+            wide = -(-width // per)
+            cells = np.zeros((height, wide * per), np.int64)
+            cells[:, :width] = index.reshape(height, width)
+            cells = (cells.reshape(height, wide, per) << np.arange(per) * bits).sum(2).ravel()
+            table = np.diff(distinct.astype(">u4").view(np.uint8).reshape(-1, 4), axis=0, prepend=np.zeros((1, 4), np.uint8))
+            return [_fields((1, 1), (3, 2), (k - 1, 8)), _picture(_argb(table), k, False), _LAST, _picture((cells << 8).astype(np.uint32), wide, True)]
+    best = int(cost.argmin())
     places = (-(-width // 512)) * (-(-height // 512))
-    best = None
-    for mode, r in _predicted(px, width):
-        if (b := _channels(r)) < least:
-            least, best = b, (mode, r)
+    flat = lambda pixel: _picture(np.full(places, pixel, np.uint32), -(-width // 512), False)  # noqa: E731  one value for all blocks
     steps = []
-    if best:
-        steps += [_fields((1, 1), (0, 2), (block - 2, 3)), _picture(np.full(places, best[0] << 8, np.uint32), -(-width // 512), False)]
-        px = best[1]
-    crossed, (green_red, green_blue) = _crossed(px)
-    if _channels(crossed) + 60 < least:
-        least, px = _channels(crossed), crossed
-        steps += [_fields((1, 1), (1, 2), (block - 2, 3)), _picture(np.full(places, green_blue << 8 | green_red, np.uint32), -(-width // 512), False)]
-    less = px.copy()
-    less[:, [1, 3]] -= px[:, [2]]
-    if _channels(less) + 3 < least:
-        px = less
+    if 0 < best < 4:
+        steps += [_fields((1, 1), (0, 2), (7, 3)), flat(MODES[best - 1] << 8)]
+        px = _predicted(px, width)[best - 1]
+        crossed, factors = _crossed(px)
+        again = _channels(np.stack([px, crossed, _less_green(px)])) + [0, 60, 3]
+        best = (0, 4, 5)[int(again.argmin())]
+    if best == 4:
+        steps += [_fields((1, 1), (1, 2), (7, 3)), flat(factors[1] << 8 | factors[0])]
+        px = crossed
+    elif best == 5:
         steps.append(_fields((1, 1), (2, 2)))
-    if steps:
-        yield [*steps, _picture_of(_argb(px), width)]
-
-
-def _picture_of(v: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The main picture after the bit that ends the list of transforms."""
-    value, size = _picture(v, width, True)
-    return np.concatenate([np.zeros(1, np.uint64), value]), np.concatenate([np.ones(1, np.int64), size])
+        px = _less_green(px)
+    return [*steps, _LAST, _picture(_argb(px), width, True)]
 
 
-def _fixed(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All samples by the best of the fixed codes."""
-    count = np.bincount(samples, minlength=256)
-    t = min(TABLES, key=lambda t: int(count @ t.size))
-    size, code = t.size[samples].reshape(-1, 4), t.code[samples].reshape(-1, 4)
-    at = np.cumsum(size, 1) - size
-    value = (code << at.astype(np.uint64)).sum(1, dtype=np.uint64)  # a pixel has 60 bits at most
-    head = _fields(*t.head)
-    return np.concatenate([head[0], value]), np.concatenate([head[1], size.sum(1)])
+_LAST = np.zeros(1, np.uint64), np.ones(1, np.int64)  # the bit that ends the list of transforms
 
 
 def encode(samples: np.ndarray, width: int, height: int) -> bytes:
-    """The smallest WebP file found of width x height pixels whose samples stand in coding order (green, red, blue, alpha)."""
-    px = samples.reshape(-1, 4)[:, [3, 1, 0, 2]]
-    ways = [[_fixed(samples)], *_ways(px, width, height)]
-    best = min(ways, key=lambda w: sum(int(n.sum()) for _, n in w))
-    parts = [_fields((SIGNATURE, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3)), *best]
+    """The WebP file of width x height pixels whose samples stand in coding order (green, red, blue, alpha)."""
+    parts = [_fields((SIGNATURE, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3)), *_coded(samples.reshape(-1, 4)[:, [3, 1, 0, 2]], width, height)]
     value, n = (np.concatenate(x) for x in zip(*parts, strict=True))
     end = np.cumsum(n)
     begin = end - n

@@ -1,66 +1,38 @@
 """Benchmark decontamination by winnowing.
 
-Both sides keep the least k-gram hash of each window of ``w`` consecutive k-grams (k + w - 1 words), so every shared span
-of that many words shares a kept fingerprint.  Fingerprints of documents that a benchmark item also has are extended:
-all windows of ``span`` words around the hit are compared with the item's windows.  The work is one map over the
-documents; the benchmark's index is broadcast in blocks of at most ``block_bytes`` text, one pass for each block.
-
-Defined cases: null and empty texts have no words and are clean; null or empty items are ignored; an item of fewer than
-``span`` words is one window; repeated rows each get a result; equal items under several ids are all reported.
+The fingerprint of a window of ``span`` words is the least of the hashes of its k-grams; a text keeps those of all its
+windows.  Equal windows have equal fingerprints, so every shared window, and with it every longer shared span, meets.
+
+1. The benchmark becomes a table of windows (fingerprint, hash of the window, items).  A bitmap of its fingerprints, of
+   ``BITMAP`` bits whatever the benchmark's size, is broadcast.
+2. One map over the documents winnows each text, keeps windows whose fingerprint is in the bitmap, and adds the hash of the
+   whole window: a candidate of a distinct window is one row with all its places.  Texts without candidates are done.
+3. Candidates are joined with the benchmark's table by fingerprint and window (128 bits).  Both sides carry a salt, so a
+   passage that very many documents share is spread over ``SALTS`` tasks.
+4. Hits of a text are extended to maximal runs of hit words.
+
+An item of fewer words than ``span`` is one window; its fingerprint is the least of its own k-grams (of fewer than k words:
+its hash).  A larger bitmap load only sends more candidates to the join; results do not depend on it.
+
+Defined cases: null and empty texts have no words and are clean; null or empty items are ignored; repeated rows each get a
+result; equal items under several ids are all reported.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import text as tx
-
-#: A block of the benchmark that one broadcast holds.  Its index has about 5 bytes for each byte of text.
-BLOCK_BYTES = 16 << 20
-
-
-class Index:
-    """Fingerprints and windows of a block of items: sorted hashes and, for windows, the items that have them."""
-
-    def __init__(self, ids: list, texts: list, span: int, k: int):
-        self.k, self.span, self.w = k, span, span - k + 1
-        self.ids = ids
-        marks, windows = [], {}  # windows by number of words
-        buf, off = tx.buffer_of(pa.array(texts, pa.large_string()))
-        for lo, hi in tx.slices(off):
-            w = tx.words(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-            n = np.diff(w.off)
-            for size in {min(x, span) for x in n.tolist() if x}:
-                g = tx.grams(w.hash, size)
-                which = np.flatnonzero(n >= size if size == span else n == size)
-                at = tx.expand(w.off[which], n[which] - size + 1)
-                windows.setdefault(size, []).append((g[at], np.repeat(which + lo, n[which] - size + 1)))
-            marks.append(fingerprints(w.hash, w.off, k, self.w)[1])
-        self.marks = np.unique(np.concatenate(marks)) if marks else np.zeros(0, tx.U64)
-        self.windows = {}
-        for size, parts in windows.items():
-            h, item = (np.concatenate(x) for x in zip(*parts, strict=True))
-            pair = np.unique(np.stack([h, item.astype(tx.U64)], 1), axis=0)
-            hashes, first = np.unique(pair[:, 0], return_index=True)
-            self.windows[size] = (hashes, np.append(first, len(pair)), pair[:, 1].astype(np.int64))
-
-
-def fingerprints(h: np.ndarray, off: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
-    """Winnowed k-grams of a slice: start words and hashes.  ``h``: word hashes; ``off``: words of each text."""
-    g = tx.grams(h, k)
-    if not len(g):
-        return np.zeros(0, np.int64), g
-    # ranges of k-grams of each text; those that cross into the next text lie outside every range
-    lo, hi = off[:-1], np.maximum(off[1:] - k + 1, off[:-1])
-    bounds = np.stack([lo, hi], 1).ravel()
-    at = np.flatnonzero(tx.minima(g, np.minimum(bounds, len(g)), w))
-    return at, g[at]
+from . import scratch, text as tx
+
+BITMAP = 1 << 26
+SALTS = 16
+_CANDIDATES = "array<struct<h:bigint,w:bigint,size:int,starts:array<int>>>"
+_RUNS = "array<struct<start:bigint,end:bigint>>"
 
 
 def found(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -71,113 +43,136 @@ def found(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(sorted_values[at] == x, at, -1)
 
 
-def scan(w: tx.Words, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hit words of a slice (booleans), and pairs (text, item) of items with occurring windows."""
-    hit = np.zeros(len(w.hash) + 1, np.int32)
-    doc = w.doc
-    pairs = []
-    for size, (hashes, first, items) in index.windows.items():
-        g = tx.grams(w.hash, size)
-        if size == index.span:
-            at, marks = fingerprints(w.hash, w.off, index.k, index.w)
-            at = at[found(index.marks, marks) >= 0]
-            start = np.unique((at[:, None] - np.arange(index.w)).ravel())  # extend each hit to all windows around it
-        else:
-            start = np.arange(len(g))
-        start = start[(start >= 0) & (start < len(g))]
-        start = start[doc[start] == doc[start + size - 1]]
-        place = found(hashes, g[start])
-        start, place = start[place >= 0], place[place >= 0]
-        np.add.at(hit, start, 1)
-        np.add.at(hit, start + size, -1)
-        seen = np.unique(np.stack([doc[start], place], 1), axis=0)
-        many = first[seen[:, 1] + 1] - first[seen[:, 1]]
-        pairs.append(np.stack([np.repeat(seen[:, 0], many), items[tx.expand(first[seen[:, 1]], many)]], 1))
-    pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
-    return np.cumsum(hit)[:-1] > 0, pairs[:, 0], pairs[:, 1]
-
-
-def _kernel(index, hits_only: bool):
-    """Rows (key, n_words, runs of hit words, items) of a batch with columns key and text."""
+def fingerprints(h: np.ndarray, size: int, k: int) -> np.ndarray:
+    """The fingerprint of the window of ``size`` words from each word on (``h``: word hashes)."""
+    return tx.slide(tx.grams(h, k), size - k + 1, np.minimum) if size > k and len(h) >= size else tx.grams(h, size)
+
+
+def _windows(span: int, k: int):
+    """Rows (id, h, w, size) of the distinct windows of each item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: Index = index.value
-        ids = np.array([str(x) for x in block.ids], object)
         for batch in batches:
             buf, off = tx.buffer_of(batch.column("text"))
             for lo, hi in tx.slices(off):
                 w = tx.words(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                hit, docs, items = scan(w, block)
                 n = np.diff(w.off)
-                step = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
-                step[w.off[1:-1]] = 0  # a run that goes on in the next text ends and begins there
-                both = w.off[1:-1][(w.off[1:-1] > 0) & (w.off[1:-1] < len(hit))]
-                both = both[hit[both - 1] & hit[both]] if len(hit) else both
-                edge = w.off[1:-1]
-                edge = edge[(edge < len(hit)) & (edge >= 0)]
-                starts = np.unique(np.concatenate([np.flatnonzero(step > 0), both, edge[hit[edge]] if len(hit) else edge]))
-                prior = w.off[1:-1]
-                prior = prior[prior > 0]
-                ends = np.unique(np.concatenate([np.flatnonzero(step < 0), both, prior[hit[prior - 1]] if len(hit) else prior]))
-                owner = np.searchsorted(w.off, starts, "right") - 1
-                runs_at = np.searchsorted(owner, np.arange(hi - lo + 1))
-                base = w.off[owner]
-                items_at = np.searchsorted(docs, np.arange(hi - lo + 1))
-                runs = pa.ListArray.from_arrays(
-                    pa.array(runs_at, pa.int32()),
-                    pa.StructArray.from_arrays([pa.array(starts - base, pa.int64()), pa.array(ends - base, pa.int64())], ["start", "end"]),
-                )
-                names = pa.ListArray.from_arrays(pa.array(items_at, pa.int32()), pa.array(ids[items], pa.string()))
-                out = pa.RecordBatch.from_arrays([batch.column("key").slice(lo, hi - lo), pa.array(n, pa.int64()), runs, names], ["key", "n_words", "runs", "items"])
-                yield out.filter(pa.array(np.diff(runs_at) > 0)) if hits_only else out
+                for size in sorted({min(x, span) for x in n.tolist() if x}):
+                    which = np.flatnonzero(n >= size if size == span else n == size)
+                    at = tx.expand(w.off[which], n[which] - size + 1)
+                    item = np.repeat(which, n[which] - size + 1)
+                    h, full = fingerprints(w.hash, size, k)[at], tx.grams(w.hash, size)[at]
+                    _, one = np.unique(np.stack([item.astype(tx.U64), full], 1), axis=0, return_index=True)
+                    ids = batch.column("id").slice(lo, hi - lo).take(pa.array(item[one]))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(h[one].view(np.int64)), pa.array(full[one].view(np.int64)), pa.array(np.full(len(one), size), pa.int32())], ["id", "h", "w", "size"])
+
+    return run
+
+
+class Benchmark:
+    """The benchmark's windows (h, w, items) as a table, its sizes of windows, and the bitmap of its fingerprints."""
+
+    def __init__(self, items: DataFrame, item_key: str, item_text: str, span: int, k: int):
+        src = items.select(F.col(item_key).cast("string").alias("id"), F.col(item_text).alias("text")).where("text is not null and id is not null")
+        rows = scratch.materialize(src.mapInArrow(_windows(span, k), "id string, h long, w long, size int"), "benchmark-windows")
+        self.table = rows.groupBy("h", "w").agg(F.collect_set("id").alias("items"))
+        self.sizes = sorted(r[0] for r in rows.select("size").distinct().collect())  # at most ``span`` of them
+        words = rows.withColumn("bit", F.pmod(F.col("h"), F.lit(BITMAP))).groupBy(F.shiftright("bit", 6).cast("int").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits"))
+        got = words.toPandas()  # at most BITMAP / 64 rows
+        bitmap = np.zeros(BITMAP // 64, np.int64)
+        bitmap[got["at"].to_numpy()] = got["bits"].to_numpy()
+        self.bitmap = items.sparkSession.sparkContext.broadcast(bitmap.view(tx.U64))
+
+
+def _kernel(bitmap, sizes: list[int], k: int):
+    """Each row with n_words, sha (of texts with candidates, else null) and its candidates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bitmap.value
+        for batch in batches:
+            buf, off = tx.buffer_of(batch.column("text"))
+            for lo, hi in tx.slices(off):
+                body, local = buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
+                w = tx.words(body, local)
+                doc, parts = w.doc, [np.zeros((0, 5), np.int64)]
+                for size in sizes:
+                    h = fingerprints(w.hash, size, k)
+                    slot = h & tx.U64(BITMAP - 1)
+                    start = np.flatnonzero(bits[slot >> tx.U64(6)] >> (slot & tx.U64(63)) & tx.U64(1))
+                    start = start[doc[start] == doc[start + size - 1]]
+                    full = tx.grams(w.hash, size)[start] if len(start) else h[start]
+                    parts.append(np.stack([doc[start], h[start].view(np.int64), full.view(np.int64), np.full(len(start), size), start - w.off[doc[start]]], 1))
+                rows = np.concatenate(parts)
+                rows = rows[np.lexsort(rows.T[::-1])]
+                head = np.flatnonzero(np.r_[True, (rows[1:, :4] != rows[:-1, :4]).any(1)]) if len(rows) else np.zeros(0, np.int64)
+                starts = pa.ListArray.from_arrays(pa.array(np.append(head, len(rows)), pa.int32()), pa.array(rows[:, 4], pa.int32()))
+                fields = [pa.array(rows[head, 1]), pa.array(rows[head, 2]), pa.array(rows[head, 3], pa.int32()), starts]
+                at = np.searchsorted(rows[head, 0], np.arange(hi - lo + 1))
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays(fields, ["h", "w", "size", "starts"]))
+                some = np.diff(at) > 0
+                sha = [hashlib.sha256(body[a:b]).digest() if x else None for a, b, x in zip(local[:-1].tolist(), local[1:].tolist(), some.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(lo, hi - lo), pa.array(np.diff(w.off), pa.int64()), pa.array(sha, pa.binary()), lists], ["key", "n_words", "sha", "candidates"])
 
     return run
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", span: int = 10, k: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _joined_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of each text (arrays of start and size) joined to maximal runs."""
+    for batch in batches:
+        lists = batch.column("windows")
+        row = np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))
+        inner = lists.flatten()
+        starts = inner.field("starts")
+        many = np.diff(starts.offsets.to_numpy())
+        row, size = np.repeat(row, many), np.repeat(inner.field("size").to_numpy(), many).astype(np.int64)
+        start = starts.flatten().to_numpy().astype(np.int64)
+        order = np.lexsort((start, row))
+        row, start, end = row[order], start[order], (start + size)[order]
+        base = row * (int(end.max(initial=0)) + 2)  # rows apart, so that one running maximum serves all
+        top = np.maximum.accumulate(end + base)
+        new = np.r_[True, start[1:] + base[1:] > top[:-1]] if len(row) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(row)) - 1
+        fields = [pa.array(start[first]), pa.array(top[last] - base[last])]
+        runs = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[first], np.arange(len(batch) + 1)), pa.int32()), pa.StructArray.from_arrays(fields, ["start", "end"]))
+        yield pa.RecordBatch.from_arrays([batch.column("sha"), runs, batch.column("items")], ["sha", "runs", "items"])
+
+
+def _marked(rows: DataFrame, bench: Benchmark, k: int) -> DataFrame:
+    """``rows`` (key, text) as key, n_words, sha, candidates."""
+    kind = rows.schema["key"].dataType.simpleString()
+    return rows.mapInArrow(_kernel(bench.bitmap, bench.sizes, k), f"key {kind}, n_words long, sha binary, candidates {_CANDIDATES}")
+
+
+def _hits(marked: DataFrame, bench: Benchmark) -> DataFrame:
+    """sha, runs, items of the texts that share windows with items."""
+    each = marked.where("size(candidates) > 0").select("sha", F.inline("candidates")).dropDuplicates(["sha", "h", "w"])
+    each = each.withColumn("salt", F.pmod(F.xxhash64("sha"), F.lit(SALTS)).cast("int"))
+    items = bench.table.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    met = each.join(items, ["h", "w", "salt"]).groupBy("sha")
+    whole = met.agg(F.collect_list(F.struct("size", "starts")).alias("windows"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return whole.mapInArrow(_joined_runs, f"sha binary, runs {_RUNS}, items array<string>")
+
+
+def _salted(rows: DataFrame, hits: DataFrame, how: str) -> DataFrame:
+    """Rows joined with hits by sha, copies of one text spread over several tasks."""
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))
+    return rows.withColumn("salt", salt).join(hits.withColumn("salt", F.explode(F.array(*(F.lit(i).cast("long") for i in range(SALTS))))), ["sha", "salt"], how)
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", span: int = 10, k: int = 5) -> DataFrame:
     """One row per document: ``key``, n_words, runs (array of start, end of hit words) and items (sorted item ids as strings).
 
-    ``span``: words of a window; ``k``: words of a fingerprint.  With one block the plan is a single map without shuffle;
-    with more, hits of each block are merged by (key, digest of the text), so repeated keys keep their own results.
+    ``span``: words of a window; ``k``: words of a k-gram.
     """
-    spark = docs.sparkSession
-    bench = items.select(F.col(item_key).alias("id"), F.col(item_text).alias("t")).where("t is not null and id is not null")
-    total = bench.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_bytes))
-    src = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    shape = "n_words long, runs array<struct<start:long,end:long>>, items array<string>"
-    kind = src.schema["key"].dataType.simpleString()
-
-    def part(b: int):
-        rows = bench.where(F.pmod(F.xxhash64("id", "t"), F.lit(blocks)) == b).collect()  # at most about block_bytes of text
-        return spark.sparkContext.broadcast(Index([r[0] for r in rows], [r[1] for r in rows], span, k))
-
-    if blocks == 1:
-        out = src.mapInArrow(_kernel(part(0), False), f"key {kind}, {shape}")
-    else:
-        src = src.select(F.struct("key", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha")).alias("key"), "text")
-        kind = src.schema["key"].dataType.simpleString()
-        base = src.mapInArrow(_kernel(spark.sparkContext.broadcast(Index([], [], span, k)), False), f"key {kind}, {shape}").select("key", "n_words")
-        parts = [src.mapInArrow(_kernel(part(b), True), f"key {kind}, {shape}") for b in range(blocks)]
-        hits = parts[0]
-        for p in parts[1:]:
-            hits = hits.union(p)
-        hits = hits.groupBy(F.col("key").alias("k2")).agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"), F.flatten(F.collect_list("items")).alias("items"))
-        joined = base.join(hits, base["key"].eqNullSafe(hits["k2"]), "left")
-        out = joined.select(F.col("key.key").alias("key"), "n_words", *(F.coalesce(F.col(c), F.array().cast(hits.schema[c].dataType)).alias(c) for c in ("runs", "items")))
-    return out.select(F.col("key").alias(key), "n_words", merged(F.col("runs")).alias("runs"), F.array_sort(F.array_distinct("items")).alias("items"))
-
-
-def merged(runs):
-    """The union of runs (array of start, end), as disjoint runs in order."""
-    kind = "array<struct<start:bigint,end:bigint>>"
-
-    def step(acc, r):
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], r["end"]).alias("end"))))
-        return F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["end"] >= r["start"]), joined).otherwise(F.concat(acc, F.array(r)))
-
-    return F.when(F.size(runs) < 2, runs).otherwise(F.aggregate(F.array_sort(runs), F.array().cast(kind), step))
+    bench = Benchmark(items, item_key, item_text, span, k)
+    marked = scratch.materialize(_marked(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), bench, k), "candidates")
+    none = [F.array().cast(_RUNS).alias("runs"), F.array().cast("array<string>").alias("items")]
+    hits = scratch.materialize(_hits(marked, bench), "hits")
+    clean = marked.where("size(candidates) = 0").select("key", "n_words", *none)
+    dirty = _salted(marked.where("size(candidates) > 0").select("key", "n_words", "sha"), hits, "left")
+    dirty = dirty.select("key", "n_words", *(F.coalesce(F.col(c), x).alias(c) for c, x in zip(("runs", "items"), none, strict=True)))
+    return clean.union(dirty).withColumnRenamed("key", key)
 
 
 def digest_columns(found: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -189,10 +184,18 @@ def digest_columns(found: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, *, text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that share no window with any item, with all their columns."""
-    rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
-    return decontaminate(rows, items, key="row", **options).where(F.size("runs") == 0).select("row.*")
+def keep_clean(docs: DataFrame, items: DataFrame, *, text: str = "text", item_key: str = "item_id", item_text: str = "text", span: int = 10, k: int = 5) -> DataFrame:
+    """The rows of ``docs`` that share no window with any item, with all their columns.
+
+    Rows without candidates stay where they are; the few others are told apart by a join.  Texts are winnowed twice, as writing
+    them would cost more.
+    """
+    bench = Benchmark(items, item_key, item_text, span, k)
+    marked = _marked(docs.select(F.struct("*").alias("key"), F.col(text).alias("text")), bench, k)
+    some = marked.where("size(candidates) > 0")
+    hits = scratch.materialize(_hits(some.select("sha", "candidates"), bench).select("sha"), "hits")
+    kept = _salted(some.select("key", "sha"), hits, "left_anti").select("key")
+    return marked.where("size(candidates) = 0").select("key").union(kept).select("key.*")
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -39,10 +39,12 @@ def test_decontaminate_data(spark, data):
     assert any(r[-1] for r in want)
 
 
-@pytest.mark.parametrize("block", [1 << 20, 10])
-def test_decontaminate_odd(spark, block):
+@pytest.mark.parametrize("bits", [1 << 26, 64])
+def test_decontaminate_odd(spark, monkeypatch, bits):
+    """Also with a bitmap that is full, so that every window is a candidate."""
+    monkeypatch.setattr(decontaminate, "BITMAP", bits)
     items = [(1, "a b c"), (2, " ".join(["ha"] * 12)), (3, ""), (4, None), (5, "é ü ß ç ñ á é í ó ú"), (6, "a B c"), (10, "word word")]
-    found = decontaminate.decontaminate(table(spark, ODD), spark.createDataFrame(items, "item_id long, text string"), block_bytes=block)
+    found = decontaminate.decontaminate(table(spark, ODD), spark.createDataFrame(items, "item_id long, text string"))
     same(decontaminate.digest_columns(found), decontaminate.brute_force(ODD, items))
 
 
@@ -60,6 +62,23 @@ def test_runs_stay_in_their_document(spark):
     assert {r["doc_id"]: [tuple(x) for x in r["runs"]] for r in found.collect()} == {**{i: [(0, 3)] for i in range(5)}, 9: [(0, 6)]}
 
 
+@pytest.mark.parametrize("bits", [1 << 26, 64])
+def test_decontaminate_random(spark, monkeypatch, bits):
+    monkeypatch.setattr(decontaminate, "BITMAP", bits)
+    rng = random.Random(4)
+    text = lambda n: " ".join(rng.choice("abc") for _ in range(n))
+    items = [(i, text(rng.choice([1, 2, 4, 5, 6, 9, 10, 11, 14, 30]))) for i in range(40) if i % 10]
+    docs = [(i, text(rng.randrange(0, 60))) for i in range(60)] + [(3, "zz " + items[5][1] + " zz")] * 3
+    want = decontaminate.brute_force(docs, items)
+    found = decontaminate.decontaminate(table(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    same(decontaminate.digest_columns(found), want)
+    items = [x for x in items if len(x[1].split()) > 8]
+    want = decontaminate.brute_force(docs, items)
+    kept = decontaminate.keep_clean(table(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    assert 0 < kept.count() < len(docs)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r[0] for r in want if not r[-1])
+
+
 # --- licences -------------------------------------------------------------------------------------------------------
 
 

@@ -147,6 +147,8 @@ def _parse_lengths(bits: Bits, alphabet: int) -> list[int]:
 
 _codes: dict[bytes, Code] = {}
 _triples: dict[bytes, list[tuple[int, int]]] = {}
+_uses: dict[bytes, int] = {}
+OFTEN = 4  # uses of codes from which on a table pays
 
 
 def _code_of(lengths: list[int]) -> Code:
@@ -159,27 +161,26 @@ def _code_of(lengths: list[int]) -> Code:
     return _codes[key]
 
 
-def _triple(red: list[int], blue: list[int], alpha: list[int], make: bool) -> list[tuple[int, int]] | None:
-    """For the next LOOK bits: red, blue and alpha of a pixel in place, and the bits taken (0: they need more bits).
+def _triple(red: list[int], blue: list[int], alpha: list[int], total: int) -> list[tuple[int, int]]:
+    """For the next LOOK bits: red, blue and alpha of a pixel in place, and the bits taken (255: they need more).
 
-    Kept by the lengths of the codes; where there is none yet, one is made only if asked, as it has to pay.
+    Kept by the lengths of the codes.  Where there is no such table, one is made if the picture's size makes it pay.
     """
     key = bytes(red) + bytes(blue) + bytes(alpha)
-    if key not in _triples:
-        if not make:
-            return None
+    uses = _uses[key] = _uses.get(key, 0) + 1
+    if len(_uses) > 4096:
+        _uses.clear()
+    if key not in _triples and (uses >= OFTEN or total >= 2048):
         if len(_triples) > 16:
             _triples.clear()
         at, taken, value = np.arange(1 << LOOK), np.zeros(1 << LOOK, np.int64), np.zeros(1 << LOOK, np.int64)
         for lengths, shift in ((red, 16), (blue, 0), (alpha, 24)):
             c = _code_of(lengths)
-            symbol, n = np.array(c.pairs)[at >> taken & c.mask].T
+            symbol, n = np.array(c.pairs)[at >> np.minimum(taken, LOOK) & c.mask].T
             value |= symbol << shift
             taken += n
-            taken = np.minimum(taken, LOOK + 1)
-            at = np.where(taken > LOOK, 0, at)
         _triples[key] = list(zip(value.tolist(), np.where(taken > LOOK, 255, taken).tolist(), strict=True))
-    return _triples[key]
+    return _triples.get(key, [])
 
 
 def _number(bits: Bits, symbol: int) -> int:
@@ -207,7 +208,7 @@ def _pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     codes = []
     for _ in range(groups):
         g = [read_lengths(bits, n) for n in sizes]
-        codes.append([*map(_code_of, g), _triple(*g[1:4], total >= 2048 * groups)])
+        codes.append([*map(_code_of, g), _triple(*g[1:4], total // groups)])
     out: list[int] = []
     cache = [0] * (1 << cache_bits) if cache_bits else []
     shift, noted = 32 - cache_bits, 0
@@ -584,8 +585,7 @@ def _picture(v: np.ndarray, width: int, main: bool, shared: bool = False) -> tup
     far[copies[:, 0]] = True
     copied = far[at]
     green, red, blue, alpha = ((x >> np.uint32(k) & np.uint32(255)).astype(np.int64) for k in (8, 16, 0, 24))
-    length, l_value, l_extra = _symbol(copies[:, 1])
-    dist, d_value, d_extra = _symbol(_distances(copies[:, 2], width))
+    (length, dist), (l_value, d_value), (l_extra, d_extra) = (np.split(x, 2) for x in _symbol(np.concatenate([copies[:, 1], _distances(copies[:, 2], width)])))
     d_count = np.bincount(dist, minlength=40)
 
     def counts(bits):
@@ -610,7 +610,7 @@ def _picture(v: np.ndarray, width: int, main: bool, shared: bool = False) -> tup
         own = _bits_for(other[2])
         price = BITS + PRICES @ np.concatenate(other[2])
         best = int(np.argmin(price))
-        if price[best] > max(1.1 * own + 300, min(0.68 * 32 * n + 900, 1.4 * own + 1500)):  # codes of its own would save much
+        if price[best] > max(1.1 * own + 300, min(0.69 * 32 * n + 950, 1.4 * own + 1500)):  # codes of its own would save much
             return None
         codes, cache, (first, plain, count) = SHARED[best].codes, CACHE, other
     else:

@@ -15,8 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .functions import kmers, nt, phred, seqid, tables
 from .operators import clip, diff, filters, kernel, stats
 from .operators.algorithms import REGISTRY, algorithm
-from .operators.assemble import _bytes, assemble
-from .operators.clip import by_length, read_arrays
+from .operators.assemble import _matrices, _reads, assemble
 from .operators.config import AssemblerConfig
 from .plans import sim
 
@@ -173,13 +172,11 @@ def overlap_scores(pairs: DataFrame, name: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            cols = [_bytes(b.column(c)) for c in ("f_seq", "f_qual", "r_seq", "r_qual")]
-            out = np.zeros(len(b))
-            lens = [(len(x), len(y), o) for x, y, o in zip(cols[0], cols[2], b.column("true_overlap").to_pylist(), strict=True)]
-            for (_, _, o), at in by_length(lens):
-                f, fq = read_arrays([cols[0][i] for i in at], [cols[1][i] for i in at], False, 33)
-                r, rq = read_arrays([cols[2][i] for i in at], [cols[3][i] for i in at], True, 33)
-                out[at] = model.score(kernel.paired(kernel.Reads(f, fq, r, rq), o))
+            parts, _ = _reads(*(b.column(c) for c in ("f_seq", "f_qual", "r_seq", "r_qual")))
+            place, out = b.column("true_overlap").to_numpy(), np.zeros(len(b))
+            for o in np.unique(place):
+                at = np.flatnonzero(place == o)
+                out[at] = model.score(kernel.paired(_matrices(parts, at, 33), int(o)))
             yield pa.RecordBatch.from_arrays([b.column("ordinal"), pa.array(out)], ["ordinal", "score"])
 
     return pairs.select("ordinal", "f_seq", "f_qual", "r_seq", "r_qual", "true_overlap").mapInArrow(run, "ordinal long, score double")

@@ -7,6 +7,7 @@ log-probability of a base that both reads give).  ``semantics="reference"`` keep
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -21,24 +22,47 @@ def _clamped(q: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Overlap:
-    """Paired bases of one candidate overlap for many pairs: sets and scores (rows: pairs), and the read lengths."""
+    """Paired bases of one candidate overlap for many pairs: sets and scores (rows: pairs), and the read lengths of each.
+
+    ``alias`` gives forward scores at the reverse read's places; ``there`` tells which places lie in both reads (None: all).
+    """
 
     f: np.ndarray
     r: np.ndarray
     fq: np.ndarray
     rq: np.ndarray
-    rq_alias: np.ndarray  # forward scores at the reverse read's places
-    forward: int
-    reverse: int
+    alias: Callable[[], np.ndarray]
+    forward: np.ndarray
+    reverse: np.ndarray
     overlap: int
+    there: np.ndarray | None = None
+
+    def rows(self, use: np.ndarray | None) -> Overlap:
+        """Some of the pairs (None: all)."""
+        if use is None:
+            return self
+        there = None if self.there is None else self.there[use]
+        return Overlap(self.f[use], self.r[use], self.fq[use], self.rq[use], lambda: self.alias()[use], self.forward[use], self.reverse[use], self.overlap, there)
+
+    @property
+    def size(self) -> np.ndarray:
+        """Places of each pair."""
+        return np.full(len(self.f), self.f.shape[1]) if self.there is None else self.there.sum(1)
+
+    def total(self, each: np.ndarray) -> np.ndarray:
+        """Sums of a value of each place, from the first on."""
+        if self.there is not None:
+            each = np.where(self.there, each, 0)
+        return each.cumsum(1)[:, -1] if each.shape[1] else np.zeros(len(each))
 
     def counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Matches, mismatches, and positions where either base is N."""
         unknown = (self.f == 15) | (self.r == 15)
-        match = (self.f & self.r) != 0
-        u = unknown.sum(1)
-        m = (match & ~unknown).sum(1)
-        return m, self.f.shape[1] - u - m, u
+        match = ((self.f & self.r) != 0) & ~unknown
+        if self.there is not None:
+            unknown, match = unknown & self.there, match & self.there
+        u, m = unknown.sum(1), match.sum(1)
+        return m, self.size - u - m, u
 
 
 @dataclass(frozen=True)
@@ -63,11 +87,11 @@ class _ByCounts(Algorithm):
     def score(self, o: Overlap) -> np.ndarray:
         m, x, u = o.counts()
         match, mismatch = self.rates()
-        whole = o.overlap >= o.forward and o.overlap >= o.reverse
-        alone = u if whole else o.forward + o.reverse - 2 * o.overlap + u
+        whole = (o.overlap >= o.forward) & (o.overlap >= o.reverse)
+        alone = np.where(whole, u, o.forward + o.reverse - 2 * o.overlap + u)
         out = QUAL_NN * alone + m * match + x * mismatch
         # an unsigned count of unpaired bases: below zero it is huge, so the candidate never wins
-        return np.where(np.asarray(alone) < 0, -np.inf, out) if self.semantics == "reference" else out
+        return np.where(alone < 0, -np.inf, out) if self.semantics == "reference" else out
 
 
 @dataclass(frozen=True)
@@ -97,7 +121,7 @@ class EaUtil(Algorithm):
 
     def score(self, o: Overlap) -> np.ndarray:
         m, _, _ = o.counts()
-        n = o.f.shape[1]
+        n = o.size
         x = (n - m).astype(float)
         with np.errstate(divide="ignore"):
             cost = np.log((x * x + 1) / n)
@@ -113,12 +137,10 @@ class Flash(Algorithm):
 
     def score(self, o: Overlap) -> np.ndarray:
         m, _, _ = o.counts()
-        n = o.f.shape[1]
-        if n == 0:
-            return np.full(len(m), -2.0)
-        if self.semantics == "reference":  # a whole-number quotient: only an overlap of nothing but mismatches counts
-            return np.where(m == 0, 0.0, -np.inf)
-        return -(n - m) / n
+        n = o.size
+        # a whole-number quotient: only an overlap of nothing but mismatches counts
+        score = np.where(m == 0, 0.0, -np.inf) if self.semantics == "reference" else -(n - m) / np.maximum(n, 1)
+        return np.where(n == 0, -2.0, score)
 
     def match(self, same, a, b):
         return np.where(same, QUAL_SCORE[_clamped(np.maximum(a, b))], QUAL_SCORE[np.maximum(2, np.abs(_clamped(a) - _clamped(b)))])
@@ -133,10 +155,10 @@ class Pear(Algorithm):
         unknown = (o.f == 15) | (o.r == 15)
         match = (o.f & o.r) != 0
         a = _clamped(o.fq)
-        b = _clamped(o.rq_alias if self.semantics == "reference" else o.rq)
+        b = _clamped(o.alias() if self.semantics == "reference" else o.rq)
         with np.errstate(divide="ignore"):
             each = np.where(unknown, -np.log(self.random_base), np.where(match, tb.MATCH_PEAR[a, b], tb.MISMATCH_PEAR[a, b]))
-        return each.cumsum(1)[:, -1] if each.shape[1] else np.zeros(len(each))
+        return o.total(each)
 
     def match(self, same, a, b):
         return np.where(same, tb.MATCH_PEAR[_clamped(a), _clamped(b)], tb.MISMATCH_PEAR[_clamped(a), _clamped(b)])
@@ -149,7 +171,7 @@ class RdpMle(Algorithm):
     def score(self, o: Overlap) -> np.ndarray:
         a, b = _clamped(o.fq), _clamped(o.rq)
         each = np.where((o.f & o.r) != 0, tb.MATCH_BAYES[a, b], tb.MISMATCH_RDP[a, b]) - QUAL_NN
-        return each.cumsum(1)[:, -1] if each.shape[1] else np.zeros(len(each))
+        return o.total(each)
 
     def match(self, same, a, b):
         return np.where(same, QUAL_SCORE[_clamped(np.maximum(a, b))], tb.MISMATCH_RDP_ASSEMBLED[_clamped(a), _clamped(b)])

@@ -1,6 +1,7 @@
 """Assembling read pairs: one result row for each pair, with a status.
 
-Pairs have columns ordinal, id, f_seq, f_qual, r_seq, r_qual (strings as sequenced; qualities as characters).  Prechecks
+Pairs have columns ordinal, id, f_seq, f_qual, r_seq, r_qual (strings as sequenced; qualities as characters).  Reads may have
+any lengths; a pair with a null or too short read, or with scores that are null or not as many as bases, gets status BADR.  Prechecks
 are Columns in front of the kernel, so cheap rejects never reach Python; the kernel is one Arrow map without shuffle;
 checks are Columns behind it.
 """
@@ -10,11 +11,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import replace
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import kernel
-from .clip import _bytes, by_length, read_arrays
+from ..functions import nt
+from . import clip, kernel
 from .config import AssemblerConfig
 
 STATUS = ("OK", "BADR", "NOFP", "NORP", "NOALGN", "LOWQ", "MODULE")
@@ -27,41 +30,73 @@ _RESULT = [
 RESULT_TYPE = "status string, sequence string, logp array<double>, quality double, sequence_length int, overlap int, overlap_score double, overlap_mismatches int, overlaps_examined int, degenerates int, forward_offset int, reverse_offset int, slow boolean"
 
 
-def assemble_rows(f_seq: list[bytes], f_qual: list[bytes], r_seq: list[bytes], r_qual: list[bytes], cfg: AssemblerConfig) -> list[dict]:
-    """Results of pairs of any lengths, by the same kernel as :func:`assemble`."""
-    rows: list[dict] = [{"status": "BADR"}] * len(f_seq)
-    for (f, r), at in by_length([(len(a), len(b)) for a, b in zip(f_seq, r_seq, strict=True)]):
-        if not f or not r:
-            continue
-        fm, fq = read_arrays([f_seq[i] for i in at], [f_qual[i] for i in at], False, cfg.phred)
-        rm, rq = read_arrays([r_seq[i] for i in at], [r_qual[i] for i in at], True, cfg.phred)
-        for i, row in zip(at, kernel.assemble_equal(kernel.Reads(fm, fq, rm, rq), cfg), strict=True):
-            rows[i] = row
-    return rows
+def _reads(f_seq: pa.Array, f_qual: pa.Array, r_seq: pa.Array, r_qual: pa.Array) -> tuple[list, np.ndarray]:
+    """Ranges of the four columns, and which rows have scores of their reads' lengths."""
+    parts = [clip.ranges(c) for c in (f_seq, f_qual, r_seq, r_qual)]
+    f, fq, r, rq = (p[2] for p in parts)
+    return parts, (f >= 0) & (r >= 0) & (f == fq) & (r == rq)
+
+
+def _matrices(parts: list, at: np.ndarray, phred: int) -> kernel.Reads:
+    n, m = parts[0][2][at], parts[2][2][at]
+    rows = [clip.padded(buf, start[at], size) for (buf, start, _), size in zip(parts, (n, n, m, m), strict=True)]
+    return kernel.Reads(*clip.read_arrays(rows[0], rows[1], False, phred), *clip.read_arrays(rows[2], rows[3], True, phred), n, m)
+
+
+def results(f_seq: pa.Array, f_qual: pa.Array, r_seq: pa.Array, r_qual: pa.Array, cfg: AssemblerConfig, use: np.ndarray | None = None, with_logp: bool = True) -> dict[str, pa.Array]:
+    """Result columns of pairs (those not in ``use`` keep the status MODULE)."""
+    parts, fine = _reads(f_seq, f_qual, r_seq, r_qual)
+    n = len(fine)
+    use = np.ones(n, bool) if use is None else use
+    status = np.where(use, kernel.BADR, kernel.MODULE)
+    numbers = {k: np.full(n, -1, np.int64) for k in ("overlap", "overlap_mismatches", "overlaps_examined", "degenerates", "forward_offset", "reverse_offset", "row")}
+    score, quality, slow = np.full(n, np.nan), np.full(n, np.nan), np.zeros(n, bool)
+    bases, logps, sizes, made = [np.zeros(0, np.uint8)], [np.zeros(0)], [np.zeros(0, np.int64)], 0
+    usable = np.flatnonzero(use & fine)
+    longest = np.maximum(parts[0][2], parts[2][2])[usable]
+    for part in clip.chunks(longest, kernel.CELLS):
+        at = usable[part]
+        got = kernel.assemble_reads(_matrices(parts, at, cfg.phred), cfg)
+        status[at], slow[at] = got.status, got.slow
+        for name, value in (("overlap", got.overlap), ("overlaps_examined", got.examined), ("forward_offset", got.f_off), ("reverse_offset", got.r_off)):
+            numbers[name][at] = value
+        score[at] = got.score
+        if got.merged is not None:
+            done, m = at[got.done], got.merged
+            quality[done], numbers["overlap_mismatches"][done], numbers["degenerates"][done] = m.quality, m.mismatches, m.degenerates
+            numbers["row"][done] = made + np.arange(len(done))
+            made += len(done)
+            bases.append(m.base)
+            logps.append(m.logp)
+            sizes.append(np.diff(m.off))
+    flat, size = np.concatenate(bases), np.concatenate(sizes)
+    merged_rows = numbers.pop("row")
+    at = pa.array(merged_rows, mask=merged_rows < 0)
+    off = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
+    text = pa.StringArray.from_buffers(len(size), off.buffers()[1], pa.py_buffer(nt.TO_ASCII[flat].tobytes()))
+    whole = lambda v, k=pa.int32(): pa.array(v, mask=v < 0).cast(k)
+    real = lambda v: pa.array(v, mask=merged_rows < 0)
+    out = {k: whole(v) for k, v in numbers.items()}
+    out |= {"status": pa.array(kernel.STATUS[status], pa.string()), "sequence": text.take(at), "quality": real(quality), "overlap_score": real(score), "slow": pa.array(slow, mask=numbers["overlaps_examined"] < 0)}
+    out["sequence_length"] = pa.array(size, pa.int32()).take(at)
+    out["logp"] = pa.ListArray.from_arrays(off, pa.array(np.concatenate(logps))).take(at) if with_logp else pa.nulls(n, pa.list_(pa.float64()))
+    return out
 
 
 def assemble_pair(f_seq: str, f_qual: str, r_seq: str, r_qual: str, cfg: AssemblerConfig | None = None) -> dict:
-    """One pair, without Spark."""
-    row = dict(assemble_rows(*([x.encode()] for x in (f_seq, f_qual, r_seq, r_qual)), cfg or AssemblerConfig())[0])
-    if "base" in row:
-        row["sequence"] = kernel.letters(row.pop("base"))
-    return row
+    """One pair, without Spark; keys whose value is unknown are left out."""
+    out = results(*(pa.array([x], pa.string()) for x in (f_seq, f_qual, r_seq, r_qual)), cfg or AssemblerConfig())
+    row = {k: v[0].as_py() for k, v in out.items()}
+    return {k: np.array(v) if k == "logp" else v for k, v in row.items() if v is not None}
 
 
 def _kernel(cfg: AssemblerConfig, passed: list[str], with_logp: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            skip = b.column("_reject").to_pylist()
-            use = [i for i, x in enumerate(skip) if x is None]
-            cols = [_bytes(b.column(c)) for c in ("f_seq", "f_qual", "r_seq", "r_qual")]
-            rows: list[dict] = [{"status": "BADR" if x == "BADR" else "MODULE"} for x in skip]
-            for i, row in zip(use, assemble_rows(*([c[i] for i in use] for c in cols), cfg), strict=True):
-                rows[i] = row
-            done = {"sequence": [kernel.letters(r["base"]) if "base" in r else None for r in rows], "sequence_length": [len(r["base"]) if "base" in r else None for r in rows]}
-            if not with_logp:
-                done["logp"] = [None] * len(rows)
-            out = [pa.array(done.get(k) or [r.get(k) for r in rows], t) for k, t in _RESULT]
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in passed] + out, passed + [k for k, _ in _RESULT])
+            # short reads are told apart by the kernel again, rejects of modules only here
+            skip = pc.fill_null(pc.not_equal(b.column("_reject"), "BADR"), False).to_numpy(zero_copy_only=False)
+            out = results(*(b.column(c) for c in ("f_seq", "f_qual", "r_seq", "r_qual")), cfg, ~skip, with_logp)
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in passed] + [out[k].cast(t) for k, t in _RESULT], passed + [k for k, _ in _RESULT])
 
     return run
 

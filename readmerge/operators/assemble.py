@@ -110,7 +110,7 @@ def assemble(pairs: DataFrame, cfg: AssemblerConfig | None = None, *, with_logp:
     reject = F.when((F.length("f_seq") < 2) | (F.length("r_seq") < 2) | F.col("f_seq").isNull() | F.col("r_seq").isNull(), "BADR")
     df = pairs
     for m in (m for m in cfg.modules if m.stage == "precheck"):
-        df, keep = m.apply(df)
+        df, keep = m.on(df, cfg)
         reject = reject.when(~F.coalesce(keep, F.lit(False)), m.name)
     passed = ["ordinal", "id", *(["f_seq", "f_qual", "r_seq", "r_qual"] if keep_reads else []), "_reject"]
     df = df.withColumn("_reject", reject).select(*PAIR, "_reject")
@@ -118,7 +118,7 @@ def assemble(pairs: DataFrame, cfg: AssemblerConfig | None = None, *, with_logp:
     out = df.mapInArrow(_kernel(replace(cfg, modules=()), passed, with_logp), f"{shape}, {RESULT_TYPE}")
     late: Column = F.when(F.col("status") == "MODULE", F.col("_reject"))
     for m in (m for m in cfg.modules if m.stage == "check"):
-        out, keep = m.apply(out)
+        out, keep = m.on(out, cfg)
         late = late.when((F.col("status") == "OK") & ~F.coalesce(keep, F.lit(False)), m.name)
     out = out.withColumn("reject_module", late)
     return out.withColumn("status", F.when(F.col("reject_module").isNotNull(), "MODULE").otherwise(F.col("status"))).drop("_reject")

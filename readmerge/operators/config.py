@@ -15,15 +15,20 @@ from .algorithms import Algorithm, SimpleBayesian
 class Module:
     """A filter.  ``apply(df)`` returns the (possibly widened) table and the condition under which a row stays.
 
-    ``stage``: ``precheck`` sees the pair before alignment, ``check`` the merged row.
+    ``stage``: ``precheck`` sees the pair before alignment, ``check`` the merged row.  With ``reads_settings``, ``apply`` gets
+    the assembly's settings as its second argument.
     """
 
     name: str
     stage: str
-    apply: Callable[[DataFrame], tuple[DataFrame, Column]]
+    apply: Callable[..., tuple[DataFrame, Column]]
     description: str = ""
     usage: str = ""
     version: str = "1.0"
+    reads_settings: bool = False
+
+    def on(self, df: DataFrame, cfg: AssemblerConfig) -> tuple[DataFrame, Column]:
+        return self.apply(df, cfg) if self.reads_settings else self.apply(df)
 
 
 def nucleotides(primer: str, complement: bool = False) -> tuple[int, ...]:

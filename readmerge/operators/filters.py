@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import seqid
 from ..functions.phred import PHRED_MAX, QUAL_SCORE
 from .clip import with_primer_offset
-from .config import Module
+from .config import AssemblerConfig, Module
 
 API_VERSION = 3
 REGISTRY: dict[str, Callable[[str], Module]] = {}
@@ -37,6 +37,17 @@ def load(spec: str) -> Module:
     return REGISTRY[name](args)
 
 
+def key_values(args: str) -> dict[str, str]:
+    """Values by key of ``k=v,k=v``; a part without ``=`` and a key that comes twice are errors."""
+    out: dict[str, str] = {}
+    for part in filter(None, args.split(",")):
+        k, sign, v = part.partition("=")
+        if not sign or not k or k in out:
+            raise ValueError(f"expected k=v,k=v, not {args!r}")
+        out[k] = v
+    return out
+
+
 def check(name: str, condition: Column, **more) -> Module:
     """A module on merged rows from a plain condition."""
     return Module(name, "check", lambda df: (df, condition), **more)
@@ -172,11 +183,11 @@ def other_primer(args: str) -> Module:
     forward = side in ("f", "p")
     read = "f" if forward else "r"
 
-    def apply(df: DataFrame) -> tuple[DataFrame, Column]:
+    def apply(df: DataFrame, cfg: AssemblerConfig) -> tuple[DataFrame, Column]:
         name = f"_other_{read}"
-        return with_primer_offset(df, name, f"{read}_seq", f"{read}_qual", primer, reverse_read=not forward, backwards=not forward, threshold=0.9, penalty=0.01), F.col(name) == 0
+        return with_primer_offset(df, name, f"{read}_seq", f"{read}_qual", primer, reverse_read=not forward, backwards=not forward, threshold=0.9, penalty=0.01, phred=cfg.phred), F.col(name) == 0
 
-    return Module("other_primer", "precheck", apply)
+    return Module("other_primer", "precheck", apply, reads_settings=True)
 
 
 def pear_p_value(overlap: np.ndarray, mismatches: np.ndarray, shortest: np.ndarray, alpha: float, beta: float) -> np.ndarray:
@@ -202,7 +213,7 @@ def _pear_p_values(overlap: np.ndarray, mismatches: np.ndarray, shortest: np.nda
 @filter_module("pear_test", "alpha=1,beta=-1,cutoff=0.01")
 def pear_test(args: str = "") -> Module:
     """A significant overlap.  Needs the read lengths: assemble with ``keep_reads``."""
-    given = {"alpha": 1.0, "beta": -1.0, "cutoff": 0.01} | {k: float(v) for k, v in (x.split("=") for x in args.split(",") if x)}
+    given = {"alpha": 1.0, "beta": -1.0, "cutoff": 0.01} | {k: float(v) for k, v in key_values(args).items()}
     if set(given) != {"alpha", "beta", "cutoff"} or not 0 <= given["cutoff"] <= 1:
         raise ValueError("expected alpha, beta, and a cutoff from 0 to 1")
 

@@ -81,7 +81,7 @@ def main(argv: list[str] | None = None) -> int:
         spark = SparkSession.builder.getOrCreate()
         pairs = _pairs(spark, a)
         if command == "hang":
-            pairs = trim_overhangs(pairs, forward=a.P, reverse=a.Q, skip=a.s)
+            pairs = trim_overhangs(pairs, forward=a.P, reverse=a.Q, skip=a.s, phred=64 if a.six else 33)
         result = assemble(pairs, config_of(a), keep_reads=bool(a.u or a.U)).cache()
         sinks.write_text(sinks.fastq(result) if a.F else sinks.fasta(result), a.w, "bzip2" if a.W else "none")
         for path, quality in ((a.u, False), (a.U, True)):

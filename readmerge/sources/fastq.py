@@ -2,10 +2,11 @@
 
 A pair of files is one input partition (a lane is usually split into many file pairs); the two or three files are read
 in step, so pairs need no join.  Compression is told by the first bytes.  Files are opened with pyarrow's file systems
-if the path is a URI, else locally.
+if the path is a URI, over HTTP if it is a URL, else locally.
 
 Modes: ``PREFIX`` stops a file pair at its first malformed record, as the reference does; ``DROPMALFORMED`` leaves
-malformed records out as far as the files stay in step; ``FAILFAST`` raises.
+malformed records out, each with its mate, and goes on at the next record; ``FAILFAST`` raises.  A file that ends before its
+mate is malformed (``EOF``) in all modes.  :func:`fastq_diagnostics` has a row for everything that was left out.
 """
 
 from __future__ import annotations
@@ -13,23 +14,30 @@ from __future__ import annotations
 import bz2
 import gzip
 import io
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice, zip_longest
+from urllib.request import urlopen
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions import seqid
+from ..functions import logs, seqid
 
 #: Ordinals of one file pair.
 ORDINALS = 1 << 40
 _BASES = frozenset(b"ACGTUMRWSYKVHDBNXacgtumrwsykvhdbnx")
+FIELDS = ["ordinal", "f_header", "r_header", "i_seq", "f_seq", "f_qual", "r_seq", "r_qual", "error"]
 SCHEMA = "ordinal long, f_header string, r_header string, i_seq string, f_seq string, f_qual string, r_seq string, r_qual string, error string"
 
 
 def open_bytes(path: str) -> io.BufferedIOBase:
     """A stream of a plain, gzip or bzip2 file."""
-    if "://" in path:
+    if path.startswith(("http://", "https://")):
+        raw = io.BufferedReader(urlopen(path))  # noqa: S310
+    elif "://" in path:
         from pyarrow import fs
 
         system, inner = fs.FileSystem.from_uri(path)
@@ -46,29 +54,46 @@ class Malformed(ValueError):
     """A record that is not FASTQ; the code is that of the log."""
 
 
+def _fault(head: bytes, seq: bytes, plus: bytes, qual: bytes) -> str | None:
+    if head[:1] != b"@":
+        return "BADID"
+    if not all(c in _BASES for c in seq):
+        return "BADNT"
+    if plus[:1] != b"+":
+        return "READLEN" if plus[:1] and plus[0] in _BASES else "BADSEQ"
+    return "NOQUAL" if len(seq) != len(qual) else None
+
+
 def records(path: str) -> Iterator[tuple[str, str, str] | Malformed]:
-    """(header, bases, qualities) of each record, or what is wrong with it; a line may end in CR LF or the file's end."""
+    """(header, bases, qualities) of each record, or what is wrong with it; a line may end in CR LF or the file's end.
+
+    A malformed record whose third line begins with ``+`` has four lines; any other ends before the next line that begins
+    with ``@`` and is followed by bases and a ``+`` line.  So one fault is one record, and mates stay in step.
+    """
     with open_bytes(path) as f:
         lines = (x.rstrip(b"\n").rstrip(b"\r") for x in f)
-        for head in lines:
-            if not head:
-                continue
-            if head[:1] != b"@":
-                yield Malformed("BADID")
+        ahead: deque[bytes] = deque()
+
+        def fill() -> int:
+            ahead.extend(islice(lines, 4 - len(ahead)))
+            return len(ahead)
+
+        while fill():
+            if not ahead[0]:
+                ahead.popleft()
                 continue
-            try:
-                seq, plus, qual = next(lines), next(lines), next(lines)
-            except StopIteration:
+            if len(ahead) < 4:
                 yield Malformed("EOF")
                 return
-            if not all(c in _BASES for c in seq):
-                yield Malformed("BADNT")
-            elif plus[:1] != b"+":
-                yield Malformed("READLEN" if plus[:1] and plus[0] in _BASES else "BADSEQ")
-            elif len(seq) != len(qual):
-                yield Malformed("NOQUAL")
+            head, seq, plus, qual = ahead
+            fault = _fault(head, seq, plus, qual)
+            if plus[:1] == b"+":
+                ahead.clear()
             else:
-                yield head[1:].decode(), seq.decode(), qual.decode()
+                ahead.popleft()
+                while fill() and not (ahead[0][:1] == b"@" and len(ahead) > 2 and ahead[2][:1] == b"+"):
+                    ahead.popleft()
+            yield Malformed(fault) if fault else (head[1:].decode(errors="replace"), seq.decode(), qual.decode(errors="replace"))
 
 
 @dataclass
@@ -92,18 +117,31 @@ class _Reader(DataSourceReader):
         return [FilePair(n, a, b, i[n] if i else None) for n, (a, b) in enumerate(zip(f, r, strict=True))]
 
     def read(self, part: FilePair):
-        streams = [records(part.forward), records(part.reverse), *([records(part.index)] if part.index else [])]
-        for n, found in enumerate(zip(*streams, strict=False)):
-            bad = next((x for x in found if isinstance(x, Malformed)), None)
+        names = [part.forward, part.reverse, *([part.index] if part.index else [])]
+        kinds = [pa.int64(), *[pa.string()] * 8]
+        rows: list[tuple] = []
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], FIELDS)
+
+        for n, found in enumerate(zip_longest(*map(records, names), fillvalue=Malformed("EOF"))):
             ordinal = part.number * ORDINALS + n
+            bad = next((k for k, x in enumerate(found) if isinstance(x, Malformed)), None)
             if bad is not None:
                 if self.mode == "FAILFAST":
-                    raise bad
-                if self.mode == "PREFIX":
-                    return
+                    raise Malformed(f"{found[bad]}: record {n + 1} of {names[bad]}")
+                head = next((x[0] for x in found if not isinstance(x, Malformed)), None)
+                rows.append((ordinal, head, None, None, None, None, None, None, f"{found[bad]}\t{names[bad]}"))
+                if self.mode == "PREFIX" or found[bad].args == ("EOF",):
+                    break
                 continue
             (fh, fs, fq), (rh, rs, rq) = found[:2]
-            yield ordinal, fh, rh, found[2][1] if part.index else None, fs, fq, rs, rq, None
+            rows.append((ordinal, fh, rh, found[2][1] if part.index else None, fs, fq, rs, rq, None))
+            if len(rows) >= 8192:
+                yield batch()
+                rows.clear()
+        if rows:
+            yield batch()
 
 
 class FastqPairSource(DataSource):
@@ -120,32 +158,58 @@ class FastqPairSource(DataSource):
         return _Reader(self.options)
 
 
-def read_fastq_pairs(spark: SparkSession, forward: str | list[str], reverse: str | list[str], index: str | list[str] | None = None, *, tag: str = "present", mode: str = "PREFIX") -> DataFrame:
-    """Pairs from FASTQ files.  Identifiers of mates must agree and their mate numbers differ (but for SRA and EBI).
+def _until_first_fault(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a file pair up to and with the first that is not good; a partition is one file pair in order."""
+    for batch in batches:
+        good = batch.column("good").to_numpy(zero_copy_only=False)
+        if good.all():
+            yield batch
+        else:
+            yield batch.slice(0, int(good.argmin()) + 1)
+            return
 
-    Pairs that do not agree end their file pair (``PREFIX``), are dropped, or raise.  Pairs with an empty forward read
-    are skipped.  An index read replaces the tag, and makes it optional in headers.
-    """
+
+def _checked(spark: SparkSession, forward, reverse, index, tag: str, mode: str) -> tuple[DataFrame, bool]:
+    """Raw rows with parsed headers (f, r), ``error`` and ``good``."""
+    if mode.upper() not in ("PREFIX", "DROPMALFORMED", "FAILFAST"):
+        raise ValueError(f"unknown mode {mode!r}")
     spark.dataSource.register(FastqPairSource)
     text = lambda x: x if isinstance(x, str) else ",".join(x)
     reader = spark.read.format("fastq_pair").option("forward", text(forward)).option("reverse", text(reverse)).option("mode", mode)
     if index:
         reader, tag = reader.option("index", text(index)), "optional"
-    raw = reader.load()
-    df = raw.select("*", seqid.parse(F.col("f_header"), tag).alias("f"), seqid.parse(F.col("r_header"), tag).alias("r"))
+    df = reader.load().select("*", seqid.parse(F.col("f_header"), tag).alias("f"), seqid.parse(F.col("r_header"), tag).alias("r"))
     same = F.lit(True)
     for c in seqid.FIELDS:
         same = same & F.col("f.id")[c].eqNullSafe(F.col("r.id")[c])
-    good = (F.col("f.mate") > 0) & (F.col("r.mate") > 0) & same & ((F.col("f.mate") != F.col("r.mate")) | F.col("f.format").isin("SRA", "EBI"))
-    df = df.withColumn("good", F.coalesce(good, F.lit(False)))
+    named = (F.col("f.mate") > 0) & (F.col("r.mate") > 0)
+    mates = same & ((F.col("f.mate") != F.col("r.mate")) | F.col("f.format").isin("SRA", "EBI"))
+    error = F.when(F.col("error").isNotNull(), F.col("error")).when(~named, "BADID\t").when(~mates, "NOTPAIRED\t")
+    df = df.withColumn("error", error).withColumn("good", F.col("error").isNull())
     if mode.upper() == "FAILFAST":
-        df = df.where(F.when(F.col("good"), True).otherwise(F.raise_error(F.lit("NOTPAIRED")).cast("boolean")))
+        df = df.where(F.when(F.col("good"), True).otherwise(F.raise_error(F.concat(F.col("error"), F.coalesce("f_header", F.lit("")))).cast("boolean")))
     elif mode.upper() == "PREFIX":
-        part = F.floor(F.col("ordinal") / ORDINALS)
-        first = df.where("not good").groupBy(part.alias("part")).agg(F.min("ordinal").alias("stop"))  # one row for each file pair
-        df = df.join(F.broadcast(first), part == F.col("part"), "left").where("stop is null or ordinal < stop")
-    df = df.where("good and length(f_seq) > 0")
-    ident = F.col("f.id")
-    if index:
-        ident = ident.withField("tag", F.substring("i_seq", 1, 49))
-    return df.select("ordinal", ident.alias("id"), "f_seq", "f_qual", "r_seq", "r_qual")
+        df = df.mapInArrow(_until_first_fault, df.schema)
+    return df, bool(index)
+
+
+def read_fastq_pairs(spark: SparkSession, forward: str | list[str], reverse: str | list[str], index: str | list[str] | None = None, *, tag: str = "present", mode: str = "PREFIX") -> DataFrame:
+    """Pairs from FASTQ files.  Identifiers of mates must agree and their mate numbers differ (but for SRA and EBI).
+
+    Pairs that do not agree end their file pair (``PREFIX``), are dropped, or raise.  Pairs with an empty forward read
+    are skipped.  An index read replaces the tag, and makes it optional in headers.
+    """
+    df, indexed = _checked(spark, forward, reverse, index, tag, mode)
+    ident = F.col("f.id").withField("tag", F.substring("i_seq", 1, 49)) if indexed else F.col("f.id")
+    return df.where("good and length(f_seq) > 0").select("ordinal", ident.alias("id"), "f_seq", "f_qual", "r_seq", "r_qual")
+
+
+def fastq_diagnostics(spark: SparkSession, forward: str | list[str], reverse: str | list[str], index: str | list[str] | None = None, *, tag: str = "present", mode: str = "PREFIX") -> DataFrame:
+    """One row for each record that ended a file pair or was left out: file_pair, record (from 0), code, line, header, path, hint."""
+    df, _ = _checked(spark, forward, reverse, index, tag, mode)
+    code = F.split("error", "\t")[0]
+    path = F.split("error", "\t")[1]
+    return df.where("not good").select(
+        F.floor(F.col("ordinal") / ORDINALS).cast("int").alias("file_pair"), (F.col("ordinal") % ORDINALS).alias("record"), code.alias("code"),
+        logs.line(code).alias("line"), F.col("f_header").alias("header"), F.when(path != "", path).alias("path"), logs.hint(code).alias("hint"),
+    )

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from ..functions import nt, seqid
 from ..functions.phred import requantise_array
@@ -19,7 +22,10 @@ def fastq(result: DataFrame) -> DataFrame:
 
     @F.pandas_udf("string")
     def quality(logp: pd.Series) -> pd.Series:
-        return logp.map(lambda p: "".join(map(chr, (requantise_array(p) + 33).tolist())))
+        size = logp.map(len).to_numpy(np.int64)  # one look-up for the whole batch, cut into rows again
+        text = (requantise_array(np.concatenate([*logp, np.zeros(0)])) + 33).astype(np.uint8).tobytes().decode("latin-1")
+        end = np.cumsum(size)
+        return pd.Series([text[a:b] for a, b in zip((end - size).tolist(), end.tolist(), strict=True)])
 
     return _merged(result).select(F.concat(_head("@"), F.lit("\n"), F.col("sequence"), F.lit("\n+\n"), quality("logp")).alias("value"))
 
@@ -45,3 +51,8 @@ def unaligned(result: DataFrame, with_quality: bool = False) -> DataFrame:
 def write_text(rows: DataFrame, path: str, compression: str = "none") -> None:
     """Write records; ``compression`` as Spark knows it (none, gzip, bzip2)."""
     rows.write.option("compression", compression).text(path)
+
+
+def for_each_partition(rows: DataFrame, sink: Callable[[Iterator[Row]], None]) -> None:
+    """Give the rows of each partition to a function of the caller, on the executors (run again if an executor is lost)."""
+    rows.foreachPartition(sink)

@@ -8,7 +8,7 @@ from readmerge.functions import nt
 from readmerge.operators.assemble import assemble
 from readmerge.plans import cli, sim
 from readmerge.sources import sinks
-from readmerge.sources.fastq import Malformed, read_fastq_pairs, records
+from readmerge.sources.fastq import Malformed, fastq_diagnostics, read_fastq_pairs, records
 from readmerge.streaming import live
 
 
@@ -64,6 +64,48 @@ def test_modes(spark, rows, tmp_path):
         read("FAILFAST").collect()
 
 
+def test_a_short_mate_file_is_an_error(spark, rows, tmp_path):
+    (tmp_path / "f").write_text(fastq(rows[:5], 1, "f"))
+    (tmp_path / "r").write_text(fastq(rows[:3], 2, "r"))
+    files = (f"{tmp_path}/f", f"{tmp_path}/r")
+    with pytest.raises(Exception, match="EOF"):
+        read_fastq_pairs(spark, *files, mode="FAILFAST").collect()
+    for mode in ("PREFIX", "DROPMALFORMED"):
+        assert read_fastq_pairs(spark, *files, mode=mode).count() == 3
+        lost = fastq_diagnostics(spark, *files, mode=mode).collect()
+        assert [(r["file_pair"], r["record"], r["code"], r["line"], r["path"]) for r in lost] == [(0, 3, "EOF", "ERR\tEOF", f"{tmp_path}/r")]
+        assert lost[0]["header"].startswith("M") and "ended" in lost[0]["hint"]
+
+
+@pytest.mark.parametrize("change", [lambda r: ["x" + r[0][1:], *r[1:]], lambda r: [r[0], r[1][:30], r[1][30:], *r[2:]], lambda r: [r[0], r[1], r[3]], lambda r: [r[0], "", *r[2:]], lambda r: ["@" + r[0], *r[1:]]])
+def test_faults_in_one_record_leave_the_others_in_step(spark, rows, tmp_path, change):
+    lines = fastq(rows[:4], 1, "f").split("\n")
+    (tmp_path / "f").write_text("\n".join([*lines[:4], *change(lines[4:8]), *lines[8:]]))
+    (tmp_path / "r").write_text(fastq(rows[:4], 2, "r"))
+    files = (f"{tmp_path}/f", f"{tmp_path}/r")
+    got = read_fastq_pairs(spark, *files, mode="DROPMALFORMED").orderBy("ordinal").collect()
+    assert [r["f_seq"] for r in got] == [rows[i]["f_seq"] for i in (0, 2, 3)]
+    assert [r["record"] for r in fastq_diagnostics(spark, *files, mode="DROPMALFORMED").collect()] == [1]
+    assert read_fastq_pairs(spark, *files).count() == 1
+
+
+def test_files_over_http(spark, rows, tmp_path):
+    import functools
+    import http.server
+    import threading
+
+    (tmp_path / "f.gz").write_bytes(gzip.compress(fastq(rows[:6], 1, "f").encode()))
+    (tmp_path / "r").write_text(fastq(rows[:6], 2, "r"))
+    handler = functools.partial(http.server.SimpleHTTPRequestHandler, directory=str(tmp_path))
+    handler.log_message = lambda *a: None
+    with http.server.ThreadingHTTPServer(("127.0.0.1", 0), handler) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        url = f"http://127.0.0.1:{server.server_address[1]}"
+        got = read_fastq_pairs(spark, f"{url}/f.gz", f"{url}/r").orderBy("ordinal").collect()
+        server.shutdown()
+    assert [r["r_seq"] for r in got] == [r["r_seq"] for r in rows[:6]]
+
+
 def test_output(spark, data, tmp_path):
     out = assemble(sim.read_pairs(spark, data).where("ordinal between 1 and 50"), keep_reads=True).cache()
     ok = out.where("status = 'OK'").collect()

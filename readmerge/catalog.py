@@ -6,18 +6,21 @@ SQL follows the pair view of ``plans.sim`` (reads of 64 bases, Ns in forward rea
 
 from __future__ import annotations
 
+import re
+import uuid
 from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .functions import kmers, nt, phred, seqid, tables
+from .functions import kmers, nt, phred, seqid
 from .operators import clip, diff, filters, kernel, stats
 from .operators.algorithms import REGISTRY, algorithm
 from .operators.assemble import _matrices, _reads, assemble
 from .operators.config import AssemblerConfig
 from .plans import sim
+from .sources import fastq, sinks
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -45,12 +48,33 @@ def _fixed(c):
 _USED_F, _USED_R = (40, 30, 20, 2), (40, 35, 10, 2)
 
 
-def _values(match: np.ndarray, mismatch: np.ndarray) -> str:
-    return ", ".join(f"({a}, {b}, {float(match[a, b])!r}::DOUBLE, {float(mismatch[a, b])!r}::DOUBLE)" for a in _USED_F for b in _USED_R)
+def _g(x: str) -> str:
+    """A value with six significant digits, as all tables have."""
+    return f"cast(printf('%g', {x}) as double)"
 
 
-_SCORES = ", ".join(f"({q}, {float(phred.QUAL_SCORE[q])!r}::DOUBLE)" for q in sorted({*_USED_F, *_USED_R}))
-_NN = repr(phred.QUAL_NN)
+_P, _Q = "power(10.0, -a / 10.0)", "power(10.0, -b / 10.0)"
+# the models' tables by their formulas, so that a wrong table of the engine shows
+_FORMULAS = {
+    "bayes": (f"(1 - {_P}) * (1 - {_Q}) + {_P} * {_Q} / 3", f"(1 - {_P}) * {_Q} / 3 + (1 - {_Q}) * {_P} / 3 + 2 * {_P} * {_Q} / 9"),
+    "pear": (f"1 - (1 - {_Q}) * {_P} / 3 - (1 - {_P}) * {_Q} / 3 - 2 * (1 - {_P}) * (1 - {_Q}) / 9", f"(1 - {_P}) * {_Q} / 3 + (1 - {_Q}) * {_P} / 3 + {_P} * {_Q} / 2"),
+    "uparse": (f"1 - {_P} * {_Q} / (1 - {_P} - {_Q} + 4 * {_P} * {_Q} / 3)", f"1 - ({_P} + {_Q} / 3) / ({_P} + {_Q} - 4 * {_P} * {_Q} / 3)"),
+}
+_LIST = lambda qs: ", ".join(f"({q})" for q in qs)
+
+
+def _table(formulas: tuple[str, str], bs=_USED_R) -> str:
+    """Rows a, b, v (match), w (mismatch) for all used pairs of scores."""
+    v, w = (_g(f"ln({x})") for x in formulas)
+    return f"SELECT a, b, {v} AS v, {w} AS w FROM (VALUES {_LIST(_USED_F)}) x(a), (VALUES {_LIST(bs)}) y(b)"
+
+
+def _scores(qs) -> str:
+    """Rows q, v (right), w (wrong)."""
+    return f"SELECT q, {_g('ln(1 - power(10.0, -q / 10.0))')} AS v, {_g('ln(power(10.0, -q / 10.0))')} AS w FROM (VALUES {_LIST(qs)}) x(q)"
+
+
+_NN = "-1.38629"
 
 _KMERS = """
 fk AS (SELECT ordinal, p, substr(f_seq, cast(p - 6 as bigint), 8) AS km FROM pairs, range(8, 64) t(p) WHERE instr(substr(f_seq, cast(p - 7 as bigint), 9), 'N') = 0),
@@ -65,8 +89,12 @@ _EVERY = "cand AS (SELECT p.ordinal, r.ov FROM pairs p, range(2, 65) r(ov))"
 def _score_sql(name: str) -> str:
     """The score of a candidate from m, x, u (matches, mismatches, unknown), for models that count."""
     if name in ("simple_bayesian", "uparse"):
-        m, x = REGISTRY[name].rates()
-        return f"({_NN} * (128 - 2 * ov + u) + m * ({m!r}) + x * ({x!r}))"
+        e = 0.36
+        m, x = {
+            "simple_bayesian": (f"ln(0.25 * (1 - 2 * {e} + {e} * {e}))", f"ln((3 * {e} - 2 * {e} * {e}) / 18)"),
+            "uparse": (f"ln(1 - {e} * {e} * (1 - 2 * {e} + 4 * {e} * {e} / 3))", f"ln(1 - 4 * {e} / 3 / (2 * {e} - 4 * {e} * {e} / 3))"),
+        }[name]
+        return f"({_NN} * (128 - 2 * ov + u) + m * {m} + x * {x})"
     return {
         "ea_util": "ln((cast(x + u as double) * (x + u) + 1) / ov)",
         "flash": "CASE WHEN m = 0 THEN 0.0 ELSE cast('-infinity' as double) END",
@@ -88,8 +116,8 @@ best{tag} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ordinal O
 _MERGE = f"""
 fr AS (SELECT b.ordinal, b.ov, p.f_seq, p.rc_seq, p.f_qual, reverse(p.r_qual) AS c_qual, p.template, length(rtrim(p.f_qual, '#')) AS f_clear, length(rtrim(p.r_qual, '#')) AS r_clear,
   b.examined, b.score, b.x FROM best b JOIN pairs p ON b.ordinal = p.ordinal),
-mt(a, b, v, w) AS (VALUES {_values(tables.MATCH_BAYES, tables.MISMATCH_BAYES)}),
-qs(q, v) AS (VALUES {_SCORES}),
+mt AS ({_table(_FORMULAS['bayes'])}),
+qs AS ({_scores(sorted({*_USED_F, *_USED_R}))}),
 bases AS (SELECT ordinal, ov, i, examined, score, x, template,
   CASE WHEN i <= 64 THEN substr(f_seq, i, 1) END AS fb, CASE WHEN i <= 64 THEN ascii(substr(f_qual, i, 1)) - 33 END AS fq, CASE WHEN i <= 64 THEN i > f_clear END AS fd,
   CASE WHEN i > 64 - ov THEN substr(rc_seq, i - 64 + ov, 1) END AS rb, CASE WHEN i > 64 - ov THEN ascii(substr(c_qual, i - 64 + ov, 1)) - 33 END AS rq,
@@ -182,17 +210,16 @@ def overlap_scores(pairs: DataFrame, name: str) -> DataFrame:
     return pairs.select("ordinal", "f_seq", "f_qual", "r_seq", "r_qual", "true_overlap").mapInArrow(run, "ordinal long, score double")
 
 
-def _position_sum(values: str, matched: str) -> str:
-    return f"""{sim.pairs_sql()}, mt(a, b, v, w) AS (VALUES {values}),
+def _position_sum(table: str, matched: str) -> str:
+    return f"""{sim.pairs_sql()}, mt AS ({table}),
 places AS (SELECT ordinal, i, substr(f_seq, 64 - true_overlap + i, 1) AS fb, substr(rc_seq, i, 1) AS rb, ascii(substr(f_qual, 64 - true_overlap + i, 1)) - 33 AS fq, ascii(substr(reverse(r_qual), i, 1)) - 33 AS rq,
   ascii(substr(f_qual, 65 - i, 1)) - 33 AS alias_q FROM (SELECT *, unnest(range(1, true_overlap + 1)) AS i FROM pairs))
 SELECT ordinal, cast(floor(sum({matched}) * 10000 + 0.5) as bigint) AS score FROM places LEFT JOIN mt ON mt.a = fq AND mt.b = """
 
 
-_PEAR_PAIRS = ", ".join(f"({a}, {b}, {float(tables.MATCH_PEAR[a, b])!r}::DOUBLE, {float(tables.MISMATCH_PEAR[a, b])!r}::DOUBLE)" for a in _USED_F for b in _USED_F)
 _POSITION_SQL = {
-    "pear": _position_sum(_PEAR_PAIRS, "CASE WHEN fb = 'N' THEN -ln(0.25) WHEN fb = rb THEN v ELSE w END") + "alias_q GROUP BY ordinal",
-    "rdp_mle": _position_sum(_values(tables.MATCH_BAYES, tables.MISMATCH_RDP), f"CASE WHEN fb = 'N' OR fb = rb THEN v ELSE w END - ({_NN})") + "rq GROUP BY ordinal",
+    "pear": _position_sum(_table(_FORMULAS['pear'], _USED_F), "CASE WHEN fb = 'N' THEN -ln(0.25) WHEN fb = rb THEN v ELSE w END") + "alias_q GROUP BY ordinal",
+    "rdp_mle": _position_sum(_table(_FORMULAS['bayes']), f"CASE WHEN fb = 'N' OR fb = rb THEN v ELSE w END - ({_NN})") + "rq GROUP BY ordinal",
 }
 
 
@@ -212,6 +239,62 @@ for _name in REGISTRY:
     _score_query(_name)
 
 
+# --- reads of other lengths and files ------------------------------------------------------------------------------
+
+# reads cut to 45 to 64 bases; some null, empty or short, some scores null or too few
+_CUT = """
+CASE WHEN ordinal % 97 = 0 THEN NULL WHEN ordinal % 71 = 0 THEN substr(f_seq, 1, 12) WHEN ordinal % 67 = 0 THEN substr(f_seq, 1, 8) WHEN ordinal % 89 = 0 THEN substr(f_seq, 1, 1) ELSE substr(f_seq, cast(1 + ordinal % 20 as int), 64) END AS f_seq,
+CASE WHEN ordinal % 83 = 0 THEN NULL WHEN ordinal % 79 = 0 THEN 'II' WHEN ordinal % 97 = 0 THEN f_qual WHEN ordinal % 71 = 0 THEN substr(f_qual, 1, 12) WHEN ordinal % 67 = 0 THEN substr(f_qual, 1, 8) WHEN ordinal % 89 = 0 THEN substr(f_qual, 1, 1) ELSE substr(f_qual, cast(1 + ordinal % 20 as int), 64) END AS f_qual,
+CASE WHEN ordinal % 73 = 0 THEN '' ELSE substr(r_seq, cast(1 + ordinal % 15 as int), 64) END AS r_seq,
+CASE WHEN ordinal % 73 = 0 THEN '' ELSE substr(r_qual, cast(1 + ordinal % 15 as int), 64) END AS r_qual"""
+
+
+def mixed_pairs(spark: SparkSession, d: str) -> DataFrame:
+    _pairs(spark, d).createOrReplaceTempView("readmerge_uncut")
+    return spark.sql(f"SELECT ordinal, id, {_CUT} FROM readmerge_uncut")
+
+
+def _mixed_sql(high: str) -> str:
+    return f"""{sim.pairs_sql()}, cut AS (SELECT ordinal, {_CUT} FROM pairs),
+read AS (SELECT *, reverse(translate(r_seq, 'ACGTN', 'TGCAN')) AS rc, length(f_seq) AS f, length(r_seq) AS r, coalesce(length(f_seq) >= 12 AND length(r_seq) >= 12 AND length(f_seq) = length(f_qual) AND length(r_seq) = length(r_qual), false) AS fine FROM cut),
+cand AS (SELECT *, unnest(range(12, {high} + 1)) AS ov FROM read WHERE fine AND f > 12 AND r > 12),
+counted AS (SELECT *, length(right(f_seq, ov)) - length(replace(right(f_seq, ov), 'N', '')) AS u, hamming(right(f_seq, ov), left(rc, ov)) AS ham FROM cand),
+scored AS (SELECT *, {_NN} * (f + r - 2 * ov + u) + (ov - ham) * ln(0.25 * (1 - 2 * 0.36 + 0.36 * 0.36)) + (ham - u) * ln((3 * 0.36 - 2 * 0.36 * 0.36) / 18) AS score FROM counted),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ordinal ORDER BY score DESC, ov) AS rn FROM scored WHERE score > {_NN} * (f + r)) WHERE rn = 1)
+SELECT read.ordinal, CASE WHEN NOT read.fine THEN 'BADR' WHEN best.ov IS NULL THEN 'NOALGN' ELSE 'OK' END AS status, cast(best.ov as bigint) AS overlap, cast(best.f + best.r - best.ov as bigint) AS len,
+  cast(best.ham - best.u as bigint) AS mismatches, cast(floor(best.score * 10000 + 0.5) as bigint) AS score FROM read LEFT JOIN best ON best.ordinal = read.ordinal"""
+
+
+def _mixed_query(name: str, high: str, **settings):
+    @query(name, _mixed_sql(high))
+    def _(spark, d):
+        out = assemble(mixed_pairs(spark, d), AssemblerConfig(min_overlap=12, exhaustive=True, threshold=1e-9, **settings), with_logp=False)
+        numbers = [F.col(a).cast("long").alias(b) for a, b in (("overlap", "overlap"), ("sequence_length", "len"), ("overlap_mismatches", "mismatches"))]
+        return out.select("ordinal", "status", *numbers, F.when(F.col("overlap").isNotNull(), _fixed(F.col("overlap_score"))).alias("score"))
+
+
+_mixed_query("assemble_mixed_lengths", "least(f, r)")
+_mixed_query("assemble_max_overlap", "least(f + r - 13, 40)", max_overlap=40)
+
+
+def _from_files(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of the table, written as FASTQ files and read back."""
+    forward, reverse = sinks.write_fastq_pairs(_pairs(spark, d), f"{sinks.shared_folder(spark)}/readmerge-fastq-{uuid.uuid4().hex}")
+    return fastq.read_fastq_pairs(spark, forward, reverse)
+
+
+@query("fastq_files_assembled", _full("SELECT ordinal, ov AS overlap, sequence FROM ok"))
+def _(spark, d):
+    out = assemble(_from_files(spark, d), with_logp=False).where("status = 'OK'")
+    return out.select(F.col("id.x").cast("long").alias("ordinal"), F.col("overlap").cast("long").alias("overlap"), "sequence")
+
+
+@query("fasta_records", _full("SELECT concat('>SIM:', cast(ordinal % 7 as varchar), ':FC:', cast(ordinal % 8 as varchar), ':', cast(ordinal % 100 as varchar), ':', cast(ordinal as varchar), ':', cast(ordinal % 1000 as varchar), ':', substr(template, 1, 6)) AS head, sequence FROM ok"))
+def _(spark, d):
+    lines = sinks.fasta(_assembled(spark, d)).select(F.split("value", "\n").alias("v"))
+    return lines.select(F.split(F.col("v")[0], ";")[0].alias("head"), F.col("v")[1].alias("sequence"))
+
+
 # --- clipping ------------------------------------------------------------------------------------------------------
 
 
@@ -221,17 +304,23 @@ def _(spark, d):
     return out.where("status = 'OK'").select("ordinal", "sequence")
 
 
-def _windows_sql(seq: str, qual: str, primer: str, penalty: float) -> str:
+def _windows_sql(seq: str, qual: str, primer: str, penalty: float, tag: str = "", scores=_USED_F) -> str:
     """CTE win(ordinal, s, v): the value of a primer at each start from 0, the last place left out; lengths are 64."""
     p = len(primer)
-    scores = ", ".join(f"({q}, {float(phred.QUAL_SCORE[q])!r}::DOUBLE, {float(phred.QUAL_SCORE_ERR[q])!r}::DOUBLE)" for q in _USED_F)
-    return f"""qw(q, v, w) AS (VALUES {scores}),
-spots AS (SELECT ordinal, s, x, substr(sq, s + x, 1) AS b, ascii(substr(ql, s + x, 1)) - 33 AS q FROM (SELECT ordinal, {seq} AS sq, {qual} AS ql, unnest(range(0, {64 - p})) AS s FROM pairs), range(1, {p + 1}) t(x)),
-win AS (SELECT ordinal, s, exp(sum(CASE WHEN b = 'N' OR b = substr('{primer}', x, 1) THEN v ELSE w END) / (s + {p + 1})) - (s + {p}) * {penalty!r} AS v FROM spots JOIN qw USING (q) GROUP BY ordinal, s)"""
+    return f"""qw{tag} AS ({_scores(scores)}),
+spots{tag} AS (SELECT ordinal, s, x, substr(sq, s + x, 1) AS b, ascii(substr(ql, s + x, 1)) - 33 AS q FROM (SELECT ordinal, {seq} AS sq, {qual} AS ql, unnest(range(0, {64 - p})) AS s FROM pairs), range(1, {p + 1}) t(x)),
+win{tag} AS (SELECT ordinal, s, exp(sum(CASE WHEN b = 'N' OR b = substr('{primer}', x, 1) THEN v ELSE w END) / (s + {p + 1})) - (s + {p}) * {penalty!r} AS v FROM spots{tag} JOIN qw{tag} USING (q) GROUP BY ordinal, s)"""
+
+
+def _place_sql(primer: str, tag: str, threshold: float) -> str:
+    """CTE at(ordinal, cut): bases through the end of the best place of a primer, null where there is none."""
+    p = len(primer)
+    return f"""at{tag} AS (SELECT ordinal, CASE WHEN v > {threshold ** p!r} THEN s + {p} END AS cut FROM (
+  SELECT *, row_number() OVER (PARTITION BY ordinal ORDER BY s) AS rn FROM (SELECT *, max(v) OVER (PARTITION BY ordinal) AS top FROM win{tag}) WHERE v > top - 1e-12) WHERE rn = 1)"""
 
 
 _PRIMER = "ACGTNC"
-_PRIMER_SQL = f"""{sim.pairs_sql()}, qs(q, v, w) AS (VALUES {", ".join(f"({q}, {float(phred.QUAL_SCORE[q])!r}::DOUBLE, {float(phred.QUAL_SCORE_ERR[q])!r}::DOUBLE)" for q in _USED_F)}),
+_PRIMER_SQL = f"""{sim.pairs_sql()}, qs AS ({_scores(_USED_F)}),
 places AS (SELECT ordinal, s, x, substr(f_seq, s + x, 1) AS b, ascii(substr(f_qual, s + x, 1)) - 33 AS q FROM (SELECT *, unnest(range(0, 58)) AS s FROM pairs), range(1, 7) t(x) WHERE x <> 5),
 win AS (SELECT ordinal, s, exp(sum(CASE WHEN b = 'N' OR b = substr('{_PRIMER}', x, 1) THEN v ELSE w END) / (s + 7)) - (s + 6) * 0.001 AS v FROM places JOIN qs USING (q) GROUP BY ordinal, s),
 top AS (SELECT ordinal, max(v) AS v FROM win GROUP BY ordinal)
@@ -244,14 +333,39 @@ def _(spark, d):
     return out.select("ordinal", "place")
 
 
-@query("primers_before")
+def _plus(*ctes: str) -> str:
+    return ", ".join(x.strip().rstrip(",") for x in (sim.pairs_sql(), _best_sql(), _MERGE, *ctes))
+
+
+_BEFORE_SQL = f"""{_plus(_windows_sql("f_seq", "f_qual", "ACGT", 0.0, "_f"), _place_sql("ACGT", "_f", 0.5), _windows_sql("r_seq", "r_qual", "ACG", 0.0, "_r", _USED_R), _place_sql("ACG", "_r", 0.5))},
+cut AS (SELECT fused.ordinal, any_value(at_f.cut) AS fo, any_value(at_r.cut) AS ro, any_value(128 - ov) AS len, string_agg(base, '' ORDER BY i) AS sequence, sum(p) / (any_value(128 - ov - at_f.cut - at_r.cut) + 1) AS quality
+  FROM fused JOIN at_f ON at_f.ordinal = fused.ordinal JOIN at_r ON at_r.ordinal = fused.ordinal WHERE 2 + at_f.cut < 64 AND 2 + at_r.cut < 64 AND i > at_f.cut AND i <= 128 - ov - at_r.cut GROUP BY fused.ordinal)
+SELECT p.ordinal, CASE WHEN f.cut IS NULL THEN 'NOFP' WHEN r.cut IS NULL THEN 'NORP' WHEN c.ordinal IS NULL THEN 'NOALGN' WHEN c.quality < ln(0.5) THEN 'LOWQ' ELSE 'OK' END AS status,
+  cast(c.fo as bigint) AS forward_offset, cast(c.ro as bigint) AS reverse_offset, c.sequence AS sequence
+FROM pairs p LEFT JOIN at_f f ON f.ordinal = p.ordinal LEFT JOIN at_r r ON r.ordinal = p.ordinal LEFT JOIN cut c ON c.ordinal = p.ordinal"""
+
+_AFTER_SQL = f"""{_plus()},
+looks AS (SELECT fused.ordinal, i - j AS s, j, base, p FROM fused, range(1, 5) t(j) WHERE i - j >= 0 AND i - j < 128 - ov - 4),
+win_m AS (SELECT ordinal, s, CASE WHEN bool_and(base = 'N' OR base = substr('ACGT', j, 1)) THEN exp(sum(p) / (s + 5)) END AS v FROM looks GROUP BY ordinal, s),
+{_place_sql("ACGT", "_m", 0.3)}
+SELECT p.ordinal, CASE WHEN m.ordinal IS NULL THEN 'NOALGN' WHEN coalesce(length(m.sequence) <= a.cut, true) THEN 'NOFP' WHEN m.quality < ln(0.3) THEN 'LOWQ' ELSE 'OK' END AS status,
+  cast(CASE WHEN m.ordinal IS NOT NULL THEN coalesce(CASE WHEN a.cut < length(m.sequence) THEN a.cut END, 0) END as bigint) AS forward_offset, cast(CASE WHEN m.ordinal IS NOT NULL THEN 0 END as bigint) AS reverse_offset,
+  substr(m.sequence, cast(1 + coalesce(CASE WHEN a.cut < length(m.sequence) THEN a.cut END, 0) as bigint)) AS sequence
+FROM pairs p LEFT JOIN merged m ON m.ordinal = p.ordinal LEFT JOIN at_m a ON a.ordinal = p.ordinal"""
+
+
+def _clipped(out: DataFrame) -> DataFrame:
+    return out.select("ordinal", "status", F.col("forward_offset").cast("long").alias("forward_offset"), F.col("reverse_offset").cast("long").alias("reverse_offset"), "sequence")
+
+
+@query("primers_before", _BEFORE_SQL)
 def _(spark, d):
-    return _assembled(spark, d, AssemblerConfig(forward_primer="ACGT", reverse_primer="ACG", threshold=0.5)).select("ordinal", "status", "forward_offset", "reverse_offset", "sequence")
+    return _assembled(spark, d, AssemblerConfig(forward_primer="ACGT", reverse_primer="ACG", threshold=0.5)).transform(_clipped)
 
 
-@query("primers_after")
+@query("primers_after", _AFTER_SQL)
 def _(spark, d):
-    return _assembled(spark, d, AssemblerConfig(forward_primer="ACGT", primers_after=True, threshold=0.3)).select("ordinal", "status", "forward_offset", "reverse_offset", "sequence")
+    return _assembled(spark, d, AssemblerConfig(forward_primer="ACGT", primers_after=True, threshold=0.3)).transform(_clipped)
 
 
 @query("overhang_trim", f"""{sim.pairs_sql()}, {_windows_sql("reverse(f_seq)", "reverse(f_qual)", "TGCA", 0.0)}, top AS (SELECT ordinal, max(v) AS v FROM win GROUP BY ordinal)
@@ -280,7 +394,7 @@ _filter_query("long", "long:100", "length(sequence) <= 100")
 _filter_query("degenerate", "degenerate", "degenerates = 0")
 _filter_query("empty", "empty", "length(sequence) > 0")
 _filter_query("mismatches", "completely_miss_the_point:0", "x = 0")
-_filter_query("min_phred", "min_phred:2", f"least >= {float(phred.QUAL_SCORE[2])!r}")
+_filter_query("min_phred", "min_phred:2", f"least >= {_g('ln(1 - power(10.0, -0.2))')}")
 _filter_query("min_overlapbits", "min_overlapbits:-150", "score >= -150 * ln(2)")
 _filter_query("overlap_stat", "overlap_stat", "true")
 _filter_query("validtag", "validtag:AC:GT:TT", "substr(p.template, 1, 2) IN ('AC', 'GT', 'TT')", before=True)
@@ -323,7 +437,16 @@ def _(spark, d):
     return out.where("status in ('OK', 'MODULE')").select("ordinal", "status")
 
 
-@query("filter_pear_test")
+_PEAR_SQL = f"""{_plus()},
+each AS (SELECT DISTINCT ov, x FROM merged),
+steps AS (SELECT ov, x, i, ceil((ov - 2 * x + i) / 2.0) - 1 AS last FROM (SELECT ov, x, unnest(range(ov, 64)) AS i FROM each)),
+sums AS (SELECT ov, x, i, coalesce(sum(exp(lgamma(i + 1) - lgamma(k + 1) - lgamma(i - k + 1) + k * ln(0.25) + (i - k) * ln(0.75))), 0) AS f FROM steps LEFT JOIN range(0, 65) t(k) ON k <= last AND k <= i GROUP BY ov, x, i),
+p AS (SELECT ov, x, CASE WHEN min(f) <= 0 THEN 0 ELSE exp(sum(ln(f))) END AS p FROM sums GROUP BY ov, x)
+SELECT a.ordinal, CASE WHEN m.ordinal IS NULL THEN 'NOALGN' WHEN m.quality < ln(0.6) THEN 'LOWQ' WHEN 1 - power(coalesce(p.p, 1), 2) < 0.05 THEN 'OK' ELSE 'MODULE' END AS status
+FROM pairs a LEFT JOIN merged m ON m.ordinal = a.ordinal LEFT JOIN p ON p.ov = m.ov AND p.x = m.x"""
+
+
+@query("filter_pear_test", _PEAR_SQL)
 def _(spark, d):
     return _assembled(spark, d, AssemblerConfig(modules=(filters.load("pear_test:cutoff=0.05"),)), keep_reads=True).select("ordinal", "status")
 
@@ -369,7 +492,20 @@ def _(spark, d):
 
 
 
-@query("diff_min_overlap")
+def _tagged(sql: str, tag: str) -> str:
+    """The same steps under other names."""
+    return re.sub(r"\b(fk2|fk|rk|hits|cand|counted|mxu|scored|best|fr|mt|qs|bases|fused|merged|ok)\b(?!\()", rf"\1{tag}", sql.replace("mt.", "mt_.").replace("qs.", "qs_.")).replace("mt_.", f"mt{tag}.").replace("qs_.", f"qs{tag}.")
+
+
+_LONGER = _KMERS.replace("BETWEEN 2 AND 64", "BETWEEN 30 AND 64").replace("range(2, 65) r(ov)", "range(30, 65) r(ov)")
+_DIFF_SQL = f"""{_plus()}, {_tagged(_best_sql(cand=_LONGER) + "," + _MERGE, "_e").strip()}
+SELECT p.ordinal, CASE WHEN a.ordinal IS NULL AND b.ordinal IS NULL THEN 'both_fail' WHEN a.ordinal IS NULL THEN 'gained' WHEN b.ordinal IS NULL THEN 'lost' WHEN length(a.sequence) <> length(b.sequence) THEN 'length'
+  WHEN a.sequence <> b.sequence THEN 'nt' WHEN b.quality > a.quality THEN 'better' WHEN b.quality < a.quality THEN 'worse' ELSE 'same' END AS kind,
+  CASE WHEN length(a.sequence) = length(b.sequence) AND a.sequence <> b.sequence THEN cast(hamming(a.sequence, b.sequence) as bigint) END AS changed_bases
+FROM pairs p LEFT JOIN ok a ON a.ordinal = p.ordinal LEFT JOIN ok_e b ON b.ordinal = p.ordinal"""
+
+
+@query("diff_min_overlap", _DIFF_SQL)
 def _(spark, d):
     pairs = _pairs(spark, d)
     return diff.diff(pairs, AssemblerConfig(), AssemblerConfig(min_overlap=30))
@@ -424,7 +560,7 @@ def _(spark, d):
     return _orders(spark, d).select("k", F.floor(phred.log_probability(F.col("k") % 60) * 1000 + 0.5).cast("long").alias("p"))
 
 
-_STEPS_SQL = " ".join(f"WHEN p < {float(phred.QUAL_SCORE[i])!r} THEN {i - 1 if (i - 1) % 3 == 0 else i} WHEN p = {float(phred.QUAL_SCORE[i])!r} THEN {i}" for i in range(1, 46))
+_STEPS_SQL = " ".join(f"WHEN p < {_g(f'ln(1 - power(10.0, -{i} / 10.0))')} THEN {i - 1 if (i - 1) % 3 == 0 else i} WHEN p = {_g(f'ln(1 - power(10.0, -{i} / 10.0))')} THEN {i}" for i in range(1, 46))
 
 
 @query("phred_requantise", f"SELECT o_orderkey AS k, cast(CASE WHEN p <= -2 THEN 1 {_STEPS_SQL} ELSE 45 END as bigint) AS q FROM (SELECT o_orderkey, -cast(o_orderkey % 2500 as double) / 1000.0 AS p FROM orders)")

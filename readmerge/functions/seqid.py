@@ -23,36 +23,37 @@ def parse(header: Column, tag: str = "present") -> Column:
 
     ``tag``: ``present`` rejects an empty tag, ``absent`` any tag, ``optional`` takes both; SRA and EBI have none.
     """
-    g = lambda pattern, i: F.regexp_extract(header, pattern, i)
     num = lambda c: F.when(c == "", 0).otherwise(c.cast("int"))
     colons = F.length(F.regexp_replace(F.split(header, "#").getItem(0), "[^:]", ""))
+    empty, zero = F.lit(""), F.lit(0)
+    none = F.struct(F.lit(None).cast(TYPE).alias("id"), F.lit(0).alias("mate"), F.lit("unknown").alias("format"))
 
-    def ident(instrument, run, flowcell, lane, tile, x, y, t):
-        return F.struct(*[v.alias(k) for k, v in zip(FIELDS, (instrument, run, flowcell, lane, tile, x, y, t), strict=True)])
+    def ident(*values):
+        return F.struct(*[v.alias(k) for k, v in zip(FIELDS, values, strict=True)])
 
-    def row(i, mate, form):
-        return F.struct(i.alias("id"), mate.cast("int").alias("mate"), F.lit(form).alias("format"))
+    def matched(pattern: str, groups: int, out, form: str, tagged: bool = True):
+        """One match gives all fields of a header; ``out`` makes the identifier and the mate from them."""
+        fields = F.split(F.regexp_replace(header, pattern, "\x01".join(f"${i}" for i in range(1, groups + 1))), "\x01", -1)
 
-    empty, zero = F.lit(""), F.lit(0)
-    none = F.struct(F.lit(None).cast(TYPE).alias("id"), F.lit(0).alias("mate"), F.lit("unknown").alias("format"))
-    sra = lambda form: row(ident(F.concat(F.substring(header, 1, 3), g(_SRA, 2).cast("int").cast("string")), empty, empty, num(g(_SRA, 3)), zero, zero, zero, empty), F.lit(1), form)
-    old = row(ident(g(_OLD, 1), empty, empty, *(num(g(_OLD, i)) for i in (2, 3, 4, 5)), g(_OLD, 6)), g(_OLD, 7), "1.4")
-    converted = row(ident(*(g(_CONVERTED, i) for i in (1, 2, 3)), *(num(g(_CONVERTED, i)) for i in (4, 5, 6, 7)), g(_CONVERTED, 8)), g(_CONVERTED, 9), "converted")
-    new = row(ident(*(g(_NEW, i) for i in (1, 2, 3)), *(num(g(_NEW, i)) for i in (4, 5, 6, 7)), g(_NEW, 9)), g(_NEW, 8), "1.7+")
+        def row(p):
+            i, mate = out(lambda k: p[k - 1])
+            whole = F.struct(i.alias("id"), mate.cast("int").alias("mate"), F.lit(form).alias("format"))
+            return F.when({"present": i["tag"] != "", "absent": i["tag"] == "", "optional": F.lit(True)}[tag], whole).otherwise(none) if tagged else whole
 
-    def checked(pattern, i, out):
-        t = g(pattern, i)
-        ok = header.rlike(pattern) & {"present": t != "", "absent": t == "", "optional": F.lit(True)}[tag]
-        return F.when(ok, out).otherwise(none)
+        return F.when(header.rlike(pattern), F.transform(F.array(fields), row)[0]).otherwise(none)
 
+    sra = lambda form: matched(_SRA, 3, lambda g: (ident(F.concat(g(1), F.lit("RR"), g(2).cast("int").cast("string")), empty, empty, num(g(3)), zero, zero, zero, empty), F.lit(1)), form, False)
+    old = matched(_OLD, 7, lambda g: (ident(g(1), empty, empty, *map(num, (g(2), g(3), g(4), g(5))), g(6)), g(7)), "1.4")
+    converted = matched(_CONVERTED, 9, lambda g: (ident(g(1), g(2), g(3), *map(num, (g(4), g(5), g(6), g(7))), g(8)), g(9)), "converted")
+    new = matched(_NEW, 9, lambda g: (ident(g(1), g(2), g(3), *map(num, (g(4), g(5), g(6), g(7))), g(9)), g(8)), "1.7+")
     archive = header.rlike("^[SE]RR") & (F.length(header) > 3)
     return (
         F.when(header.isNull(), none)
         .when(archive & header.rlike(_SRA), F.when(header.startswith("S"), sra("SRA")).otherwise(sra("EBI")))
         .when(archive, none)
-        .when(F.contains(header, F.lit("/")) & (colons == 6), checked(_CONVERTED, 8, converted))
-        .when(F.contains(header, F.lit("/")), checked(_OLD, 6, old))
-        .otherwise(checked(_NEW, 9, new))
+        .when(F.contains(header, F.lit("/")) & (colons == 6), converted)
+        .when(F.contains(header, F.lit("/")), old)
+        .otherwise(new)
     )
 
 
@@ -64,3 +65,27 @@ def to_string(i: Column) -> Column:
 def has_direction(form: Column) -> Column:
     """Whether a format tells the mates apart."""
     return ~form.isin("SRA", "EBI")
+
+
+def order_key(i: Column) -> Column:
+    """A value by which identifiers sort: instrument, run, flowcell, lane, tile, x, y, tag; null identifiers have none."""
+    return F.when(i.isNotNull(), F.struct(*[i[f].alias(f) for f in FIELDS]))
+
+
+def compare(a: Column, b: Column) -> Column:
+    """-1, 0 or 1 as one identifier sorts before, with or behind another; null if either is."""
+    x, y = order_key(a), order_key(b)
+    return F.when(x < y, -1).when(x == y, 0).when(x > y, 1)
+
+
+def equal(a: Column, b: Column) -> Column:
+    """All fields agree."""
+    return order_key(a) == order_key(b)
+
+
+def format_name(code: Column) -> Column:
+    """The name of a format's number."""
+    out = F.when(F.lit(False), F.lit(None).cast("string"))
+    for k, v in FORMATS.items():
+        out = out.when(code == k, v)
+    return out.otherwise(FORMATS[0])

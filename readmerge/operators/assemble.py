@@ -101,21 +101,17 @@ def _kernel(cfg: AssemblerConfig, passed: list[str], with_logp: bool):
     return run
 
 
-def assemble(pairs: DataFrame, cfg: AssemblerConfig | None = None, *, with_logp: bool = True, keep_reads: bool = False) -> DataFrame:
-    """Merge all pairs.  Columns: ordinal, id (and the reads if asked), the result, and ``reject_module``.
-
-    Without ``with_logp`` the log-probabilities of bases are left out; modules that read them need it.
-    """
-    cfg = cfg or AssemblerConfig()
+def _prechecks(df: DataFrame, cfg: AssemblerConfig) -> tuple[DataFrame, Column]:
+    """The table, widened by modules, and why a pair never reaches the kernel (else null)."""
     reject = F.when((F.length("f_seq") < 2) | (F.length("r_seq") < 2) | F.col("f_seq").isNull() | F.col("r_seq").isNull(), "BADR")
-    df = pairs
     for m in (m for m in cfg.modules if m.stage == "precheck"):
         df, keep = m.on(df, cfg)
         reject = reject.when(~F.coalesce(keep, F.lit(False)), m.name)
-    passed = ["ordinal", "id", *(["f_seq", "f_qual", "r_seq", "r_qual"] if keep_reads else []), "_reject"]
-    df = df.withColumn("_reject", reject).select(*PAIR, "_reject")
-    shape = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in passed)
-    out = df.mapInArrow(_kernel(replace(cfg, modules=()), passed, with_logp), f"{shape}, {RESULT_TYPE}")
+    return df, reject
+
+
+def _checks(out: DataFrame, cfg: AssemblerConfig) -> DataFrame:
+    """Results with ``reject_module`` (from ``_reject`` and the modules behind the kernel)."""
     late: Column = F.when(F.col("status") == "MODULE", F.col("_reject"))
     for m in (m for m in cfg.modules if m.stage == "check"):
         out, keep = m.on(out, cfg)
@@ -124,6 +120,55 @@ def assemble(pairs: DataFrame, cfg: AssemblerConfig | None = None, *, with_logp:
     return out.withColumn("status", F.when(F.col("reject_module").isNotNull(), "MODULE").otherwise(F.col("status"))).drop("_reject")
 
 
+def assemble(pairs: DataFrame, cfg: AssemblerConfig | None = None, *, with_logp: bool = True, keep_reads: bool = False) -> DataFrame:
+    """Merge all pairs.  Columns: ordinal, id (and the reads if asked), the result, and ``reject_module``.
+
+    Without ``with_logp`` the log-probabilities of bases are left out; modules that read them need it.
+    """
+    cfg = cfg or AssemblerConfig()
+    df, reject = _prechecks(pairs, cfg)
+    passed = ["ordinal", "id", *(["f_seq", "f_qual", "r_seq", "r_qual"] if keep_reads else []), "_reject"]
+    df = df.withColumn("_reject", reject).select(*PAIR, "_reject")
+    shape = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in passed)
+    return _checks(df.mapInArrow(_kernel(replace(cfg, modules=()), passed, with_logp), f"{shape}, {RESULT_TYPE}"), cfg)
+
+
+def assemble_each(pairs: DataFrame, configs: dict[str, AssemblerConfig]) -> DataFrame:
+    """Merge all pairs by several settings in one pass: ordinal, id and, for each name, a struct of the result.
+
+    Log-probabilities are left out unless a module behind the kernel is used.
+    """
+    df, names = pairs, list(configs)
+    for k, cfg in configs.items():
+        df, reject = _prechecks(df, cfg)
+        df = df.withColumn(f"_reject_{k}", reject)
+    logp = any(m.stage == "check" for cfg in configs.values() for m in cfg.modules)
+    bare = {k: replace(cfg, modules=()) for k, cfg in configs.items()}
+    rejects = [f"_reject_{k}" for k in names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = [b.column(c) for c in PAIR]
+            for k in names:
+                skip = pc.fill_null(pc.not_equal(b.column(f"_reject_{k}"), "BADR"), False).to_numpy(zero_copy_only=False)
+                out = results(*cols[2:6], bare[k], ~skip, logp)
+                fields = [out[c].cast(t) for c, t in _RESULT]
+                cols.append(pa.StructArray.from_arrays(fields, [c for c, _ in _RESULT]))
+            yield pa.RecordBatch.from_arrays([*cols, *(b.column(c) for c in rejects)], [*PAIR, *names, *rejects])
+
+    df = df.select(*PAIR, *rejects)
+    inner = ", ".join(x.strip().replace(" ", ":", 1) for x in RESULT_TYPE.split(", "))
+    shape = [f"{c} {df.schema[c].dataType.simpleString()}" for c in PAIR] + [f"`{k}` struct<{inner}>" for k in names] + [f"{c} string" for c in rejects]
+    df = df.mapInArrow(run, ", ".join(shape))
+    plain = [c for c, _ in _RESULT]
+    for k, cfg in configs.items():
+        # modules see the columns of one result at a time
+        others = [c for c in df.columns if c not in (k, f"_reject_{k}")]
+        wide = _checks(df.select(*others, F.col(f"_reject_{k}").alias("_reject"), F.col(k)["status"].alias("status"), *[F.col(k)[c].alias(c) for c in plain[1:]]), cfg)
+        df = wide.select(*others, F.struct(*plain, "reject_module").alias(k))
+    return df.select("ordinal", "id", *names)
+
+
 def merged(result: DataFrame) -> DataFrame:
     """The rows that passed."""
     return result.where("status = 'OK'")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .assemble import assemble
+from .assemble import assemble_each
 from .config import AssemblerConfig
 
 KINDS = ("same", "gained", "lost", "length", "nt", "better", "worse", "both_fail")
@@ -19,7 +19,11 @@ def compare(control: DataFrame, experiment: DataFrame) -> DataFrame:
     cols = ("status", "sequence", "quality")
     a = control.select("ordinal", *[F.col(c).alias(f"a_{c}") for c in cols])
     b = experiment.select("ordinal", *[F.col(c).alias(f"b_{c}") for c in cols])
-    j = a.join(b, "ordinal", "full_outer")
+    kind, changed = _kind_and_changes()
+    return a.join(b, "ordinal", "full_outer").select("ordinal", kind.alias("kind"), changed.alias("changed_bases"))
+
+
+def _kind_and_changes() -> tuple[Column, Column]:
     in_a, in_b = F.coalesce(F.col("a_status") == "OK", F.lit(False)), F.coalesce(F.col("b_status") == "OK", F.lit(False))
     kind = (
         F.when(~in_a & ~in_b, "both_fail").when(~in_a, "gained").when(~in_b, "lost")
@@ -28,12 +32,14 @@ def compare(control: DataFrame, experiment: DataFrame) -> DataFrame:
     )
     pairs = F.arrays_zip(F.split("a_sequence", "").alias("x"), F.split("b_sequence", "").alias("y"))
     changed = F.when(kind == "nt", F.size(F.filter(pairs, lambda p: p["x"] != p["y"]))).cast("long")
-    return j.select("ordinal", kind.alias("kind"), changed.alias("changed_bases"))
+    return kind, changed
 
 
 def diff(pairs: DataFrame, control: AssemblerConfig, experiment: AssemblerConfig) -> DataFrame:
-    """Compare two configurations over pairs (best written or cached first: they are read twice)."""
-    return compare(assemble(pairs, control, with_logp=False), assemble(pairs, experiment, with_logp=False))
+    """Compare two configurations over pairs: each pair is read once, assembled twice and compared where it is."""
+    both = assemble_each(pairs, {"a": control, "b": experiment})
+    kind, changed = _kind_and_changes()
+    return both.select("ordinal", *[F.col(s)[c].alias(f"{s}_{c}") for s in "ab" for c in ("status", "sequence", "quality")]).select("ordinal", kind.alias("kind"), changed.alias("changed_bases"))
 
 
 def diff_summary(rows: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice, zip_longest
+from urllib.parse import urlparse
 from urllib.request import urlopen
 
 import pyarrow as pa
@@ -37,6 +38,8 @@ def open_bytes(path: str) -> io.BufferedIOBase:
     """A stream of a plain, gzip or bzip2 file."""
     if path.startswith(("http://", "https://")):
         raw = io.BufferedReader(urlopen(path))  # noqa: S310
+    elif path.startswith("file:/"):
+        raw = open(urlparse(path).path, "rb")
     elif "://" in path:
         from pyarrow import fs
 

@@ -106,3 +106,27 @@ def test_reaches_equals_requantise(spark):
     rows = spark.createDataFrame([(x,) for x in p], "p double")
     for v in (0, 1, 2, 3, 4, 5, 20, 45, 46):
         assert [r[0] for r in rows.select(reaches(F.col("p"), v)).collect()] == (phred.requantise_array(np.array(p)) >= v).tolist()
+
+
+def test_identifiers_compare_field_by_field(spark):
+    from readmerge.functions import seqid
+
+    heads = ["M1:2:FC:1:5:10:20 1:N:0:AC", "M1:2:FC:1:5:9:20 1:N:0:AC", "M1:2:FC:1:5:10:20 2:N:0:AC", "M1:10:FC:1:5:10:20 1:N:0:AC", "bad"]
+    ids = spark.createDataFrame([(i, h) for i, h in enumerate(heads)], "n int, h string").select("n", seqid.parse(F.col("h"))["id"].alias("i"))
+    a, b = ids.alias("a"), ids.alias("b")
+    got = {(r.x, r.y): (r.c, r.e) for r in a.join(b).select(F.col("a.n").alias("x"), F.col("b.n").alias("y"), seqid.compare(F.col("a.i"), F.col("b.i")).alias("c"), seqid.equal(F.col("a.i"), F.col("b.i")).alias("e")).collect()}
+    assert got[0, 1] == (1, False) and got[1, 0] == (-1, False) and got[0, 2] == (0, True) and got[3, 0] == (-1, False) and got[0, 4] == (None, None)
+    names = spark.range(7).select(seqid.format_name(F.col("id").cast("int"))).collect()
+    assert [r[0] for r in names] == ["unknown", "SRA", "EBI", "1.4", "1.7+", "converted", "unknown"]
+
+
+def test_key_values_and_log_lines(spark):
+    from readmerge.functions import logs
+    from readmerge.operators.filters import key_values
+
+    assert key_values("a=1,b=x=y") == {"a": "1", "b": "x=y"} and key_values("") == {}
+    for bad in ("a", "a=1,a=2", "=1"):
+        with pytest.raises(ValueError):
+            key_values(bad)
+    codes = spark.createDataFrame([("BADID",), ("STAT",), ("?",)], "c string").select(logs.line(F.col("c")), logs.hint(F.col("c"))).collect()
+    assert [r[0] for r in codes] == ["ERR\tBADID", "STAT", "ERR\tUNKNOWN ERROR"] and codes[0][1] and codes[1][1] is None

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import IntegralType
 
 from . import scratch, text as tx
 
@@ -68,6 +69,22 @@ def group_count(docs: DataFrame, group_bytes: int) -> int:
     return int(min(max(16, math.ceil(size / group_bytes)), 1 << 24))
 
 
+#: Groups whose fingerprints one bucket takes, on average: a bucket has about as many entries as that many groups send in all.
+GROUPS_A_BUCKET = 8
+
+
+def bucket_count(groups: int) -> int:
+    """Hash buckets for the fingerprints of some groups."""
+    return max(16, -(-groups // GROUPS_A_BUCKET))
+
+
+def whole_keys(docs: DataFrame) -> DataFrame:
+    """``docs`` if its column key holds whole numbers."""
+    if not isinstance(docs.schema["key"].dataType, IntegralType):
+        raise TypeError(f"keys must be whole numbers, not {docs.schema['key'].dataType.simpleString()}")
+    return docs
+
+
 def _deal(groups: int):
     def run(batches):
         z = zstandard.ZstdCompressor(level=1)
@@ -93,7 +110,7 @@ def _deal(groups: int):
 
 def deal(docs: DataFrame, groups: int) -> DataFrame:
     """Blocks (group, source, data) of the distinct texts of ``docs`` (columns key, text)."""
-    src = docs.select(F.col("key").cast("long").alias("key"), "text", digest_of(F.col("text")).alias("digest"))
+    src = whole_keys(docs).select(F.col("key").cast("long").alias("key"), "text", digest_of(F.col("text")).alias("digest"))
     return src.mapInArrow(_deal(groups), BLOCK)
 
 

@@ -8,14 +8,15 @@ A document's set is its distinct 5-word shingles.  Two documents link when 100 *
 2. Linked sets share a shingle among the first n - ceil(0.75 n) + 1 of each in that order.  Shingles of one document
    cannot be the shared one and are not sent; a document whose first shingles are all its own takes no further part.
 3. In each bucket, documents with a shingle in common are paired with one leader per size range: a star, not all pairs.
-4. A pair is decided by its overlap: the order of hashes is cut into ``FRAGMENTS`` ranges, the sets' parts in each range
-   are counted apart, and the counts are summed for each pair.
+4. A pair is decided by its overlap.  The global order is cut into ``FRAGMENTS`` at pivots, between which equally many
+   shingles lie; each fragment counts the overlaps of the parts of sets that lie in it, apart from the others, and the counts
+   are summed for each pair.  Shingles of one document are in no overlap and take no part.
 5. Links give components.  Where a bucket still holds documents of different components, those pairs (and only those)
    are decided in a second round, so no link between different texts is lost.
 
 Defined cases: with fewer words than a shingle the whole sequence is one shingle; texts without words (or null) have an
 empty set and stand alone; equal texts are one class and share its component; rows of equal key share nothing but
-their key; a null key is larger than all others and comes back as null.
+their key; a null key is larger than all others and comes back as null.  Keys are whole numbers; others are refused.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ SHINGLE = 5
 FRAGMENTS = 4
 #: Members of one star that are decided by one task.
 STAR_PART = 2048
+#: Parts into which the rows of one component are spread.
+SALTS = 16
 #: Bits of a class id that number the texts of a group.
 LOCAL = 32
 
@@ -70,25 +73,35 @@ class Sets:
         for b, part in cl.parts_of(*cl.by_bucket(h, buckets)):
             yield b, h[part], many[part]
 
-    def prefixes(self, replies: dict[int, bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """(hash, text) of the shared shingles among the first of each text in the global order."""
-        all_h, level = [], []
+    def levels(self, table: pa.Table, buckets: int) -> np.ndarray:
+        """The level of each shingle of each text, from the buckets' answers."""
+        replies, all_h, level = cl.answers(table), [np.zeros(0, tx.U64)], [np.zeros(0, np.uint8)]
         for b, h, _ in self.distinct(buckets):
+            own = np.empty(len(h), np.uint8)
+            own[_short_order(h)[1]] = cl.unpack(replies[b])[0]
             all_h.append(h)
-            level.append(cl.unpack(replies[b])[0])
-        if not all_h:
-            return np.zeros(0, tx.U64), np.zeros(0, np.int64)
+            level.append(own)
         all_h, level = np.concatenate(all_h), np.concatenate(level)
         order = np.argsort(all_h)
-        own = level[order][np.searchsorted(all_h[order], self.h)]
-        place = (self.doc.astype(tx.U64) << tx.U64(40)) | (own.astype(tx.U64) << tx.U64(32)) | (self.h >> tx.U64(32))
+        return level[order][np.searchsorted(all_h[order], self.h)] if len(self.h) else level
+
+    def prefixes(self, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, text) of the shared shingles among the first of each text in the global order."""
+        place = (self.doc.astype(tx.U64) << tx.U64(40)) | (level.astype(tx.U64) << tx.U64(32)) | (self.h >> tx.U64(32))
         order = tx.ordered(place, self.h)  # by text, commonness, hash
         rank = np.arange(len(order)) - self.off[self.doc[order]]
         first = order[rank < (self.n - -(-3 * self.n // 4) + 1)[self.doc[order]]]
-        first = first[own[first] > 0]
+        first = first[level[first] > 0]
         return self.h[first], self.doc[first]
 
 
+def _short_order(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Half of each hash (with the bucket, enough to tell shingles apart) in order, and that order."""
+    short = (h & tx.U64(0xFFFFFFFF)).astype(np.uint32)
+    order = np.argsort(short, kind="stable")
+    return short[order], order
+
+
 def _ids(group: int, local: np.ndarray) -> np.ndarray:
     return (group << LOCAL) | local.astype(np.int64)
 
@@ -106,6 +119,29 @@ def _frequencies(table: pa.Table) -> pa.Table:
     return cl.block_table([(s, bucket, cl.pack(level[a:b])) for s, a, b in zip(sources, bounds[:-1], bounds[1:], strict=True)])
 
 
+def _level_counts(batches):
+    """(level, shingles) of each batch of answers."""
+    total = np.zeros(64, np.int64)
+    for batch in batches:
+        for data in batch.column("data").to_pylist():
+            total += np.bincount(cl.unpack(data)[0], minlength=64)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(64)), pa.array(total)], ["level", "n"])
+
+
+def pivots(counts: np.ndarray, parts: int) -> np.ndarray:
+    """Places of the global order that cut the shared shingles into equal parts; hashes of a level are spread evenly."""
+    counts = counts.copy()
+    counts[0] = 0
+    end = np.cumsum(counts)
+    out = []
+    for i in range(1, parts):
+        want = int(end[-1]) * i // parts
+        level = int(np.searchsorted(end, want, "right"))
+        inside = (want - int(end[level] - counts[level])) / max(1, int(counts[level])) if level < len(counts) else 0.0
+        out.append((min(level, 63) << 58) + min(int(inside * (1 << 58)), (1 << 58) - 1))
+    return np.array(out, tx.U64)
+
+
 def stars(h: np.ndarray, n: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """The leader's place for each entry of entries sorted by (h, n, ids): the first entry of its size range.
 
@@ -193,24 +229,30 @@ def _rest_pairs(tasks: int):
     return run
 
 
-def _fragments(left: pa.Table, right: pa.Table) -> pa.Table:
-    """A group's sets, cut into fragments, to the tasks that need them: task * FRAGMENTS + fragment."""
-    if not left.num_rows or not right.num_rows:
-        return cl.block_table([])
-    sets, me = Sets(cl.blocks_of(left)), left.column("group")[0].as_py()
-    local, task = (np.concatenate(x) for x in zip(*(cl.unpack(b) for b in cl.blocks_of(right)), strict=True))
-    pair = np.unique(np.stack([task, local], 1), axis=0)
-    rows = []
-    width = tx.U64((1 << 64) // FRAGMENTS)
-    for k, part in cl.parts_of(pair[:, 0], np.arange(len(pair))):
-        own = pair[part, 1]
-        at = tx.expand(sets.off[own], sets.n[own])
-        h, doc = sets.h[at], np.repeat(np.arange(len(own)), sets.n[own])
-        where = (h // width).astype(np.int64)
-        for f in range(FRAGMENTS):
-            some = where == f
-            rows.append((k * FRAGMENTS + f, me, cl.pack(own.astype(np.uint32), sets.n[own].astype(np.uint32), np.bincount(doc[some], minlength=len(own)).astype(np.uint32), h[some])))
-    return cl.block_table(rows)
+def _fragments(cuts: np.ndarray, buckets: int):
+    """A group's sets, cut at the pivots, to the tasks that need them: task * FRAGMENTS + fragment."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        source = right.column("source").to_numpy()
+        asked = right.filter(pa.array(source == ASKED))
+        if not left.num_rows or not asked.num_rows:
+            return cl.block_table([])
+        sets, me = Sets(cl.blocks_of(left)), left.column("group")[0].as_py()
+        level = sets.levels(right.filter(pa.array(source >= 0)), buckets)
+        local, task = (np.concatenate(x) for x in zip(*(cl.unpack(b) for b in cl.blocks_of(asked)), strict=True))
+        pair = np.unique(np.stack([task, local], 1), axis=0)
+        where = np.searchsorted(cuts, (level.astype(tx.U64) << tx.U64(58)) | (sets.h >> tx.U64(6)), "right")
+        rows = []
+        for k, part in cl.parts_of(pair[:, 0], np.arange(len(pair))):
+            own = pair[part, 1]
+            at = tx.expand(sets.off[own], sets.n[own])
+            doc = np.repeat(np.arange(len(own)), sets.n[own])
+            for f in range(FRAGMENTS):
+                some = (where[at] == f) & (level[at] > 0)
+                rows.append((k * FRAGMENTS + f, me, cl.pack(own.astype(np.uint32), sets.n[own].astype(np.uint32), np.bincount(doc[some], minlength=len(own)).astype(np.uint32), sets.h[at[some]])))
+        return cl.block_table(rows)
+
+    return run
 
 
 def _overlaps(table: pa.Table) -> pa.Table:
@@ -260,11 +302,16 @@ def _sum(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(a[good]), pa.array(b[good])], names=["a", "b"])
 
 
-def _links(texts: DataFrame, asked: DataFrame) -> DataFrame:
+#: Source of the rows that ask a group for sets.
+ASKED = -3
+
+
+def _links(texts: DataFrame, asked: DataFrame, levels: DataFrame, cuts: np.ndarray, buckets: int) -> DataFrame:
     """Decide requested pairs: sets in fragments, partial overlaps, sums.  One row for each link."""
     asked = scratch.materialize(asked, "requests")
-    needs = asked.where("source = 0")
-    cut = texts.groupBy("group").cogroup(needs.groupBy("group")).applyInArrow(_fragments, cl.BLOCK)
+    needs = asked.where("source = 0").select("group", F.lit(ASKED).alias("source"), "data")
+    some = levels.join(needs.select("group").distinct(), "group", "left_semi")  # answers to groups that nothing is asked of stay
+    cut = texts.groupBy("group").cogroup(some.union(needs).groupBy("group")).applyInArrow(_fragments(cuts, buckets), cl.BLOCK)
     pairs = asked.where("source = -1").select("group", "source", "data", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("part"))
     pairs = pairs.select((F.col("group") * FRAGMENTS + F.col("part")).cast("int").alias("group"), "source", "data")
     partial = cut.union(pairs).groupBy("group").applyInArrow(_overlaps, cl.BLOCK)
@@ -280,15 +327,15 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """
     src = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     n = cl.group_count(docs, group_bytes)
+    buckets = cl.bucket_count(n)
     texts = scratch.materialize(cl.deal(src, n), "texts")
 
     def send(table):
         me = table.column("group")[0].as_py()
         rows = []
-        for b, h, many in Sets(cl.blocks_of(table)).distinct(n):
-            short = (h & tx.U64(0xFFFFFFFF)).astype(np.uint32)  # with the bucket, enough to tell shingles apart
-            order = np.argsort(short, kind="stable")
-            rows.append((b, me, cl.pack(cl.deltas(short[order]), np.minimum(many[order], 0xFFFF).astype(np.uint16))))
+        for b, h, many in Sets(cl.blocks_of(table)).distinct(buckets):
+            short, order = _short_order(h)
+            rows.append((b, me, cl.pack(cl.deltas(short), np.minimum(many[order], 0xFFFF).astype(np.uint16))))
         return cl.block_table(rows)
 
     def entries(left, right):
@@ -296,14 +343,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
             return cl.block_table([])
         sets, me = Sets(cl.blocks_of(left)), left.column("group")[0].as_py()
         known = right.column("source").to_numpy() >= 0
-        answers = {s: d for s, d in cl.answers(right.filter(pa.array(known))).items()}
-        replies = {}
-        for b, h, _ in sets.distinct(n):  # answers are in the order sent; put them back in order of hash
-            order = np.argsort((h & tx.U64(0xFFFFFFFF)).astype(np.uint32), kind="stable")
-            level = np.empty(len(h), np.uint8)
-            level[order] = cl.unpack(answers[b])[0]
-            replies[b] = cl.pack(level)
-        h, doc = sets.prefixes(replies, n)
+        h, doc = sets.prefixes(sets.levels(right.filter(pa.array(known)), buckets))
         labels = None
         if not known.all():
             labels = _ids(me, np.arange(len(sets.texts)))
@@ -311,7 +351,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                 local, root = cl.unpack(d)
                 labels[local] = root
         rows = []
-        for b, p in cl.parts_of(*cl.by_bucket(h, n)):
+        for b, p in cl.parts_of(*cl.by_bucket(h, buckets)):
             cols = [h[p], sets.n[doc[p]].astype(np.uint32), doc[p].astype(np.uint32)]
             rows.append((b, me, cl.pack(*cols, *([labels[doc[p]]] if labels is not None else []))))
         return cl.block_table(rows)
@@ -326,26 +366,35 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         g = table.column("group")[0].as_py()
         return cl.block_table([(g, -1, cl.pack(table.column("local").to_numpy(), table.column("root").to_numpy()))])
 
+    def met(blocks: DataFrame):
+        """Blocks by bucket, in as many tasks as there are buckets: few bytes are much work there."""
+        return blocks.repartition(buckets, "group").groupBy("group")
+
     grouped = texts.groupBy("group")
-    levels = scratch.materialize(grouped.applyInArrow(send, cl.BLOCK).groupBy("group").applyInArrow(_frequencies, cl.BLOCK), "levels")
+    levels = scratch.materialize(met(grouped.applyInArrow(send, cl.BLOCK)).applyInArrow(_frequencies, cl.BLOCK), "levels")
+    counts = {r[0]: r[1] for r in levels.select("data").mapInArrow(_level_counts, "level long, n long").groupBy("level").agg(F.sum("n")).collect()}  # 64 rows
+    cuts = pivots(np.array([counts.get(i, 0) for i in range(64)]), FRAGMENTS)
     first = grouped.cogroup(levels.groupBy("group")).applyInArrow(entries, cl.BLOCK)
-    links = _links(texts, first.groupBy("group").applyInArrow(_first_pairs(n), cl.BLOCK))
+    links = _links(texts, met(first).applyInArrow(_first_pairs(n), cl.BLOCK), levels, cuts, buckets)
     roots = scratch.materialize(components(links), "roots")
     labels = roots.select(F.shiftright("node", LOCAL).cast("int").alias("group"), F.col("node").bitwiseAND((1 << LOCAL) - 1).alias("local"), "root")
     told = labels.groupBy("group").applyInArrow(label_blocks, cl.BLOCK)
     # every group hears of labels, be it with none, so that all entries of the second round have them
     none = levels.select("group").distinct().select("group", F.lit(-2).alias("source"), F.lit(cl.pack(np.zeros(0, np.int64), np.zeros(0, np.int64))).alias("data"))
     second = grouped.cogroup(levels.union(told).union(none).groupBy("group")).applyInArrow(entries, cl.BLOCK)
-    more = _links(texts, second.groupBy("group").applyInArrow(_rest_pairs(n), cl.BLOCK))
+    more = _links(texts, met(second).applyInArrow(_rest_pairs(n), cl.BLOCK), levels, cuts, buckets)
     first_links, links = links, scratch.materialize(links.union(more).distinct(), "all-links")
     first_roots, roots = roots, scratch.materialize(components(links), "all-roots")
     degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("links"))
     every = scratch.materialize(grouped.applyInArrow(describe, "digest string, key long, n_shingles long, id long"), "classes")
     scratch.drop(texts, levels, first_links, more, first_roots)
     placed = every.join(roots, every["id"] == roots["node"], "left").join(degree, F.col("id") == F.col("a"), "left")
-    placed = placed.select("digest", "key", "n_shingles", F.coalesce("root", "id").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
-    least = placed.groupBy("root").agg(F.min("key").alias("component_id"))
-    return placed.join(least, "root").select("digest", "key", "n_shingles", "component_id", "links", "root")
+    placed = placed.select("digest", "key", "n_shingles", "id", "root", F.coalesce("links", F.lit(0)).alias("links"))
+    alone = placed.where("root is null").select("digest", "key", "n_shingles", F.col("key").alias("component_id"), "links", F.col("id").alias("root"))
+    # a component may hold a third of all texts: its rows are spread, its least key is sent to each part
+    several = placed.where("root is not null").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    least = several.groupBy("root").agg(F.min("key").alias("component_id")).withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return alone.union(several.join(least, ["root", "salt"]).select("digest", "key", "n_shingles", "component_id", "links", "root"))
 
 
 def near_duplicates_by_row(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -358,7 +407,8 @@ def near_duplicates_by_row(docs: DataFrame, *, key: str = "doc_id", text: str =
 
 
 def keep_one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each component the text of the least (key, digest), in one row.
+    """The rows of ``docs`` without near duplicates: of each component the text of the least (key, digest), in one row
+    (of several rows with that key and text the one with the least hash of all its columns).
 
     Texts without words are in no component and stay, each row of them.
     """
@@ -371,7 +421,7 @@ def keep_one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
     kept = rows.where(words).join(chosen, same, "left_semi")
     again = rows.select("k", "d").join(chosen, same, "left_semi").groupBy("k", "d").count().where("count > 1")
     if not again.isEmpty():  # the same row several times
-        kept = kept.dropDuplicates(["k", "d"])
+        kept = kept.groupBy("k", "d").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
     return kept.select("row").union(rows.where(~words).select("row")).select("row.*")
 
 

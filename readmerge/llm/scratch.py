@@ -1,7 +1,7 @@
 """Intermediate tables in the folder that every executor shares.
 
 Lineage is cut by writing Parquet below ``spark.checkpoint.dir``.  The setting is read from the session; only where it
-is unset (unit tests, notebooks) is a local folder made and set.
+is unset and Spark runs in one process (unit tests, notebooks) is a local folder made and set.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="readmerge-")
     spark.sparkContext.setCheckpointDir(own)
     return shared_dir(spark)

@@ -18,7 +18,8 @@ levels of equal size merge.
 * Places whose k bytes stand in one document only need nothing.
 
 Defined cases: null counts as empty; texts shorter than ``span`` lose nothing; equal texts of larger keys are removed
-whole; rows of equal key do not remove from each other; a null key is larger than all others.
+whole; rows of equal key do not remove from each other; a null key is larger than all others.  Keys are whole numbers; others
+are refused.
 """
 
 from __future__ import annotations
@@ -317,12 +318,13 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """
     src = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     n = cl.group_count(docs, group_bytes)
+    buckets = cl.bucket_count(n)
     texts = cl.deal(src, n)
 
     def send(table):
         g = Group(cl.blocks_of(table), span)
         me = table.column("group")[0].as_py()
-        return cl.block_table([(b, me, cl.pack(g.gh[p], g.gseg[p], cl.deltas(g.gkey[p]))) for b, p in g.places(n)])
+        return cl.block_table([(b, me, cl.pack(g.gh[p], g.gseg[p], cl.deltas(g.gkey[p]))) for b, p in g.places(buckets)])
 
     def match(table):
         parts, sources = _gather(table)
@@ -346,24 +348,24 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     def state(left, right) -> tuple[Group, np.ndarray, Halves]:
         g = Group(cl.blocks_of(left), span)
-        full, check = g.take(_round(right, 0), n)
+        full, check = g.take(_round(right, 0), buckets)
         return g, full, Halves(g, np.flatnonzero(check))
 
     def send_halves(left, right):
         if not left.num_rows:
             return cl.block_table([])
-        return state(left, right)[2].send(left.column("group")[0].as_py(), n)
+        return state(left, right)[2].send(left.column("group")[0].as_py(), buckets)
 
     def send_strings(left, right):
         if not left.num_rows:
             return cl.block_table([])
-        return state(left, right)[2].strings(_round(right, 1), n).send(left.column("group")[0].as_py(), n)
+        return state(left, right)[2].strings(_round(right, 1), buckets).send(left.column("group")[0].as_py(), buckets)
 
     def finish(left, right):
         if not left.num_rows:
             return _result([])
         g, full, halves = state(left, right)
-        at = halves.strings(_round(right, 1), n).found(_round(right, 2), n)
+        at = halves.strings(_round(right, 1), buckets).found(_round(right, 2), buckets)
         t = g.texts
         cover = np.zeros(len(t.buf) + 1, np.int32)
         np.add.at(cover, g.first[full], 1)
@@ -387,10 +389,10 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         return _result(rows)
 
     def meet(f, told):
-        return texts.groupBy("group").cogroup(told.groupBy("group")).applyInArrow(f, cl.BLOCK).groupBy("group")
+        return texts.groupBy("group").cogroup(told.groupBy("group")).applyInArrow(f, cl.BLOCK).repartition(buckets, "group").groupBy("group")
 
     # answers are small; an exchange of their own lets later rounds read them again instead of making them anew
-    told = texts.groupBy("group").applyInArrow(send, cl.BLOCK).groupBy("group").applyInArrow(match, cl.BLOCK).repartition("group")
+    told = texts.groupBy("group").applyInArrow(send, cl.BLOCK).repartition(buckets, "group").groupBy("group").applyInArrow(match, cl.BLOCK).repartition("group")
     told = told.union(meet(send_halves, told).applyInArrow(compare(1), cl.BLOCK).repartition("group"))
     told = told.union(meet(send_strings, told).applyInArrow(compare(2), cl.BLOCK).repartition("group"))
     shape = "digest string, key long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
@@ -422,7 +424,8 @@ def cut_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n_c
     """
     found = remove_repeats(docs, key=key, text=text, span=span).select("digest", F.col("key").alias("least"), "kept_text")
     # texts come with their class; rows bring the other columns only
-    others = F.struct(*[F.col(c) for c in docs.columns if c != text], F.lit(1).alias("_"))
+    spare = "_" * (1 + max(map(len, docs.columns)))  # there may be no other column
+    others = F.struct(*[F.col(c) for c in docs.columns if c != text], F.lit(1).alias(spare))
     rows = docs.select(others.alias("row"), F.coalesce(F.col(key).cast("long"), F.lit(cl.NO_KEY)).alias("k"), cl.digest_of(F.col(text)).alias("d"), F.octet_length(text).alias("size"))
     j = rows.join(found, F.col("d") == F.col("digest"), "left")
     again = (F.col("k") > F.col("least")) & (F.col("size") >= span)

@@ -231,15 +231,32 @@ class Strings(Compared):
         return self.at[self.larger | self.take(replies, buckets)[0][self.of]]
 
 
+def _merged(a: np.ndarray, b: np.ndarray, *columns: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """Two sorted arrays merged into one, and columns of both in the same order; nothing is sorted anew."""
+    at = np.searchsorted(a, b, "right") + np.arange(len(b))
+    rest = np.ones(len(a) + len(b), bool)
+    rest[at] = False
+    out = []
+    for x, y in ((a, b), *columns):
+        z = np.empty(len(rest), x.dtype)
+        z[at], z[rest] = y, x
+        out.append(z)
+    return out
+
+
+@dataclass
 class Level:
-    """Distinct suffixes of earlier batches, sorted."""
+    """Distinct suffixes of earlier batches: places with their entries, in order, and stretches with their places, in order."""
+
+    h: np.ndarray
+    ids: np.ndarray
+    pair: np.ndarray
+    pair_h: np.ndarray
 
-    def __init__(self, h: np.ndarray, pair: np.ndarray, ids: np.ndarray):
-        order = np.argsort(h, kind="stable")
-        self.h, self.ids = h[order], ids[order]
-        order = np.argsort(pair)
-        self.pair, self.pair_h = pair[order], h[order]
-        self.parts = h, pair, ids
+    @staticmethod
+    def of(h: np.ndarray, pair: np.ndarray, ids: np.ndarray) -> Level:
+        order, by_pair = np.argsort(h, kind="stable"), np.argsort(pair)
+        return Level(h[order], ids[order].astype(np.int32), pair[by_pair], h[by_pair])
 
     def __len__(self) -> int:
         return len(self.h)
@@ -251,7 +268,7 @@ class Level:
         return hit
 
     def merge(self, other: Level) -> Level:
-        return Level(*(np.concatenate(x) for x in zip(self.parts, other.parts, strict=True)))
+        return Level(*_merged(self.h, other.h, (self.ids, other.ids)), *_merged(self.pair, other.pair, (self.pair_h, other.pair_h)))
 
 
 def scan_levels(h: np.ndarray, seg: np.ndarray, key: np.ndarray, batches: int = BATCHES) -> tuple[np.ndarray, np.ndarray]:
@@ -282,7 +299,7 @@ def scan_levels(h: np.ndarray, seg: np.ndarray, key: np.ndarray, batches: int =
             fresh &= ~level.has(h[owner], pair[owner])
         shared[b] = several[np.cumsum(new_h) - 1]
         full[b] |= ~fresh[np.cumsum(new) - 1]
-        levels.append(Level(h[owner[fresh]], pair[owner[fresh]], owner[fresh]))
+        levels.append(Level.of(h[owner[fresh]], pair[owner[fresh]], owner[fresh]))
         while len(levels) > 1 and len(levels[-2]) <= len(levels[-1]) * 2:
             last = levels.pop()
             levels[-1] = levels[-1].merge(last)

@@ -75,7 +75,7 @@ GROUPS_A_BUCKET = 8
 
 def bucket_count(groups: int) -> int:
     """Hash buckets for the fingerprints of some groups."""
-    return max(16, -(-groups // GROUPS_A_BUCKET))
+    return -(-groups // GROUPS_A_BUCKET)
 
 
 def whole_keys(docs: DataFrame) -> DataFrame:

@@ -70,7 +70,7 @@ def group_count(docs: DataFrame, group_bytes: int) -> int:
 
 
 #: Groups whose fingerprints one bucket takes, on average: a bucket has about as many entries as that many groups send in all.
-GROUPS_A_BUCKET = 8
+GROUPS_A_BUCKET = 2
 
 
 def bucket_count(groups: int) -> int:

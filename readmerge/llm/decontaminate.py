@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import scratch, text as tx
 
-BITMAP = 1 << 26
+BITMAP = 1 << 24
 SALTS = 16
 _CANDIDATES = "array<struct<h:bigint,w:bigint,size:int,starts:array<int>>>"
 _RUNS = "array<struct<start:bigint,end:bigint>>"

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1_000_000
+SLICE = 400_000
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 

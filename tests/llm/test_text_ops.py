@@ -39,7 +39,7 @@ def test_decontaminate_data(spark, data):
     assert any(r[-1] for r in want)
 
 
-@pytest.mark.parametrize("bits", [1 << 26, 64])
+@pytest.mark.parametrize("bits", [1 << 24, 64])
 def test_decontaminate_odd(spark, monkeypatch, bits):
     """Also with a bitmap that is full, so that every window is a candidate."""
     monkeypatch.setattr(decontaminate, "BITMAP", bits)
@@ -62,7 +62,7 @@ def test_runs_stay_in_their_document(spark):
     assert {r["doc_id"]: [tuple(x) for x in r["runs"]] for r in found.collect()} == {**{i: [(0, 3)] for i in range(5)}, 9: [(0, 6)]}
 
 
-@pytest.mark.parametrize("bits", [1 << 26, 64])
+@pytest.mark.parametrize("bits", [1 << 24, 64])
 def test_decontaminate_random(spark, monkeypatch, bits):
     monkeypatch.setattr(decontaminate, "BITMAP", bits)
     rng = random.Random(4)

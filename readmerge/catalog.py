@@ -338,8 +338,10 @@ def _plus(*ctes: str) -> str:
 
 
 _BEFORE_SQL = f"""{_plus(_windows_sql("f_seq", "f_qual", "ACGT", 0.0, "_f"), _place_sql("ACGT", "_f", 0.5), _windows_sql("r_seq", "r_qual", "ACG", 0.0, "_r", _USED_R), _place_sql("ACG", "_r", 0.5))},
-cut AS (SELECT fused.ordinal, any_value(at_f.cut) AS fo, any_value(at_r.cut) AS ro, any_value(128 - ov) AS len, string_agg(base, '' ORDER BY i) AS sequence, sum(p) / (any_value(128 - ov - at_f.cut - at_r.cut) + 1) AS quality
-  FROM fused JOIN at_f ON at_f.ordinal = fused.ordinal JOIN at_r ON at_r.ordinal = fused.ordinal WHERE 2 + at_f.cut < 64 AND 2 + at_r.cut < 64 AND i > at_f.cut AND i <= 128 - ov - at_r.cut GROUP BY fused.ordinal)
+cut AS (SELECT b.ordinal, at_f.cut AS fo, at_r.cut AS ro, coalesce(string_agg(fused.base, '' ORDER BY i) FILTER (i > at_f.cut AND i <= 128 - b.ov - at_r.cut), '') AS sequence,
+  coalesce(sum(fused.p) FILTER (i > at_f.cut AND i <= 128 - b.ov - at_r.cut), 0) / (128 - b.ov - at_f.cut - at_r.cut + 1) AS quality
+  FROM best b JOIN at_f ON at_f.ordinal = b.ordinal JOIN at_r ON at_r.ordinal = b.ordinal JOIN fused ON fused.ordinal = b.ordinal
+  WHERE 2 + at_f.cut < 64 AND 2 + at_r.cut < 64 AND 128 - b.ov - at_f.cut - at_r.cut >= 0 GROUP BY b.ordinal, b.ov, at_f.cut, at_r.cut)
 SELECT p.ordinal, CASE WHEN f.cut IS NULL THEN 'NOFP' WHEN r.cut IS NULL THEN 'NORP' WHEN c.ordinal IS NULL THEN 'NOALGN' WHEN c.quality < ln(0.5) THEN 'LOWQ' ELSE 'OK' END AS status,
   cast(c.fo as bigint) AS forward_offset, cast(c.ro as bigint) AS reverse_offset, c.sequence AS sequence
 FROM pairs p LEFT JOIN at_f f ON f.ordinal = p.ordinal LEFT JOIN at_r r ON r.ordinal = p.ordinal LEFT JOIN cut c ON c.ordinal = p.ordinal"""
@@ -500,7 +502,7 @@ def _tagged(sql: str, tag: str) -> str:
 _LONGER = _KMERS.replace("BETWEEN 2 AND 64", "BETWEEN 30 AND 64").replace("range(2, 65) r(ov)", "range(30, 65) r(ov)")
 _DIFF_SQL = f"""{_plus()}, {_tagged(_best_sql(cand=_LONGER) + "," + _MERGE, "_e").strip()}
 SELECT p.ordinal, CASE WHEN a.ordinal IS NULL AND b.ordinal IS NULL THEN 'both_fail' WHEN a.ordinal IS NULL THEN 'gained' WHEN b.ordinal IS NULL THEN 'lost' WHEN length(a.sequence) <> length(b.sequence) THEN 'length'
-  WHEN a.sequence <> b.sequence THEN 'nt' WHEN b.quality > a.quality THEN 'better' WHEN b.quality < a.quality THEN 'worse' ELSE 'same' END AS kind,
+  WHEN a.sequence <> b.sequence THEN 'nt' WHEN b.quality > a.quality + 1e-9 THEN 'better' WHEN b.quality < a.quality - 1e-9 THEN 'worse' ELSE 'same' END AS kind,
   CASE WHEN length(a.sequence) = length(b.sequence) AND a.sequence <> b.sequence THEN cast(hamming(a.sequence, b.sequence) as bigint) END AS changed_bases
 FROM pairs p LEFT JOIN ok a ON a.ordinal = p.ordinal LEFT JOIN ok_e b ON b.ordinal = p.ordinal"""
 

@@ -149,6 +149,7 @@ _codes: dict[bytes, Code] = {}
 _triples: dict[bytes, list[tuple[int, int]]] = {}
 _uses: dict[bytes, int] = {}
 OFTEN = 4  # uses of codes from which on a table pays
+NO_TRIPLE = [(0, 255)]  # every pixel needs more
 
 
 def _code_of(lengths: list[int]) -> Code:
@@ -180,7 +181,7 @@ def _triple(red: list[int], blue: list[int], alpha: list[int], total: int) -> li
             value |= symbol << shift
             taken += n
         _triples[key] = list(zip(value.tolist(), np.where(taken > LOOK, 255, taken).tolist(), strict=True))
-    return _triples.get(key, [])
+    return _triples.get(key, NO_TRIPLE)
 
 
 def _number(bits: Bits, symbol: int) -> int:
@@ -217,23 +218,23 @@ def _pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     windows = (words & np.uint64((1 << 60) - 1)).tolist()  # 53 bits or more from each byte on
     (green, red, blue, alpha, far, three), pos = codes[0], bits.pos
     (gt, gm), (rt, rm), (bt, bm), (at_, am) = ((c.pairs, c.mask) for c in (green, red, blue, alpha))
-    look, add = (1 << LOOK) - 1, out.append
+    look, add = len(three) - 1, out.append
     try:
         while len(out) < total:
-            for _ in range(total - len(out)):  # as many items at most
-                if which:
-                    x, y = len(out) % width, len(out) // width
-                    green, red, blue, alpha, far, three = codes[which[(y >> block) * wide + (x >> block)]]
-                    (gt, gm), (rt, rm), (bt, bm), (at_, am) = ((c.pairs, c.mask) for c in (green, red, blue, alpha))
+            if which:
+                x, y = len(out) % width, len(out) // width
+                green, red, blue, alpha, far, three = codes[which[(y >> block) * wide + (x >> block)]]
+                (gt, gm), (rt, rm), (bt, bm), (at_, am) = ((c.pairs, c.mask) for c in (green, red, blue, alpha))
+                look = len(three) - 1
+            for _ in range(1 if which else total - len(out)):  # as many items at most
                 w = windows[pos >> 3] >> (pos & 7)
                 s, n = gt[w & gm]
                 if s < 256:
-                    if three:
-                        v, taken = three[w >> n & look]
-                        if taken < 255:
-                            pos += n + taken
-                            add(v | s << 8)
-                            continue
+                    v, taken = three[w >> n & look]
+                    if taken < 255:
+                        pos += n + taken
+                        add(v | s << 8)
+                        continue
                     w >>= n
                     r, n_red = rt[w & rm]
                     w >>= n_red
@@ -434,13 +435,9 @@ def _lengths(count: np.ndarray) -> list[int]:
 
 def _runs(lengths: list[int]) -> np.ndarray:
     """Code lengths as rows of symbol, extra value and extra bits, runs shortened."""
-    out, at = [], 0
-    while at < len(lengths):
-        n, end = lengths[at], at + 1
-        while end < len(lengths) and lengths[end] == n:
-            end += 1
-        many = end - at
-        at = end
+    out, x = [], np.array(lengths)
+    begin = np.concatenate([[0], np.flatnonzero(x[1:] != x[:-1]) + 1])
+    for n, many in zip(x[begin].tolist(), np.diff(begin, append=len(x)).tolist(), strict=True):
         if n:
             out += (n, 0, 0)
             many -= 1
@@ -584,14 +581,14 @@ def _picture(v: np.ndarray, width: int, main: bool, shared: bool = False) -> tup
     far = np.zeros(n, bool)
     far[copies[:, 0]] = True
     copied = far[at]
-    green, red, blue, alpha = ((x >> np.uint32(k) & np.uint32(255)).astype(np.int64) for k in (8, 16, 0, 24))
-    (length, dist), (l_value, d_value), (l_extra, d_extra) = (np.split(x, 2) for x in _symbol(np.concatenate([copies[:, 1], _distances(copies[:, 2], width)])))
+    blue, green, red, alpha = np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).astype(np.int64)
+    (length, dist), (l_value, d_value), (l_extra, d_extra) = (y.reshape(2, -1) for y in _symbol(np.concatenate([copies[:, 1], _distances(copies[:, 2], width)])))
     d_count = np.bincount(dist, minlength=40)
 
     def counts(bits):
         first, plain = green.copy(), ~copied
         if bits:
-            slots = v * np.uint32(CACHE_FACTOR) >> np.uint32(32 - bits)
+            slots = (v * np.uint32(CACHE_FACTOR) >> np.uint32(32 - bits)).astype(np.uint16)  # short numbers sort faster
             order = np.argsort(slots, kind="stable")
             hit = np.zeros(n, bool)
             hit[order[1:]] = (v[order[1:]] == v[order[:-1]]) & (slots[order[1:]] == slots[order[:-1]])
@@ -738,7 +735,7 @@ def encode(samples: np.ndarray, width: int, height: int) -> bytes:
     begin = end - n
     words = np.zeros((int(end[-1]) + 63) // 64 + 1, "<u8")
     slot, shift = begin >> 6, (begin & 63).astype(np.uint64)
-    first = np.flatnonzero(np.diff(slot, prepend=-1))
+    first = np.concatenate([[0], np.flatnonzero(slot[1:] != slot[:-1]) + 1])
     words[slot[first]] |= np.bitwise_or.reduceat(value << shift, first)
     over = np.where(shift > 0, value >> (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))
     words[slot[first] + 1] |= np.bitwise_or.reduceat(over, first)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, licenses, media, packing, quality, shard, suffix, urlfilter, warc
+from . import decontaminate, jaccard, licenses, media, merkle, packing, quality, shard, suffix, urlfilter, vectors, warc, whiten
 
 QUERIES = {
     "op1_shard": shard.op1_shard,
@@ -15,8 +15,13 @@ QUERIES = {
     "op8_media": media.op8_media,
     "op9_url_filter": urlfilter.op9_url_filter,
     "op10_warc": warc.op10_warc,
+    "op11_vectors": vectors.op11_vectors,
+    "op12_whiten": whiten.op12_whiten,
+    "op13_merkle": merkle.op13_merkle,
 }
 
 ORACLES: dict[str, str] = {
     "op9_url_filter": urlfilter.ORACLE,
+    "op11_vectors": vectors.ORACLE,
+    "op13_merkle": merkle.ORACLE,
 }

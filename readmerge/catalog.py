@@ -7,7 +7,6 @@ SQL follows the pair view of ``plans.sim`` (reads of 64 bases, Ns in forward rea
 from __future__ import annotations
 
 import re
-import uuid
 from dataclasses import replace
 
 import numpy as np
@@ -20,7 +19,7 @@ from .operators.algorithms import REGISTRY, algorithm
 from .operators.assemble import _matrices, _reads, assemble
 from .operators.config import AssemblerConfig
 from .plans import sim
-from .sources import fastq, sinks
+from .sources import fastq, ordered, sinks
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -277,10 +276,11 @@ _mixed_query("assemble_mixed_lengths", "least(f, r)")
 _mixed_query("assemble_max_overlap", "least(f + r - 13, 40)", max_overlap=40)
 
 
-def _from_files(spark: SparkSession, d: str) -> DataFrame:
+def _from_files(spark: SparkSession, d: str, pairs: DataFrame | None = None, split_bytes: int = fastq.SPLIT_BYTES, **how) -> DataFrame:
     """Pairs of the table, written as FASTQ files and read back."""
-    forward, reverse = sinks.write_fastq_pairs(_pairs(spark, d), f"{sinks.shared_folder(spark)}/readmerge-fastq-{uuid.uuid4().hex}")
-    return fastq.read_fastq_pairs(spark, forward, reverse)
+    pairs = _pairs(spark, d) if pairs is None else pairs
+    files = sinks.write_fastq_pairs(pairs, f"{ordered.session_folder(spark)}/pairs", **how)
+    return fastq.read_fastq_pairs(spark, *files, mode="FAILFAST", split_bytes=split_bytes)
 
 
 @query("fastq_files_assembled", _full("SELECT ordinal, ov AS overlap, sequence FROM ok"))
@@ -289,6 +289,36 @@ def _(spark, d):
     return out.select(F.col("id.x").cast("long").alias("ordinal"), F.col("overlap").cast("long").alias("overlap"), "sequence")
 
 
+_FILE_SQL = f"{sim.pairs_sql()} SELECT row_number() OVER (ORDER BY ordinal) - 1 AS record, ordinal, f_seq, f_qual, r_seq, r_qual FROM pairs"
+
+
+def _records(df: DataFrame) -> DataFrame:
+    return df.select(F.col("ordinal").alias("record"), F.col("id.x").cast("long").alias("ordinal"), "f_seq", "f_qual", "r_seq", "r_qual")
+
+
+@query("fastq_one_file_in_ranges", _FILE_SQL)
+def _(spark, d):
+    """One file a mate, written by many tasks and read in ranges: record n of the files is the n-th pair."""
+    return _records(_from_files(spark, d, layout="single", split_bytes=1 << 19))
+
+
+@query("fastq_bzip2_in_blocks", _FILE_SQL)
+def _(spark, d):
+    """As before, with bzip2 files of many streams that are read by their blocks."""
+    return _records(_from_files(spark, d, layout="single", compression="bzip2", split_bytes=1 << 16))
+
+
+_DOTS = "CASE WHEN ordinal % 7 = 0 THEN replace(f_seq, 'N', '.') ELSE lower(f_seq) END"
+
+
+@query("fastq_dots_assembled", _full("SELECT ordinal, ov AS overlap, sequence FROM ok"))
+def _(spark, d):
+    """Files that write N as a dot, and bases in small letters, give the same merged rows."""
+    pairs = _pairs(spark, d).withColumn("f_seq", F.expr(_DOTS))
+    out = assemble(_from_files(spark, d, pairs), with_logp=False).where("status = 'OK'")
+    return out.select(F.col("id.x").cast("long").alias("ordinal"), F.col("overlap").cast("long").alias("overlap"), "sequence")
+
+
 @query("fasta_records", _full("SELECT concat('>SIM:', cast(ordinal % 7 as varchar), ':FC:', cast(ordinal % 8 as varchar), ':', cast(ordinal % 100 as varchar), ':', cast(ordinal as varchar), ':', cast(ordinal % 1000 as varchar), ':', substr(template, 1, 6)) AS head, sequence FROM ok"))
 def _(spark, d):
     lines = sinks.fasta(_assembled(spark, d)).select(F.split("value", "\n").alias("v"))
@@ -442,7 +472,7 @@ def _(spark, d):
 _PEAR_SQL = f"""{_plus()},
 each AS (SELECT DISTINCT ov, x FROM merged),
 steps AS (SELECT ov, x, i, ceil((ov - 2 * x + i) / 2.0) - 1 AS last FROM (SELECT ov, x, unnest(range(ov, 64)) AS i FROM each)),
-sums AS (SELECT ov, x, i, coalesce(sum(exp(lgamma(i + 1) - lgamma(k + 1) - lgamma(i - k + 1) + k * ln(0.25) + (i - k) * ln(0.75))), 0) AS f FROM steps LEFT JOIN range(0, 65) t(k) ON k <= last AND k <= i GROUP BY ov, x, i),
+sums AS (SELECT ov, x, i, coalesce(sum(exp(lgamma(i + 1) - lgamma(k + 1) - lgamma(i - k + 1) + k * ln(0.25) + (i - k) * ln(0.75))), 0) AS f FROM steps LEFT JOIN range(0, 65) t(k) ON k < last AND k <= i GROUP BY ov, x, i),
 p AS (SELECT ov, x, CASE WHEN min(f) <= 0 THEN 0 ELSE exp(sum(ln(f))) END AS p FROM sums GROUP BY ov, x)
 SELECT a.ordinal, CASE WHEN m.ordinal IS NULL THEN 'NOALGN' WHEN m.quality < ln(0.6) THEN 'LOWQ' WHEN 1 - power(coalesce(p.p, 1), 2) < 0.05 THEN 'OK' ELSE 'MODULE' END AS status
 FROM pairs a LEFT JOIN merged m ON m.ordinal = a.ordinal LEFT JOIN p ON p.ov = m.ov AND p.x = m.x"""

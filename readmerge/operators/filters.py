@@ -204,7 +204,7 @@ def _pear_p_values(overlap: np.ndarray, mismatches: np.ndarray, shortest: np.nda
         p = 1.0
         for i in range(int(o), int(top)):
             last = math.ceil((s - beta * i) / (alpha - beta)) - 1
-            k = np.arange(0, min(last, i) + 1)
+            k = np.arange(0, min(last, i + 1))  # the last one isn't counted
             p *= float(np.exp(lgamma(i + 1) - lgamma(k + 1) - lgamma(i - k + 1) + k * math.log(0.25) + (i - k) * math.log(0.75)).sum()) if len(k) else 0.0
         out[n] = 1 - p * p
     return out

@@ -1,8 +1,11 @@
 """FASTQ files as a Python data source.
 
-A pair of files is one input partition (a lane is usually split into many file pairs); the two or three files are read
-in step, so pairs need no join.  Compression is told by the first bytes.  Files are opened with pyarrow's file systems
-if the path is a URI, over HTTP if it is a URL, else locally.
+Files larger than ``split_bytes`` are read in ranges.  One job counts the records of each range of each file (where the first record
+of a range begins is guessed from its lines, and counted again where the range before it ends elsewhere); sums of the counts
+number the records, and a partition takes record n to m of all files of a pair, from the nearest noted positions on.  So mates
+need no join, and no file is read from its start.  Files that can't be cut (gzip, or a server without ranges) make a pair one
+partition.  Compression is told by the first bytes.  Files are opened with pyarrow's file systems if the path is a URI, over HTTP
+if it is a URL (with retries that go on where a connection broke), else locally.
 
 Modes: ``PREFIX`` stops a file pair at its first malformed record, as the reference does; ``DROPMALFORMED`` leaves
 malformed records out, each with its mate, and goes on at the next record; ``FAILFAST`` raises.  A file that ends before its
@@ -11,144 +14,198 @@ mate is malformed (``EOF``) in all modes.  :func:`fastq_diagnostics` has a row f
 
 from __future__ import annotations
 
-import bz2
-import gzip
-import io
-from collections import deque
+import json
 from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import islice, zip_longest
-from urllib.parse import urlparse
-from urllib.request import urlopen
+from dataclasses import asdict, dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import logs, seqid
+from .ranges import END, Source
+from .records import Columns, Counted, count_range, scan
 
 #: Ordinals of one file pair.
 ORDINALS = 1 << 40
-_BASES = frozenset(b"ACGTUMRWSYKVHDBNXacgtumrwsykvhdbnx")
+SPLIT_BYTES = 64 << 20
 FIELDS = ["ordinal", "f_header", "r_header", "i_seq", "f_seq", "f_qual", "r_seq", "r_qual", "error"]
 SCHEMA = "ordinal long, f_header string, r_header string, i_seq string, f_seq string, f_qual string, r_seq string, r_qual string, error string"
 
 
-def open_bytes(path: str) -> io.BufferedIOBase:
-    """A stream of a plain, gzip or bzip2 file."""
-    if path.startswith(("http://", "https://")):
-        raw = io.BufferedReader(urlopen(path))  # noqa: S310
-    elif path.startswith("file:/"):
-        raw = open(urlparse(path).path, "rb")
-    elif "://" in path:
-        from pyarrow import fs
-
-        system, inner = fs.FileSystem.from_uri(path)
-        raw = io.BufferedReader(system.open_input_file(inner))
-    else:
-        raw = open(path, "rb")
-    magic = raw.peek(3)[:3]
-    if magic[:2] == b"\x1f\x8b":
-        return gzip.GzipFile(fileobj=raw)
-    return bz2.BZ2File(raw) if magic == b"BZh" else raw
-
-
 class Malformed(ValueError):
     """A record that is not FASTQ; the code is that of the log."""
 
 
-def _fault(head: bytes, seq: bytes, plus: bytes, qual: bytes) -> str | None:
-    if head[:1] != b"@":
-        return "BADID"
-    if not all(c in _BASES for c in seq):
-        return "BADNT"
-    if plus[:1] != b"+":
-        return "READLEN" if plus[:1] and plus[0] in _BASES else "BADSEQ"
-    return "NOQUAL" if len(seq) != len(qual) else None
-
-
 def records(path: str) -> Iterator[tuple[str, str, str] | Malformed]:
-    """(header, bases, qualities) of each record, or what is wrong with it; a line may end in CR LF or the file's end.
+    """(header, bases, qualities) of each record, or what is wrong with it; a line may end in CR LF or the file's end."""
+    for c in scan(Source.of(path, split=False)):
+        for h, s, q, wrong in zip(*(x.to_pylist() for x in (c.header, c.seq, c.qual, c.fault)), strict=True):
+            yield Malformed(wrong) if wrong else (h, s, q)
 
-    A malformed record whose third line begins with ``+`` has four lines; any other ends before the next line that begins
-    with ``@`` and is followed by bases and a ``+`` line.  So one fault is one record, and mates stay in step.
-    """
-    with open_bytes(path) as f:
-        lines = (x.rstrip(b"\n").rstrip(b"\r") for x in f)
-        ahead: deque[bytes] = deque()
-
-        def fill() -> int:
-            ahead.extend(islice(lines, 4 - len(ahead)))
-            return len(ahead)
-
-        while fill():
-            if not ahead[0]:
-                ahead.popleft()
-                continue
-            if len(ahead) < 4:
-                yield Malformed("EOF")
-                return
-            head, seq, plus, qual = ahead
-            fault = _fault(head, seq, plus, qual)
-            if plus[:1] == b"+":
-                ahead.clear()
-            else:
-                ahead.popleft()
-                while fill() and not (ahead[0][:1] == b"@" and len(ahead) > 2 and ahead[2][:1] == b"+"):
-                    ahead.popleft()
-            yield Malformed(fault) if fault else (head[1:].decode(errors="replace"), seq.decode(), qual.decode(errors="replace"))
+
+# --- planning -------------------------------------------------------------------------------------------------------
 
 
 @dataclass
-class FilePair(InputPartition):
+class Piece(InputPartition):
+    """Records ``first`` to ``first + count`` (-1: to the end) of a pair of files: for each file where to start and how many to pass over."""
+
     number: int
-    forward: str
-    reverse: str
-    index: str | None
+    first: int
+    count: int
+    files: list[tuple[dict, int, int]]
+
+
+def _count_all(spark: SparkSession, tasks: list[tuple[Source, int, int, int | None]]) -> list[Counted]:
+    """Counts of ranges (source, first byte, end, position of the first record or None), one task each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                found = json.dumps(asdict(count_range(*tasks[i])))
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([found])], ["i", "found"])
+
+    rows = spark.range(0, len(tasks), 1, max(1, len(tasks))).mapInArrow(run, "i long, found string").collect()  # a row for each range
+    return [Counted(**json.loads(r["found"])) for r in sorted(rows, key=lambda r: r["i"])]
+
+
+def count_files(spark: SparkSession, sources: list[Source], split_bytes: int) -> list[list[Counted]]:
+    """For each file its ranges in order, joined without a gap: each begins where the one before ends."""
+    tasks = [(n, s, a, b) for n, s in enumerate(sources) for a, b in s.cuts(split_bytes)]
+    found = _count_all(spark, [(s, a, b, None) for _, s, a, b in tasks])
+    while True:
+        again: dict[int, int] = {}
+        expected = 0
+        for i, ((n, s, _, b), c) in enumerate(zip(tasks, found, strict=True)):
+            if i and tasks[i - 1][0] != n:
+                expected = 0
+            if expected >= s.position(b):
+                if c.count:
+                    again[i] = expected  # the record before reaches over this whole range
+            elif c.first != expected:
+                again[i] = expected
+            expected = c.following if c.count or c.first is not None else expected
+        if not again:
+            break
+        for i, c in zip(again, _count_all(spark, [(*tasks[i][1:], at) for i, at in again.items()]), strict=True):
+            found[i] = c if c.count else Counted(None, c.following, 0, [])
+    out: list[list[Counted]] = [[] for _ in sources]
+    for (n, *_), c in zip(tasks, found, strict=True):
+        out[n].append(c)
+    return out
+
+
+def plan(spark: SparkSession, pairs: list[list[str]], split_bytes: int = SPLIT_BYTES) -> list[Piece]:
+    """Pieces of pairs of files (forward, reverse and perhaps index paths each)."""
+    sources = [[Source.of(p) for p in pair] for pair in pairs]
+    cut = [n for n, pair in enumerate(sources) if all(s.kind != "stream" for s in pair) and any(len(s.cuts(split_bytes)) > 1 for s in pair)]
+    counted = iter(count_files(spark, [s for n in cut for s in sources[n]], split_bytes) if cut else [])
+    pieces = []
+    for n, pair in enumerate(sources):
+        if n not in cut:
+            pieces.append(Piece(n, 0, -1, [(Source.of(s.path, split=False).asdict() if s.kind == "bzip2" else s.asdict(), 0, 0) for s in pair]))
+            continue
+        ranges = [next(counted) for _ in pair]
+        firsts = [np.cumsum([0, *[c.count for c in r]]) for r in ranges]
+        marks = []  # for each file the numbers of records whose positions are known
+        for r, first in zip(ranges, firsts, strict=True):
+            known = {0: 0} | {int(f) + k: at for c, f in zip(r, first, strict=False) for k, at in ([(0, c.first), *c.marks] if c.count else [])}
+            marks.append((np.array(sorted(known)), known))
+        least = min(int(f[-1]) for f in firsts)
+        lead = max(range(len(pair)), key=lambda k: len(ranges[k]))
+        starts = sorted({0, *(int(x) for x in firsts[lead][:-1] if x < least)})
+        for a, b in zip(starts, [*starts[1:], None], strict=True):
+            files = []
+            for s, (numbers, known) in zip(pair, marks, strict=True):
+                near = int(numbers[np.searchsorted(numbers, a, "right") - 1])
+                files.append((s.asdict(), known[near], a - near))
+            pieces.append(Piece(n, a, -1 if b is None else b - a, files))
+    return pieces
+
+
+# --- reading --------------------------------------------------------------------------------------------------------
+
+
+class _Side:
+    """Records of one file of a pair, any number at a time."""
+
+    def __init__(self, source: dict, at: int, skip: int):
+        self.path = source["path"]
+        self.more = scan(Source(**source), at, skip)
+        self.rest: Columns | None = None
+
+    def ahead(self) -> int:
+        """How many records are at hand; 0 at the end."""
+        while self.rest is None or not len(self.rest):
+            self.rest = next(self.more, None)
+            if self.rest is None:
+                return 0
+        return len(self.rest)
+
+    def take(self, n: int) -> Columns:
+        out, self.rest = self.rest.slice(0, n), self.rest.slice(n)
+        return out
+
+
+def _rows(parts: list[Columns], paths: list[str], first: int) -> pa.RecordBatch:
+    """A row for each record of all files; where one is malformed the first such names the error."""
+    error = pc.coalesce(*(pc.binary_join_element_wise(c.fault, pa.scalar(p), "\t") for c, p in zip(parts, paths, strict=True)))
+    f, r = parts[:2]
+    n = len(f)
+    index = parts[2].seq if len(parts) > 2 else pa.nulls(n, pa.string())
+    head, columns = f.header, [r.header, index, f.seq, f.qual, r.seq, r.qual]
+    if error.null_count < n:
+        head = pc.coalesce(*(c.header for c in parts))
+        good = pa.array(np.arange(n), mask=error.is_valid().to_numpy(zero_copy_only=False))
+        columns = [c.take(good) for c in columns]
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + n)), head, *columns, error], FIELDS)
+
+
+def read_piece(piece: Piece, mode: str) -> Iterator[pa.RecordBatch]:
+    """Rows of a piece, up to and with its first malformed record in mode PREFIX, or the end of a file in any mode."""
+    sides = [_Side(*f) for f in piece.files]
+    paths, at, left = [s.path for s in sides], piece.first, piece.count if piece.count >= 0 else END
+    while left:
+        have = [s.ahead() for s in sides]
+        n = min(*have, left)
+        if not n:
+            if not any(have):
+                return
+            # a file has ended before its mate
+            parts = [s.take(1) if h else Columns(*[pa.nulls(1, pa.string())] * 3, pa.array(["EOF"])) for s, h in zip(sides, have, strict=True)]
+        else:
+            parts = [s.take(n) for s in sides]
+        rows = _rows(parts, paths, piece.number * ORDINALS + at)
+        error = rows.column("error")
+        if error.null_count < len(rows):
+            bad = np.flatnonzero(error.is_valid().to_numpy(zero_copy_only=False))
+            code, _, path = error[int(bad[0])].as_py().partition("\t")
+            if mode == "FAILFAST":
+                raise Malformed(f"{code}: record {at + int(bad[0]) + 1} of {path}")
+            ends = bad if mode == "PREFIX" else [i for i in bad if error[int(i)].as_py().startswith("EOF\t")]
+            if len(ends):
+                yield rows.slice(0, int(ends[0]) + 1)
+                return
+        yield rows
+        at, left = at + len(rows), left - len(rows)
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        split = lambda k: [x for x in options.get(k, "").split(",") if x]
-        self.files = [split(k) for k in ("forward", "reverse", "index")]
-        self.mode = options.get("mode", "PREFIX").upper()
-        if not self.files[0] or len(self.files[0]) != len(self.files[1]) or self.files[2] and len(self.files[2]) != len(self.files[0]):
-            raise ValueError("give as many reverse (and index) files as forward files")
+        self.mode, self.pieces = options.get("mode", "PREFIX").upper(), json.loads(options["plan"])
 
     def partitions(self):
-        f, r, i = self.files
-        return [FilePair(n, a, b, i[n] if i else None) for n, (a, b) in enumerate(zip(f, r, strict=True))]
-
-    def read(self, part: FilePair):
-        names = [part.forward, part.reverse, *([part.index] if part.index else [])]
-        kinds = [pa.int64(), *[pa.string()] * 8]
-        rows: list[tuple] = []
-
-        def batch():
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], FIELDS)
-
-        for n, found in enumerate(zip_longest(*map(records, names), fillvalue=Malformed("EOF"))):
-            ordinal = part.number * ORDINALS + n
-            bad = next((k for k, x in enumerate(found) if isinstance(x, Malformed)), None)
-            if bad is not None:
-                if self.mode == "FAILFAST":
-                    raise Malformed(f"{found[bad]}: record {n + 1} of {names[bad]}")
-                head = next((x[0] for x in found if not isinstance(x, Malformed)), None)
-                rows.append((ordinal, head, None, None, None, None, None, None, f"{found[bad]}\t{names[bad]}"))
-                if self.mode == "PREFIX" or found[bad].args == ("EOF",):
-                    break
-                continue
-            (fh, fs, fq), (rh, rs, rq) = found[:2]
-            rows.append((ordinal, fh, rh, found[2][1] if part.index else None, fs, fq, rs, rq, None))
-            if len(rows) >= 8192:
-                yield batch()
-                rows.clear()
-        if rows:
-            yield batch()
+        return [Piece(**p) for p in self.pieces]
+
+    def read(self, piece: Piece):
+        yield from read_piece(piece, self.mode)
 
 
 class FastqPairSource(DataSource):
-    """Format ``fastq_pair``: options forward, reverse, index (comma-separated paths) and mode."""
+    """Format ``fastq_pair``: options plan (pieces as JSON, see :func:`plan`) and mode."""
 
     @classmethod
     def name(cls) -> str:
@@ -161,6 +218,28 @@ class FastqPairSource(DataSource):
         return _Reader(self.options)
 
 
+def _paths(x) -> list[str]:
+    return [p for p in (x.split(",") if isinstance(x, str) else x or []) if p]
+
+
+def with_identity(df: DataFrame, tag: str) -> DataFrame:
+    """Add the parsed headers (f, r), the ``error`` of mates that don't belong together, and ``good``."""
+    df = df.select("*", seqid.parse(F.col("f_header"), tag).alias("f"), seqid.parse(F.col("r_header"), tag).alias("r"))
+    same = F.lit(True)
+    for c in seqid.FIELDS:
+        same = same & F.col("f.id")[c].eqNullSafe(F.col("r.id")[c])
+    named = (F.col("f.mate") > 0) & (F.col("r.mate") > 0)
+    mates = same & ((F.col("f.mate") != F.col("r.mate")) | F.col("f.format").isin("SRA", "EBI"))
+    error = F.when(F.col("error").isNotNull(), F.col("error")).when(~named, "BADID\t").when(~mates, "NOTPAIRED\t")
+    return df.withColumn("error", error).withColumn("good", F.col("error").isNull())
+
+
+def paired(df: DataFrame, indexed: bool) -> DataFrame:
+    """The pairs of good rows; an index read replaces the tag."""
+    ident = F.col("f.id").withField("tag", F.substring("i_seq", 1, 49)) if indexed else F.col("f.id")
+    return df.where("good and length(f_seq) > 0").select("ordinal", ident.alias("id"), "f_seq", "f_qual", "r_seq", "r_qual")
+
+
 def _until_first_fault(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of a file pair up to and with the first that is not good; a partition is one file pair in order."""
     for batch in batches:
@@ -172,44 +251,41 @@ def _until_first_fault(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             return
 
 
-def _checked(spark: SparkSession, forward, reverse, index, tag: str, mode: str) -> tuple[DataFrame, bool]:
+def _checked(spark: SparkSession, forward, reverse, index, tag: str, mode: str, split_bytes: int) -> tuple[DataFrame, bool]:
     """Raw rows with parsed headers (f, r), ``error`` and ``good``."""
-    if mode.upper() not in ("PREFIX", "DROPMALFORMED", "FAILFAST"):
+    mode = mode.upper()
+    if mode not in ("PREFIX", "DROPMALFORMED", "FAILFAST"):
         raise ValueError(f"unknown mode {mode!r}")
+    f, r, i = _paths(forward), _paths(reverse), _paths(index)
+    if not f or len(f) != len(r) or (i and len(i) != len(f)):
+        raise ValueError("give as many reverse (and index) files as forward files")
     spark.dataSource.register(FastqPairSource)
-    text = lambda x: x if isinstance(x, str) else ",".join(x)
-    reader = spark.read.format("fastq_pair").option("forward", text(forward)).option("reverse", text(reverse)).option("mode", mode)
-    if index:
-        reader, tag = reader.option("index", text(index)), "optional"
-    df = reader.load().select("*", seqid.parse(F.col("f_header"), tag).alias("f"), seqid.parse(F.col("r_header"), tag).alias("r"))
-    same = F.lit(True)
-    for c in seqid.FIELDS:
-        same = same & F.col("f.id")[c].eqNullSafe(F.col("r.id")[c])
-    named = (F.col("f.mate") > 0) & (F.col("r.mate") > 0)
-    mates = same & ((F.col("f.mate") != F.col("r.mate")) | F.col("f.format").isin("SRA", "EBI"))
-    error = F.when(F.col("error").isNotNull(), F.col("error")).when(~named, "BADID\t").when(~mates, "NOTPAIRED\t")
-    df = df.withColumn("error", error).withColumn("good", F.col("error").isNull())
-    if mode.upper() == "FAILFAST":
+    pieces = plan(spark, [[a, b, *([i[n]] if i else [])] for n, (a, b) in enumerate(zip(f, r, strict=True))], split_bytes)
+    df = spark.read.format("fastq_pair").option("mode", mode).option("plan", json.dumps([asdict(p) for p in pieces])).load()
+    df = with_identity(df, "optional" if i else tag)
+    if mode == "FAILFAST":
         df = df.where(F.when(F.col("good"), True).otherwise(F.raise_error(F.concat(F.col("error"), F.coalesce("f_header", F.lit("")))).cast("boolean")))
-    elif mode.upper() == "PREFIX":
+    elif mode == "PREFIX" and len(pieces) == len(f):
         df = df.mapInArrow(_until_first_fault, df.schema)
-    return df, bool(index)
+    elif mode == "PREFIX":  # the first fault may be in another piece: a row for each pair of files that has one
+        number = F.floor(F.col("ordinal") / ORDINALS)
+        stop = df.where(~F.col("good")).groupBy(number.alias("_pair")).agg(F.min("ordinal").alias("_stop"))
+        df = df.join(F.broadcast(stop), number == F.col("_pair"), "left").where("_stop is null or ordinal <= _stop").drop("_pair", "_stop")
+    return df, bool(i)
 
 
-def read_fastq_pairs(spark: SparkSession, forward: str | list[str], reverse: str | list[str], index: str | list[str] | None = None, *, tag: str = "present", mode: str = "PREFIX") -> DataFrame:
+def read_fastq_pairs(spark: SparkSession, forward: str | list[str], reverse: str | list[str], index: str | list[str] | None = None, *, tag: str = "present", mode: str = "PREFIX", split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Pairs from FASTQ files.  Identifiers of mates must agree and their mate numbers differ (but for SRA and EBI).
 
     Pairs that do not agree end their file pair (``PREFIX``), are dropped, or raise.  Pairs with an empty forward read
     are skipped.  An index read replaces the tag, and makes it optional in headers.
     """
-    df, indexed = _checked(spark, forward, reverse, index, tag, mode)
-    ident = F.col("f.id").withField("tag", F.substring("i_seq", 1, 49)) if indexed else F.col("f.id")
-    return df.where("good and length(f_seq) > 0").select("ordinal", ident.alias("id"), "f_seq", "f_qual", "r_seq", "r_qual")
+    return paired(*_checked(spark, forward, reverse, index, tag, mode, split_bytes))
 
 
-def fastq_diagnostics(spark: SparkSession, forward: str | list[str], reverse: str | list[str], index: str | list[str] | None = None, *, tag: str = "present", mode: str = "PREFIX") -> DataFrame:
+def fastq_diagnostics(spark: SparkSession, forward: str | list[str], reverse: str | list[str], index: str | list[str] | None = None, *, tag: str = "present", mode: str = "PREFIX", split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """One row for each record that ended a file pair or was left out: file_pair, record (from 0), code, line, header, path, hint."""
-    df, _ = _checked(spark, forward, reverse, index, tag, mode)
+    df, _ = _checked(spark, forward, reverse, index, tag, mode, split_bytes)
     code = F.split("error", "\t")[0]
     path = F.split("error", "\t")[1]
     return df.where("not good").select(

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from ..functions import nt, seqid
 from ..functions.phred import requantise_array
+from .ordered import file_system, write_in_order
 
 
 def fasta(result: DataFrame) -> DataFrame:
@@ -59,28 +60,18 @@ def for_each_partition(rows: DataFrame, sink: Callable[[Iterator[Row]], None]) -
     rows.foreachPartition(sink)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where Spark runs in one process."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return "file://" + tempfile.mkdtemp(prefix="readmerge-")
-
-
-def write_fastq_pairs(pairs: DataFrame, folder: str) -> tuple[list[str], list[str]]:
-    """Write pairs as forward and reverse FASTQ files (in step, one pair of files a partition) and return their paths."""
-    spark = pairs.sparkSession
+def fastq_text(side: str, mate: int) -> Column:
+    """A FASTQ record of a pair's read, without the last line end."""
     i = F.col("id")
     name = F.concat_ws(":", *[i[f].cast("string") for f in seqid.FIELDS[:-1]])
-    files = []
-    for mate, side in ((1, "f"), (2, "r")):
-        text = F.concat(F.lit("@"), name, F.lit(f" {mate}:N:0:"), i["tag"], F.lit("\n"), F.col(f"{side}_seq"), F.lit("\n+\n"), F.col(f"{side}_qual"))
-        path = f"{folder}/{side}"
-        pairs.select(text.alias("value")).write.text(path)
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
-        files.append(sorted(f.getPath().toString() for f in found if f.getPath().getName().startswith("part-") and f.getLen()))
-    return files[0], files[1]
+    return F.concat(F.lit("@"), name, F.lit(f" {mate}:N:0:"), F.coalesce(i["tag"], F.lit("")), F.lit("\n"), F.col(f"{side}_seq"), F.lit("\n+\n"), F.col(f"{side}_qual"))
+
+
+def write_fastq_pairs(pairs: DataFrame, folder: str, *, layout: str = "parts", compression: str = "none", in_order: bool = False) -> tuple[list[str], list[str]]:
+    """Write pairs as forward and reverse FASTQ files in order of their ordinals, both in one pass, and return their paths."""
+    write_in_order(pairs.select("ordinal", fastq_text("f", 1).alias("f"), fastq_text("r", 2).alias("r")), folder, layout=layout, compression=compression, in_order=in_order)
+    if layout == "single":
+        return [f"{folder}/f"], [f"{folder}/r"]
+    system, inner = file_system(folder)
+    names = sorted(x.base_name for x in system.get_file_info(fs.FileSelector(f"{inner}/f")))
+    return [f"{folder}/f/{n}" for n in names], [f"{folder}/r/{n}" for n in names]

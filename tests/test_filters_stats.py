@@ -119,6 +119,8 @@ def test_diff_of_equal_settings_is_empty(pairs):
 def test_pear_p_value():
     # with no tail beyond the overlap the product is empty
     assert filters.pear_p_value(np.array([10]), np.array([0]), np.array([10]), 1, -1).tolist() == [0.0]
+    three = filters.pear_p_value(np.array([12, 10, 8]), np.array([4, 4, 3]), np.array([64, 64, 64]), 1, -1)
+    assert [round(float(x), 4) for x in three] == [0.1375, 0.5468, 0.6781]  # computed by hand: terms below l, not up to it
     p = filters.pear_p_value(np.array([10, 10]), np.array([0, 5]), np.array([12, 12]), 1, -1)
     assert 0 <= p[0] < p[1] <= 1
     assert nt.LETTERS[15] == "N"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.phred import index_of
@@ -38,6 +40,29 @@ def examined_histogram(result: DataFrame) -> DataFrame:
     return _filled(reached.groupBy(F.col("overlaps_examined").alias("examined")).agg(F.count("*").alias("n")), "examined", 1)
 
 
+def _line(counts: Counter, first: int) -> list[str]:
+    known = {int(k): n for k, n in counts.items() if k is not None}
+    return [str(known.get(i, 0)) for i in range(first, max(known, default=first) + 1)]
+
+
+def log_lines(counts: dict[str, Counter], cfg) -> list[str]:
+    """STAT lines of a written assembly (see sinks.write_assembly) in the order of the log.
+
+    Counts of missing primers come only where a primer is set, those of modules only if any pair was rejected; EXAMINED only with the
+    module overlap_stat.
+    """
+    status = counts["status"]
+    out = [("READS", sum(status.values()))]
+    out += [(k, status[k]) for k, primer in (("NOFP", cfg.forward_primer), ("NORP", cfg.reverse_primer)) if primer]
+    out += [(k, status[k]) for k in ("NOALGN", "LOWQ", "BADR")] + [("SLOW", counts["slow"].get(True, 0))]
+    out += [(m.name, counts["reject_module"][m.name]) for m in {m.name: m for m in cfg.modules}.values() if counts["reject_module"].get(m.name)]
+    lines = [f"STAT\t{k}\t{n}" for k, n in [*out, ("OK", status["OK"])]]
+    lines.append("STAT\tOVERLAPS\t" + " ".join(_line(counts["overlap"], 0)))
+    if any(m.name == "overlap_stat" for m in cfg.modules):
+        lines.append(" ".join(["STAT\tEXAMINED", *_line(counts["examined"], 1)]))
+    return lines
+
+
 def phred_offset_warning(pairs: DataFrame, offset: int = 33) -> DataFrame:
     """One row: the least quality character, and whether all of them suggest the other offset."""
     least = pairs.select(F.explode(F.array("f_qual", "r_qual")).alias("q")).where("length(q) > 0").select(F.array_min(F.transform(F.split("q", ""), lambda c: F.ascii(c))).alias("least"))

@@ -1,22 +1,29 @@
-"""Command lines: ``assemble``, ``diff``, ``hang`` and ``checkid``."""
+"""Command lines: ``assemble``, ``diff``, ``hang`` and ``checkid``.
+
+``assemble`` and ``hang`` run one job that writes merged reads (and pairs that didn't align) in order of the input and counts what the log
+tells; a second one over the same files runs only for ``-d F``, which lists the records that were left out.
+"""
 
 from __future__ import annotations
 
 import argparse
+import bz2
 import sys
+import time
 from dataclasses import replace
 
 from pyspark.sql import SparkSession, functions as F
 
+from .. import __version__
 from ..functions import seqid
 from ..operators import diff as df
 from ..operators import filters, stats
-from ..operators.algorithms import algorithm
+from ..operators.algorithms import REGISTRY, algorithm
 from ..operators.assemble import assemble
 from ..operators.clip import trim_overhangs
 from ..operators.config import AssemblerConfig
 from ..sources import sinks
-from ..sources.fastq import read_fastq_pairs
+from ..sources.fastq import fastq_diagnostics, read_fastq_pairs
 
 
 def _input_options(p: argparse.ArgumentParser) -> None:
@@ -56,6 +63,18 @@ def config_of(a: argparse.Namespace) -> AssemblerConfig:
     return cfg
 
 
+def listing() -> str:
+    """Algorithms and modules, as the help shows them."""
+    lines = [f"algorithms: {', '.join(sorted(REGISTRY))}", "modules:"]
+    return "\n".join(lines + [f"  {m['name']}{':' + m['usage'] if m['usage'] else ''}: {m['description'].splitlines()[0] if m['description'] else ''}" for m in filters.describe()])
+
+
+def _session(tasks: int | None) -> SparkSession:
+    if tasks and SparkSession.getActiveSession() is None:
+        return SparkSession.builder.master(f"local[{tasks}]").getOrCreate()
+    return SparkSession.builder.getOrCreate()
+
+
 def _pairs(spark: SparkSession, a: argparse.Namespace):
     return read_fastq_pairs(spark, a.f, a.r, a.i, tag="optional" if a.no_tag else "present")
 
@@ -63,32 +82,53 @@ def _pairs(spark: SparkSession, a: argparse.Namespace):
 def main(argv: list[str] | None = None) -> int:
     argv = list(sys.argv[1:] if argv is None else argv)
     command, rest = (argv[0], argv[1:]) if argv else ("", [])
-    p = argparse.ArgumentParser(prog=f"readmerge {command}".strip())
+    p = argparse.ArgumentParser(prog=f"readmerge {command}".strip(), epilog=listing() if command in ("assemble", "hang", "diff") else None, formatter_class=argparse.RawDescriptionHelpFormatter)
+    p.add_argument("-v", action="version", version=f"readmerge {__version__}", help="version")
     if command in ("assemble", "hang"):
         _input_options(p)
         _assembly_options(p)
         p.add_argument("-F", action="store_true", help="FASTQ output")
-        p.add_argument("-w", required=True, help="output folder")
-        p.add_argument("-W", action="store_true", help="bzip2 output")
-        p.add_argument("-u", help="folder for unaligned pairs")
-        p.add_argument("-U", help="folder for unaligned pairs with qualities")
-        p.add_argument("-g", help="folder for statistics")
+        out = p.add_mutually_exclusive_group()
+        out.add_argument("-w", help="output file (standard output if none is given)")
+        out.add_argument("-W", help="output file, bzip2")
+        lost = p.add_mutually_exclusive_group()
+        lost.add_argument("-u", action="store_true", help="pairs that don't align to a second file: -w and -W name a folder with the files merged and unaligned")
+        lost.add_argument("-U", action="store_true", help="as -u, with qualities")
+        log = p.add_mutually_exclusive_group()
+        log.add_argument("-g", help="log file (standard error if none is given)")
+        log.add_argument("-G", help="log file, bzip2")
+        p.add_argument("-d", default="", help="log: F lists records that were left out, s leaves statistics out")
+        p.add_argument("-T", type=int, help="tasks at once, where no session runs yet")
         if command == "hang":
             p.add_argument("-P", help="forward overhang primer")
             p.add_argument("-Q", help="reverse overhang primer")
             p.add_argument("-s", action="store_true", help="keep pairs without the primer")
+            p.add_argument("--hang-threshold", type=float, default=0.6, help="least probability of an overhang primer")
         a = p.parse_args(rest)
-        spark = SparkSession.builder.getOrCreate()
+        if (a.u or a.U) and not (a.w or a.W):
+            p.error("-u and -U need -w or -W")
+        began = time.time()
+        spark = _session(a.T)
         pairs = _pairs(spark, a)
         if command == "hang":
-            pairs = trim_overhangs(pairs, forward=a.P, reverse=a.Q, skip=a.s, phred=64 if a.six else 33)
-        result = assemble(pairs, config_of(a), keep_reads=bool(a.u or a.U)).cache()
-        sinks.write_text(sinks.fastq(result) if a.F else sinks.fasta(result), a.w, "bzip2" if a.W else "none")
-        for path, quality in ((a.u, False), (a.U, True)):
-            if path:
-                sinks.write_text(sinks.unaligned(result, quality), path)
-        if a.g:
-            stats.stat_counts(result).write.csv(a.g, sep="\t")
+            pairs = trim_overhangs(pairs, forward=a.P, reverse=a.Q, threshold=a.hang_threshold, skip=a.s, phred=64 if a.six else 33)
+        cfg = config_of(a)
+        result = assemble(pairs, cfg, with_logp=a.F or any(m.stage == "check" for m in cfg.modules), keep_reads=bool(a.u or a.U))
+        in_order = all(m.name != "filter" for m in cfg.modules)  # the join with an id list may shuffle
+        counts = sinks.write_assembly(result, a.w or a.W or "", fastq=a.F, unaligned="fastq" if a.U else "fasta" if a.u else None, layout="single" if a.w or a.W else "stdout", compression="bzip2" if a.W else "none", in_order=in_order)
+        lines = []
+        if "F" in a.d:
+            lost = fastq_diagnostics(spark, a.f, a.r, a.i, tag="optional" if a.no_tag else "present").orderBy("file_pair", "record")
+            for r in lost.toLocalIterator():
+                lines += ["\t".join(x for x in (r["line"], r["header"], r["path"]) if x), *([f"* * * * * {r['hint']}"] if r["hint"] else [])]
+        if "s" not in a.d:
+            lines += [f"STAT\tTIME\t{time.ctime()}", f"STAT\tELAPSED\t{int(time.time() - began)}", *stats.log_lines(counts, cfg)]
+        text = "".join(x + "\n" for x in lines)
+        if a.g or a.G:
+            with open(a.g, "w") if a.g else bz2.open(a.G, "wt") as f:
+                f.write(text)
+        else:
+            sys.stderr.write(text)
         return 0
     if command == "diff":
         common, control, experiment = _split(rest)

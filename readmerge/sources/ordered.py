@@ -3,7 +3,10 @@
 Each task writes its records, which must ascend, to files of its own in a hidden folder beside the target, and reports their first
 and last ordinal, rows and bytes.  The commit puts the parts in order, refuses parts whose ordinals overlap, and renames; an abort deletes
 the folder, so a failed write leaves nothing and a task that ran twice counts once.  Several text columns go to a file
-each in one pass, so their records stay in step.
+each in one pass, so their records stay in step; a null is no record.
+
+Rows can be tallied as they are written: tasks count the values of some columns and the commit adds up the counts of exactly those parts
+that it keeps, so retries and lost executors count nothing twice (as ``DataFrame.observe`` can where a stage runs again).
 
 Layouts: ``parts`` (a folder with ``part-00000`` ... for each column), ``single`` (one file for each column: tasks copy the parts to
 their places, sums of the sizes before them, in one hidden file, which is renamed at last; it needs a folder that driver and executors mount,
@@ -22,6 +25,7 @@ import os
 import sys
 import tempfile
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import urlparse
@@ -53,16 +57,19 @@ class Written(WriterCommitMessage):
     first: int
     last: int
     parts: dict[str, tuple[str, int]]
+    tally: dict[str, Counter]
 
 
 class _Writer(DataSourceArrowWriter):
     def __init__(self, options: dict[str, str], columns: list[str]):
+        self.tallied = [c for c in options.get("tally", "").split(",") if c]
+        columns = [c for c in columns if c not in self.tallied]
         self.target, self.staging, self.layout = options["path"], options["staging"], options.get("layout", "parts")
         self.compression, self.columns = options.get("compression", "none"), columns
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, folder = file_system(self.staging)
-        rows, first, last, files = 0, 0, -1, {}
+        rows, first, last, files, tally = 0, 0, -1, {}, {c: Counter() for c in self.tallied}
         with contextlib.ExitStack() as stack:
             for batch in iterator:
                 at = batch.column("ordinal").to_numpy()
@@ -72,6 +79,8 @@ class _Writer(DataSourceArrowWriter):
                     raise ValueError("records of a task must be in order of their ordinals")
                 first, last = int(at[0]) if not rows else first, int(at[-1])
                 rows += len(at)
+                for c, n in tally.items():
+                    n.update({v["values"]: v["counts"] for v in batch.column(c).value_counts().to_pylist()})
                 if self.layout == "null":
                     continue
                 if not files:
@@ -81,11 +90,13 @@ class _Writer(DataSourceArrowWriter):
                         raw = stack.enter_context(system.open_output_stream(name))
                         files[c] = name, raw, raw if self.compression == "none" else stack.enter_context(_OPEN[self.compression](raw))
                 for c, (_, _, out) in files.items():
-                    lines = pc.binary_join_element_wise(batch.column(c).cast(pa.string()), "", "\n")
+                    lines = pc.binary_join_element_wise(batch.column(c).cast(pa.string()).drop_null(), "", "\n")
+                    if not len(lines):
+                        continue
                     offsets = np.frombuffer(lines.buffers()[1], np.int32)[lines.offset : lines.offset + len(lines) + 1]
                     out.write(lines.buffers()[2].slice(int(offsets[0]), int(offsets[-1] - offsets[0])))
         sizes = {c: (name.rpartition("/")[2], system.get_file_info(name).size) for c, (name, _, _) in files.items()}
-        return Written(rows, first, last, sizes)
+        return Written(rows, first, last, sizes, tally)
 
     def commit(self, messages: list[Written | None]) -> None:
         system, folder = file_system(self.staging)
@@ -94,6 +105,10 @@ class _Writer(DataSourceArrowWriter):
             if b.first <= a.last:
                 self.abort(messages)
                 raise ValueError(f"ordinals {a.first} to {a.last} and {b.first} to {b.last} of two tasks overlap")
+        if self.tallied:
+            total = {c: sum((m.tally[c] for m in done), Counter()) for c in self.tallied}
+            with system.open_output_stream(f"{folder}.json") as f:  # beside the parts; read and deleted by the caller
+                f.write(json.dumps({c: list(n.items()) for c, n in total.items()}).encode())
         if self.layout == "null":
             return
         system.create_dir(folder, recursive=True)
@@ -119,6 +134,8 @@ class _Writer(DataSourceArrowWriter):
         system, folder = file_system(self.staging)
         if system.get_file_info(folder).type != fs.FileType.NotFound:
             system.delete_dir(folder)
+        if system.get_file_info(f"{folder}.json").type != fs.FileType.NotFound:
+            system.delete_file(f"{folder}.json")
 
 
 class OrderedText(DataSource):
@@ -160,30 +177,38 @@ def _join(spark: SparkSession, folder: str, parts: list[tuple[str, int]], target
     os.replace(hidden, target)
 
 
-def write_in_order(rows: DataFrame, path: str, *, layout: str = "parts", compression: str = "none", in_order: bool = False) -> None:
+def write_in_order(rows: DataFrame, path: str, *, layout: str = "parts", compression: str = "none", in_order: bool = False, tally: tuple[str, ...] = ()) -> dict[str, Counter]:
     """Write text columns of ``rows`` (ordinal long, and one string column or more) in order of their ordinals; a target that exists is an error.
 
+    Columns named in ``tally`` are not written; how often each of their values came (few, by their nature) is returned.
+
     ``in_order``: partitions already ascend and don't overlap, as those of files and of maps over them, so nothing is shuffled; else
     rows are range partitioned and sorted.  ``single`` writes one column to ``path`` itself, several to ``path/<column>``.
     """
     if layout not in ("parts", "single", "stdout", "null") or compression not in _OPEN:
         raise ValueError(f"unknown layout {layout!r} or compression {compression!r}")
-    spark, columns = rows.sparkSession, [c for c in rows.columns if c != "ordinal"]
+    spark, columns = rows.sparkSession, [c for c in rows.columns if c != "ordinal" and c not in tally]
     system, target = file_system(path) if layout in ("parts", "single") else (fs.LocalFileSystem(), "")
     if target and system.get_file_info(target).type != fs.FileType.NotFound:
         raise FileExistsError(path)
     if layout == "single" and not isinstance(system, fs.LocalFileSystem):
         raise ValueError("one file needs a folder that driver and executors mount; use layout='parts'")
-    if layout == "stdout":
+    if layout in ("stdout", "null"):
         path = f"{shared_folder(spark)}/readmerge-{uuid.uuid4().hex}"
     spark.dataSource.register(OrderedText)
     if not in_order:
         rows = rows.repartitionByRange("ordinal").sortWithinPartitions("ordinal")
     staging = f"{path.rstrip('/')}.{uuid.uuid4().hex}.part"
-    rows.select("ordinal", *columns).write.format("ordered_text").options(layout=layout, staging=staging, compression=compression).mode("append").save(path)
-    if layout in ("parts", "null"):
-        return
+    options = {"layout": layout, "staging": staging, "compression": compression, "tally": ",".join(tally)}
+    rows.select("ordinal", *columns, *tally).write.format("ordered_text").options(**options).mode("append").save(path)
     system, folder = file_system(staging)
+    counts: dict[str, Counter] = {}
+    if tally:
+        with system.open_input_stream(f"{folder}.json") as f:
+            counts = {c: Counter(dict(map(tuple, n))) for c, n in json.loads(f.read()).items()}
+        system.delete_file(f"{folder}.json")
+    if layout in ("parts", "null"):
+        return counts
     try:
         with system.open_input_stream(f"{folder}/order.json") as f:
             order = json.loads(f.read())
@@ -198,6 +223,7 @@ def write_in_order(rows: DataFrame, path: str, *, layout: str = "parts", compres
                 _join(spark, f"{folder}/{c}", order[c], target if len(columns) == 1 else f"{target}/{c}")
     finally:
         system.delete_dir(folder)
+    return counts
 
 
 # --- folders of a session -------------------------------------------------------------------------------------------

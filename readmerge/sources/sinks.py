@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
@@ -16,20 +18,35 @@ from .ordered import file_system, write_in_order
 
 def fasta(result: DataFrame) -> DataFrame:
     """Merged rows as text: ``>id;probability`` and the sequence; empty sequences are left out."""
-    return _merged(result).select(F.concat(_head(">"), F.lit("\n"), F.col("sequence")).alias("value"))
+    return _merged(result).select(fasta_text().alias("value"))
 
 
-def fastq(result: DataFrame) -> DataFrame:
-    """Merged rows with qualities (always from ``!`` up)."""
+def fasta_text() -> Column:
+    return F.concat(_head(">"), F.lit("\n"), F.col("sequence"))
+
+
+def quality_text(logp: Column | str) -> Column:
+    """Log-probabilities of bases as characters (always from ``!`` up); null for null."""
+
+    @F.arrow_udf("string")
+    def quality(rows: pa.Array) -> pa.Array:
+        """One look-up for the whole batch; its bytes are the strings already."""
+        size = pc.fill_null(pc.list_value_length(rows), 0).to_numpy().astype(np.int64)
+        text = (requantise_array(np.asarray(rows.flatten(), np.float64)) + 33).astype(np.uint8)
+        off = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
+        whole = pa.StringArray.from_buffers(len(size), off.buffers()[1], pa.py_buffer(text.tobytes()))
+        return whole.take(pa.array(np.arange(len(size)), mask=rows.is_null().to_numpy(zero_copy_only=False))) if rows.null_count else whole
+
+    return quality(logp)
 
-    @F.pandas_udf("string")
-    def quality(logp: pd.Series) -> pd.Series:
-        size = logp.map(len).to_numpy(np.int64)  # one look-up for the whole batch, cut into rows again
-        text = (requantise_array(np.concatenate([*logp, np.zeros(0)])) + 33).astype(np.uint8).tobytes().decode("latin-1")
-        end = np.cumsum(size)
-        return pd.Series([text[a:b] for a, b in zip((end - size).tolist(), end.tolist(), strict=True)])
 
-    return _merged(result).select(F.concat(_head("@"), F.lit("\n"), F.col("sequence"), F.lit("\n+\n"), quality("logp")).alias("value"))
+def fastq_record() -> Column:
+    return F.concat(_head("@"), F.lit("\n"), F.col("sequence"), F.lit("\n+\n"), quality_text("logp"))
+
+
+def fastq(result: DataFrame) -> DataFrame:
+    """Merged rows with qualities (always from ``!`` up)."""
+    return _merged(result).select(fastq_record().alias("value"))
 
 
 def _merged(result: DataFrame) -> DataFrame:
@@ -42,12 +59,30 @@ def _head(mark: str) -> Column:
 
 def unaligned(result: DataFrame, with_quality: bool = False) -> DataFrame:
     """Pairs that did not align (assembled with ``keep_reads``): forward read, dash, reverse complement of the other."""
+    return result.where("status = 'NOALGN'").select(unaligned_text(with_quality).alias("value"))
+
+
+def unaligned_text(with_quality: bool) -> Column:
     seq = F.concat(F.col("f_seq"), F.lit("-"), nt.reverse_complement(F.col("r_seq")))
-    rows = result.where("status = 'NOALGN'")
     name = seqid.to_string(F.col("id"))
     if with_quality:
-        return rows.select(F.concat(F.lit("@"), name, F.lit("\n"), seq, F.lit("\n+\n"), F.col("f_qual"), F.lit("!"), F.reverse("r_qual")).alias("value"))
-    return rows.select(F.concat(F.lit(">"), name, F.lit("\n"), seq).alias("value"))
+        return F.concat(F.lit("@"), name, F.lit("\n"), seq, F.lit("\n+\n"), F.col("f_qual"), F.lit("!"), F.reverse("r_qual"))
+    return F.concat(F.lit(">"), name, F.lit("\n"), seq)
+
+
+def write_assembly(result: DataFrame, path: str, *, fastq: bool = False, unaligned: str | None = None, layout: str = "parts", compression: str = "none", in_order: bool = False) -> dict[str, Counter]:
+    """Write an assembly in one pass, in order of the pairs, and return what came by the way: the counts of status, reject_module, slow, and of
+    overlap and overlaps examined of merged rows.
+
+    ``unaligned`` (fasta or fastq): the pairs that didn't align go to a second file; needs ``keep_reads``.
+    """
+    ok, reached = F.col("status") == "OK", F.col("overlap").isNotNull() & F.col("status").isin("OK", "MODULE")
+    out = {"merged": F.when(ok & (F.col("sequence_length") > 0), fastq_record() if fastq else fasta_text())}
+    if unaligned:
+        out["unaligned"] = F.when(F.col("status") == "NOALGN", unaligned_text(unaligned == "fastq"))
+    tally = {"status": F.col("status"), "reject_module": F.col("reject_module"), "slow": F.col("slow"), "overlap": F.when(ok, F.col("overlap")), "examined": F.when(reached, F.col("overlaps_examined"))}
+    rows = result.select("ordinal", *[c.alias(k) for k, c in (out | tally).items()])
+    return write_in_order(rows, path, layout=layout, compression=compression, in_order=in_order, tally=tuple(tally))
 
 
 def write_text(rows: DataFrame, path: str, compression: str = "none") -> None:

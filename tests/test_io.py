@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from readmerge.functions import nt
+from readmerge.operators import stats
 from readmerge.operators.assemble import assemble
 from readmerge.plans import cli, sim
 from readmerge.sources import sinks
@@ -51,7 +52,7 @@ def test_malformed_records(tmp_path, text, code):
 def test_modes(spark, rows, tmp_path):
     f, r = fastq(rows[:6], 1, "f"), fastq(rows[:6], 2, "r")
     broken = f.split("\n")
-    broken[9] = "!" + broken[9][1:]  # the third record
+    broken[9] = "?" + broken[9][1:]  # the third record
     (tmp_path / "f").write_text("\n".join(broken))
     (tmp_path / "r").write_text(r)
     read = lambda mode: read_fastq_pairs(spark, f"{tmp_path}/f", f"{tmp_path}/r", mode=mode)
@@ -151,12 +152,38 @@ def test_stream_pairing(spark, tmp_path):
     assert sorted(r["ordinal"] for r in spark.table("paired").collect()) == [1, 2]
 
 
+def parsed(*args):
+    import argparse
+
+    p = argparse.ArgumentParser()
+    cli._assembly_options(p)
+    return p.parse_args(args)
+
+
 def test_command_lines(spark, rows, tmp_path, capsys):
     (tmp_path / "f").write_text(fastq(rows, 1, "f"))
     (tmp_path / "r").write_text(fastq(rows, 2, "r"))
     files = ["-f", f"{tmp_path}/f", "-r", f"{tmp_path}/r"]
-    assert cli.main(["assemble", *files, "-F", "-w", f"{tmp_path}/out", "-g", f"{tmp_path}/stat", "-U", f"{tmp_path}/bad", "-l", "10"]) == 0
-    assert {r[0].split("\t")[0] for r in spark.read.text(f"{tmp_path}/stat").collect()} >= {"READS", "OK"}
+    assert cli.main(["assemble", *files, "-F", "-w", f"{tmp_path}/out", "-g", f"{tmp_path}/stat", "-U", "-l", "10", "-C", "overlap_stat", "-C", "short:105"]) == 0
+    log = dict(x.split("\t", 1)[1].split("\t" if "EXAMINED" not in x else " ", 1) for x in (tmp_path / "stat").read_text().splitlines())
+    out = assemble(read_fastq_pairs(spark, f"{tmp_path}/f", f"{tmp_path}/r"), cli.config_of(parsed("-l", "10", "-C", "overlap_stat", "-C", "short:105")), keep_reads=True).orderBy("ordinal")
+    assert (tmp_path / "out/merged").read_text() == "".join(r[0] + "\n" for r in sinks.fastq(out).collect())
+    assert (tmp_path / "out/unaligned").read_text() == "".join(r[0] + "\n" for r in sinks.unaligned(out, True).collect())
+    want = {r["code"]: str(r["value"]) for r in stats.stat_counts(out).collect()}
+    assert {k: log[k] for k in ("READS", "NOALGN", "LOWQ", "BADR", "SLOW", "OK")} == {k: want[k] for k in ("READS", "NOALGN", "LOWQ", "BADR", "SLOW", "OK")} and int(want["MODULE"]) == int(log["SHORT"]) > 0
+    assert log["OVERLAPS"].split() == [str(r["n"]) for r in stats.overlap_histogram(out).orderBy("overlap").collect()]
+    assert log["EXAMINED"].split() == [str(r["n"]) for r in stats.examined_histogram(out).orderBy("examined").collect()]
+    assert "NOFP" not in log and "TIME" in log
+    capsys.readouterr()
+    assert cli.main(["assemble", *files, "-W", f"{tmp_path}/o.bz2", "-G", f"{tmp_path}/log.bz2", "-d", "F"]) == 0
+    assert bz2.decompress((tmp_path / "o.bz2").read_bytes()).decode() == "".join(r[0] + "\n" for r in sinks.fasta(assemble(read_fastq_pairs(spark, f"{tmp_path}/f", f"{tmp_path}/r"))).collect())
+    (tmp_path / "r").write_text(fastq(rows[:50], 2, "r"))
+    assert cli.main(["hang", *files, "-P", "ACGTACGT", "-s", "-d", "Fs"]) == 0
+    told = capsys.readouterr()
+    assert told.err.splitlines()[0].startswith("ERR\tEOF\tM") and "* * *" in told.err and "STAT" not in told.err and told.out.count(">") > 30
+    with pytest.raises(SystemExit):
+        cli.main(["assemble", "-h"])
+    assert "pear_test:alpha" in capsys.readouterr().out
     assert cli.main(["diff", *files, "--", "--", "-L", "90"]) == 2
     assert cli.main(["diff", *files, "--", "--"]) == 0
     assert cli.main(["checkid", "SRR001666.1 x", "what"]) == 0

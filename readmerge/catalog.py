@@ -11,12 +11,13 @@ from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import kmers, nt, phred, seqid
 from .operators import clip, diff, filters, kernel, stats
 from .operators.algorithms import REGISTRY, algorithm
-from .operators.assemble import _matrices, _reads, assemble
+from .operators.assemble import _matrices, _reads, assemble, overlap_offsets
 from .operators.config import AssemblerConfig
 from .plans import sim
 from .sources import fastq, ordered, sinks
@@ -483,6 +484,32 @@ def _(spark, d):
     return _assembled(spark, d, AssemblerConfig(modules=(filters.load("pear_test:cutoff=0.05"),)), keep_reads=True).select("ordinal", "status")
 
 
+def _has_no_run(batch: pa.RecordBatch) -> np.ndarray:
+    """Forward reads without four Gs in a row."""
+    return ~np.array(pc.match_substring(batch.column("f_seq"), "GGGG").to_numpy(zero_copy_only=False))
+
+
+def _is_long(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("sequence_length").to_numpy() >= batch.column("overlap").to_numpy() + 70
+
+
+@query("filter_batch_modules", _full("""SELECT * FROM (SELECT p.ordinal, CASE WHEN f_seq LIKE '%AAAA%' THEN 'first' WHEN f_seq LIKE '%GGGG%' THEN 'run' WHEN f_seq LIKE '%TTTT%' THEN 'last'
+  WHEN o.ordinal IS NULL THEN NULL WHEN o.x > 0 THEN 'completely_miss_the_point' WHEN length(o.sequence) < o.ov + 70 THEN 'long_enough' ELSE 'none' END AS module
+  FROM pairs p LEFT JOIN ok o ON o.ordinal = p.ordinal) WHERE module IS NOT NULL"""))
+def _(spark, d):
+    """Batch functions between Column modules; the first that rejects is named."""
+    has = lambda name, run: filters.precheck(name, ~F.contains("f_seq", F.lit(run)))
+    modules = (has("first", "AAAA"), filters.batch_module("run", "precheck", ("f_seq",), _has_no_run), has("last", "TTTT"), filters.load("completely_miss_the_point:0"), filters.batch_module("long_enough", "check", ("sequence_length", "overlap"), _is_long))
+    out = _assembled(spark, d, AssemblerConfig(modules=modules)).where("status in ('OK', 'MODULE')")
+    return out.select("ordinal", F.coalesce("reject_module", F.lit("none")).alias("module"))
+
+
+@query("overlap_offsets", _full("SELECT ordinal, 64 - ov AS merged, 64 - ov AS forward, 64 - ov AS reverse FROM ok"))
+def _(spark, d):
+    out = overlap_offsets(_assembled(spark, d, keep_reads=True).where("status = 'OK'"))
+    return out.select("ordinal", *[F.col(c).cast("long").alias(n) for c, n in (("overlap_offset", "merged"), ("overlap_forward_offset", "forward"), ("overlap_reverse_offset", "reverse"))])
+
+
 # --- statistics and comparison -------------------------------------------------------------------------------------
 
 _STATUS_SQL = """, st AS (SELECT p.ordinal, CASE WHEN m.ordinal IS NULL THEN 'NOALGN' WHEN m.quality < ln(0.6) THEN 'LOWQ' WHEN length(sequence) < 100 THEN 'MODULE' ELSE 'OK' END AS status, e.n AS examined
@@ -513,6 +540,17 @@ def _(spark, d):
     return stats.overlap_histogram(_assembled(spark, d)).select(F.col("overlap").cast("long").alias("overlap"), "n")
 
 
+@query("written_statistics", f"""{_stat_sql()} UNION ALL SELECT 'OVERLAP ' || ov, cast(count(*) as bigint) FROM st JOIN merged USING (ordinal) WHERE status = 'OK' GROUP BY ov
+  UNION ALL SELECT 'EXAMINED ' || examined, cast(count(*) as bigint) FROM st WHERE status IN ('OK', 'MODULE') GROUP BY examined UNION ALL SELECT 'SHORT', cast(count(*) as bigint) FROM st WHERE status = 'MODULE'""")
+def _(spark, d):
+    """Counts that come with the write itself: one job writes and counts."""
+    counts = sinks.write_assembly(_counted(spark, d), "", layout="null")
+    status = counts["status"]
+    rows = [("READS", sum(status.values())), ("SLOW", counts["slow"][True]), *((k, status[k]) for k in ("OK", "BADR", "NOFP", "NORP", "NOALGN", "LOWQ", "MODULE"))]
+    rows += [(f"{name.upper()} {v}", n) for name in ("overlap", "examined") for v, n in counts[name].items() if v is not None]
+    return spark.createDataFrame([*rows, ("SHORT", counts["reject_module"]["SHORT"])], "code string, value long")
+
+
 @query("examined_histogram", _full("SELECT cast(v as bigint) AS examined, cast(coalesce(n, 0) as bigint) AS n FROM range(1, 64) t(v) LEFT JOIN (SELECT examined, count(*) AS n FROM ok GROUP BY examined) e ON e.examined = v WHERE v <= (SELECT max(examined) FROM ok)"))
 def _(spark, d):
     return stats.examined_histogram(_assembled(spark, d)).select(F.col("examined").cast("long").alias("examined"), "n")
@@ -606,6 +644,27 @@ def _(spark, d):
     return k.select("ordinal", F.size("k").cast("long").alias("n"), F.array_min(F.transform("k", lambda x: x["kmer"])).alias("least"), F.aggregate("k", F.lit(0).cast("long"), lambda a, x: a + x["posn"]).alias("places"))
 
 
+def _kmer_query(name: str, k: int, reverse: bool, seq: str = "f_seq", source: str = "pairs") -> None:
+    place = f"substr({seq}, p + 1, {k + 1})" if reverse else f"substr({seq}, p - {k - 1}, {k + 1})"
+    bases = f"reverse(substr({seq}, p + 1, {k}))" if reverse else f"substr({seq}, p - {k - 2}, {k})"
+    code = f"list_reduce(list_transform(string_split(translate({bases}, 'ACGT', '0123'), ''), lambda c: c::BIGINT), lambda a, b: a * 4 + b)"
+    span = f"range(0, length({seq}) - {k})" if reverse else f"range({k}, length({seq}))"
+    rows = f"SELECT ordinal, p, {code} AS kmer FROM (SELECT ordinal, {seq}, unnest({span}) AS p FROM {source}) WHERE instr({place}, 'N') = 0"
+    sql = f"SELECT ordinal, cast(count(*) as bigint) AS n, cast(sum(p) as bigint) AS places, cast(min(kmer) as bigint) AS least, cast(max(kmer) as bigint) AS most, cast(sum(kmer % 1000003) as bigint) AS total FROM ({rows}) GROUP BY ordinal"
+
+    @query(name, _full(sql) if source == "ok" else _pairs_only(sql))
+    def _(spark, d):
+        df = _assembled(spark, d, with_logp=False).where("status = 'OK'") if source == "ok" else _pairs(spark, d)
+        found = kmers.kmer_table(df, seq, k, reverse=reverse).groupBy("ordinal")
+        return found.agg(F.count("*").alias("n"), F.sum("posn").alias("places"), F.min("kmer").alias("least"), F.max("kmer").alias("most"), F.sum(F.col("kmer") % 1000003).alias("total"))
+
+
+_kmer_query("kmers3", 3, False)
+_kmer_query("kmers8_reverse", 8, True)
+_kmer_query("kmers31", 31, False)
+_kmer_query("kmers31_of_merged", 31, True, "sequence", "ok")
+
+
 @query("bcliff_mask", _pairs_only("SELECT ordinal, cast(length(rtrim(f_qual, '#')) as bigint) AS f_clear, cast(length(rtrim(r_qual, '#')) as bigint) AS r_clear FROM pairs"))
 def _(spark, d):
     return _pairs(spark, d).select("ordinal", *[F.length(F.rtrim(F.col(f"{s}_qual"), F.lit("#"))).cast("long").alias(f"{s}_clear") for s in "fr"])

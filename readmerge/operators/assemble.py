@@ -27,6 +27,7 @@ _RESULT = [
     ("overlap", pa.int32()), ("overlap_score", pa.float64()), ("overlap_mismatches", pa.int32()), ("overlaps_examined", pa.int32()), ("degenerates", pa.int32()),
     ("forward_offset", pa.int32()), ("reverse_offset", pa.int32()), ("slow", pa.bool_()),
 ]
+RESULT = tuple(k for k, _ in _RESULT)
 RESULT_TYPE = "status string, sequence string, logp array<double>, quality double, sequence_length int, overlap int, overlap_score double, overlap_mismatches int, overlaps_examined int, degenerates int, forward_offset int, reverse_offset int, slow boolean"
 
 
@@ -90,34 +91,85 @@ def assemble_pair(f_seq: str, f_qual: str, r_seq: str, r_qual: str, cfg: Assembl
     return {k: np.array(v) if k == "logp" else v for k, v in row.items() if v is not None}
 
 
+class _Batches:
+    """The modules of some settings that see whole batches; ``_reject`` is the place of the module that rejects a pair (-1: a bad read, null: none)."""
+
+    def __init__(self, cfg: AssemblerConfig):
+        self.late, self.early = ([(i, m) for i, m in enumerate(cfg.modules) if m.batch and m.stage == stage] for stage in ("check", "precheck"))
+
+    @staticmethod
+    def _rejected(m, columns: dict[str, pa.Array], at: np.ndarray) -> np.ndarray:
+        batch = pa.RecordBatch.from_arrays([columns[c].take(pa.array(at)) for c in m.columns], list(m.columns))
+        keep = pa.array(m.batch(batch), pa.bool_())
+        if len(keep) != len(at):
+            raise ValueError(f"module {m.name} returned {len(keep)} values for {len(at)} rows")
+        return at[~pc.fill_null(keep, False).to_numpy(zero_copy_only=False)]
+
+    def before(self, columns: dict[str, pa.Array], reject: pa.Array) -> np.ndarray:
+        """Places of rejecting modules, the first of all kinds; a large number for none."""
+        none = np.iinfo(np.int32).max
+        at = pc.fill_null(reject.cast(pa.int32()), none).to_numpy().copy()
+        for i, m in self.early:
+            open_rows = np.flatnonzero(at > i)
+            if len(open_rows):
+                at[self._rejected(m, columns, open_rows)] = i
+        return at
+
+    def behind(self, columns: dict[str, pa.Array]) -> pa.Array:
+        """Places of the first rejecting modules of merged rows."""
+        ok = pc.equal(columns["status"], "OK").to_numpy(zero_copy_only=False)
+        at = np.full(len(ok), -1, np.int32)
+        for i, m in self.late:
+            open_rows = np.flatnonzero(ok & (at < 0))
+            if len(open_rows):
+                at[self._rejected(m, columns, open_rows)] = i
+        return pa.array(at, mask=at < 0)
+
+
+def _run(pair: dict[str, pa.Array], reject: pa.Array, cfg: AssemblerConfig, modules: _Batches, with_logp: bool) -> tuple[dict[str, pa.Array], pa.Array, pa.Array]:
+    """Results of a batch, and which modules rejected before and behind the kernel."""
+    at = modules.before(pair, reject)
+    rejected = (at >= 0) & (at < np.iinfo(np.int32).max)  # short reads are told apart by the kernel again
+    out = results(*(pair[c] for c in PAIR[2:]), cfg, ~rejected, with_logp)
+    out = {k: out[k].cast(t) for k, t in _RESULT}
+    return out, pa.array(at, mask=~rejected), modules.behind(pair | out)
+
+
 def _kernel(cfg: AssemblerConfig, passed: list[str], with_logp: bool):
+    bare, modules = replace(cfg, modules=()), _Batches(cfg)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            # short reads are told apart by the kernel again, rejects of modules only here
-            skip = pc.fill_null(pc.not_equal(b.column("_reject"), "BADR"), False).to_numpy(zero_copy_only=False)
-            out = results(*(b.column(c) for c in ("f_seq", "f_qual", "r_seq", "r_qual")), cfg, ~skip, with_logp)
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in passed] + [out[k].cast(t) for k, t in _RESULT], passed + [k for k, _ in _RESULT])
+            out, early, late = _run({c: b.column(c) for c in PAIR}, b.column("_reject"), bare, modules, with_logp)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in passed), early, late, *out.values()], [*passed, "_reject", "_late", *out])
 
     return run
 
 
 def _prechecks(df: DataFrame, cfg: AssemblerConfig) -> tuple[DataFrame, Column]:
-    """The table, widened by modules, and why a pair never reaches the kernel (else null)."""
-    reject = F.when((F.length("f_seq") < 2) | (F.length("r_seq") < 2) | F.col("f_seq").isNull() | F.col("r_seq").isNull(), "BADR")
-    for m in (m for m in cfg.modules if m.stage == "precheck"):
-        df, keep = m.on(df, cfg)
-        reject = reject.when(~F.coalesce(keep, F.lit(False)), m.name)
+    """The table, widened by modules, and the place of the Column module that keeps a pair from the kernel (-1: a bad read; else null)."""
+    reject = F.when((F.length("f_seq") < 2) | (F.length("r_seq") < 2) | F.col("f_seq").isNull() | F.col("r_seq").isNull(), -1)
+    for i, m in enumerate(cfg.modules):
+        if m.stage == "precheck" and not m.batch:
+            df, keep = m.on(df, cfg)
+            reject = reject.when(~F.coalesce(keep, F.lit(False)), i)
     return df, reject
 
 
 def _checks(out: DataFrame, cfg: AssemblerConfig) -> DataFrame:
-    """Results with ``reject_module`` (from ``_reject`` and the modules behind the kernel)."""
-    late: Column = F.when(F.col("status") == "MODULE", F.col("_reject"))
-    for m in (m for m in cfg.modules if m.stage == "check"):
-        out, keep = m.on(out, cfg)
-        late = late.when((F.col("status") == "OK") & ~F.coalesce(keep, F.lit(False)), m.name)
+    """Results with ``reject_module`` (from ``_reject``, ``_late`` and the Column modules behind the kernel)."""
+    late: Column = F.when(F.lit(False), F.lit(""))
+    for i, m in enumerate(cfg.modules):
+        if m.stage == "precheck":
+            late = late.when((F.col("status") == "MODULE") & (F.col("_reject") == i), m.name)
+    for i, m in enumerate(cfg.modules):
+        if m.stage == "check" and m.batch:
+            late = late.when((F.col("status") == "OK") & (F.col("_late") == i), m.name)
+        elif m.stage == "check":
+            out, keep = m.on(out, cfg)
+            late = late.when((F.col("status") == "OK") & ~F.coalesce(keep, F.lit(False)), m.name)
     out = out.withColumn("reject_module", late)
-    return out.withColumn("status", F.when(F.col("reject_module").isNotNull(), "MODULE").otherwise(F.col("status"))).drop("_reject")
+    return out.withColumn("status", F.when(F.col("reject_module").isNotNull(), "MODULE").otherwise(F.col("status"))).drop("_reject", "_late")
 
 
 def assemble(pairs: DataFrame, cfg: AssemblerConfig | None = None, *, with_logp: bool = True, keep_reads: bool = False) -> DataFrame:
@@ -127,10 +179,11 @@ def assemble(pairs: DataFrame, cfg: AssemblerConfig | None = None, *, with_logp:
     """
     cfg = cfg or AssemblerConfig()
     df, reject = _prechecks(pairs, cfg)
-    passed = ["ordinal", "id", *(["f_seq", "f_qual", "r_seq", "r_qual"] if keep_reads else []), "_reject"]
+    passed = ["ordinal", "id", *(["f_seq", "f_qual", "r_seq", "r_qual"] if keep_reads else [])]
     df = df.withColumn("_reject", reject).select(*PAIR, "_reject")
     shape = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in passed)
-    return _checks(df.mapInArrow(_kernel(replace(cfg, modules=()), passed, with_logp), f"{shape}, {RESULT_TYPE}"), cfg)
+    batches = replace(cfg, modules=tuple(m if m.batch else replace(m, apply=None) for m in cfg.modules))  # only what the map needs is sent
+    return _checks(df.mapInArrow(_kernel(batches, passed, with_logp), f"{shape}, _reject int, _late int, {RESULT_TYPE}"), cfg)
 
 
 def assemble_each(pairs: DataFrame, configs: dict[str, AssemblerConfig]) -> DataFrame:
@@ -144,31 +197,45 @@ def assemble_each(pairs: DataFrame, configs: dict[str, AssemblerConfig]) -> Data
         df = df.withColumn(f"_reject_{k}", reject)
     logp = any(m.stage == "check" for cfg in configs.values() for m in cfg.modules)
     bare = {k: replace(cfg, modules=()) for k, cfg in configs.items()}
-    rejects = [f"_reject_{k}" for k in names]
+    modules = {k: _Batches(replace(cfg, modules=tuple(m if m.batch else replace(m, apply=None) for m in cfg.modules))) for k, cfg in configs.items()}
+    rejects, lates = [f"_reject_{k}" for k in names], [f"_late_{k}" for k in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = [b.column(c) for c in PAIR]
+            pair = {c: b.column(c) for c in PAIR}
+            structs, early, late = [], [], []
             for k in names:
-                skip = pc.fill_null(pc.not_equal(b.column(f"_reject_{k}"), "BADR"), False).to_numpy(zero_copy_only=False)
-                out = results(*cols[2:6], bare[k], ~skip, logp)
-                fields = [out[c].cast(t) for c, t in _RESULT]
-                cols.append(pa.StructArray.from_arrays(fields, [c for c, _ in _RESULT]))
-            yield pa.RecordBatch.from_arrays([*cols, *(b.column(c) for c in rejects)], [*PAIR, *names, *rejects])
+                out, one, two = _run(pair, b.column(f"_reject_{k}"), bare[k], modules[k], logp)
+                structs.append(pa.StructArray.from_arrays(list(out.values()), list(out)))
+                early.append(one)
+                late.append(two)
+            yield pa.RecordBatch.from_arrays([*pair.values(), *structs, *early, *late], [*PAIR, *names, *rejects, *lates])
 
     df = df.select(*PAIR, *rejects)
     inner = ", ".join(x.strip().replace(" ", ":", 1) for x in RESULT_TYPE.split(", "))
-    shape = [f"{c} {df.schema[c].dataType.simpleString()}" for c in PAIR] + [f"`{k}` struct<{inner}>" for k in names] + [f"{c} string" for c in rejects]
+    shape = [f"{c} {df.schema[c].dataType.simpleString()}" for c in PAIR] + [f"`{k}` struct<{inner}>" for k in names] + [f"{c} int" for c in (*rejects, *lates)]
     df = df.mapInArrow(run, ", ".join(shape))
     plain = [c for c, _ in _RESULT]
     for k, cfg in configs.items():
         # modules see the columns of one result at a time
-        others = [c for c in df.columns if c not in (k, f"_reject_{k}")]
-        wide = _checks(df.select(*others, F.col(f"_reject_{k}").alias("_reject"), F.col(k)["status"].alias("status"), *[F.col(k)[c].alias(c) for c in plain[1:]]), cfg)
+        others = [c for c in df.columns if c not in (k, f"_reject_{k}", f"_late_{k}")]
+        own = [F.col(f"_reject_{k}").alias("_reject"), F.col(f"_late_{k}").alias("_late"), F.col(k)["status"].alias("status")]
+        wide = _checks(df.select(*others, *own, *[F.col(k)[c].alias(c) for c in plain[1:]]), cfg)
         df = wide.select(*others, F.struct(*plain, "reject_module").alias(k))
     return df.select("ordinal", "id", *names)
 
 
+def overlap_offsets(result: DataFrame) -> DataFrame:
+    """Add where the overlap begins in the merged sequence, the forward read and the reverse read (from 0); needs ``keep_reads``.
+
+    Clipped bases of the forward read don't count in the merged sequence's; null where nothing was merged.
+    """
+    forward, ov = F.length("f_seq"), F.col("overlap")
+    merged_rows = F.col("sequence").isNotNull()
+    where = {"overlap_offset": forward - F.col("forward_offset") - ov, "overlap_forward_offset": forward - ov, "overlap_reverse_offset": F.length("r_seq") - ov}
+    return result.withColumns({k: F.when(merged_rows, c) for k, c in where.items()})
+
+
 def merged(result: DataFrame) -> DataFrame:
     """The rows that passed."""
     return result.where("status = 'OK'")

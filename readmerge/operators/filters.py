@@ -58,6 +58,20 @@ def precheck(name: str, condition: Column, **more) -> Module:
     return Module(name, "precheck", lambda df: (df, condition), **more)
 
 
+def batch_module(name: str, stage: str, columns: tuple[str, ...], function: Callable, **more) -> Module:
+    """A module from a function of Arrow record batches, fused into the kernel's map: no Column, no further pass over the rows.
+
+    The function gets ``columns`` of the rows that no earlier module has rejected (a ``precheck``: of pairs; a ``check``: also of the results of
+    merged rows), as often as Spark makes batches and again after a lost executor, and returns a boolean for each row; null is no.
+    """
+    from .assemble import PAIR, RESULT
+
+    known = PAIR if stage == "precheck" else (*PAIR, *RESULT)
+    if stage not in ("precheck", "check") or not columns or not set(columns) <= set(known):
+        raise ValueError(f"a {stage} module can read {', '.join(known)}")
+    return Module(name, stage, None, batch=function, columns=tuple(columns), **more)
+
+
 def _int(args: str, low: int, high: float = math.inf) -> int:
     n = int(args)
     if not low <= n <= high:

@@ -29,6 +29,8 @@ class Module:
     #: Instead of ``apply``: a function of a record batch with ``columns`` that returns which rows stay; it runs inside the kernel's map.
     batch: Callable | None = None
     columns: tuple[str, ...] = ()
+    #: The header of the pair where ``after`` begins and ``before`` ends.
+    marker: str | None = None
 
     def on(self, df: DataFrame, cfg: AssemblerConfig) -> tuple[DataFrame, Column]:
         return self.apply(df, cfg) if self.reads_settings else self.apply(df)

@@ -139,22 +139,27 @@ def overlap_stat(args: str = "") -> Module:
     return check("overlap_stat", F.lit(True))
 
 
+def is_marker(header: str) -> Column:
+    """Whether a pair has the identifier of a header."""
+    return F.struct(*[F.col("id")[f] for f in seqid.FIELDS]) == F.struct(*[seqid.parse(F.lit(header.removeprefix("@")), "optional")["id"][f] for f in seqid.FIELDS])
+
+
 def _first_seen(df: DataFrame, header: str) -> DataFrame:
     """Add the least ordinal of the marker (null if it never comes)."""
-    mark = df.where(F.struct(*[F.col("id")[f] for f in seqid.FIELDS]) == F.struct(*[seqid.parse(F.lit(header), "optional")["id"][f] for f in seqid.FIELDS]))
+    mark = df.where(is_marker(header))
     return df.crossJoin(F.broadcast(mark.agg(F.min("ordinal").alias("_mark"))))  # one row
 
 
 @filter_module("after", "id")
 def after(args: str) -> Module:
     """From the marked pair on."""
-    return Module("after", "precheck", lambda df: (_first_seen(df, args), F.coalesce(F.col("ordinal") >= F.col("_mark"), F.lit(False))))
+    return Module("after", "precheck", lambda df: (_first_seen(df, args), F.coalesce(F.col("ordinal") >= F.col("_mark"), F.lit(False))), marker=args)
 
 
 @filter_module("before", "id")
 def before(args: str) -> Module:
     """Before the marked pair; all pairs where it never comes."""
-    return Module("before", "precheck", lambda df: (_first_seen(df, args), F.coalesce(F.col("ordinal") < F.col("_mark"), F.lit(True))))
+    return Module("before", "precheck", lambda df: (_first_seen(df, args), F.coalesce(F.col("ordinal") < F.col("_mark"), F.lit(True))), marker=args)
 
 
 def id_set(ids: DataFrame, name: str = "filter") -> Module:

@@ -70,6 +70,8 @@ class Scanner:
     count: int = 0
     following: int = END
     marks: list[tuple[int, int]] = field(default_factory=list)
+    #: The last record had too few lines, or its end isn't known as nothing followed.
+    unfinished: bool = False
     _mark: int = -1
     _window: int = 1 << 12
     _buf: bytes = b""
@@ -210,6 +212,7 @@ class Scanner:
             return True
         self._tally([self._at])
         if len(lines) < 4:
+            self.unfinished = True
             yield self._one(None, "EOF")
             return True
         four = [x for x, _ in lines]
@@ -220,6 +223,7 @@ class Scanner:
             self._at = lines[0][1]
             while (ahead := self.peek(3)) and not (ahead[0][0][:1] == b"@" and len(ahead) > 2 and ahead[2][0][:1] == b"+"):
                 self._at = ahead[0][1]
+            self.unfinished = not ahead
         yield self._one(None if wrong else four, wrong)
         return False
 

@@ -134,11 +134,6 @@ def test_stream_equals_table(spark, data, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sum(r["n"] for r in spark.table("counts").collect()) == pairs.count()
-    with pytest.raises(ValueError):
-        from readmerge.operators import filters
-        from readmerge.operators.config import AssemblerConfig
-
-        live.assemble_stream(pairs, AssemblerConfig(modules=(filters.load("after:x"),)))
 
 
 def test_stream_pairing(spark, tmp_path):

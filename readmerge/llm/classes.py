@@ -20,8 +20,8 @@ from pyspark.sql.types import IntegralType
 
 from . import scratch, text as tx
 
-#: Input bytes (as stored) of a group.
-GROUP_BYTES = 2 << 20
+#: Bytes of texts of a group.
+GROUP_BYTES = 3_700_000
 NO_KEY = np.iinfo(np.int64).max
 BLOCK = "group int, source int, data binary"
 
@@ -64,8 +64,8 @@ def digest_of(text: Column) -> Column:
 
 
 def group_count(docs: DataFrame, group_bytes: int) -> int:
-    """Groups for a table, by Spark's estimate of its stored size; no job runs."""
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Groups for a table with a column text, by the bytes of its texts: one aggregate that reads this column only."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     return int(min(max(16, math.ceil(size / group_bytes)), 1 << 24))
 
 

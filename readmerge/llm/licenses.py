@@ -249,9 +249,10 @@ def op3_licenses(spark, sf_dir: str) -> DataFrame:
     base = F.filter("hits", lambda h: h["base"])
     names = lambda hits: F.array_join(F.array_sort(F.array_distinct(F.transform(hits, lambda h: h["label"]))), ",")
     starts = F.transform(base, lambda h: h["start"])
+    open_hits = F.filter("hits", lambda h: h["label"] != "proprietary")  # a licence often begins with "all rights reserved"
     return found.select(
         "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
-        names(base).alias("base_labels"), names(F.col("hits")).alias("labels"), "score",
+        names(base).alias("base_labels"), names(F.when(F.size(open_hits) > 0, open_hits).otherwise(F.col("hits"))).alias("labels"), "score",
     )
 
 
@@ -280,6 +281,8 @@ def brute_force(docs: list[tuple]) -> list[tuple]:
                     score = max(score, min(coverage, 1.0))
                     if t.base:
                         base.append((s, t.label))
+        if len(labels) > 1:
+            labels.discard("proprietary")
         at = [s for s, _ in base]
         out.append((d, len(ws), len(base), min(at, default=None), max(at, default=None), ",".join(sorted({v for _, v in base})), ",".join(sorted(labels)), score))
     return out

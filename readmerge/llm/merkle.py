@@ -175,6 +175,7 @@ def manifest(rows: DataFrame, *, key: str, group: str, columns: tuple[str, ...],
     then = leaf_digest(*[F.col(c) for c in columns])
     found = leaf_digest(*[now.get(c, F.col(c)) for c in columns]) if now else then
     leaves = rows.select(F.col(key).alias("key"), F.col(group).alias("group"), then.alias("digest"), found.alias("now"))
+    leaves = scratch.materialize(leaves, "digests")  # so texts are read once; ordering looks at its rows twice
     leaves = in_order(leaves.withColumn("now", F.when(F.col("now") != F.col("digest"), F.col("now"))), ["group"], ["key", "digest"], "pos")
     groups = leaves.groupBy("group").agg(F.count("*").alias("n"))
     trees = scratch.materialize(in_order(groups, [], ["group"], "tree"), "trees").withColumnRenamed("group", "of")

@@ -42,7 +42,8 @@ def chunks(buf: np.ndarray, off: np.ndarray) -> tx.Words:
     """
     data = buf.tobytes()
     if not len(buf) or any(x in data for x in _SPECIAL):
-        return tx.words(buf, off, tx.NONSPACE)
+        w = tx.words(buf, off, tx.NONSPACE, hashed=False)
+        return tx.Words(w.start, w.end, tx.word_hash(buf, w.start, w.end), w.off)
     c = _CLASS[buf]
     step = (c[1:] ^ c[:-1]) == 3  # classes 1 and 2 meet
     edge = np.zeros(len(c) + 1, bool)
@@ -50,11 +51,11 @@ def chunks(buf: np.ndarray, off: np.ndarray) -> tx.Words:
     edge[1:-1] |= step | (c[:-1] == 0) | (c[1:] == 0)
     some = c > 0
     start, end = np.flatnonzero(some & edge[:-1]), np.flatnonzero(some & edge[1:]) + 1
-    return tx.Words(start, end, tx.span_hash(tx.LOWER_VALUE[buf], start, end), np.searchsorted(start, off))
+    return tx.Words(start, end, tx.word_hash(buf, start, end), np.searchsorted(start, off))
 
 
 class WordTokens:
-    """Ids of pieces, remembered by hash.  Exact for tokenizers that never join across white space."""
+    """Ids of pieces, remembered by the hash of their bytes as they are (case counts).  Exact for tokenizers that never join across white space."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

@@ -7,6 +7,7 @@ is unset and Spark runs in one process (unit tests, notebooks) is a local folder
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -76,13 +77,9 @@ def _delete(spark: SparkSession, path: str) -> None:
 def _cleanup() -> None:
     for spark, table in _tables:
         if spark.sparkContext._jsc is not None:
-            try:
+            with contextlib.suppress(Exception):  # as below
                 spark.sql(f"DROP TABLE IF EXISTS {table}")
-            except Exception:  # as below
-                return
     for spark, path in _made:
         if spark.sparkContext._jsc is not None:
-            try:
+            with contextlib.suppress(Exception):  # the JVM may have gone first; the files are then left to the cluster's own cleaning
                 _delete(spark, path)
-            except Exception:  # the JVM may have gone first; the files are then left to the cluster's own cleaning
-                return

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +33,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(32))
 
 
-#: A value for each byte; A-Z have those of a-z in LOWER_VALUE.
+#: A value for each byte.
 BYTE_VALUE = splitmix(np.arange(256))
 _fold = np.arange(256)
 _fold[65:91] += 32
 LOWER = _fold.astype(np.uint8)
-LOWER_VALUE = BYTE_VALUE[_fold]
 #: Bytes of words made of ASCII letters, digits and everything beyond ASCII.
 ALNUM = np.zeros(256, bool)
 ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
@@ -100,7 +100,7 @@ class Words:
 
 
 def words(buf: np.ndarray, offsets: np.ndarray, kind: np.ndarray = ALNUM, hashed: bool = True) -> Words:
-    """Words (maximal runs of bytes of ``kind``) of the texts of a slice; hashes are of the lower-cased (A-Z) bytes."""
+    """Words (maximal runs of bytes of ``kind``) of the texts of a slice; hashes are of the lower-cased (A-Z) bytes, see :func:`word_hash`."""
     n = len(buf)
     if n == 0:
         z = np.zeros(0, np.int64)
@@ -115,12 +115,37 @@ def words(buf: np.ndarray, offsets: np.ndarray, kind: np.ndarray = ALNUM, hashed
     after[-1], after[:-1] = False, w[1:]
     end = np.flatnonzero(w & (~after | edge[1:])) + 1
     off = np.searchsorted(start, offsets)
-    h = span_hash(LOWER_VALUE[buf], start, end) if hashed else np.zeros(0, U64)
+    h = word_hash(LOWER[buf], start, end) if hashed else np.zeros(0, U64)
     return Words(start, end, h, off)
 
 
+#: Masks of the first n bytes of a little-endian number.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
+
+
+def word_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of words: different for different words of up to 8 bytes (their bytes are the number that is spread), else 64 bits of BLAKE2b,
+    for which no texts that collide are known or can be built by a rule, as they can for sums of powers modulo 2**64.
+    """
+    size = end - start
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
+    h = splitmix(eight[start] & _FIRST[np.minimum(size, 8)])
+    long = size > 8
+    if len(size):
+        long |= buf[np.maximum(end - 1, 0)] == 0  # a last byte of zero would be taken for none
+    at = np.flatnonzero(long)
+    if len(at):
+        data = buf.tobytes()
+        h[at] = np.frombuffer(b"".join([blake2b(data[a:b], digest_size=8).digest() for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]), U64)
+    return h
+
+
 def span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of spans of a sequence of 64-bit values, from prefix sums; equal content gives equal hashes anywhere."""
+    """Hashes of short spans of a sequence of 64-bit values (hashes of words), from prefix sums; equal content gives equal hashes anywhere.
+
+    For long spans of few values there are spans that collide for every base (Thue-Morse sequences from 512 values on); words have hashes of their own.
+    """
     p, inv = powers(len(values) + 1)
     with np.errstate(over="ignore"):
         c = np.empty(len(values) + 1, U64)

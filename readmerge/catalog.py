@@ -451,13 +451,21 @@ _marked("after", ">=")
 _marked("before", "<")
 
 
-@query("filter_idset", _full("SELECT * FROM (SELECT p.ordinal, CASE WHEN p.ordinal NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 25) THEN 'MODULE' WHEN o.ordinal IS NOT NULL THEN 'OK' END AS status FROM pairs p LEFT JOIN ok o ON o.ordinal = p.ordinal) WHERE status IS NOT NULL"))
-def _(spark, d):
-    pairs = _pairs(spark, d)
-    wanted = spark.read.parquet(f"{d}/lineitem.parquet").where("l_quantity >= 25").select(F.col("l_orderkey").alias("ordinal")).distinct()
-    ids = pairs.join(wanted, "ordinal", "left_semi").select("id")
-    out = assemble(pairs, AssemblerConfig(modules=(filters.id_set(ids),)), with_logp=False)
-    return out.where("status in ('OK', 'MODULE')").select("ordinal", "status")
+_IDSET_SQL = _full("SELECT * FROM (SELECT p.ordinal, CASE WHEN p.ordinal NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 25) THEN 'MODULE' WHEN o.ordinal IS NOT NULL THEN 'OK' END AS status FROM pairs p LEFT JOIN ok o ON o.ordinal = p.ordinal) WHERE status IS NOT NULL")
+
+
+def _idset_query(name: str, thin: bool) -> None:
+    @query(name, _IDSET_SQL)
+    def _(spark, d):
+        pairs = _pairs(spark, d)
+        wanted = spark.read.parquet(f"{d}/lineitem.parquet").where("l_quantity >= 25").select(F.col("l_orderkey").alias("ordinal")).distinct()
+        ids = pairs.join(wanted, "ordinal", "left_semi").select("id")
+        out = assemble(pairs, AssemblerConfig(modules=(filters.id_set(ids, thin=thin),)), with_logp=False)
+        return out.where("status in ('OK', 'MODULE')").select("ordinal", "status")
+
+
+_idset_query("filter_idset", False)
+_idset_query("filter_idset_bloom", True)
 
 
 _OTHER_SQL = f"""{sim.pairs_sql()}, {_best_sql()}, {_MERGE}, {_windows_sql("f_seq", "f_qual", "ACGTAC", 0.01)}, hit AS (SELECT ordinal, max(v) > exp(6 * ln(0.9)) AS hit FROM win GROUP BY ordinal)

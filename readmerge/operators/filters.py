@@ -162,12 +162,59 @@ def before(args: str) -> Module:
     return Module("before", "precheck", lambda df: (_first_seen(df, args), F.coalesce(F.col("ordinal") < F.col("_mark"), F.lit(True))), marker=args)
 
 
-def id_set(ids: DataFrame, name: str = "filter") -> Module:
-    """Only pairs whose identifier is in a set (column ``id``).  Spark decides from its size how to join."""
+#: Bits of a block of a Bloom filter, and how many of them an identifier sets.
+BLOCK_BITS, BITS_EACH = 1 << 15, 7
+
+
+def _places(key: Column, blocks: int) -> tuple[Column, list[Column]]:
+    """The block of a key and its bits in there."""
+    inside = [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(BLOCK_BITS)) for i in range(1, BITS_EACH + 1)]
+    return F.pmod(F.xxhash64(key, F.lit(0)), F.lit(blocks)), inside
+
+
+def bloom_filter(keys: DataFrame, most_bits: int = 1 << 28) -> tuple[DataFrame, int]:
+    """A Bloom filter of distinct keys (column ``key``) as a table (block, words: 512 longs), and the number of blocks.
+
+    Tasks set bits of their own keys and Spark merges the bitmaps.  About 12 bits a key, but not over ``most_bits`` (32 MB), so it can be
+    broadcast whatever the number of keys; beyond some 20 million of them it lets more through.
+    """
+    blocks = min(max(1, -(-12 * keys.count() // BLOCK_BITS)), max(1, most_bits // BLOCK_BITS))
+    block, inside = _places(F.col("key"), blocks)
+    bits = keys.select(block.alias("block"), F.explode(F.array(*inside)).alias("bit"))
+    rows = bits.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()  # at most most_bits in all
+    words = [(r["block"], np.frombuffer(bytes(r["bits"]), "<i8").tolist()) for r in rows]
+    return keys.sparkSession.createDataFrame(words, "block long, words array<long>"), blocks
+
+
+def maybe_members(df: DataFrame, key: Column, keys: DataFrame, most_bits: int = 1 << 28) -> DataFrame:
+    """Add ``_maybe``: False only where a key is certainly not among ``keys``; no row moves."""
+    table, blocks = bloom_filter(keys, most_bits)
+    block, inside = _places(key, blocks)
+    all_set = F.lit(True)
+    for bit in inside:
+        word = F.element_at("_words", (F.shiftright(bit, 6) + 1).cast("int"))
+        all_set = all_set & (F.call_function("shiftright", word, (bit % 64).cast("int")).bitwiseAND(F.lit(1)) == 1)
+    table = table.select(F.col("block").alias("_block"), F.col("words").alias("_words"))
+    joined = df.join(F.broadcast(table), block == F.col("_block"), "left")  # most_bits at most
+    return joined.withColumn("_maybe", F.coalesce(key.isNotNull() & all_set, F.lit(False))).drop("_block", "_words")
+
+
+def id_set(ids: DataFrame, name: str = "filter", *, thin: bool = False) -> Module:
+    """Only pairs whose identifier is in a set (column ``id``).  Spark decides from its size how to join.
+
+    ``thin``: for sets too large to broadcast.  A Bloom filter tells the pairs that can't be members, which stay where they are; only the others
+    are shuffled to the exact join.  The pairs are read twice for it.
+    """
 
     def apply(df: DataFrame) -> tuple[DataFrame, Column]:
         known = ids.select(seqid.to_string(F.col("id")).alias("_known")).where("_known is not null").distinct()
-        return df.join(known, seqid.to_string(F.col("id")) == F.col("_known"), "left"), F.col("_known").isNotNull()
+        key = seqid.to_string(F.col("id"))
+        if not thin:
+            return df.join(known, key == F.col("_known"), "left"), F.col("_known").isNotNull()
+        told = maybe_members(df, key, known.select(F.col("_known").alias("key")))
+        out = told.where(~F.col("_maybe")).withColumn("_known", F.lit(None).cast("string"))
+        found = told.where("_maybe").join(known, key == F.col("_known"), "left").select(out.columns)
+        return out.union(found).drop("_maybe"), F.col("_known").isNotNull()
 
     return Module(name, "precheck", apply)
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import readmerge
-from readmerge.functions import kmers
+from readmerge.functions import kmers, seqid
 from readmerge.operators import diff, filters
 from readmerge.operators.assemble import assemble, overlap_offsets
 from readmerge.operators.config import AssemblerConfig
@@ -101,3 +101,17 @@ def test_places_of_overlaps(pairs):
 def test_introspection(spark):
     assert readmerge.__version__ and readmerge.API_VERSION == filters.API_VERSION and readmerge.MAX_LEN == 450
     assert readmerge.default_parallelism() == spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("most_bits", [1 << 28, 1 << 15])
+def test_id_sets_behind_a_bloom_filter(spark, pairs, most_bits, monkeypatch):
+    ids = pairs.where("ordinal % 10 = 3").select("id").union(pairs.where("ordinal % 10 = 3").select("id")).union(pairs.where("id is null").select("id"))
+    key = seqid.to_string(F.col("id"))
+    told = filters.maybe_members(pairs, key, ids.select(key.alias("key")).where("key is not null").distinct(), most_bits)
+    n = pairs.count()
+    assert told.count() == n and told.where("_maybe").count() <= 0.13 * n
+    assert told.where("_maybe").join(ids.distinct(), "id").count() == pairs.where("ordinal % 10 = 3 and id is not null").count()
+    got, want = (outcome(assemble(pairs, AssemblerConfig(modules=(filters.id_set(ids, thin=t), LONG)))) for t in (True, False))
+    assert got == want and sum(r[1] == "OK" for r in got) > 5
+    none = assemble(pairs, AssemblerConfig(modules=(filters.id_set(ids.where("false"), thin=True),)))
+    assert none.where("status = 'OK'").count() == 0 and none.count() == n

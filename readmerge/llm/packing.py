@@ -10,6 +10,7 @@ Defined cases: a null or empty text is the end token alone; repeated rows are pa
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections import Counter
@@ -35,15 +36,17 @@ _CLASS[~tx.NONSPACE] = 0
 _SPECIAL = (b"<|startoftext|>", b"<|endoftext|>")
 
 
-def chunks(buf: np.ndarray, off: np.ndarray) -> tx.Words:
+def chunks(buf: np.ndarray, off: np.ndarray, fold: bool = False) -> tx.Words:
     """Pieces of a slice's texts that a word tokenizer never joins: white-space words, cut between ASCII letters or
     digits and ASCII punctuation.  There is no cut beside an apostrophe (contractions) or a character beyond ASCII
-    (which may combine with its neighbour), nor where a special token's own text occurs.
+    (which may combine with its neighbour), nor where a special token's own text occurs.  Hashes are of the bytes as they are, or with ``fold``
+    of those with A-Z lower-cased.
     """
+    hashed = tx.LOWER[buf] if fold else buf
     data = buf.tobytes()
     if not len(buf) or any(x in data for x in _SPECIAL):
         w = tx.words(buf, off, tx.NONSPACE, hashed=False)
-        return tx.Words(w.start, w.end, tx.word_hash(buf, w.start, w.end), w.off)
+        return tx.Words(w.start, w.end, tx.word_hash(hashed, w.start, w.end), w.off)
     c = _CLASS[buf]
     step = (c[1:] ^ c[:-1]) == 3  # classes 1 and 2 meet
     edge = np.zeros(len(c) + 1, bool)
@@ -51,17 +54,26 @@ def chunks(buf: np.ndarray, off: np.ndarray) -> tx.Words:
     edge[1:-1] |= step | (c[:-1] == 0) | (c[1:] == 0)
     some = c > 0
     start, end = np.flatnonzero(some & edge[:-1]), np.flatnonzero(some & edge[1:]) + 1
-    return tx.Words(start, end, tx.word_hash(buf, start, end), np.searchsorted(start, off))
+    return tx.Words(start, end, tx.word_hash(hashed, start, end), np.searchsorted(start, off))
+
+
+def lower_cases(path: str) -> bool:
+    """Whether a tokenizer's own settings say that it lower-cases every text first."""
+    with open(path, encoding="utf-8") as f:
+        first = json.load(f).get("normalizer") or {}
+    steps = first.get("normalizers", []) if first.get("type") == "Sequence" else [first]
+    return any(x.get("type") == "Lowercase" or x.get("type") == "BertNormalizer" and x.get("lowercase") for x in steps)
 
 
 class WordTokens:
-    """Ids of pieces, remembered by the hash of their bytes as they are (case counts).  Exact for tokenizers that never join across white space."""
+    """Ids of pieces, remembered by hash.  Exact for tokenizers that never join across white space; case counts unless the tokenizer lower-cases."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.fold = lower_cases(path)
         self.reset()
 
     def reset(self):
@@ -107,7 +119,7 @@ def _pieces(path: str, capacity: int, end: int):
             buf, off = tx.buffer_of(batch.column("text"))
             for lo, hi in tx.slices(off):
                 own = buf[off[lo] : off[hi]]
-                w = chunks(own, off[lo : hi + 1] - off[lo])
+                w = chunks(own, off[lo : hi + 1] - off[lo], tokens.fold)
                 ids, n = tokens.lookup(own, w)
                 c = np.concatenate([[0], np.cumsum(n)])
                 size = c[w.off[1:]] - c[w.off[:-1]] + 1

@@ -47,10 +47,28 @@ def test_packing_of_thue_morse_words_and_case():
     tok, tokens = Tokenizer.from_file(path), packing.WordTokens(path)
     for words in [*T, ("Word", "word"), ("ISBN", "isbn")]:
         buf = np.frombuffer(" ".join(words).encode(), np.uint8)
-        ids, n = tokens.lookup(buf, packing.chunks(buf, np.array([0, len(buf)])))
+        ids, n = tokens.lookup(buf, packing.chunks(buf, np.array([0, len(buf)]), tokens.fold))
         assert ids.tolist() == [i for w in words for i in tok.encode(w, add_special_tokens=False).ids] and n.sum() == len(ids)
 
 
+def test_case_counts_unless_the_tokenizer_lower_cases(tmp_path):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert packing.lower_cases(path)
+    own = json.loads(open(path, encoding="utf-8").read())
+    own["normalizer"] = None
+    (tmp_path / "cased.json").write_text(json.dumps(own))
+    tok, tokens = Tokenizer.from_file(f"{tmp_path}/cased.json"), packing.WordTokens(f"{tmp_path}/cased.json")
+    assert not tokens.fold
+    buf = np.frombuffer(b"word Word WORD word", np.uint8)
+    ids, _ = tokens.lookup(buf, packing.chunks(buf, np.array([0, len(buf)]), tokens.fold))
+    assert ids.tolist() == [i for w in buf.tobytes().decode().split() for i in tok.encode(w, add_special_tokens=False).ids]
+
+
 @pytest.mark.parametrize("pair", T[1:])
 def test_windows_of_thue_morse_words(spark, pair):
     bench = spark.createDataFrame([(7, pair[0]), (8, f"a b c d {pair[0]} e f g h i j")], "item_id long, text string")

@@ -3,12 +3,13 @@
 The fingerprint of a window of ``span`` words is the least of the hashes of its k-grams; a text keeps those of all its
 windows.  Equal windows have equal fingerprints, so every shared window, and with it every longer shared span, meets.
 
-1. The benchmark becomes a table of windows (fingerprint, hash of the window, items).  A bitmap of its fingerprints, of
-   ``BITMAP`` bits whatever the benchmark's size, is broadcast.
+1. The benchmark becomes a table of windows (fingerprint, hash of the window, set of items).  Windows that the same items
+   have share one set, so the items of a line that very many items have are listed once, as rows, not for each of its windows.
+   A bitmap of the fingerprints, of ``BITS`` bits a fingerprint and at most ``BITMAP`` bits, is broadcast.
 2. One map over the documents winnows each text, keeps windows whose fingerprint is in the bitmap, and adds the hash of the
    whole window: a candidate of a distinct window is one row with all its places.  Texts without candidates are done.
 3. Candidates are joined with the benchmark's table by fingerprint and window (128 bits).  Both sides carry a salt, so a
-   passage that very many documents share is spread over ``SALTS`` tasks.
+   passage that very many documents share is spread over ``SALTS`` tasks.  A text meets the items of each of its sets once.
 4. Hits of a text are extended to maximal runs of hit words.
 
 An item of fewer words than ``span`` is one window; its fingerprint is the least of its own k-grams (of fewer than k words:
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import scratch, text as tx
 
-BITMAP = 1 << 24
+BITS, BITMAP = 16, 1 << 27
 SALTS = 16
 _CANDIDATES = "array<struct<h:bigint,w:bigint,size:int,starts:array<int>>>"
 _RUNS = "array<struct<start:bigint,end:bigint>>"
@@ -70,16 +71,28 @@ def _windows(span: int, k: int):
 
 
 class Benchmark:
-    """The benchmark's windows (h, w, items) as a table, its sizes of windows, and the bitmap of its fingerprints."""
+    """The benchmark's distinct windows (h, w, set), its sets of items as rows (set, id), its sizes of windows, and the bitmap of
+    its fingerprints.
+
+    A set is named by one of its windows (the least of those that the same items have).  That items are the same is told by
+    their number and 120 bits: the exclusive or of digests of the ids.
+    """
 
     def __init__(self, items: DataFrame, item_key: str, item_text: str, span: int, k: int):
         src = items.select(F.col(item_key).cast("string").alias("id"), F.col(item_text).alias("text")).where("text is not null and id is not null")
-        rows = scratch.materialize(src.mapInArrow(_windows(span, k), "id string, h long, w long, size int"), "benchmark-windows")
-        self.table = rows.groupBy("h", "w").agg(F.collect_set("id").alias("items"))
-        self.sizes = sorted(r[0] for r in rows.select("size").distinct().collect())  # at most ``span`` of them
-        words = rows.withColumn("bit", F.pmod(F.col("h"), F.lit(BITMAP))).groupBy(F.shiftright("bit", 6).cast("int").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits"))
+        raw = scratch.materialize(src.mapInArrow(_windows(span, k), "id string, h long, w long, size int").distinct(), "benchmark-windows")
+        half = [F.expr(f"bit_xor(cast(conv(substr(sha2(id, 256), {at}, 15), 16, 10) as long))").alias(x) for at, x in ((1, "x"), (16, "y"))]
+        marked = raw.groupBy("h", "w").agg(F.count("*").alias("n"), *half)
+        sets = marked.groupBy("n", "x", "y").agg(F.min(F.struct("h", "w")).alias("set"))
+        self.table = scratch.materialize(marked.join(sets, ["n", "x", "y"]).select("h", "w", "set"), "benchmark-sets")
+        named = self.table.where("set.h = h and set.w = w")
+        self.members = scratch.materialize(raw.join(named, ["h", "w"]).select("set", "id"), "benchmark-items")
+        self.sizes = sorted(r[0] for r in raw.select("size").distinct().collect())  # at most ``span`` of them
+        n = self.table.select("h").distinct().count()
+        self.bits = min(BITMAP, 1 << max(16, (BITS * n - 1).bit_length()))
+        words = self.table.withColumn("bit", F.pmod(F.col("h"), F.lit(self.bits))).groupBy(F.shiftright("bit", 6).cast("int").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits"))
         got = words.toPandas()  # at most BITMAP / 64 rows
-        bitmap = np.zeros(BITMAP // 64, np.int64)
+        bitmap = np.zeros(self.bits // 64, np.int64)
         bitmap[got["at"].to_numpy()] = got["bits"].to_numpy()
         self.bitmap = items.sparkSession.sparkContext.broadcast(bitmap.view(tx.U64))
 
@@ -97,7 +110,7 @@ def _kernel(bitmap, sizes: list[int], k: int):
                 doc, parts = w.doc, [np.zeros((0, 5), np.int64)]
                 for size in sizes:
                     h = fingerprints(w.hash, size, k)
-                    slot = h & tx.U64(BITMAP - 1)
+                    slot = h & tx.U64(64 * len(bits) - 1)
                     start = np.flatnonzero(bits[slot >> tx.U64(6)] >> (slot & tx.U64(63)) & tx.U64(1))
                     start = start[doc[start] == doc[start + size - 1]]
                     full = tx.grams(w.hash, size)[start] if len(start) else h[start]
@@ -135,7 +148,7 @@ def _joined_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = np.append(first[1:], len(row)) - 1
         fields = [pa.array(start[first]), pa.array(top[last] - base[last])]
         runs = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[first], np.arange(len(batch) + 1)), pa.int32()), pa.StructArray.from_arrays(fields, ["start", "end"]))
-        yield pa.RecordBatch.from_arrays([batch.column("sha"), runs, batch.column("items")], ["sha", "runs", "items"])
+        yield pa.RecordBatch.from_arrays([batch.column("sha"), runs], ["sha", "runs"])
 
 
 def _marked(rows: DataFrame, bench: Benchmark, k: int) -> DataFrame:
@@ -144,14 +157,23 @@ def _marked(rows: DataFrame, bench: Benchmark, k: int) -> DataFrame:
     return rows.mapInArrow(_kernel(bench.bitmap, bench.sizes, k), f"key {kind}, n_words long, sha binary, candidates {_CANDIDATES}")
 
 
-def _hits(marked: DataFrame, bench: Benchmark) -> DataFrame:
-    """sha, runs, items of the texts that share windows with items."""
+def _over_salts(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+
+
+def _met(marked: DataFrame, bench: Benchmark) -> DataFrame:
+    """sha, size, starts, set, salt of each window that a text shares with items."""
     each = marked.where("size(candidates) > 0").select("sha", F.inline("candidates")).dropDuplicates(["sha", "h", "w"])
     each = each.withColumn("salt", F.pmod(F.xxhash64("sha"), F.lit(SALTS)).cast("int"))
-    items = bench.table.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    met = each.join(items, ["h", "w", "salt"]).groupBy("sha")
-    whole = met.agg(F.collect_list(F.struct("size", "starts")).alias("windows"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return whole.mapInArrow(_joined_runs, f"sha binary, runs {_RUNS}, items array<string>")
+    return each.join(_over_salts(bench.table), ["h", "w", "salt"]).select("sha", "size", "starts", "set", "salt")
+
+
+def _hits(marked: DataFrame, bench: Benchmark) -> DataFrame:
+    """sha, runs, items of the texts that share windows with items."""
+    met = scratch.materialize(_met(marked, bench), "met")
+    runs = met.groupBy("sha").agg(F.collect_list(F.struct("size", "starts")).alias("windows")).mapInArrow(_joined_runs, f"sha binary, runs {_RUNS}")
+    ids = met.select("sha", "set", "salt").distinct().join(_over_salts(bench.members), ["set", "salt"])
+    return runs.join(ids.groupBy("sha").agg(F.array_sort(F.collect_set("id")).alias("items")), "sha")
 
 
 def _salted(rows: DataFrame, hits: DataFrame, how: str) -> DataFrame:
@@ -187,13 +209,13 @@ def digest_columns(found: DataFrame, key: str = "doc_id") -> DataFrame:
 def keep_clean(docs: DataFrame, items: DataFrame, *, text: str = "text", item_key: str = "item_id", item_text: str = "text", span: int = 10, k: int = 5) -> DataFrame:
     """The rows of ``docs`` that share no window with any item, with all their columns.
 
-    Rows without candidates stay where they are; the few others are told apart by a join.  Texts are winnowed twice, as writing
-    them would cost more.
+    Rows without candidates stay where they are; the few others are written with their candidates and told apart by a join.
+    Texts are winnowed twice, once for these rows and once for the others, as writing all of them would cost more.
     """
     bench = Benchmark(items, item_key, item_text, span, k)
     marked = _marked(docs.select(F.struct("*").alias("key"), F.col(text).alias("text")), bench, k)
-    some = marked.where("size(candidates) > 0")
-    hits = scratch.materialize(_hits(some.select("sha", "candidates"), bench).select("sha"), "hits")
+    some = scratch.materialize(marked.where("size(candidates) > 0"), "candidates")
+    hits = scratch.materialize(_met(some, bench).select("sha").distinct(), "hits")
     kept = _salted(some.select("key", "sha"), hits, "left_anti").select("key")
     return marked.where("size(candidates) = 0").select("key").union(kept).select("key.*")
 
@@ -203,6 +225,27 @@ def op2_decontaminate(spark, sf_dir: str) -> DataFrame:
     return digest_columns(decontaminate(docs, items))
 
 
+ORACLE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (
+  SELECT item_id::VARCHAR AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+windows AS (
+  SELECT DISTINCT id, least(len(ws), 10) AS size, array_to_string(ws[i : i + least(len(ws), 10) - 1], ' ') AS w
+  FROM (SELECT id, ws, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS i FROM b WHERE len(ws) > 0)),
+sizes AS (SELECT DISTINCT size FROM windows),
+places AS (
+  SELECT n, size, i, array_to_string(ws[i : i + size - 1], ' ') AS w
+  FROM (SELECT n, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM d, sizes WHERE len(ws) >= size)),
+met AS (SELECT n, size, i, id FROM places JOIN windows USING (size, w)),
+hit AS (SELECT n, count(DISTINCT word) AS n_hit FROM (SELECT n, unnest(range(i, i + size)) AS word FROM (SELECT DISTINCT n, size, i FROM met)) GROUP BY n),
+ids AS (SELECT n, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS items FROM (SELECT DISTINCT n, id FROM met) GROUP BY n)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit USING (n) LEFT JOIN ids USING (n)
+"""
+
+
 def brute_force(docs: list[tuple], items: list[tuple], span: int = 10) -> list[tuple]:
     """The same result by plain loops, for tests."""
     import re

@@ -11,7 +11,8 @@ byte ranges found to the archives, which stay where they are: their table is buc
 
 Bounds: the directory has at most ``DIRECTORY`` blocks and one for each partition (blocks grow beyond that) of ``PREFIX``
 characters each; payloads that more than 1 / ``HOT`` of all pages have are at most ``HOT`` and broadcast, so pages of a common
-payload stay in place; no other payload has more rows than that in one task.
+payload stay in place; no other payload has more rows than that in one task.  Archives are dealt over buckets by the bytes of
+the pages, whatever the session's number of shuffle partitions.
 
 Defined cases: a null page is an empty payload; a null URL has an empty index key; rows that share the least key of their
 payload are all responses; payloads below ``least`` bytes are never deduplicated; equal rows each get a record; keys of any
@@ -38,6 +39,8 @@ from . import scratch
 SEGMENT_BYTES, SEGMENT_RECORDS = 8 << 20, 10_000
 BLOCK_LINES, DIRECTORY, PREFIX = 3000, 1 << 17, 64
 HOT = 10_000
+#: Archives and index lines are dealt over one task for so many bytes of pages, at most and (for parallel work on small tables) at least so many.
+BUCKET_BYTES, BUCKETS, LEAST_BUCKETS = 32 << 20, 50_000, 16
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -225,12 +228,12 @@ class Capture:
         return out
 
 
-def _with_firsts(src: DataFrame, least: int, hot: int) -> DataFrame:
+def _with_firsts(src: DataFrame, least: int, hot: int, total: int) -> DataFrame:
     """``src`` (key, url, html, sha, n) with ``refers``: the least key of an equal payload, null for that one itself."""
     firsts = src.where(F.col("n") >= least).groupBy("sha").agg(F.min("key").alias("first"), F.count("*").alias("many")).where("many > 1")
     firsts = scratch.materialize(firsts, "firsts")
-    common = firsts.where(F.col("many") > F.lit(src.count() // hot)).select("sha", "first")  # at most ``hot`` payloads
-    rare = firsts.where(F.col("many") <= F.lit(src.count() // hot)).select("sha", "first")
+    common = firsts.where(F.col("many") > F.lit(total // hot)).select("sha", "first")  # at most ``hot`` payloads
+    rare = firsts.where(F.col("many") <= F.lit(total // hot)).select("sha", "first")
     there = src.join(F.broadcast(common), "sha")
     moved = src.join(F.broadcast(common), "sha", "left_anti").join(rare.hint("shuffle_hash"), "sha", "left")
     refers = F.when((F.col("n") >= least) & ~F.col("key").eqNullSafe(F.col("first")), F.col("first"))
@@ -242,11 +245,11 @@ def write_archives(pages: DataFrame, *, key: str = "page_id", url: str = "url",
 
     ``block_lines``: lines of an index block, more only where the directory would pass its bound.
     """
-    spark = pages.sparkSession
     body = F.coalesce(F.col(html), F.lit(""))
     src = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"), F.sha1(body.cast("binary")).alias("sha"), F.octet_length(body).alias("n"))
-    marked = _with_firsts(src, least, hot)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total, size = src.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    marked = _with_firsts(src, least, hot, total)
+    parts = min(max(-(-size // BUCKET_BYTES), LEAST_BUCKETS), BUCKETS)
     segments = marked.mapInArrow(_write(date), "archive string, data binary, entries array<struct<surt:string,offset:long,length:long>>")
     archives = scratch.bucketed(segments, "archives", "archive", parts)
     entries = archives.select("archive", F.explode("entries").alias("e")).select("e.surt", "archive", "e.offset", "e.length")
@@ -278,6 +281,19 @@ def op10_warc(spark, sf_dir: str) -> DataFrame:
     return got.select(F.col("key").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers").cast(kind).alias("refers_to"))
 
 
+ORACLE = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+first AS (SELECT body, min(page_id) AS first FROM p GROUP BY body),
+digests AS (
+  SELECT body, array_to_string(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(x, 5 * (i // 4)::INT + 1, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT + 1, 1)), '') AS digest
+  FROM (SELECT body, sha1(body) AS x FROM first))
+SELECT page_id, octet_length(body) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id IS DISTINCT FROM first AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM p JOIN first USING (body) JOIN digests USING (body)
+"""
+
+
 def brute_force(pages: list[tuple]) -> list[tuple]:
     """The rows of op10 by plain loops, for tests."""
     first = {}

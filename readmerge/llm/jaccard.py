@@ -429,6 +429,29 @@ def op6_jaccard(spark, sf_dir: str) -> DataFrame:
     return near_duplicates_by_row(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("digest")
 
 
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sets AS (
+  SELECT n, doc_id, list_sort(list_distinct(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' '))
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END)) AS s FROM d),
+classes AS (SELECT row_number() OVER () AS c, s, len(s) AS size FROM (SELECT DISTINCT s FROM sets WHERE len(s) > 0)),
+grams AS (SELECT c, size, unnest(s) AS g FROM classes),
+ranked AS (SELECT c, size, g, row_number() OVER (PARTITION BY c ORDER BY many, g) AS place FROM (SELECT c, size, g, count(*) OVER (PARTITION BY g) AS many FROM grams)),
+heads AS (SELECT c, size, g FROM ranked WHERE place <= size - (75 * size + 99) // 100 + 1),
+pairs AS (SELECT DISTINCT a.c AS a, b.c AS b FROM heads a JOIN heads b ON a.g = b.g AND a.c < b.c AND 100 * least(a.size, b.size) >= 75 * greatest(a.size, b.size)),
+links AS (
+  SELECT a, b FROM (SELECT a, b, count(*) AS same FROM pairs JOIN grams x ON x.c = a JOIN grams y ON y.c = b AND y.g = x.g GROUP BY a, b)
+  JOIN classes x ON x.c = a JOIN classes y ON y.c = b WHERE 100 * same >= 75 * (x.size + y.size - same)),
+two_way AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT c AS a, c AS b FROM classes UNION SELECT r.a, l.b FROM reach r JOIN two_way l ON r.b = l.a),
+least_of AS (SELECT s, min(doc_id) AS own FROM sets WHERE len(s) > 0 GROUP BY s),
+named AS (SELECT a, min(own) AS component_id FROM reach JOIN classes ON c = b JOIN least_of USING (s) GROUP BY a)
+SELECT doc_id, len(sets.s) AS n_shingles, CASE WHEN len(sets.s) = 0 THEN doc_id ELSE component_id END AS component_id
+FROM sets LEFT JOIN classes ON classes.s = sets.s LEFT JOIN named ON a = c
+"""
+
+
 def brute_force(docs: list[tuple]) -> list[tuple]:
     """The rows of op6 by plain loops, for tests."""
     import re

@@ -21,7 +21,11 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_decontaminate": decontaminate.ORACLE,
+    "op4_suffix": suffix.ORACLE,
+    "op6_jaccard": jaccard.ORACLE,
     "op9_url_filter": urlfilter.ORACLE,
+    "op10_warc": warc.ORACLE,
     "op11_vectors": vectors.ORACLE,
     "op13_merkle": merkle.ORACLE,
 }

@@ -455,6 +455,24 @@ def op4_suffix(spark, sf_dir: str) -> DataFrame:
     return repeats_by_row(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+ORACLE = """
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
+pieces AS (SELECT n, doc_id, p, substr(x, 2 * p + 1, 498) AS x FROM (SELECT n, doc_id, x, unnest(range(0, len(x) // 2 - 49, 200)) AS p FROM d)),
+strings AS (SELECT n, doc_id, p + i AS i, substr(x, 2 * i + 1, 100) AS s FROM (SELECT n, doc_id, p, x, unnest(range(0, len(x) // 2 - 49)) AS i FROM pieces)),
+least AS (SELECT s, min(doc_id) AS first, count(*) AS many FROM strings GROUP BY s HAVING many > 1),
+gone AS (SELECT n, i FROM strings JOIN least USING (s) WHERE first < coalesce(doc_id::HUGEINT, 9223372036854775808)),
+steps AS (SELECT n, i, lag(i) OVER (PARTITION BY n ORDER BY i) AS before FROM gone),
+runs AS (
+  SELECT n, min(i) AS a, max(i) + 50 AS b
+  FROM (SELECT n, i, sum(CASE WHEN before + 50 >= i THEN 0 ELSE 1 END) OVER (PARTITION BY n ORDER BY i) AS run FROM steps) GROUP BY n, run),
+cut AS (SELECT n, sum(b - a) AS n_removed, count(*) AS n_spans, list(a ORDER BY a) AS froms, list(b ORDER BY a) AS tos FROM runs GROUP BY n)
+SELECT doc_id, len(x) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(from_hex(CASE WHEN n_spans IS NULL THEN x ELSE array_to_string(list_transform(range(0, n_spans + 1),
+    lambda j: substr(x, 2 * coalesce(tos[j], 0) + 1, 2 * (coalesce(froms[j + 1], len(x) // 2) - coalesce(tos[j], 0)))), '') END)) AS kept_sha256
+FROM d LEFT JOIN cut USING (n)
+"""
+
+
 def brute_force(docs: list[tuple], span: int = SPAN) -> list[tuple]:
     """The rows of op4 by plain loops, for tests."""
     least: dict[bytes, int] = {}

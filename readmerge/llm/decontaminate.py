@@ -5,7 +5,7 @@ windows.  Equal windows have equal fingerprints, so every shared window, and wit
 
 1. The benchmark becomes a table of windows (fingerprint, hash of the window, set of items).  Windows that the same items
    have share one set, so the items of a line that very many items have are listed once, as rows, not for each of its windows.
-   A bitmap of the fingerprints, of ``BITS`` bits a fingerprint and at most ``BITMAP`` bits, is broadcast.
+   A bitmap of the fingerprints, of ``BITS`` bits a fingerprint, from ``LEAST`` to ``BITMAP`` bits, is broadcast.
 2. One map over the documents winnows each text, keeps windows whose fingerprint is in the bitmap, and adds the hash of the
    whole window: a candidate of a distinct window is one row with all its places.  Texts without candidates are done.
 3. Candidates are joined with the benchmark's table by fingerprint and window (128 bits).  Both sides carry a salt, so a
@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import scratch, text as tx
 
-BITS, BITMAP = 16, 1 << 27
+#: Bits of the bitmap for each fingerprint, least and most bits (16 MB).
+BITS, LEAST, BITMAP = 64, 1 << 24, 1 << 27
 SALTS = 16
 _CANDIDATES = "array<struct<h:bigint,w:bigint,size:int,starts:array<int>>>"
 _RUNS = "array<struct<start:bigint,end:bigint>>"
@@ -89,7 +90,7 @@ class Benchmark:
         self.members = scratch.materialize(raw.join(named, ["h", "w"]).select("set", "id"), "benchmark-items")
         self.sizes = sorted(r[0] for r in raw.select("size").distinct().collect())  # at most ``span`` of them
         n = self.table.select("h").distinct().count()
-        self.bits = min(BITMAP, 1 << max(16, (BITS * n - 1).bit_length()))
+        self.bits = min(BITMAP, max(LEAST, 1 << (BITS * n).bit_length()))
         words = self.table.withColumn("bit", F.pmod(F.col("h"), F.lit(self.bits))).groupBy(F.shiftright("bit", 6).cast("int").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits"))
         got = words.toPandas()  # at most BITMAP / 64 rows
         bitmap = np.zeros(self.bits // 64, np.int64)

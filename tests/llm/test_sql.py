@@ -66,7 +66,8 @@ def test_items_of_a_common_line_meet_a_text_once(spark):
     assert sorted(map(tuple, decontaminate.digest_columns(found).collect())) == decontaminate.brute_force(docs, items)
 
 
-def test_bitmap_grows_with_the_benchmark(spark):
+def test_bitmap_grows_with_the_benchmark(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "LEAST", 1 << 16)
     few = decontaminate.Benchmark(spark.createDataFrame([(1, "a b c")], "item_id long, text string"), "item_id", "text", 10, 5)
     words = [(i, " ".join(f"x{i}y{j}" for j in range(60))) for i in range(600)]
     more = decontaminate.Benchmark(spark.createDataFrame(words, "item_id long, text string"), "item_id", "text", 10, 5)

@@ -11,8 +11,10 @@ A document's set is its distinct 5-word shingles.  Two documents link when 100 *
 4. A pair is decided by its overlap.  The global order is cut into ``FRAGMENTS`` at pivots, between which equally many
    shingles lie; each fragment counts the overlaps of the parts of sets that lie in it, apart from the others, and the counts
    are summed for each pair.  Shingles of one document are in no overlap and take no part.
-5. Links give components.  Where a bucket still holds documents of different components, those pairs (and only those)
-   are decided in a second round, so no link between different texts is lost.
+5. Links give components.  Where a bucket still holds documents of different components, a second round compares the
+   bitmaps of the sets (parities of hashes, about a bit a shingle), blocks of members with blocks of members in jobs
+   that are spread over tasks.  Bitmaps bound the overlap from above, so pairs that they rule out cannot link; only the
+   others are listed and decided as before.  No link between different texts is lost.
 
 Defined cases: with fewer words than a shingle the whole sequence is one shingle; texts without words (or null) have an
 empty set and stand alone; equal texts are one class and share its component; rows of equal key share nothing but
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from . import classes as cl, scratch, text as tx
@@ -85,6 +88,14 @@ class Sets:
         order = np.argsort(all_h)
         return level[order][np.searchsorted(all_h[order], self.h)] if len(self.h) else level
 
+    def bitmaps(self) -> list[bytes]:
+        """For each text the parity of its shingles at each place of :func:`bitmap_bits` places."""
+        bits = bitmap_bits(self.n)
+        start = np.cumsum(bits) - bits
+        at = start[self.doc] + (self.h & (bits[self.doc] - 1).astype(tx.U64)).astype(np.int64)
+        raw = np.packbits((np.bincount(at, minlength=int(bits.sum())) & 1).astype(np.uint8), bitorder="little").tobytes()
+        return [raw[s : s + m] for s, m in zip((start // 8).tolist(), (bits // 8).tolist(), strict=True)]
+
     def prefixes(self, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(hash, text) of the shared shingles among the first of each text in the global order."""
         place = (self.doc.astype(tx.U64) << tx.U64(40)) | (level.astype(tx.U64) << tx.U64(32)) | (self.h >> tx.U64(32))
@@ -203,28 +214,127 @@ def _first_pairs(tasks: int):
     return run
 
 
-def _rest_pairs(tasks: int):
-    """Pairs of a shingle whose components differ, but for those that a star has decided."""
+def bitmap_bits(n: np.ndarray) -> np.ndarray:
+    """Bits of the bitmap of a set of n shingles: the next power of two, 64 at least."""
+    return np.left_shift(np.int64(1), np.maximum(6, np.ceil(np.log2(np.maximum(n, 1)))).astype(np.int64))
+
+
+def undecided(h: np.ndarray, n: np.ndarray, ids: np.ndarray, label: np.ndarray, lead: np.ndarray, tasks: int):
+    """The members between which pairs are left, as jobs (task, ranges of entries, members of the first range or 0).
+
+    A shingle is left out where its members, but for the leader of its only star, are of one component.  Else its
+    members are one job, and those of a crowded shingle are cut into blocks: a job is a block, or two blocks (of at most
+    64 blocks) of which each pair has one member in each.
+    """
+    starts = np.flatnonzero(first_of(h))
+    size = np.diff(np.append(starts, len(h)))
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros((0, 4), np.int64), np.zeros(0, np.int64)
+    single = np.maximum.reduceat(lead, starts) == starts
+    seen = label.copy()
+    seen[starts[single & (size > 1)]] = label[starts[single & (size > 1)] + 1]
+    left = (size > 2) & (np.minimum.reduceat(seen, starts) != np.maximum.reduceat(seen, starts))
+    whole = left & (size <= STAR_PART)
+    jobs = [np.stack([starts[whole], size[whole], size[whole] * 0, size[whole] * 0], 1)]
+    for s, m in zip(starts[left & ~whole].tolist(), size[left & ~whole].tolist(), strict=True):
+        step = max(STAR_PART, -(-m // 64))
+        at = np.arange(s, s + m, step)
+        count = np.minimum(step, s + m - at)
+        i, j = np.triu_indices(len(at))
+        near = n[at[j]] <= n[at[i] + count[i] - 1] * 4 // 3
+        i, j = i[near], j[near]
+        jobs.append(np.stack([at[i], count[i], at[j] * (j > i), count[j] * (j > i)], 1))
+    job = np.concatenate(jobs)
+    with np.errstate(over="ignore"):
+        # shingles that the same members share go to one task, blocks are spread
+        mark = np.where(np.arange(len(job)) < len(jobs[0]), ids[job[:, 0]].astype(tx.U64), h[job[:, 0]] + tx.splitmix(job[:, 0].astype(tx.U64)) + tx.U64(3) * tx.splitmix(job[:, 2].astype(tx.U64)))
+    return (tx.splitmix(mark) % tx.U64(tasks)).astype(np.int64), job, job[:, 1] * (job[:, 3] > 0)
+
+
+#: Rows of the second round: jobs (no id) and the members whose bitmaps their task needs (no data).
+JOBS = "task int, id long, data binary"
+
+
+def _jobs(tasks: int):
+    """Jobs of a bucket's shingles whose members are of different components."""
 
     def run(table: pa.Table) -> pa.Table:
         h, n, ids, label = _sorted_entries(table)
         lead = stars(h, n, ids)
-        starts = np.flatnonzero(first_of(h))
-        ends = np.append(starts[1:], len(h))
-        out: list[np.ndarray] = []
-        for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-            if e - s < 2 or (label[s:e] == label[s]).all():
-                continue
-            for i in range(s, e - 1):  # partners are later and at most a third larger
-                top = s + int(np.searchsorted(n[s:e], n[i] * 4 // 3, "right"))
-                j = np.arange(i + 1, top)
-                j = j[(label[j] != label[i]) & (lead[j] != i)]
-                if len(j):
-                    out.append(np.stack([np.full(len(j), i), j], 1))
-        pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        a, b = ids[pairs[:, 0]], ids[pairs[:, 1]]
-        crowd = np.bincount(pairs[:, 0], minlength=len(h))[pairs[:, 0]] if len(pairs) else pairs[:, 0]
-        return _requests(a, b, _task_of(a, b, crowd, tasks))
+        task, job, cut = undecided(h, n, ids, label, lead, tasks)
+        rows: list[tuple] = []
+        for k, part in cl.parts_of(task, np.argsort(task, kind="stable")):
+            at = tx.expand(job[part][:, [0, 2]].ravel(), job[part][:, [1, 3]].ravel())
+            rows.append((k, None, cl.pack(job[part, 1] + job[part, 3], cut[part], ids[at], n[at], label[at], ids[lead[at]])))
+            rows += [(k, i, None) for i in np.unique(ids[at]).tolist()]
+        t, i, d = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.table([pa.array(t, pa.int32()), pa.array(i, pa.int64()), pa.array(d, pa.binary())], names=["task", "id", "data"])
+
+    return run
+
+
+def may_link(n: np.ndarray, words: np.ndarray, start: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Pairs (n[i] <= n[j] <= 4/3 n[i]) whose bitmaps allow a link.
+
+    A shingle of one set alone flips one bit, so bitmaps differ in at most as many bits as there are such shingles.
+    A bitmap twice as long becomes one of half the bits by exclusive or of its halves.
+    """
+    width, good = bitmap_bits(n) // 64, np.zeros(len(i), bool)
+    for w in np.unique(width[i]).tolist():
+        some = np.flatnonzero(width[i] == w)
+        place, longer = np.arange(w), width[j[some]] > w
+        other = words[start[j[some]][:, None] + place]
+        other[longer] ^= words[start[j[some][longer]][:, None] + w + place]
+        apart = np.bitwise_count(words[start[i[some]][:, None] + place] ^ other).sum(1, dtype=np.int64)
+        both = n[i[some]] + n[j[some]]
+        common = (both - apart) // 2
+        good[some] = 100 * common >= 75 * (both - common)
+    return good
+
+
+#: Words of bitmaps that are compared at once.
+AT_ONCE = 1 << 20
+
+
+def _survivors(tasks: int):
+    """Pairs of a task's jobs that their bitmaps do not rule out, as requests."""
+
+    def run(table: pa.Table) -> pa.Table:
+        is_map = pc.is_valid(table.column("id"))
+        asked, maps = table.filter(pc.invert(is_map)), table.filter(is_map)
+        known = maps.column("id").to_numpy()
+        order = np.argsort(known)
+        known, maps = known[order], maps.column("data").take(pa.array(order)).to_pylist()
+        words = np.frombuffer(b"".join(maps), "<u8").astype(tx.U64)
+        length = np.array([len(x) // 8 for x in maps], np.int64)
+        size, cut, *members = (np.concatenate(x) for x in zip(*map(cl.unpack, asked.column("data").to_pylist()), strict=True))
+        # the same members share many shingles: one job
+        ends, seen = np.cumsum(size), {}
+        for k, (e, m) in enumerate(zip(ends.tolist(), size.tolist(), strict=True)):
+            seen.setdefault((m, int(cut[k]), members[0][e - m : e].tobytes()), k)
+        kept = np.array(list(seen.values()), np.int64)
+        at = tx.expand((ends - size)[kept], size[kept])
+        size, cut = size[kept], cut[kept]
+        ids, n, label, lead = (x[at] for x in members)
+        start = (np.cumsum(length) - length)[np.searchsorted(known, ids)]
+        end = np.cumsum(size)
+        number, place = np.repeat(np.arange(len(size)), size), np.arange(len(ids))
+        first = np.where(cut[number] > 0, (end - size + cut)[number], place + 1)
+        order = number << 40 | n  # members of a job are in order of size
+        top = np.searchsorted(order, number << 40 | n * 4 // 3, "right")
+        count = np.where((cut[number] > 0) & (place >= first), 0, np.maximum(top - first, 0))
+        cost = np.cumsum(count * (bitmap_bits(n) // 64))
+        edges = np.unique(np.append(np.searchsorted(cost, np.arange(0, cost[-1], AT_ONCE)), len(ids)))
+        out = [np.zeros((2, 0), np.int64)]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            i, j = np.repeat(place[lo:hi], count[lo:hi]), tx.expand(first[lo:hi], count[lo:hi])
+            some = (label[i] != label[j]) & (lead[j] != ids[i])
+            i, j = i[some], j[some]
+            some = may_link(n, words, start, i, j)
+            out.append(np.stack([ids[i[some]], ids[j[some]]]))
+        a, b = np.concatenate(out, 1)
+        _, back, many = np.unique(a, return_inverse=True, return_counts=True)
+        return _requests(a, b, _task_of(a, b, many[back], tasks))
 
     return run
 
@@ -360,7 +470,8 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         sets, me = Sets(cl.blocks_of(table)), table.column("group")[0].as_py()
         t = sets.texts
         names = [x.tobytes().hex() for x in t.digest]
-        return pa.table([pa.array(names, pa.string()), pa.array(t.key), pa.array(sets.n, pa.int64()), pa.array(_ids(me, np.arange(len(t))))], names=["digest", "key", "n_shingles", "id"])
+        cols = [pa.array(names, pa.string()), pa.array(t.key), pa.array(sets.n, pa.int64()), pa.array(_ids(me, np.arange(len(t)))), pa.array(sets.bitmaps(), pa.binary())]
+        return pa.table(cols, names=["digest", "key", "n_shingles", "id", "bitmap"])
 
     def label_blocks(table):
         g = table.column("group")[0].as_py()
@@ -382,12 +493,15 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     # every group hears of labels, be it with none, so that all entries of the second round have them
     none = levels.select("group").distinct().select("group", F.lit(-2).alias("source"), F.lit(cl.pack(np.zeros(0, np.int64), np.zeros(0, np.int64))).alias("data"))
     second = grouped.cogroup(levels.union(told).union(none).groupBy("group")).applyInArrow(entries, cl.BLOCK)
-    more = _links(texts, met(second).applyInArrow(_rest_pairs(n), cl.BLOCK), levels, cuts, buckets)
+    every = scratch.materialize(grouped.applyInArrow(describe, "digest string, key long, n_shingles long, id long, bitmap binary"), "classes")
+    jobs = scratch.materialize(met(second).applyInArrow(_jobs(n), JOBS), "jobs")
+    maps = jobs.where("id is not null").select("task", "id").distinct().join(every.select("id", F.col("bitmap").alias("data")), "id").select("task", "id", "data")
+    rest = jobs.where("id is null").union(maps).repartition(buckets, "task").groupBy("task").applyInArrow(_survivors(n), cl.BLOCK)
+    more = _links(texts, rest, levels, cuts, buckets)
     first_links, links = links, scratch.materialize(links.union(more).distinct(), "all-links")
     first_roots, roots = roots, scratch.materialize(components(links), "all-roots")
     degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("links"))
-    every = scratch.materialize(grouped.applyInArrow(describe, "digest string, key long, n_shingles long, id long"), "classes")
-    scratch.drop(texts, levels, first_links, more, first_roots)
+    scratch.drop(texts, levels, jobs, first_links, more, first_roots)
     placed = every.join(roots, every["id"] == roots["node"], "left").join(degree, F.col("id") == F.col("a"), "left")
     placed = placed.select("digest", "key", "n_shingles", "id", "root", F.coalesce("links", F.lit(0)).alias("links"))
     alone = placed.where("root is null").select("digest", "key", "n_shingles", F.col("key").alias("component_id"), "links", F.col("id").alias("root"))

@@ -126,6 +126,80 @@ def test_a_chain_is_one_component(spark, many_groups):
     assert {c for k, _, c in want if k < 30} == {0}
 
 
+def line_texts(count):
+    """Texts of ten lines out of forty common ones: all share shingles, hardly any link."""
+    rng = random.Random(7)
+    lines = [" ".join(f"l{i}w{j}" for j in range(9)) for i in range(40)]
+    return [(i, " ".join(rng.sample(lines, 10))) for i in range(count)]
+
+
+@pytest.mark.parametrize("part", [2048, 16])
+def test_crowded_shingles(spark, many_groups, monkeypatch, part):
+    """Common lines that link nothing, among near copies; also with members of a shingle in many blocks."""
+    monkeypatch.setattr(jaccard, "STAR_PART", part)
+    rows = line_texts(300) + [(1000 + i, t + " and a few more words") for i, t in line_texts(40)] + near_rows(5)
+    same(jaccard.near_duplicates_by_row(table(spark, rows)).drop("digest"), jaccard.brute_force(rows))
+
+
+@pytest.mark.parametrize("part", [2048, 5])
+def test_jobs_have_every_undecided_pair(monkeypatch, part):
+    import numpy as np
+
+    monkeypatch.setattr(jaccard, "STAR_PART", part)
+    rng = np.random.default_rng(part)
+    h, n, ids = np.sort(rng.integers(0, 12, 400)).astype(np.uint64), rng.integers(20, 60, 400), np.arange(400)
+    order = np.lexsort((ids, n, h))
+    h, n, label = h[order], n[order], rng.integers(0, 5, 400)
+    lead = jaccard.stars(h, n, ids)
+    task, job, cut = jaccard.undecided(h, n, ids, label, lead, 7)
+    assert len(task) == len(job) and set(task) <= set(range(7))
+    got = set()
+    for (s, m, t, k), c in zip(job.tolist(), cut.tolist(), strict=True):
+        at = [*range(s, s + m), *range(t, t + k)]
+        pairs = [(x, y) for x in at[:c] for y in at[c:]] if c else [(x, y) for i, x in enumerate(at) for y in at[i + 1 :]]
+        assert not got & set(pairs)
+        got |= set(pairs)
+    want = {(i, j) for i in range(400) for j in range(i + 1, 400) if h[i] == h[j] and 3 * n[j] <= 4 * n[i] and label[i] != label[j] and lead[j] != i}
+    assert want and want <= got
+
+
+def test_bitmaps_never_rule_out_a_link():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for n in (5, 60, 64, 65, 100, 1000, 5000):
+        hashes = rng.integers(0, 2**63, n * 4 // 3).astype(np.uint64)
+        sets = [hashes[:n], hashes[: n * 4 // 3], np.concatenate([hashes[: n * 6 // 7], rng.integers(0, 2**63, n - n * 6 // 7).astype(np.uint64)]), rng.integers(0, 2**63, n).astype(np.uint64)]
+        made = jaccard.Sets.__new__(jaccard.Sets)
+        made.n, made.h = np.array([len(s) for s in sets]), np.concatenate(sets)
+        made.doc = np.repeat(np.arange(4), made.n)
+        maps = made.bitmaps()
+        start = np.cumsum([0, *(len(m) // 8 for m in maps[:-1])])
+        allowed = jaccard.may_link(made.n, np.frombuffer(b"".join(maps), "<u8"), start, np.zeros(4, int), np.arange(4))
+        assert allowed[:3].tolist() == [True, True, bool(100 * (n * 6 // 7) >= 75 * (2 * n - n * 6 // 7)) or allowed[2]]
+        assert n < 60 or not allowed[3]
+
+
+def test_pairs_asked_grow_below_the_square(spark):
+    """Of the pairs of crowded shingles only those are listed whose bitmaps allow a link."""
+    from pyspark.sql import Row
+
+    asked = []
+    real = jaccard._links
+
+    def counted(texts, requests, *rest):
+        asked.append(sum(len(classes.unpack(r.data)[0]) for r in requests.where("source = -1").collect()))
+        return real(texts, requests, *rest)
+
+    jaccard._links = counted
+    try:
+        for count in (500, 1000):
+            jaccard.near_duplicates(spark.createDataFrame([Row(doc_id=k, text=t) for k, t in line_texts(count)]))
+    finally:
+        jaccard._links = real
+    assert asked[1] < 500 * 40 and asked[3] < 1000 * 40  # 18,000 and 72,000 pairs would be listed without bitmaps
+
+
 def test_keep_one_of_each(spark, many_groups):
     rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (None, "q w e r t"), (None, "q w e r t"), (4, None), (4, ""), (5, " ")]
     docs = table(spark, rows)

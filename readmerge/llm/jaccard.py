@@ -36,6 +36,8 @@ SHINGLE = 5
 FRAGMENTS = 4
 #: Members of one star that are decided by one task.
 STAR_PART = 2048
+#: Members of a block of a job of the second round.
+JOB_PART = 512
 #: Parts into which the rows of one component are spread.
 SALTS = 16
 #: Bits of a class id that number the texts of a group.
@@ -234,10 +236,10 @@ def undecided(h: np.ndarray, n: np.ndarray, ids: np.ndarray, label: np.ndarray,
     seen = label.copy()
     seen[starts[single & (size > 1)]] = label[starts[single & (size > 1)] + 1]
     left = (size > 2) & (np.minimum.reduceat(seen, starts) != np.maximum.reduceat(seen, starts))
-    whole = left & (size <= STAR_PART)
+    whole = left & (size <= JOB_PART)
     jobs = [np.stack([starts[whole], size[whole], size[whole] * 0, size[whole] * 0], 1)]
     for s, m in zip(starts[left & ~whole].tolist(), size[left & ~whole].tolist(), strict=True):
-        step = max(STAR_PART, -(-m // 64))
+        step = max(JOB_PART, -(-m // 64))
         at = np.arange(s, s + m, step)
         count = np.minimum(step, s + m - at)
         i, j = np.triu_indices(len(at))
@@ -245,9 +247,8 @@ def undecided(h: np.ndarray, n: np.ndarray, ids: np.ndarray, label: np.ndarray,
         i, j = i[near], j[near]
         jobs.append(np.stack([at[i], count[i], at[j] * (j > i), count[j] * (j > i)], 1))
     job = np.concatenate(jobs)
-    with np.errstate(over="ignore"):
-        # shingles that the same members share go to one task, blocks are spread
-        mark = np.where(np.arange(len(job)) < len(jobs[0]), ids[job[:, 0]].astype(tx.U64), h[job[:, 0]] + tx.splitmix(job[:, 0].astype(tx.U64)) + tx.U64(3) * tx.splitmix(job[:, 2].astype(tx.U64)))
+    with np.errstate(over="ignore"):  # shingles that the same members share go to one task
+        mark = tx.splitmix(ids[job[:, 0]]) + tx.U64(3) * tx.splitmix(ids[job[:, 2]]) * (job[:, 3] > 0).astype(tx.U64)
     return (tx.splitmix(mark) % tx.U64(tasks)).astype(np.int64), job, job[:, 1] * (job[:, 3] > 0)
 
 
@@ -441,37 +442,41 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     texts = scratch.materialize(cl.deal(src, n), "texts")
 
     def send(table):
-        me = table.column("group")[0].as_py()
+        """A group's shingles to the buckets, and its texts with sizes and bitmaps."""
+        sets, me = Sets(cl.blocks_of(table)), table.column("group")[0].as_py()
         rows = []
-        for b, h, many in Sets(cl.blocks_of(table)).distinct(buckets):
+        for b, h, many in sets.distinct(buckets):
             short, order = _short_order(h)
             rows.append((b, me, cl.pack(cl.deltas(short), np.minimum(many[order], 0xFFFF).astype(np.uint16))))
-        return cl.block_table(rows)
+        t = sets.texts
+        names = [x.tobytes().hex() for x in t.digest]
+        cols = [pa.array(names, pa.string()), pa.array(t.key), pa.array(sets.n, pa.int64()), pa.array(_ids(me, np.arange(len(t)))), pa.array(sets.bitmaps(), pa.binary())]
+        both = pa.concat_tables([cl.block_table(rows), pa.table(cols, names=["digest", "key", "n_shingles", "id", "bitmap"])], promote_options="default")
+        return both.select(["group", "source", "data", "digest", "key", "n_shingles", "id", "bitmap"])
 
     def entries(left, right):
         if not left.num_rows:
             return cl.block_table([])
         sets, me = Sets(cl.blocks_of(left)), left.column("group")[0].as_py()
-        known = right.column("source").to_numpy() >= 0
-        h, doc = sets.prefixes(sets.levels(right.filter(pa.array(known)), buckets))
-        labels = None
-        if not known.all():
-            labels = _ids(me, np.arange(len(sets.texts)))
-            for d in cl.blocks_of(right.filter(pa.array(~known))):
-                local, root = cl.unpack(d)
-                labels[local] = root
+        h, doc = sets.prefixes(sets.levels(right, buckets))
         rows = []
         for b, p in cl.parts_of(*cl.by_bucket(h, buckets)):
-            cols = [h[p], sets.n[doc[p]].astype(np.uint32), doc[p].astype(np.uint32)]
-            rows.append((b, me, cl.pack(*cols, *([labels[doc[p]]] if labels is not None else []))))
+            rows.append((b, me, cl.pack(h[p], sets.n[doc[p]].astype(np.uint32), doc[p].astype(np.uint32))))
         return cl.block_table(rows)
 
-    def describe(table):
-        sets, me = Sets(cl.blocks_of(table)), table.column("group")[0].as_py()
-        t = sets.texts
-        names = [x.tobytes().hex() for x in t.digest]
-        cols = [pa.array(names, pa.string()), pa.array(t.key), pa.array(sets.n, pa.int64()), pa.array(_ids(me, np.arange(len(t)))), pa.array(sets.bitmaps(), pa.binary())]
-        return pa.table(cols, names=["digest", "key", "n_shingles", "id", "bitmap"])
+    def labelled(left, right):
+        """The entries of a group with the components of its texts (a text that no link names is its own)."""
+        rows, told = [], [(np.zeros(0, np.int64),) * 2, *map(cl.unpack, cl.blocks_of(right))]
+        local, root = (np.concatenate(x) for x in zip(*told, strict=True))
+        order = np.argsort(local)
+        local, root = local[order], root[order]
+        for b, me, data in zip(left.column("group").to_pylist(), left.column("source").to_pylist(), cl.blocks_of(left), strict=True):
+            h, n, doc = cl.unpack(data)
+            label, at = _ids(me, doc), np.searchsorted(local, doc.astype(np.int64))
+            known = np.flatnonzero(np.append(local, -1)[at] == doc)
+            label[known] = root[at[known]]
+            rows.append((b, me, cl.pack(h, n, doc, label)))
+        return cl.block_table(rows)
 
     def label_blocks(table):
         g = table.column("group")[0].as_py()
@@ -482,18 +487,17 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         return blocks.repartition(buckets, "group").groupBy("group")
 
     grouped = texts.groupBy("group")
-    levels = scratch.materialize(met(grouped.applyInArrow(send, cl.BLOCK)).applyInArrow(_frequencies, cl.BLOCK), "levels")
+    sent = scratch.materialize(grouped.applyInArrow(send, f"{cl.BLOCK}, digest string, key long, n_shingles long, id long, bitmap binary"), "sent")
+    every = sent.where("digest is not null").select("digest", "key", "n_shingles", "id", "bitmap")
+    levels = scratch.materialize(met(sent.where("digest is null").select("group", "source", "data")).applyInArrow(_frequencies, cl.BLOCK), "levels")
     counts = {r[0]: r[1] for r in levels.select("data").mapInArrow(_level_counts, "level long, n long").groupBy("level").agg(F.sum("n")).collect()}  # 64 rows
     cuts = pivots(np.array([counts.get(i, 0) for i in range(64)]), FRAGMENTS)
-    first = grouped.cogroup(levels.groupBy("group")).applyInArrow(entries, cl.BLOCK)
+    first = scratch.materialize(grouped.cogroup(levels.groupBy("group")).applyInArrow(entries, cl.BLOCK), "entries")
     links = _links(texts, met(first).applyInArrow(_first_pairs(n), cl.BLOCK), levels, cuts, buckets)
     roots = scratch.materialize(components(links), "roots")
     labels = roots.select(F.shiftright("node", LOCAL).cast("int").alias("group"), F.col("node").bitwiseAND((1 << LOCAL) - 1).alias("local"), "root")
     told = labels.groupBy("group").applyInArrow(label_blocks, cl.BLOCK)
-    # every group hears of labels, be it with none, so that all entries of the second round have them
-    none = levels.select("group").distinct().select("group", F.lit(-2).alias("source"), F.lit(cl.pack(np.zeros(0, np.int64), np.zeros(0, np.int64))).alias("data"))
-    second = grouped.cogroup(levels.union(told).union(none).groupBy("group")).applyInArrow(entries, cl.BLOCK)
-    every = scratch.materialize(grouped.applyInArrow(describe, "digest string, key long, n_shingles long, id long, bitmap binary"), "classes")
+    second = first.groupBy("source").cogroup(told.groupBy("group")).applyInArrow(labelled, cl.BLOCK)
     jobs = scratch.materialize(met(second).applyInArrow(_jobs(n), JOBS), "jobs")
     maps = jobs.where("id is not null").select("task", "id").distinct().join(every.select("id", F.col("bitmap").alias("data")), "id").select("task", "id", "data")
     rest = jobs.where("id is null").union(maps).repartition(buckets, "task").groupBy("task").applyInArrow(_survivors(n), cl.BLOCK)
@@ -501,7 +505,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     first_links, links = links, scratch.materialize(links.union(more).distinct(), "all-links")
     first_roots, roots = roots, scratch.materialize(components(links), "all-roots")
     degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("links"))
-    scratch.drop(texts, levels, jobs, first_links, more, first_roots)
+    scratch.drop(texts, levels, first, jobs, first_links, more, first_roots)
     placed = every.join(roots, every["id"] == roots["node"], "left").join(degree, F.col("id") == F.col("a"), "left")
     placed = placed.select("digest", "key", "n_shingles", "id", "root", F.coalesce("links", F.lit(0)).alias("links"))
     alone = placed.where("root is null").select("digest", "key", "n_shingles", F.col("key").alias("component_id"), "links", F.col("id").alias("root"))

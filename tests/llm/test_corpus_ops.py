@@ -136,7 +136,7 @@ def line_texts(count):
 @pytest.mark.parametrize("part", [2048, 16])
 def test_crowded_shingles(spark, many_groups, monkeypatch, part):
     """Common lines that link nothing, among near copies; also with members of a shingle in many blocks."""
-    monkeypatch.setattr(jaccard, "STAR_PART", part)
+    monkeypatch.setattr(jaccard, "JOB_PART", part)
     rows = line_texts(300) + [(1000 + i, t + " and a few more words") for i, t in line_texts(40)] + near_rows(5)
     same(jaccard.near_duplicates_by_row(table(spark, rows)).drop("digest"), jaccard.brute_force(rows))
 
@@ -145,7 +145,7 @@ def test_crowded_shingles(spark, many_groups, monkeypatch, part):
 def test_jobs_have_every_undecided_pair(monkeypatch, part):
     import numpy as np
 
-    monkeypatch.setattr(jaccard, "STAR_PART", part)
+    monkeypatch.setattr(jaccard, "JOB_PART", part)
     rng = np.random.default_rng(part)
     h, n, ids = np.sort(rng.integers(0, 12, 400)).astype(np.uint64), rng.integers(20, 60, 400), np.arange(400)
     order = np.lexsort((ids, n, h))

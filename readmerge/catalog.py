@@ -211,10 +211,11 @@ def overlap_scores(pairs: DataFrame, name: str) -> DataFrame:
 
 
 def _position_sum(table: str, matched: str) -> str:
+    """Values of places, added from the first on as the model does: in any other order a sum that lies halfway between two results rounds by chance."""
     return f"""{sim.pairs_sql()}, mt AS ({table}),
 places AS (SELECT ordinal, i, substr(f_seq, 64 - true_overlap + i, 1) AS fb, substr(rc_seq, i, 1) AS rb, ascii(substr(f_qual, 64 - true_overlap + i, 1)) - 33 AS fq, ascii(substr(reverse(r_qual), i, 1)) - 33 AS rq,
   ascii(substr(f_qual, 65 - i, 1)) - 33 AS alias_q FROM (SELECT *, unnest(range(1, true_overlap + 1)) AS i FROM pairs))
-SELECT ordinal, cast(floor(sum({matched}) * 10000 + 0.5) as bigint) AS score FROM places LEFT JOIN mt ON mt.a = fq AND mt.b = """
+SELECT ordinal, cast(floor(sum({matched} ORDER BY i) * 10000 + 0.5) as bigint) AS score FROM places LEFT JOIN mt ON mt.a = fq AND mt.b = """
 
 
 _POSITION_SQL = {

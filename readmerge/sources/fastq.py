@@ -59,17 +59,26 @@ class Piece(InputPartition):
     files: list[tuple[dict, int, int]]
 
 
+def _most(spark: SparkSession, sources: list[Source]) -> int:
+    """How many tasks for ranges of files: so many that all cores are busy, or one for SPLIT_BYTES, whatever is more."""
+    return max(16 * spark.sparkContext.defaultParallelism, sum(s.size or 0 for s in sources) // SPLIT_BYTES)
+
+
 def _count_all(spark: SparkSession, tasks: list[tuple[Source, int, int, int | None]]) -> list[Counted]:
-    """Counts of ranges (source, first byte, end, position of the first record or None), one task each."""
+    """Counts of ranges (source, first byte, end, position of the first record or None).  A task gets its own ranges as rows, neighbours together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in batch.column(0).to_pylist():
-                found = json.dumps(asdict(count_range(*tasks[i])))
+            for i, task in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                source, *where = json.loads(task)
+                found = json.dumps(asdict(count_range(Source(**source), *where)))
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([found])], ["i", "found"])
 
-    rows = spark.range(0, len(tasks), 1, max(1, len(tasks))).mapInArrow(run, "i long, found string").collect()  # a row for each range
-    return [Counted(**json.loads(r["found"])) for r in sorted(rows, key=lambda r: r["i"])]
+    rows = [(i, json.dumps([s.asdict(), a, b, at])) for i, (s, a, b, at) in enumerate(tasks)]
+    slices = max(1, min(len(rows), _most(spark, list({s.path: s for s, *_ in tasks}.values()))))
+    dealt = spark.createDataFrame(spark.sparkContext.parallelize(rows, slices), "i long, task string")
+    found = dealt.mapInArrow(run, "i long, found string").collect()  # a row for each range
+    return [Counted(**json.loads(r["found"])) for r in sorted(found, key=lambda r: r["i"])]
 
 
 def count_files(spark: SparkSession, sources: list[Source], split_bytes: int) -> list[list[Counted]]:
@@ -123,7 +132,22 @@ def plan(spark: SparkSession, pairs: list[list[str]], split_bytes: int = SPLIT_B
                 near = int(numbers[np.searchsorted(numbers, a, "right") - 1])
                 files.append((s.asdict(), known[near], a - near))
             pieces.append(Piece(n, a, -1 if b is None else b - a, files))
-    return pieces
+    return _together(pieces, _most(spark, [s for pair in sources for s in pair]))
+
+
+def _together(pieces: list[Piece], most: int) -> list[Piece]:
+    """At most about so many pieces: neighbours of a pair of files, whose records follow each other, are read as one."""
+    step = -(-len(pieces) // most)
+    out, joined = [], 0
+    for p in pieces:
+        last = out[-1] if out else None
+        if last is not None and last.number == p.number and joined < step:
+            out[-1] = Piece(last.number, last.first, -1 if p.count < 0 else p.first + p.count - last.first, last.files)
+            joined += 1
+        else:
+            out.append(p)
+            joined = 1
+    return out
 
 
 # --- reading --------------------------------------------------------------------------------------------------------
@@ -197,6 +221,10 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.mode, self.pieces = options.get("mode", "PREFIX").upper(), json.loads(options["plan"])
 
+    def __getstate__(self) -> dict:
+        """What tasks get: a task has its own piece, and not the plan of all."""
+        return {"mode": self.mode, "pieces": []}
+
     def partitions(self):
         return [Piece(**p) for p in self.pieces]
 
@@ -224,7 +252,8 @@ def _paths(x) -> list[str]:
 
 def with_identity(df: DataFrame, tag: str) -> DataFrame:
     """Add the parsed headers (f, r), the ``error`` of mates that don't belong together, and ``good``."""
-    df = df.select("*", seqid.parse(F.col("f_header"), tag).alias("f"), seqid.parse(F.col("r_header"), tag).alias("r"))
+    # a generator, so that headers are parsed once: conditions on a projection would be moved below it, with the parser in each field
+    df = df.select("*", F.inline(F.array(F.struct(seqid.parse(F.col("f_header"), tag).alias("f"), seqid.parse(F.col("r_header"), tag).alias("r")))))
     same = F.lit(True)
     for c in seqid.FIELDS:
         same = same & F.col("f.id")[c].eqNullSafe(F.col("r.id")[c])

@@ -16,6 +16,7 @@ import gzip
 import http.client
 import io
 import time
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 from urllib.error import HTTPError
@@ -156,6 +157,8 @@ def open_bytes(path: str, tag: str | None = None) -> io.BufferedIOBase:
 BLOCK, TAIL = 0x314159265359, 0x177245385090
 #: Bytes that a compressed block has at most (900,000 bytes that can't be compressed, with its tables).
 LONGEST = 1_400_000
+#: Bytes that are searched for marks at once.
+STEP = 1 << 17
 
 
 def _patterns() -> list[tuple[int, int, bytes, int, int, int, int]]:
@@ -221,24 +224,48 @@ class _Window:
 
 
 class _Blocks:
-    """Blocks of a bzip2 file one after another from a bit on."""
+    """Blocks of a bzip2 file one after another from a bit on; bytes are searched for marks once, a little at a time."""
 
     def __init__(self, source: Source):
         self.source, self.window = source, _Window(source)
-
-    def _marks(self, bit: int) -> tuple[int, bytes, list[tuple[int, int]]]:
-        base = bit >> 3
-        data = self.window.get(base, base + LONGEST)
-        return base, data, [(base * 8 + b, m) for b, m in find_marks(data) if base * 8 + b >= bit]
+        self.low = self.high = 0  # bytes that were searched
+        self.known: list[tuple[int, int]] = []
+        self.over = False
+        self.last: tuple[int, tuple[bytes, int] | None] = (-1, None)
+
+    def _next(self, bit: int, limit: int, keep: int) -> tuple[int, int] | None:
+        """The first mark at or behind a bit that begins before byte ``limit``; the window stays from ``keep`` on."""
+        if not self.low <= bit >> 3 <= self.high:
+            self.low = self.high = bit >> 3
+            self.known, self.over = [], False
+        while True:
+            i = bisect_left(self.known, (bit, 0))
+            if i < len(self.known):
+                return self.known[i] if self.known[i][0] < limit * 8 else None
+            if self.over or self.high >= limit:
+                return None
+            first = min(max(keep, self.high - LONGEST), self.high)
+            data = self.window.get(first, self.high + STEP + 6)[self.high - first :]  # a mark can reach over 7 bytes
+            self.over = len(data) < STEP + 6
+            self.known += [(self.high * 8 + b, m) for b, m in find_marks(data) if self.over or b < STEP * 8]
+            self.high += len(data) if self.over else STEP
 
     def block(self, bit: int) -> tuple[bytes, int] | None:
         """Content of the block at a bit and the bit of the next mark; None if there is no block."""
-        base, data, marks = self._marks(bit)
-        if not marks or marks[0] != (bit, BLOCK):
+        if self.last[0] != bit:
+            self.last = bit, self._block(bit)
+        return self.last[1]
+
+    def _block(self, bit: int) -> tuple[bytes, int] | None:
+        base = bit >> 3
+        limit = base + LONGEST
+        if self._next(bit, limit, base) != (bit, BLOCK):
             return None
-        for end, _ in marks[1:]:
+        end = bit
+        while (mark := self._next(end + 1, limit, base)) is not None:
+            end = mark[0]
             try:
-                return one_block(data, bit - base * 8, end - base * 8), end
+                return one_block(self.window.get(base, (end >> 3) + 2), bit - base * 8, end - base * 8), end
             except ValueError:
                 continue
         return None
@@ -257,16 +284,11 @@ class _Blocks:
 
     def first(self, byte: int, end: int) -> int | None:
         """The bit of the first block that begins in bytes ``byte`` to ``end``."""
-        while byte < end:
-            _, data, marks = self._marks(byte * 8)
-            for bit, mark in marks:
-                if bit >= end * 8:
-                    return None
-                if mark == BLOCK and self.block(bit) is not None:
-                    return bit
-            if len(data) < LONGEST:
-                return None
-            byte += LONGEST - 8
+        bit = byte * 8
+        while (mark := self._next(bit, end, bit >> 3)) is not None:
+            if mark[1] == BLOCK and self.block(mark[0]) is not None:
+                return mark[0]
+            bit = mark[0] + 1
         return None
 
     def chunks(self, at: int) -> Iterator[tuple[int, bytes]]:

@@ -7,7 +7,9 @@ import random
 import threading
 
 import pytest
+from pyspark.sql import functions as F
 
+from readmerge.functions import seqid
 from readmerge.sources import ranges
 from readmerge.sources.fastq import SPLIT_BYTES, Malformed, count_files, fastq_diagnostics, plan, read_fastq_pairs, read_piece, records
 from readmerge.sources.ranges import FileChanged, HttpFile, Source, find_marks
@@ -254,3 +256,40 @@ def test_no_file(server, tmp_path):
         Source.of(f"{tmp_path}/none")
     with pytest.raises(Malformed):
         list(read_piece(type("P", (), {"number": 0, "first": 0, "count": -1, "files": [(Source.of(__file__).asdict(), 0, 0)] * 2})(), "FAILFAST"))
+
+
+def test_marks_are_searched_once_and_blocks_decoded_once(tmp_path, monkeypatch):
+    text = text_of(9000).encode()
+    (tmp_path / "f.bz2").write_bytes(b"".join(bz2.compress(text[i : i + 200_000]) for i in range(0, len(text), 200_000)))
+    source, searched, decoded = Source.of(f"{tmp_path}/f.bz2"), [], []
+    find, one = ranges.find_marks, ranges.one_block
+    monkeypatch.setattr(ranges, "find_marks", lambda data: searched.append(len(data)) or find(data))
+    monkeypatch.setattr(ranges, "one_block", lambda *a: decoded.append(1) or one(*a))
+    assert b"".join(c for _, c in source.chunks(0)) == text
+    assert sum(searched) < 1.1 * source.size and len(decoded) == -(-len(text) // 200_000)
+    decoded.clear()
+    assert next(source.inner(source.size // 2, source.size))[1] in text and len(decoded) == 1
+
+
+def test_tasks_get_their_own_piece_and_neighbours_are_read_as_one():
+    import pickle
+
+    from readmerge.sources.fastq import Piece, _Reader, _together
+
+    pieces = [Piece(n, 10 * i, 10 if i < 99 else -1, [({"path": str(n)}, i, 0)]) for n in range(2) for i in range(100)]
+    some = _together(pieces, 20)
+    assert len(some) == 20 and [p.first for p in some] == [*range(0, 1000, 100)] * 2 and [p.count for p in some] == ([100] * 9 + [-1]) * 2
+    assert [p.files[0][1] for p in some] == [p.first // 10 for p in some] and _together(pieces, 200) == pieces
+    import json
+    from dataclasses import asdict
+
+    size = [len(pickle.dumps(_Reader({"plan": json.dumps([asdict(p) for p in x])}))) for x in (pieces[:1], pieces)]
+    assert size[0] == size[1]
+
+
+def test_headers_are_parsed_once(spark, tmp_path):
+    for mate in (1, 2):
+        (tmp_path / str(mate)).write_text(text_of(5, mate=mate))
+    plan_text = read_fastq_pairs(spark, f"{tmp_path}/1", f"{tmp_path}/2", mode="FAILFAST")._jdf.queryExecution().optimizedPlan().toString()
+    once = spark.range(1).selectExpr("cast(id as string) AS h").select(seqid.parse(F.col("h")).alias("f"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan_text.count("RLIKE") <= 2 * once.count("RLIKE")

@@ -24,9 +24,10 @@ def reject_counts(result: DataFrame) -> DataFrame:
 
 def _filled(counts: DataFrame, value: str, first: int) -> DataFrame:
     """A row for every value from ``first`` to the largest, 0 where nothing was counted."""
-    top = counts.agg(F.coalesce(F.max(value), F.lit(first - 1)).alias("top"))
-    line = top.where(F.col("top") >= first).select(F.explode(F.sequence(F.lit(first), F.col("top"))).alias(value))
-    return line.join(counts, value, "left").select(value, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    one = counts.where(F.col(value).isNotNull()).agg(F.collect_list(F.struct(value, "n")).alias("all"))  # a row for each length; joined with itself, all would be assembled twice
+    top = F.coalesce(F.array_max(F.transform("all", lambda x: x[value])), F.lit(first - 1))
+    line = one.where(top >= first).select(F.map_from_entries("all").alias("all"), F.explode(F.sequence(F.lit(first), top)).alias(value))
+    return line.select(value, F.coalesce(F.try_element_at("all", F.col(value)), F.lit(0)).cast("long").alias("n"))
 
 
 def overlap_histogram(result: DataFrame) -> DataFrame:

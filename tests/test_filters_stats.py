@@ -97,6 +97,12 @@ def test_histograms_have_no_holes(pairs):
     assert stats.overlap_histogram(out.where("false")).count() == 0
 
 
+def test_histograms_assemble_once(pairs):
+    out = assemble(pairs, with_logp=False)
+    for h in (stats.overlap_histogram(out), stats.examined_histogram(out)):
+        assert h._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 def test_phred_warning(spark):
     shape = "f_qual string, r_qual string"
     assert tuple(stats.phred_offset_warning(spark.createDataFrame([("hhhh", "ffff")], shape)).first()) == (102, True)

@@ -279,9 +279,9 @@ _mixed_query("assemble_max_overlap", "least(f + r - 13, 40)", max_overlap=40)
 
 
 def _from_files(spark: SparkSession, d: str, pairs: DataFrame | None = None, split_bytes: int = fastq.SPLIT_BYTES, **how) -> DataFrame:
-    """Pairs of the table, written as FASTQ files and read back."""
+    """Pairs of the table, which come in order of their ordinals, written as FASTQ files and read back."""
     pairs = _pairs(spark, d) if pairs is None else pairs
-    files = sinks.write_fastq_pairs(pairs, f"{ordered.session_folder(spark)}/pairs", **how)
+    files = sinks.write_fastq_pairs(pairs, f"{ordered.session_folder(spark)}/pairs", in_order=True, **how)
     return fastq.read_fastq_pairs(spark, *files, mode="FAILFAST", split_bytes=split_bytes)
 
 

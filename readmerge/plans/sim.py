@@ -36,11 +36,11 @@ def pairs_sql(keys: str = KEYS) -> str:
 
 
 def read_pairs(spark: SparkSession, sf_dir: str, keys: str = KEYS, table: str = "orders") -> DataFrame:
-    """Pairs with identifiers.  Deriving a read costs far more than reading a key, so keys are dealt out by the table's size."""
+    """Pairs with identifiers, in order of their ordinals.  Deriving a read costs far more than reading a key, so keys are dealt out by the table's size."""
     source = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     size = int(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     source.createOrReplaceTempView(f"readmerge_{table}")
-    dealt = spark.sql(keys.replace(f"FROM {table}", f"FROM readmerge_{table}")).repartition(max(1, -(-size // KEY_BYTES)), "k")
+    dealt = spark.sql(keys.replace(f"FROM {table}", f"FROM readmerge_{table}")).repartitionByRange(max(1, -(-size // KEY_BYTES)), "k").sortWithinPartitions("k")
     dealt.createOrReplaceTempView(f"readmerge_keys_{table}")
     ident = "named_struct('instrument', 'SIM', 'run', cast(ordinal % 7 as string), 'flowcell', 'FC', 'lane', cast(ordinal % 8 as int), 'tile', cast(ordinal % 100 as int), 'x', cast(ordinal as int), 'y', cast(ordinal % 1000 as int), 'tag', substr(template, 1, 6))"
     return spark.sql(f"{pairs_sql(f'SELECT k FROM readmerge_keys_{table}')} SELECT ordinal, {ident} AS id, f_seq, f_qual, r_seq, r_qual, rc_seq, true_overlap FROM pairs")

@@ -112,3 +112,22 @@ def test_shuffled_pairs_come_back_whole(spark, data, tmp_path):
         got = read_fastq_pairs(spark, *files, mode="FAILFAST", **more).orderBy("ordinal").collect()
         assert [(int(r.id.x), r.f_seq, r.r_qual) for r in got] == [w[1:] for w in want]
         assert layout == "parts" or [r.ordinal for r in got] == [w[0] for w in want]
+
+
+def test_what_is_only_counted_is_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    rows = spark.range(0, N, 1, 7).select((N - F.col("id")).alias("ordinal"), (F.col("id") % 3).alias("kind")).mapInArrow(run, "ordinal long, kind long")
+    counts = write_in_order(rows, "", layout="null", tally=("kind",))
+    assert sum(counts["kind"].values()) == N == made.value  # in any order; ranges of ordinals would need all rows twice
+
+
+def test_pairs_come_in_order(spark, data):
+    pairs = sim.read_pairs(spark, data, "SELECT DISTINCT l_orderkey * 10 + l_linenumber AS k FROM lineitem", "lineitem")
+    at = [r["ordinal"] for r in sorted(pairs.select("ordinal", F.monotonically_increasing_id().alias("m")).collect(), key=lambda r: r["m"])]
+    assert at == sorted(set(at))

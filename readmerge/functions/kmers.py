@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import nt
 
 K = 8
+_TWO = np.zeros(256, np.uint8)
+_TWO[[2, 4, 8]] = 1, 2, 3
 
 
 def kmer_codes(mask: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -18,15 +20,26 @@ def kmer_codes(mask: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
 
     The first k-mer of a read, and the first after an N, do not count.
     """
-    two = np.zeros(mask.shape, np.int64)
-    two[mask == 2], two[mask == 4], two[mask == 8] = 1, 2, 3
+    # k bases and their codes by doubling: a code of a + b bases is one of a bases, moved, and one of b bases
     n, length = mask.shape
-    code = np.zeros((n, length), np.int64)
-    for j in range(min(k, length)):
-        code[:, j:] |= two[:, : length - j] << (2 * j)
-    at = np.arange(length)
-    last_n = np.maximum.accumulate(np.where(mask == 15, at, -1), 1)
-    return code, (at - last_n > k)
+    code, have, step, width, left = np.zeros((n, length), np.int32 if k < 16 else np.int64), 0, _TWO[mask].astype(np.int32 if k < 16 else np.int64), 1, k
+    while left:
+        if left & 1:
+            code[:, have:] |= step[:, : max(length - have, 0)] << (2 * have)
+            have += width
+        left >>= 1
+        if left:
+            longer = step.copy()
+            longer[:, width:] |= step[:, : max(length - width, 0)] << (2 * width)
+            step, width = longer, 2 * width
+    at = np.arange(length, dtype=np.int32)
+    ok = np.empty((n, length), bool)
+    ok[:] = at > k - 1
+    rows = np.flatnonzero((mask == 15).any(1))
+    if len(rows):
+        last_n = np.maximum.accumulate(np.where(mask[rows] == 15, at, np.int32(-1)), 1)
+        ok[rows] = at - last_n > k
+    return code, ok
 
 
 def kmers(seq: Column, k: int = K) -> Column:

@@ -41,7 +41,10 @@ def primer_offsets(mask: np.ndarray, good: np.ndarray, bad: np.ndarray, primer:
 
 def padded(buf: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Rows of bytes (0 behind their ends) from ranges of a buffer."""
-    at = np.arange(int(length.max(initial=0)))
+    n, width = len(length), int(length.max(initial=0))
+    if n and width and (length == width).all() and (np.diff(start) == width).all():  # rows of one length, one behind another
+        return buf[int(start[0]) : int(start[0]) + n * width].reshape(n, width)
+    at = np.arange(width)
     inside = at < length[:, None]
     return np.where(inside, buf[np.minimum(np.where(inside, start[:, None] + at, 0), max(len(buf) - 1, 0))] if len(buf) else 0, 0).astype(np.uint8)
 

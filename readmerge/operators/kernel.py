@@ -22,12 +22,15 @@ from .config import AssemblerConfig, nucleotides
 #: Cells of a padded matrix that are worked on at once.
 CELLS = 2_000_000
 STATUS = np.array(["OK", "BADR", "NOFP", "NORP", "NOALGN", "LOWQ", "MODULE"], object)
+_ONE = np.isin(np.arange(256), (1, 2, 4, 8))
 OK, BADR, NOFP, NORP, NOALGN, LOWQ, MODULE = range(7)
 _clamped = lambda q: QUAL_SCORE[np.clip(q, 0, PHRED_MAX)]
 
 
 def _turned(x: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Rows of left-aligned values turned round, left-aligned again."""
+    if (length == x.shape[1]).all():
+        return x[:, ::-1]
     at = length[:, None] - 1 - np.arange(x.shape[1])
     return np.where(at >= 0, np.take_along_axis(x, np.maximum(at, 0), 1), 0)
 
@@ -139,6 +142,14 @@ def _index(count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return off, row, np.arange(off[-1]) - off[row]
 
 
+def _clear(from_end: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Lengths without the trailing run of score 2, from scores in order from the end."""
+    out = length.copy()
+    dark = np.flatnonzero(from_end[:, 0] == 2) if from_end.shape[1] else np.zeros(0, np.int64)
+    out[dark] -= np.cumprod(from_end[dark] == 2, 1).sum(1)
+    return out
+
+
 @dataclass
 class Merged:
     """Merged rows: flat sets and log-probabilities with offsets, and a value of each kind for a row."""
@@ -159,21 +170,26 @@ def merge(reads: Reads, cfg: AssemblerConfig, overlap: np.ndarray, f_off: np.nda
     off, row, t = _index(head + middle + tail)
     i = t - head[row]
     behind = i - middle[row]
-    single_f, single_r = i < 0, behind >= 0
-    fi = np.where(single_r, 0, f_off[row] + t)
-    ri = np.where(single_f, 0, np.where(single_r, (reads.r_len - overlap - 1)[row] - behind, (reads.r_len - 1 + np.minimum(df, 0))[row] - i))
-    a, aq, b, bq = reads.f[row, fi], reads.fq[row, fi], reads.r[row, ri], reads.rq[row, ri]
-    # lengths without the trailing run of score 2
-    f_clear = reads.f_len - np.cumprod(reads.right[1][:, ::-1] == 2, 1).sum(1)
-    r_clear = reads.r_len - np.cumprod(reads.turned[1] == 2, 1).sum(1)
-    f_dark, r_dark = fi >= f_clear[row], ri >= r_clear[row]
+    f_start, r_start = row * reads.f.shape[1], row * reads.r.shape[1]
+    base, logp = np.empty(len(row), np.uint8), np.empty(len(row))
+    own = np.flatnonzero(i < 0)
+    at = f_start[own] + f_off[row[own]] + t[own]
+    base[own], logp[own] = reads.f.ravel()[at], _clamped(reads.fq.ravel()[at])
+    own = np.flatnonzero(behind >= 0)
+    at = r_start[own] + (reads.r_len - overlap - 1)[row[own]] - behind[own]
+    base[own], logp[own] = reads.r.ravel()[at], _clamped(reads.rq.ravel()[at])
+    # places that both reads have
+    own = np.flatnonzero((i >= 0) & (behind < 0))
+    pair = row[own]
+    fi, ri = f_off[pair] + t[own], (reads.r_len - 1 + np.minimum(df, 0))[pair] - i[own]
+    at, to = f_start[own] + fi, r_start[own] + ri
+    a, aq, b, bq = reads.f.ravel()[at], reads.fq.ravel()[at], reads.r.ravel()[to], reads.rq.ravel()[to]
+    f_dark, r_dark = fi >= _clear(reads.right[1][:, ::-1], reads.f_len)[pair], ri >= _clear(reads.turned[1], reads.r_len)[pair]
     same = (a & b) != 0
-    both = np.where(f_dark & r_dark, QUAL_NN, np.where(f_dark, _clamped(bq), np.where(r_dark, _clamped(aq), cfg.algorithm.match(same, aq, bq))))
-    logp = np.where(single_f, _clamped(aq), np.where(single_r, _clamped(bq), both))
-    base = np.where(single_f, a, np.where(single_r, b, np.where(same, a & b, np.where(aq < bq, b, a))))
-    one = (base == 1) | (base == 2) | (base == 4) | (base == 8)
+    logp[own] = np.where(f_dark & r_dark, QUAL_NN, np.where(f_dark, _clamped(bq), np.where(r_dark, _clamped(aq), cfg.algorithm.match(same, aq, bq))))
+    base[own] = np.where(same, a & b, np.where(aq < bq, b, a))
     quality = np.bincount(row, logp, n) / (df + overlap + dr + 1)
-    return Merged(base, logp, off, quality, np.bincount(row, ~same & ~single_f & ~single_r, n).astype(np.int64), np.bincount(row, ~one, n).astype(np.int64))
+    return Merged(base, logp, off, quality, np.bincount(pair[~same], minlength=n).astype(np.int64), np.bincount(row[~_ONE[base]], minlength=n).astype(np.int64))
 
 
 @dataclass

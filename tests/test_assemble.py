@@ -202,3 +202,13 @@ def test_settings_are_checked():
         with pytest.raises(ValueError):
             algorithm(bad)
     assert AssemblerConfig.primer_or_trim("12") == (None, 12) and AssemblerConfig.primer_or_trim("ACN") == ("ACN", 0)
+
+
+def test_only_places_of_both_reads_are_matched(monkeypatch):
+    from readmerge.operators.algorithms import SimpleBayesian
+
+    sizes, match = [], SimpleBayesian.match
+    monkeypatch.setattr(SimpleBayesian, "match", lambda self, same, a, b: sizes.append(len(same)) or match(self, same, a, b))
+    template = "GATTACAGGCTTAACCGTGTACCTGAGTCATGCAAGTCCG"
+    got = assemble_pair(template[:28], "I" * 28, "CGGACTTGCATGACTCAGGTACACGGTT", "I" * 28)
+    assert got["sequence"] == template and sizes == [got["overlap"]] == [16]

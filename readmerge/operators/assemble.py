@@ -198,6 +198,8 @@ def assemble_each(pairs: DataFrame, configs: dict[str, AssemblerConfig]) -> Data
     logp = any(m.stage == "check" for cfg in configs.values() for m in cfg.modules)
     bare = {k: replace(cfg, modules=()) for k, cfg in configs.items()}
     modules = {k: _Batches(replace(cfg, modules=tuple(m if m.batch else replace(m, apply=None) for m in cfg.modules))) for k, cfg in configs.items()}
+    # reads go back only where a module behind the kernel could ask for them
+    passed = PAIR if logp else PAIR[:2]
     rejects, lates = [f"_reject_{k}" for k in names], [f"_late_{k}" for k in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,11 +211,11 @@ def assemble_each(pairs: DataFrame, configs: dict[str, AssemblerConfig]) -> Data
                 structs.append(pa.StructArray.from_arrays(list(out.values()), list(out)))
                 early.append(one)
                 late.append(two)
-            yield pa.RecordBatch.from_arrays([*pair.values(), *structs, *early, *late], [*PAIR, *names, *rejects, *lates])
+            yield pa.RecordBatch.from_arrays([*(pair[c] for c in passed), *structs, *early, *late], [*passed, *names, *rejects, *lates])
 
     df = df.select(*PAIR, *rejects)
     inner = ", ".join(x.strip().replace(" ", ":", 1) for x in RESULT_TYPE.split(", "))
-    shape = [f"{c} {df.schema[c].dataType.simpleString()}" for c in PAIR] + [f"`{k}` struct<{inner}>" for k in names] + [f"{c} int" for c in (*rejects, *lates)]
+    shape = [f"{c} {df.schema[c].dataType.simpleString()}" for c in passed] + [f"`{k}` struct<{inner}>" for k in names] + [f"{c} int" for c in (*rejects, *lates)]
     df = df.mapInArrow(run, ", ".join(shape))
     plain = [c for c, _ in _RESULT]
     for k, cfg in configs.items():

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import seqid
@@ -175,13 +176,26 @@ def _places(key: Column, blocks: int) -> tuple[Column, list[Column]]:
 def bloom_filter(keys: DataFrame, most_bits: int = 1 << 28) -> tuple[DataFrame, int]:
     """A Bloom filter of distinct keys (column ``key``) as a table (block, words: 512 longs), and the number of blocks.
 
-    Tasks set bits of their own keys and Spark merges the bitmaps.  About 12 bits a key, but not over ``most_bits`` (32 MB), so it can be
-    broadcast whatever the number of keys; beyond some 20 million of them it lets more through.
+    Keys may come more than once.  Places of bits move to their blocks, and a task sets all bits of its blocks.  About 12 bits a key, but not over
+    ``most_bits`` (32 MB), so it can be broadcast whatever the number of keys; beyond some 20 million of them it lets more through.
     """
     blocks = min(max(1, -(-12 * keys.count() // BLOCK_BITS)), max(1, most_bits // BLOCK_BITS))
     block, inside = _places(F.col("key"), blocks)
-    bits = keys.select(block.alias("block"), F.explode(F.array(*inside)).alias("bit"))
-    rows = bits.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()  # at most most_bits in all
+    names = [f"b{i}" for i in range(len(inside))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, seen = np.zeros((blocks, BLOCK_BITS // 8), np.uint8), np.zeros(blocks, bool)
+        for b in batches:
+            own = b.column("block").to_numpy()
+            seen[own] = True
+            for c in names:
+                at = b.column(c).to_numpy()
+                np.bitwise_or.at(bits, (own, at >> 3), np.left_shift(1, at & 7).astype(np.uint8))
+        own = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([bits[i].tobytes() for i in own], pa.binary())], ["block", "bits"])
+
+    placed = keys.select(block.alias("block"), *[c.cast("int").alias(n) for c, n in zip(inside, names, strict=True)])
+    rows = placed.repartition("block").mapInArrow(run, "block long, bits binary").collect()  # at most most_bits in all
     words = [(r["block"], np.frombuffer(bytes(r["bits"]), "<i8").tolist()) for r in rows]
     return keys.sparkSession.createDataFrame(words, "block long, words array<long>"), blocks
 
@@ -207,11 +221,11 @@ def id_set(ids: DataFrame, name: str = "filter", *, thin: bool = False) -> Modul
     """
 
     def apply(df: DataFrame) -> tuple[DataFrame, Column]:
-        known = ids.select(seqid.to_string(F.col("id")).alias("_known")).where("_known is not null").distinct()
-        key = seqid.to_string(F.col("id"))
+        given = ids.select(seqid.to_string(F.col("id")).alias("_known")).where("_known is not null")
+        known, key = given.distinct(), seqid.to_string(F.col("id"))
         if not thin:
             return df.join(known, key == F.col("_known"), "left"), F.col("_known").isNotNull()
-        told = maybe_members(df, key, known.select(F.col("_known").alias("key")))
+        told = maybe_members(df, key, given.select(F.col("_known").alias("key")))
         out = told.where(~F.col("_maybe")).withColumn("_known", F.lit(None).cast("string"))
         found = told.where("_maybe").join(known, key == F.col("_known"), "left").select(out.columns)
         return out.union(found).drop("_maybe"), F.col("_known").isNotNull()

@@ -130,3 +130,16 @@ def test_pear_p_value():
     p = filters.pear_p_value(np.array([10, 10]), np.array([0, 5]), np.array([12, 12]), 1, -1)
     assert 0 <= p[0] < p[1] <= 1
     assert nt.LETTERS[15] == "N"
+
+
+def test_diff_sends_no_reads_back(pairs):
+    line = next(x for x in diff.diff(pairs, AssemblerConfig(), AssemblerConfig(min_overlap=30))._jdf.queryExecution().optimizedPlan().toString().split("\n") if "MapInArrow" in x)
+    assert "f_seq" not in line.split("],")[-1] and "r_qual" not in line.split("],")[-1].split("struct")[0]
+
+
+def test_bloom_filter_takes_keys_again(spark):
+    keys = spark.range(3000).selectExpr("cast(id as string) AS key")
+    some, blocks = filters.bloom_filter(keys)
+    again, same = filters.bloom_filter(keys.union(keys), blocks * filters.BLOCK_BITS)
+    assert same == blocks and sorted(map(tuple, some.collect())) == sorted(map(tuple, again.collect()))
+    assert filters.maybe_members(keys, F.col("key"), keys).where("not _maybe").count() == 0

@@ -16,13 +16,16 @@ def components(links: DataFrame) -> DataFrame:
 
     Large star: neighbours above a node move to the least neighbour.  Small star: those below do.  Rounds end when
     the edges no longer change.  Sums of least neighbours are grouped before any join, so a hub only meets its own edges.
+    The result reads the edges of the last round, which ``scratch.drop`` takes away.
     """
     edges = scratch.materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
     while True:
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == mark:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
+            out = edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
+            out.scratch_path = edges.scratch_path
+            return out
         mark = now
         near = _both(edges)
         least = near.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))

@@ -431,11 +431,24 @@ def _links(texts: DataFrame, asked: DataFrame, levels: DataFrame, cuts: np.ndarr
     return links
 
 
+def _rooted(links: DataFrame, name: str) -> DataFrame:
+    """Components of the links, written; nothing else of them stays."""
+    found = components(links)
+    roots = scratch.materialize(found, name)
+    scratch.drop(found)
+    return roots
+
+
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", group_bytes: int = cl.GROUP_BYTES) -> DataFrame:
     """One row for each distinct text: digest, key (the least), n_shingles, component_id, links (its decided links), root.
 
     ``root`` names the component even where all its keys are null.
     """
+    return _near_duplicates(docs, key, text, group_bytes)[0]
+
+
+def _near_duplicates(docs: DataFrame, key: str, text: str, group_bytes: int = cl.GROUP_BYTES) -> tuple[DataFrame, list[DataFrame]]:
+    """The rows of ``near_duplicates``, and the tables in the shared folder that they are read from (a few numbers a text)."""
     src = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     n = cl.group_count(docs, group_bytes)
     buckets = cl.bucket_count(n)
@@ -488,13 +501,14 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     grouped = texts.groupBy("group")
     sent = scratch.materialize(grouped.applyInArrow(send, f"{cl.BLOCK}, digest string, key long, n_shingles long, id long, bitmap binary"), "sent")
-    every = sent.where("digest is not null").select("digest", "key", "n_shingles", "id", "bitmap")
+    every = scratch.materialize(sent.where("digest is not null").select("digest", "key", "n_shingles", "id", "bitmap"), "every")
     levels = scratch.materialize(met(sent.where("digest is null").select("group", "source", "data")).applyInArrow(_frequencies, cl.BLOCK), "levels")
+    scratch.drop(sent)  # the shingles of all texts: the largest table here
     counts = {r[0]: r[1] for r in levels.select("data").mapInArrow(_level_counts, "level long, n long").groupBy("level").agg(F.sum("n")).collect()}  # 64 rows
     cuts = pivots(np.array([counts.get(i, 0) for i in range(64)]), FRAGMENTS)
     first = scratch.materialize(grouped.cogroup(levels.groupBy("group")).applyInArrow(entries, cl.BLOCK), "entries")
     links = _links(texts, met(first).applyInArrow(_first_pairs(n), cl.BLOCK), levels, cuts, buckets)
-    roots = scratch.materialize(components(links), "roots")
+    roots = _rooted(links, "roots")
     labels = roots.select(F.shiftright("node", LOCAL).cast("int").alias("group"), F.col("node").bitwiseAND((1 << LOCAL) - 1).alias("local"), "root")
     told = labels.groupBy("group").applyInArrow(label_blocks, cl.BLOCK)
     second = first.groupBy("source").cogroup(told.groupBy("group")).applyInArrow(labelled, cl.BLOCK)
@@ -503,7 +517,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     rest = jobs.where("id is null").union(maps).repartition(buckets, "task").groupBy("task").applyInArrow(_survivors(n), cl.BLOCK)
     more = _links(texts, rest, levels, cuts, buckets)
     first_links, links = links, scratch.materialize(links.union(more).distinct(), "all-links")
-    first_roots, roots = roots, scratch.materialize(components(links), "all-roots")
+    first_roots, roots = roots, _rooted(links, "all-roots")
     degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("links"))
     scratch.drop(texts, levels, first, jobs, first_links, more, first_roots)
     placed = every.join(roots, every["id"] == roots["node"], "left").join(degree, F.col("id") == F.col("a"), "left")
@@ -512,7 +526,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     # a component may hold a third of all texts: its rows are spread, its least key is sent to each part
     several = placed.where("root is not null").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     least = several.groupBy("root").agg(F.min("key").alias("component_id")).withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    return alone.union(several.join(least, ["root", "salt"]).select("digest", "key", "n_shingles", "component_id", "links", "root"))
+    return alone.union(several.join(least, ["root", "salt"]).select("digest", "key", "n_shingles", "component_id", "links", "root")), [every, links, roots]
 
 
 def near_duplicates_by_row(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -530,9 +544,10 @@ def keep_one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
 
     Texts without words are in no component and stay, each row of them.
     """
-    found = near_duplicates(docs, key=key, text=text)
+    found, made = _near_duplicates(docs, key, text)
     chosen = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct("key", "digest")).alias("c")).select("c.key", "c.digest")
     chosen = scratch.materialize(chosen, "chosen")
+    scratch.drop(*made)
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(key).cast("long"), F.lit(cl.NO_KEY)).alias("k"), cl.digest_of(F.col(text)).alias("d"), F.col(text).alias("t"))
     same = (F.col("k") == F.col("key")) & (F.col("d") == F.col("digest"))
     words = F.coalesce(F.col("t"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")

@@ -29,9 +29,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from . import classes as cl, text as tx
+from . import classes as cl, scratch, text as tx
 from .decontaminate import found
 
 SPAN, K = 50, 16
@@ -328,13 +330,23 @@ def _rows(parts: list[list[np.ndarray]], sources: list[int], bucket: int, *flags
     return cl.block_table([(s, bucket, cl.pack(*(np.packbits(f[a:b]) for f in flags))) for s, a, b in zip(sources, bounds[:-1], bounds[1:], strict=True)])
 
 
-def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", span: int = SPAN, group_bytes: int = cl.GROUP_BYTES, with_text: bool = True) -> DataFrame:
-    """One row for each distinct text: digest, key (the least), n_removed, n_spans, kept_sha256 and kept_text.
+@dataclass
+class Left:
+    """A group's texts, and of each the removed bytes, the removed runs and where in ``kept`` the rest starts."""
 
-    ``kept_text`` is what is left of the text (bytes of a character that a cut splits go too), null unless asked for.
-    """
-    src = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    n = cl.group_count(docs, group_bytes)
+    texts: cl.Texts
+    removed: np.ndarray
+    spans: np.ndarray
+    kept: np.ndarray
+    at: np.ndarray
+
+    def body(self, i: int) -> bytes:
+        return self.kept[self.at[i] : self.at[i + 1]].tobytes()
+
+
+def _decided(src: DataFrame, n: int, span: int):
+    """Blocks of the texts (columns key, text) in ``n`` groups, answers of the three exchanges by group, and the function
+    that makes a :class:`Left` of both."""
     buckets = cl.bucket_count(n)
     texts = cl.deal(src, n)
 
@@ -378,9 +390,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
             return cl.block_table([])
         return state(left, right)[2].strings(_round(right, 1), buckets).send(left.column("group")[0].as_py(), buckets)
 
-    def finish(left, right):
-        if not left.num_rows:
-            return _result([])
+    def rest(left, right) -> Left:
         g, full, halves = state(left, right)
         at = halves.strings(_round(right, 1), buckets).found(_round(right, 2), buckets)
         t = g.texts
@@ -396,14 +406,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         begins[inner] = gone[inner]
         removed = np.concatenate([[0], np.cumsum(gone)])[t.off]
         spans = np.concatenate([[0], np.cumsum(begins)])[t.off]
-        kept, left_at = t.buf[~gone], t.off - removed
-        rows = []
-        for i in range(len(t)):
-            lost = int(removed[i + 1] - removed[i])
-            body = kept[left_at[i] : left_at[i + 1]].tobytes() if lost or with_text else b""
-            digest = t.digest[i].tobytes().hex()
-            rows.append((digest, int(t.key[i]), lost, int(spans[i + 1] - spans[i]), hashlib.sha256(body).hexdigest() if lost else digest, body.decode(errors="ignore") if with_text else None))
-        return _result(rows)
+        return Left(t, np.diff(removed), np.diff(spans), t.buf[~gone], t.off - removed)
 
     def meet(f, told):
         return texts.groupBy("group").cogroup(told.groupBy("group")).applyInArrow(f, cl.BLOCK).repartition(buckets, "group").groupBy("group")
@@ -412,6 +415,28 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     told = texts.groupBy("group").applyInArrow(send, cl.BLOCK).repartition(buckets, "group").groupBy("group").applyInArrow(match, cl.BLOCK).repartition("group")
     told = told.union(meet(send_halves, told).applyInArrow(compare(1), cl.BLOCK).repartition("group"))
     told = told.union(meet(send_strings, told).applyInArrow(compare(2), cl.BLOCK).repartition("group"))
+    return texts, told, rest
+
+
+def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", span: int = SPAN, group_bytes: int = cl.GROUP_BYTES, with_text: bool = True) -> DataFrame:
+    """One row for each distinct text: digest, key (the least), n_removed, n_spans, kept_sha256 and kept_text.
+
+    ``kept_text`` is what is left of the text (bytes of a character that a cut splits go too), null unless asked for.
+    """
+    src = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    texts, told, rest = _decided(src, cl.group_count(src, group_bytes), span)
+
+    def finish(left, right):
+        if not left.num_rows:
+            return _result([])
+        x, rows = rest(left, right), []
+        for i in range(len(x.texts)):
+            lost = int(x.removed[i])
+            body = x.body(i) if lost or with_text else b""
+            digest = x.texts.digest[i].tobytes().hex()
+            rows.append((digest, int(x.texts.key[i]), lost, int(x.spans[i]), hashlib.sha256(body).hexdigest() if lost else digest, body.decode(errors="ignore") if with_text else None))
+        return _result(rows)
+
     shape = "digest string, key long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
     return texts.groupBy("group").cogroup(told.groupBy("group")).applyInArrow(finish, shape)
 
@@ -434,21 +459,60 @@ def repeats_by_row(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     )
 
 
+#: Source of the rows that meet the answers of their group.
+OWNER = -1
+
+
 def cut_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n_chars: str | None = None, span: int = SPAN) -> DataFrame:
     """The rows of ``docs`` with repeats taken out of ``text`` (and ``n_chars`` counted anew).
 
     Where a cut splits a character, its remaining bytes go too.  Texts that lose nothing stay as they are.
+
+    Texts don't move again once they are cut: the other columns of the row with the least key come to the group of its text.
+    Short texts stay where they are, copies with a larger key become empty without a text; only several rows of one text and
+    its least key get the text by a join.
     """
-    found = remove_repeats(docs, key=key, text=text, span=span).select("digest", F.col("key").alias("least"), "kept_text")
-    # texts come with their class; rows bring the other columns only
+    size = F.octet_length(text)
+    short, long = docs.where(F.coalesce(size < span, F.lit(True))), docs.where(size >= span)
     spare = "_" * (1 + max(map(len, docs.columns)))  # there may be no other column
     others = F.struct(*[F.col(c) for c in docs.columns if c != text], F.lit(1).alias(spare))
-    rows = docs.select(others.alias("row"), F.coalesce(F.col(key).cast("long"), F.lit(cl.NO_KEY)).alias("k"), cl.digest_of(F.col(text)).alias("d"), F.octet_length(text).alias("size"))
-    j = rows.join(found, F.col("d") == F.col("digest"), "left")
-    again = (F.col("k") > F.col("least")) & (F.col("size") >= span)
-    new = F.when(F.col("size").isNull(), None).when(again, "").otherwise(F.col("kept_text"))
-    cols = [new.alias(c) if c == text else F.length(new).cast(docs.schema[c].dataType).alias(c) if c == n_chars else F.col("row")[c].alias(c) for c in docs.columns]
-    return j.select(*cols)
+    rows = long.select(others.alias("row"), F.coalesce(F.col(key).cast("long"), F.lit(cl.NO_KEY)).alias("k"), F.unhex(cl.digest_of(F.col(text))).alias("d"))
+    each = rows.groupBy("d", "k").agg(F.first("row").alias("row"), F.count("*").alias("copies"))
+    owners = scratch.materialize(each.groupBy("d").agg(F.min("k").alias("least"), F.count("*").alias("keys"), F.min_by(F.struct("row", "copies"), "k").alias("o")).select("d", "least", "keys", "o.*"), "owners")
+    src = long.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    n = cl.group_count(src, cl.GROUP_BYTES)
+    texts, told, rest = _decided(src, n, span)
+    row_type = owners.schema["row"].dataType
+    shape = StructType([StructField("d", BinaryType()), StructField("row", row_type), StructField("new", StringType())])
+
+    def finish(left, right):
+        own = right.filter(pc.equal(right.column("source"), OWNER)).select(["d", "row"])
+        new = []
+        if own.num_rows:
+            x = rest(left, right.select(["group", "source", "data"]))
+            place = {d.tobytes(): i for i, d in enumerate(x.texts.digest)}
+            new = [x.body(place[d]).decode(errors="ignore") for d in own.column("d").to_pylist()]
+        return own.append_column("new", pa.array(new, pa.string()))
+
+    def cut(asked: DataFrame, row) -> DataFrame:
+        """d, row, new of some texts."""
+        group = F.pmod(F.conv(F.substring(F.hex("d"), 1, 16), 16, 10).cast("decimal(20,0)"), F.lit(n)).cast("int")  # as texts are dealt
+        asked = asked.select(group.alias("group"), F.lit(OWNER).alias("source"), F.lit(None).cast("binary").alias("data"), "d", row.alias("row")).repartition("group")
+        both = told.select("group", "source", "data", F.lit(None).cast("binary").alias("d"), F.lit(None).cast(row_type).alias("row")).union(asked)
+        return texts.groupBy("group").cogroup(both.groupBy("group")).applyInArrow(finish, shape)
+
+    def placed(found: DataFrame) -> DataFrame:
+        new = F.col("new")
+        return found.select([new.alias(c) if c == text else F.length(new).cast(docs.schema[c].dataType).alias(c) if c == n_chars else F.col("row")[c].alias(c) for c in docs.columns])
+
+    out = placed(cut(owners.where("copies = 1"), F.col("row"))).union(placed(short.select(others.alias("row"), F.col(text).alias("new"))))
+    several, same = owners.where("keys > 1").select("d", "least"), owners.where("copies > 1").select("d", "least")
+    if not several.isEmpty():  # equal texts of larger keys
+        out = out.union(placed(rows.join(several, "d").where("k > least").select("row", F.lit("").alias("new"))))
+    if not same.isEmpty():  # equal texts of the least key
+        again = cut(same, F.lit(None).cast(row_type)).select("d", "new")
+        out = out.union(placed(rows.join(same, "d").where("k = least").join(again, "d").select("row", "new")))
+    return out
 
 
 def op4_suffix(spark, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators that compare all documents, and the pipeline, against brute force."""
 
+import hashlib
 import random
 
 import pytest
@@ -90,6 +91,36 @@ def test_cut_keeps_columns_and_empty_tables(spark, many_groups):
     assert {r["doc_id"] for r in cut.collect()} == {k for k, _ in want}
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_cut_rows_one_by_one(spark, many_groups, seed):
+    """Every row of odd tables: copies under several keys, several rows of one key, null keys, null and short texts."""
+    rows = repeated_rows(seed)
+    rows += [(3, rows[20][1] + "y" * 50), (3, rows[20][1] + "y" * 50), (200, rows[20][1] + "y" * 50), (None, "only here " * 6), (None, "only here " * 6)]
+    docs = spark.createDataFrame([(k, t, i, None if i % 5 else {"a": i}) for i, (k, t) in enumerate(rows)], "doc_id long, text string, digest int, `group` map<string, int>")
+    want = {}
+    for i, ((k, t), (_, _, lost, _, kept)) in enumerate(zip(rows, suffix.brute_force(rows), strict=True)):
+        want[i] = (k, t, lost, kept)
+    got = suffix.cut_repeats(docs, n_chars="digest").select("doc_id", "text", "digest", "group").collect()
+    assert len(got) == len(rows)
+    named = suffix.cut_repeats(docs).collect()
+    assert sorted(r["digest"] for r in named) == list(range(len(rows)))
+    for r in named:
+        k, t, lost, kept = want[r["digest"]]
+        assert r["doc_id"] == k and r["group"] == (None if r["digest"] % 5 else {"a": r["digest"]})
+        assert (r["text"] is None) == (t is None)
+        if not lost or "é" not in t:
+            assert hashlib.sha256((r["text"] or "").encode()).hexdigest() == kept
+    assert sorted((r["doc_id"], r["text"]) for r in got if r["doc_id"] and r["text"]) == sorted((r["doc_id"], r["text"]) for r in named if r["doc_id"] and r["text"])
+    assert all(r["digest"] == (None if r["text"] is None else len(r["text"])) for r in got)
+
+
+def test_cut_texts_do_not_move_again(spark, many_groups):
+    """Texts are sent to their groups and nowhere else: no join or aggregate has them."""
+    docs = table(spark, [(i, f"{i} " + "same words in all texts, more than fifty bytes of them; " + "x" * i) for i in range(20)])
+    plan = suffix.cut_repeats(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("FlatMapCoGroupsInArrow") >= 3
+
+
 # --- near duplicates ------------------------------------------------------------------------------------------------
 
 
@@ -210,6 +241,22 @@ def test_keep_one_of_each(spark, many_groups):
     assert jaccard.near_duplicates_by_row(table(spark, [])).count() == 0
 
 
+def test_near_duplicates_leave_no_shingles_on_disk(spark, many_groups, monkeypatch):
+    """Later steps find only what the rows are still read from: no blocks of shingles, and of ``keep_one_of_each`` the chosen rows."""
+    from pathlib import Path
+
+    made = []
+    real = scratch.new_path
+    monkeypatch.setattr(scratch, "new_path", lambda session, name: made.append(real(session, name)) or made[-1])
+    left = lambda: sorted(p.rpartition("/")[2] for p in made if any(Path(p.removeprefix("file://")).glob("part-*")))
+    docs = table(spark, [(i, " ".join(f"w{i // 3}x{j}" for j in range(30)) + " tail" * (i % 3)) for i in range(60)])
+    found = jaccard.near_duplicates(docs)
+    assert left() == ["all-links", "all-roots", "every"] and found.count() == 60
+    del made[:]
+    kept = jaccard.keep_one_of_each(docs)
+    assert left() == ["chosen"] and kept.count() == 20
+
+
 def test_stars_cover_their_size_range():
     import numpy as np
 
